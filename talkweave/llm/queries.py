@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import minhash_dedup
+from talkweave.llm import bpe_codec, minhash_dedup, token_counts
+
+#: The vocabulary of operators 7 and 9.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +20,25 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
+def _vocabulary() -> bytes:
+    import public_tokenizers
+
+    with open(public_tokenizers.path(VOCABULARY), "rb") as file:
+        return file.read()
+
+
+def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_codec.round_trip(_table(spark, folder, "documents"), _vocabulary()).drop("decoded")
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op7_bpe_codec": op7_bpe_codec,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
