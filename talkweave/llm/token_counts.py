@@ -29,6 +29,7 @@ file, of fixed size, is broadcast.
 from __future__ import annotations
 
 import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from talkweave.llm.pretokens import pretokens
 from talkweave.llm.vocabulary import Vocabulary, parse
 
 LIMIT_TOKENS = 1024
-MOST_STATES = 100_000
+MOST_STATES = 400_000
 #: Pieces of more bytes run one by one.
 LONG = 96
 BLOCK_BYTES = 4 << 20
@@ -71,20 +72,53 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.keys: list[tuple] = []
-        self.column = np.full(256, -1, np.int64)  # bytes seen so far
-        self.next = np.full((1024, 0), -1, np.int32)
-        self.grows = np.zeros((1024, 0), np.int8)
-        self.state((self.node[b""], ((-1, 0),)))
-
-    def state(self, key: tuple) -> int:
+        self.states: dict[bytes, int] = {}
+        self.keys: list[bytes] = []
+        self.used = 0
+        self.grow(1 << 16)
+        self.state(self.node[b""], [(-1, 0)])
+
+    def grow(self, size: int) -> None:
+        """An open-addressing table of ``size`` transitions: state and byte, next state, growth."""
+        old = getattr(self, "slots", None) if self.used else None
+        filled = np.flatnonzero(old >= 0) if old is not None else np.zeros(0, np.int64)
+        kept = [x[filled] for x in (self.slots, self.next, self.grows)] if len(filled) else [[], [], []]
+        self.slots, self.next, self.grows = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int8)
+        self.used = 0
+        for key, then, more in zip(*kept, strict=True):
+            self.put(int(key), then, more)
+
+    def put(self, key: int, then: int, more: int) -> None:
+        if 2 * self.used >= len(self.slots):
+            self.grow(2 * len(self.slots))
+        place = self.home(key)
+        while self.slots[place] >= 0:
+            place = (place + 1) & (len(self.slots) - 1)
+        self.slots[place], self.next[place], self.grows[place] = key, then, more
+        self.used += 1
+
+    def home(self, key):  # noqa: ANN001, ANN201
+        """Where the search for a key (or an array of keys) begins."""
+        return ((key * 0x9E3779B1) >> 15) & (len(self.slots) - 1)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key in the table; -1 where it isn't there."""
+        place = self.home(key)
+        out = np.where(self.slots[place] == key, place, -1)
+        open_ = np.flatnonzero((out < 0) & (self.slots[place] >= 0))
+        while len(open_):
+            p = place[open_] = (place[open_] + 1) & (len(self.slots) - 1)
+            hit = self.slots[p] == key[open_]
+            out[open_[hit]] = p[hit]
+            open_ = open_[~hit & (self.slots[p] >= 0)]
+        return out
+
+    def state(self, node: int, cuts: list[tuple[int, int] | None]) -> int:
+        """The number of a state; cuts: last token and relative count by cut, None where no token can run on."""
+        key = struct.pack(f"i{len(cuts)}q", node, *((c[0] << 16) + c[1] if c else -1 << 40 for c in cuts))
         if key not in self.states:
             self.states[key] = len(self.keys)
             self.keys.append(key)
-            if len(self.keys) > len(self.next):
-                self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
-                self.grows = np.concatenate([self.grows, np.zeros_like(self.grows)])
         return self.states[key]
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -119,27 +153,25 @@ class Transducer:
 
     def compile(self, state: int, byte: int) -> None:
         """Fill in one transition."""
-        node, cuts = self.keys[state]
-        if self.column[byte] < 0:
-            self.column[byte] = self.next.shape[1]
-            self.next = np.concatenate([self.next, np.full((len(self.next), 1), -1, np.int32)], 1)
-            self.grows = np.concatenate([self.grows, np.zeros((len(self.grows), 1), np.int8)], 1)
+        node, *packed = struct.unpack(f"i{len(self.keys[state]) // 8 - 1}q", self.keys[state])
         read = self.string[node] + bytes([byte])
         last = count = None
         for k in range(len(read)):
             token = self.tokens.get(read[k:])
             if token is None:
                 continue
-            before, number = cuts[k]  # never None here: the token has run on from this cut
+            before = packed[k] + (1 << 15) >> 16
+            number = packed[k] - (before << 16)
             self.bound, self.wins_tie = 1 << 60, True
             if before < 0 or self.may_follow(before, token):
                 last, count = token, number + 1
                 break
-        cuts = (*cuts, (last, count))
-        while read not in self.node:
-            read, cuts = read[1:], cuts[1:]
-        then = self.state((self.node[read], tuple((cut[0], cut[1] - count) if cut and read[k:] in self.node else None for k, cut in enumerate(cuts))))
-        self.next[state, self.column[byte]], self.grows[state, self.column[byte]] = then, count
+        skip = 0
+        while read[skip:] not in self.node:
+            skip += 1
+        read, packed = read[skip:], packed[skip:]
+        cuts = [((x + (1 << 15)) >> 16, x - (((x + (1 << 15)) >> 16) << 16) - count) if read[k:] in self.node else None for k, x in enumerate(packed)]
+        self.put(state * 256 + byte, self.state(self.node[read], [*cuts, (last, 0)]), count)
 
     def counts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Number of tokens of each of consecutive pieces."""
@@ -156,19 +188,14 @@ class Transducer:
             m = int(alive[k])
             if not m:
                 break
-            at, byte = state[:m], data[begin[:m] + k]
-            column = self.column[byte]
-            then = np.full(m, -1, np.int64)
-            seen = column >= 0
-            then[seen] = self.next[at[seen], column[seen]]
-            missing = then < 0
-            if missing.any():
-                for key in np.unique(at[missing] * 256 + byte[missing]).tolist():
-                    self.compile(key >> 8, key & 255)
-                column = self.column[byte]
-                then = self.next[at, column].astype(np.int64)
-            total[:m] += self.grows[at, column]
-            state[:m] = then
+            key = state[:m] * 256 + data[begin[:m] + k]
+            place = self.find(key)
+            if (place < 0).any():
+                for missing in np.unique(key[place < 0]).tolist():
+                    self.compile(missing >> 8, missing & 255)
+                place = self.find(key)
+            total[:m] += self.grows[place]
+            state[:m] = self.next[place]
         out[run] = total
         for i in np.flatnonzero(length > LONG):
             out[i] = self._long(data[starts[i] : starts[i + 1]].tolist())
@@ -177,14 +204,22 @@ class Transducer:
     def _long(self, piece: list[int]) -> int:
         state = total = 0
         for byte in piece:
-            column = self.column[byte]
-            if column < 0 or self.next[state, column] < 0:
+            place = self.place(state * 256 + byte)
+            if place < 0:
                 self.compile(state, byte)
-                column = self.column[byte]
-            total += int(self.grows[state, column])
-            state = int(self.next[state, column])
+                place = self.place(state * 256 + byte)
+            total += int(self.grows[place])
+            state = int(self.next[place])
         return total
 
+    def place(self, key: int) -> int:
+        at = self.home(key)
+        while self.slots[at] != key:
+            if self.slots[at] < 0:
+                return -1
+            at = (at + 1) & (len(self.slots) - 1)
+        return at
+
 
 @functools.lru_cache(maxsize=1)
 def transducer(content: bytes) -> Transducer:
