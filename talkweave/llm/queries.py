@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import bpe_codec, minhash_dedup, token_counts
+from talkweave.llm import bpe_codec, decontaminate, minhash_dedup, oracles, token_counts
 
 #: The vocabulary of operators 7 and 9.
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,10 +35,18 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary())
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_token_counts": op9_token_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": oracles.MINHASH,
+    "op10_decontaminate": oracles.DECONTAMINATE,
+}
