@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import bpe_codec, decontaminate, minhash_dedup, oracles, token_counts
+from talkweave.llm import bpe_codec, decontaminate, minhash_dedup, oracles, quality, token_counts, toxicity
 
 #: The vocabulary of operators 7 and 9.
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,10 +27,20 @@ def _vocabulary() -> bytes:
         return file.read()
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.toxicity(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+
+
 def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_codec.round_trip(_table(spark, folder, "documents"), _vocabulary()).drop("decoded")
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return quality.quality(docs, quality.train(docs, _table(spark, folder, "labels")))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary())
 
@@ -41,7 +51,9 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
 }
