@@ -16,6 +16,9 @@ own text.  Equal items all count, each with its item_id; an item whose id is nul
 makes hits but is not listed.  An empty benchmark leaves all documents clean.
 Extra columns are ignored.  items_sha256 of no items is that of the empty text.
 
+explode_outer is used throughout: for explode the optimizer adds a filter on the
+array's size, which repeats the whole hashing in a place where it is slow.
+
 Scale.  One scan of the documents cuts, hashes and joins in one stage while the
 benchmark's hashes have at most BROADCAST_ROWS rows; beyond, the join shuffles
 only kept hashes.  A second scan reads the documents that have a kept hash in
@@ -92,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     cut = lambda frame, id_: frame.select(id_, words(F.col("text")).alias("w"), F.xxhash64("text").alias("text_hash")).withColumn("n_words", F.size("w"))
     items = scratch.save(cut(benchmark, "item_id").where("n_words > 0"), "items")
     short = sorted(r[0] for r in items.where(F.col("n_words") < window).select("n_words").distinct().collect())
-    item_hashes = scratch.save(kept_hashes(items, [], k, window).select(F.explode("kept").alias("hash")).distinct(), "item-hashes")
+    item_hashes = scratch.save(kept_hashes(items, [], k, window).select(F.explode_outer("kept").alias("hash")).where("hash IS NOT NULL").distinct(), "item-hashes")
     for n in short:
         item_hashes = item_hashes.unionByName(items.where(F.col("n_words") == n).select(_gram(F.col("w"), F.lit(0), n, n).alias("hash")).distinct())
     hashes = item_hashes.count()
@@ -104,23 +107,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     hashed = kept_hashes(cut(docs, "doc_id"), short, k, window)
     if hashes <= BROADCAST_ROWS:
         # a null first element keeps a row for every document through the join
-        own = hashed.select("doc_id", "text_hash", "n_words", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.col("kept"))).alias("hash"))
+        own = hashed.select("doc_id", "text_hash", "n_words", F.explode_outer(F.concat(F.array(F.lit(None).cast("bigint")), F.col("kept"))).alias("hash"))
         found = own.join(F.broadcast(item_hashes.withColumn("shared", F.lit(True))), "hash", "left").where("hash IS NULL OR shared")
         found = scratch.save(found.select("doc_id", "text_hash", "n_words", F.coalesce("shared", F.lit(False)).alias("shared")), "found")
         judged, possible = found.where("NOT shared"), found.where("shared").select("doc_id", "text_hash").distinct()
     else:
         judged = cut(docs, "doc_id").select("doc_id", "text_hash", "n_words")
-        own = hashed.select("doc_id", "text_hash", F.explode("kept").alias("hash"))
+        own = hashed.select("doc_id", "text_hash", F.explode_outer("kept").alias("hash"))
         possible = scratch.save(own.join(item_hashes, "hash").select("doc_id", "text_hash").distinct(), "found")
 
     lengths = [*short, window] if not items.where(F.col("n_words") >= window).isEmpty() else short
     item_windows = items.where(F.col("n_words") >= window).withColumn("fit", F.lit(window)).unionByName(items.where(F.col("n_words") < window).withColumn("fit", F.col("n_words")))
-    item_windows = _windows(item_windows, lengths).select("item_id", "fit", F.explode("windows").alias("x")).where("x.length = fit")
+    item_windows = _windows(item_windows, lengths).select("item_id", "fit", F.explode_outer("windows").alias("x")).where("x.length = fit")
     item_windows = scratch.save(item_windows.select("item_id", "x.length", "x.h1", "x.h2").distinct(), "item-windows")
     suspects = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     suspects = suspects.join(possible.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi")
     suspects = suspects.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
-    places = _windows(suspects, lengths).select("doc_id", "text_hash", F.explode("windows").alias("x")).select("doc_id", "text_hash", "x.*")
+    places = _windows(suspects, lengths).select("doc_id", "text_hash", F.explode_outer("windows").alias("x")).select("doc_id", "text_hash", "x.*")
     hit = scratch.save(places.join(_checked(item_windows, item_windows.count()), ["length", "h1", "h2"]).select("doc_id", "text_hash", "place", "length", "item_id"), "hits")
 
     before = Window.partitionBy("doc_id", "text_hash").orderBy("place", "length").rowsBetween(Window.unboundedPreceding, -1)
