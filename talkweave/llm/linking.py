@@ -4,17 +4,15 @@
 pairs that share a bucket, without writing all pairs of a bucket:
 
 1. star round: in every bucket one member, drawn by hash, is compared with the
-   others;
-2. centre round: in every bucket that still holds several components the member
-   with the most confirmed links so far (the original of a family of copies is
-   linked with nearly every drawn member) is compared with the other components;
-3. rest round: in buckets that still hold several components, all pairs of
-   *different* components are compared inside tasks, in blocks of bounded size,
-   by signature; only pairs that the signatures can't rule out leave the task.
-
-Every pair that comes out of a round is confirmed on the full sets.  Members of
-one component need no further comparison, so no component is lost by leaving the
-inner pairs out.
+   others, by sizes and signatures first and then on the full sets;
+2. rest round: in buckets that then still hold several components, the common
+   members of all pairs of *different* components are counted inside tasks, by an
+   inverted index over a block of bounded size; of the links that a member has
+   with another component the strongest leaves the task and is confirmed on the
+   full sets.
+
+Members of one component need no further comparison, so no component is lost by
+leaving the inner pairs out, and what is written stays in proportion to members.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ from talkweave.llm.components import connected_components
 from talkweave.llm.tables import Scratch
 
 #: Members of a bucket per block in the rest round.
-BLOCK = 2048
+BLOCK = 1024
 
 #: May the pair reach the threshold?  Gets sizes and signatures (rows of a matrix) of both sides.
 Possible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -73,9 +71,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
 
 
-def _rest(members: DataFrame, possible: Possible, kind: np.dtype) -> DataFrame:
-    """Plausible pairs of different components within buckets; members: bucket, id, root, size, signature.
-
+def _common(values: np.ndarray, number: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asked row with the number of its values in common with every row; values are distinct within rows."""
+    owner = np.repeat(np.arange(len(number)), number)
+    order = np.argsort(values, kind="stable")
+    ordered, owners = values[order], owner[order]
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(ordered)))
+    term = np.empty(len(values), np.int64)
+    term[order] = np.cumsum(new) - 1
+    at = np.concatenate([[0], np.cumsum(number)])
+    for i in rows.tolist():
+        t = term[at[i] : at[i + 1]]
+        n = length[t]
+        place = np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield i, np.bincount(owners[place], minlength=len(number))
+
+
+def _rest(members: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within buckets, at least one of each member with each component it is linked with.
+
+    members: bucket, id, root, members (sorted 64-bit hashes, of which the upper halves are compared here).
     A bucket of n members is cut into ceil(n / BLOCK) parts by hash; each pair of
     parts is one group, so a group has at most about two blocks of rows.
     """
@@ -86,18 +104,36 @@ def _rest(members: DataFrame, possible: Possible, kind: np.dtype) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("id")
-        ids, roots, sizes = (group[c].to_numpy() for c in ("id", "root", "size"))
-        sig = np.frombuffer(b"".join(group["signature"]), kind).reshape(len(group), -1)
-        found = []
-        for i in range(len(group) - 1):
-            j = np.flatnonzero(roots[i + 1 :] != roots[i]) + i + 1
-            if len(j):
-                ok = j[possible(np.broadcast_to(sizes[i], len(j)), sizes[j], np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j])]
-                found.append(np.stack([np.broadcast_to(ids[i], len(ok)), ids[ok]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        ids, (roots, inverse) = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)
+        if len(roots) < 2:
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in group["half"]]
+        number = np.array([len(x) for x in sets])
+        found: list[tuple[int, int]] = []
+        for i, common in _common(np.concatenate(sets), number, np.flatnonzero(inverse != np.bincount(inverse).argmax())):
+            # halves of different hashes may be equal, within a set or between two: two in common more or less
+            near = np.flatnonzero((100 * (common + 2) >= percent * (number + number[i] - common - 2)) & (inverse != inverse[i]))
+            if len(near):
+                share = common[near] / (number[near] + number[i] - common[near])
+                best = near[np.lexsort((-share, inverse[near]))]
+                best = best[np.unique(inverse[best], return_index=True)[1]]
+                unsure = near[np.abs(100 * common[near] - percent * (number[near] + number[i] - common[near])) <= 400]
+                found += [(ids[i], ids[j]) for j in {*best.tolist(), *unsure.tolist()}]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.select("bucket", "low", "high", "id", "root", "size", "signature").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.select("bucket", "low", "high", "id", "root", "half").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _halves(sets: DataFrame) -> DataFrame:
+    """(id, half): the upper 32 bits of each set's hashes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            halves = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b["members"]]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(halves, pa.binary())], ["id", "half"])
+
+    return sets.select("id", "members").mapInArrow(cut, "id long, half binary")
 
 
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch) -> DataFrame:
@@ -118,24 +154,12 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     links = scratch.save(_confirmed(first, sets, percent), "links")
     roots = connected_components(links, scratch)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
     rooted = placed.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rooted = scratch.save(rooted.join(open_buckets, "bucket").join(degree, "id", "left"), "open")
+    undecided = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    rooted = scratch.save(rooted.join(undecided, "bucket"), "undecided")
     if rooted.isEmpty():
         return roots
-    centre = rooted.groupBy("bucket").agg(F.max_by(F.struct("id", "root"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("id"))).alias("c"))
-    second = rooted.join(centre, "bucket").where("root <> c.root").select("id", F.col("c.id").alias("hub"))
-    second = pairs(second).join(first, ["a", "b"], "left_anti")
-    more = scratch.save(_confirmed(_plausible(second, items, possible, kind), sets, percent), "links")
-    tried = first.unionByName(scratch.save(second, "tried"))
-    links = links.unionByName(more)
-    roots = connected_components(links, scratch)
-
-    rooted = rooted.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    members = rooted.join(open_buckets, "bucket").join(items.select("id", "size", "signature"), "id")
-    third = _rest(members, possible, kind).join(tried, ["a", "b"], "left_anti")
+    third = _rest(rooted.join(_halves(sets), "id"), percent).join(first, ["a", "b"], "left_anti")
     more = scratch.save(_confirmed(third, sets, percent), "links")
     if more.isEmpty():
         return roots
