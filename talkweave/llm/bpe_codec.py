@@ -118,21 +118,6 @@ def encode_rows(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np
     return ids[place], np.diff(ends)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut and joined to blocks of about BLOCK_BYTES of text."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        for part, data, _ in T.pieces(batch, column):
-            held.append(part)
-            size += len(data)
-            if size >= BLOCK_BYTES:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def _shared(frame: DataFrame, content: bytes):
     return frame.sparkSession.sparkContext.broadcast(content)
 
@@ -143,7 +128,7 @@ def encode(frame: DataFrame, content: bytes, column: str = "text", ids: str = "i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = parse(shared.value)
-        for block in blocks(batches, column):
+        for block in T.blocks(batches, column, BLOCK_BYTES):
             tokens, number = encode_rows(T.strings(block[column]), vocabulary)
             ends = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*block.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.astype(np.int32)))], [*block.schema.names, ids])
@@ -179,7 +164,7 @@ def round_trip(docs: DataFrame, content: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = parse(shared.value)
         names = [str(i) for i in range(len(vocabulary.token_bytes))]
-        for block in blocks(batches, "text"):
+        for block in T.blocks(batches, "text", BLOCK_BYTES):
             tokens, number = encode_rows(T.strings(block["text"]), vocabulary)
             at = np.concatenate([[0], np.cumsum(number)])
             hashes, texts, digests = [], [], []

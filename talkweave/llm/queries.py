@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import bpe_codec, decontaminate, embedding_links, minhash_dedup, oracles, quality, token_counts, toxicity
+from talkweave.llm import bpe_codec, decontaminate, embedding_links, minhash_dedup, oracles, ppm_scores, quality, token_counts, toxicity
 
 #: The vocabulary of operators 7 and 9.
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op4_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_links.near_links(_table(spark, folder, "embeddings"))
 
 
+def op5_ppm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return ppm_scores.scores(_table(spark, folder, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, _table(spark, folder, "labels")))
@@ -56,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op4_embedding_links": op4_embedding_links,
+    "op5_ppm_scores": op5_ppm_scores,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_quality": op8_quality,

@@ -96,6 +96,21 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         begin = end
 
 
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut and joined to blocks of about ``most`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        for part, data, _ in pieces(batch, column):
+            held.append(part)
+            size += len(data)
+            if size >= most:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of non-separators inside rows: starts, ends, and the number of each row's words."""
     if not len(data):
