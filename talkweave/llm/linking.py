@@ -6,10 +6,9 @@ pairs that share a bucket, without writing all pairs of a bucket:
 1. star round: in every bucket one member, drawn by hash, is compared with the
    others, by sizes and signatures first and then on the full sets;
 2. rest round: in buckets that then still hold several components, the common
-   members of all pairs of *different* components are counted inside tasks, by an
-   inverted index over a block of bounded size; of the links that a member has
-   with another component the strongest leaves the task and is confirmed on the
-   full sets.
+   set members of all pairs of *different* components are counted inside tasks, by
+   an inverted index over a block of bounded size; components that a link joins
+   are one from there on, so a task returns a spanning forest at most.
 
 Members of one component need no further comparison, so no component is lost by
 leaving the inner pairs out, and what is written stays in proportion to members.
@@ -91,9 +90,9 @@ def _common(values: np.ndarray, number: np.ndarray, rows: np.ndarray) -> Iterato
 
 
 def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within buckets, at least one of each member with each component it is linked with.
+    """Links between different components within buckets, enough of them to join all components that are linked there.
 
-    members: bucket, id, root, members (sorted 64-bit hashes, of which the upper halves are compared here).
+    members: bucket, id, root, members (sorted 64-bit hashes).
     A bucket of n members is cut into ceil(n / BLOCK) parts by hash; each pair of
     parts is one group, so a group has at most about two blocks of rows.
     """
@@ -104,36 +103,22 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("id")
-        ids, (roots, inverse) = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)
-        if len(roots) < 2:
-            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in group["half"]]
-        number = np.array([len(x) for x in sets])
+        ids, label = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)[1]
         found: list[tuple[int, int]] = []
-        for i, common in _common(np.concatenate(sets), number, np.flatnonzero(inverse != np.bincount(inverse).argmax())):
-            # halves of different hashes may be equal, within a set or between two: two in common more or less
-            near = np.flatnonzero((100 * (common + 2) >= percent * (number + number[i] - common - 2)) & (inverse != inverse[i]))
-            if len(near):
-                share = common[near] / (number[near] + number[i] - common[near])
-                best = near[np.lexsort((-share, inverse[near]))]
-                best = best[np.unique(inverse[best], return_index=True)[1]]
-                unsure = near[np.abs(100 * common[near] - percent * (number[near] + number[i] - common[near])) <= 400]
-                found += [(ids[i], ids[j]) for j in {*best.tolist(), *unsure.tolist()}]
+        if label.max(initial=0):
+            sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
+            number = np.array([len(x) for x in sets])
+            asked = np.flatnonzero(label != np.bincount(label).argmax())
+            for i, common in _common(np.concatenate(sets), number, asked):
+                near = np.flatnonzero((100 * common >= percent * (number + number[i] - common)) & (label != label[i]))
+                while len(near):
+                    found.append((ids[i], ids[near[0]]))
+                    label[label == label[near[0]]] = label[i]
+                    near = near[label[near] != label[i]]
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.select("bucket", "low", "high", "id", "root", "half").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
-
-
-def _halves(sets: DataFrame) -> DataFrame:
-    """(id, half): the upper 32 bits of each set's hashes."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            halves = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b["members"]]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(halves, pa.binary())], ["id", "half"])
-
-    return sets.select("id", "members").mapInArrow(cut, "id long, half binary")
+    return dealt.select("bucket", "low", "high", "id", "root", "members").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch) -> DataFrame:
@@ -159,8 +144,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     rooted = scratch.save(rooted.join(undecided, "bucket"), "undecided")
     if rooted.isEmpty():
         return roots
-    third = _rest(rooted.join(_halves(sets), "id"), percent).join(first, ["a", "b"], "left_anti")
-    more = scratch.save(_confirmed(third, sets, percent), "links")
+    more = scratch.save(_rest(rooted.join(sets, "id"), percent), "links")
     if more.isEmpty():
         return roots
     return connected_components(links.unionByName(more), scratch)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from talkweave.llm import bpe_codec, decontaminate, embedding_links, minhash_dedup, oracles, ppm_scores, quality, token_counts, toxicity
+from talkweave.llm import bpe_codec, decontaminate, embedding_links, line_dedup, minhash_dedup, oracles, ppm_scores, quality, token_counts, toxicity
 
 #: The vocabulary of operators 7 and 9.
 VOCABULARY = "byte_bpe_50k.json"
@@ -27,6 +28,12 @@ def _vocabulary() -> bytes:
         return file.read()
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.keep_lines(_table(spark, folder, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), digest.alias("text_sha256"))
+
+
 def op4_embedding_links(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_links.near_links(_table(spark, folder, "embeddings"))
 
@@ -59,6 +66,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_embedding_links": op4_embedding_links,
     "op5_ppm_scores": op5_ppm_scores,
     "op6_toxicity": op6_toxicity,

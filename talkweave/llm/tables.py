@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,8 @@ class Scratch:
         path = f"{self.folder}/{self.count:03d}-{name}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
+
+
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame, marked for broadcast if it has at most ``rows`` rows; beyond, joins shuffle it."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame

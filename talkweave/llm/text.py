@@ -139,14 +139,25 @@ def shingles(word_hash: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndar
     return spans.hash(begin, begin + np.minimum(k, counts[row])), number
 
 
+#: Bits of a hash that ``distinct`` keeps; the other bits number the rows sorted together.
+HASH_BITS = 52
+
+
 def distinct(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's hashes sorted and without repeats, and their new number by row."""
-    row = np.repeat(np.arange(len(number)), number)
-    order = np.lexsort((hashes, row))
-    h, row = hashes[order], row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return h[new], np.bincount(row[new], minlength=len(number))
+    """Each row's hashes, cut to their upper HASH_BITS bits, sorted and without repeats, and their new number by row."""
+    low, rows = np.uint64(64 - HASH_BITS), 1 << (64 - HASH_BITS)
+    at = np.concatenate([[0], np.cumsum(number)])
+    found, counts = [np.zeros(0, np.uint64)], []
+    for k in range(0, len(number), rows):
+        part = number[k : k + rows]
+        key = np.repeat(np.arange(len(part), dtype=np.uint64) << np.uint64(HASH_BITS), part) | (hashes[at[k] : at[k + len(part)]] >> low)
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        found.append(key << low)
+        counts.append(np.bincount((key >> np.uint64(HASH_BITS)).astype(np.int64), minlength=len(part)))
+    return np.concatenate(found), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
 def binaries(values: np.ndarray, number: np.ndarray) -> pa.Array:

@@ -80,8 +80,10 @@ def term_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     spans = T.Spans(data)
     # a word and its stems, told apart by the span's length in the hash
     each = [(start, end)] + [(start, np.minimum(start + k, end)) for k in STEMS]
-    hashes = np.stack([spans.hash(*x) for x in each], 1) >> np.uint64(64 - BITS)
-    return T.distinct(hashes.ravel(), counts * len(each))
+    unused = np.uint64(64 - BITS)
+    hashes = np.stack([spans.hash(*x) for x in each], 1) >> unused << unused
+    terms, number = T.distinct(hashes.ravel(), counts * len(each))
+    return terms >> unused, number
 
 
 def fit(terms: np.ndarray, number: np.ndarray, labels: np.ndarray) -> Model:
