@@ -1,7 +1,8 @@
 """A corpus cleaning pipeline over ``documents``, in five stages.
 
 Each stage works on all rows that the one before kept; its result is written as
-Parquet and read back as the next one's input.
+Parquet and read back as the next one's input.  All stages but the last return the
+columns of ``documents``; the last adds what encoding found.
 """
 
 from __future__ import annotations
@@ -9,10 +10,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from talkweave.llm import bpe_codec, decontaminate, line_dedup, minhash_dedup, toxicity
+from talkweave.llm.queries import vocabulary
 from talkweave.llm.tables import Scratch
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't reject; it learns from the labels of those given."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, nearly or exactly; documents left without a line go."""
+    kept = line_dedup.keep_lines(docs, drop_emptied=True)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with a similarity of 0.8 or more over five-word shingles."""
+    return minhash_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no ten words in a row with a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids and number, and whether decoding gives the text back."""
+    content = vocabulary()
+    decoded = bpe_codec.decode(bpe_codec.encode(docs, content), content)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": same}).drop("decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("bpe_codec", encode),
+]
 
 #: SQL can't express a learned filter; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None

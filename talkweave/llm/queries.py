@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import bpe_codec, decontaminate, embedding_links, line_dedup, minhash_dedup, oracles, ppm_scores, quality, token_counts, toxicity
+from talkweave.llm import bpe_codec, decontaminate, embedding_links, line_dedup, main_text, minhash_dedup, oracles, ppm_scores, quality, token_counts, toxicity
 
 #: The vocabulary of operators 7 and 9.
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,13 +21,18 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
-def _vocabulary() -> bytes:
+def vocabulary() -> bytes:
+    """The bytes of the vocabulary file, read on the driver."""
     import public_tokenizers
 
     with open(public_tokenizers.path(VOCABULARY), "rb") as file:
         return file.read()
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_texts(_table(spark, folder, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.keep_lines(_table(spark, folder, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -48,7 +53,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe_codec.round_trip(_table(spark, folder, "documents"), _vocabulary()).drop("decoded")
+    return bpe_codec.round_trip(_table(spark, folder, "documents"), vocabulary()).drop("decoded")
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +62,7 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, folder, "documents"), _vocabulary())
+    return token_counts.token_counts(_table(spark, folder, "documents"), vocabulary())
 
 
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,6 +71,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_main_text": op2_main_text,
     "op3_line_dedup": op3_line_dedup,
     "op4_embedding_links": op4_embedding_links,
     "op5_ppm_scores": op5_ppm_scores,
