@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from talkweave.llm import text as T
 from talkweave.llm.pretokens import pretokens
@@ -134,7 +135,7 @@ def encode(frame: DataFrame, content: bytes, column: str = "text", ids: str = "i
             yield pa.RecordBatch.from_arrays([*block.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.astype(np.int32)))], [*block.schema.names, ids])
 
     kept = frame.drop(ids)
-    return kept.mapInArrow(run, kept.schema.add(ids, "array<int>"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -153,7 +154,7 @@ def decode(frame: DataFrame, content: bytes, ids: str = "ids", column: str = "de
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column])
 
     kept = frame.drop(column)
-    return kept.mapInArrow(run, kept.schema.add(column, "string"))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(column, StringType())]))
 
 
 def round_trip(docs: DataFrame, content: bytes) -> DataFrame:
