@@ -66,14 +66,24 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the character shingles of each span (with repeats) and their number."""
+    """Hashes of the character shingles of each span (with repeats) and their number; spans ascend and don't overlap.
+
+    Windows over the whole piece are hashed in one go, and those inside spans are picked.
+    """
+    spans = T.Spans(data)
     begins = np.flatnonzero((data & 0xC0) != 0x80)
     first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
-    number = np.maximum(last - first - CHARS + 1, 1)
-    place = np.repeat(first - (np.cumsum(number) - number), number) + np.arange(number.sum())
-    ends = np.append(begins, [len(data)] * (CHARS + 1))
-    stop = np.minimum(ends[place + CHARS], np.repeat(end, number))
-    return T.Spans(data).hash(begins[place] if len(place) else place, stop), number
+    whole = last - first >= CHARS
+    number = np.where(whole, last - first - CHARS + 1, 1)
+    ends = np.append(begins, len(data))
+    inside = np.zeros(len(begins) + 1, np.int8)
+    inside[first] = 1
+    inside[np.where(whole, last - CHARS + 1, first + 1)] -= 1
+    picked = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    stop = ends[np.minimum(picked + CHARS, len(begins))]
+    short = np.flatnonzero(~whole)
+    stop[(np.cumsum(number) - number)[short]] = end[short]
+    return spans.hash(ends[picked], stop), number
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +133,7 @@ def _signed(docs: DataFrame) -> DataFrame:
             for part, data, at in T.pieces(batch, "text"):
                 start, end, row, number = lines(data, at)
                 h1, h2 = (T.Spans(data, base).hash(start, end) for base in T.BASES)
-                firsts = np.unique(h1, return_index=True)[1]
+                firsts = np.sort(np.unique(h1, return_index=True)[1])
                 hashes, count = T.distinct(*shingle_sets(data, start[firsts], end[firsts]))
                 small, large = count < LARGE, count >= SMALL
                 each = np.repeat(np.arange(len(count)), count)
@@ -166,6 +176,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 flat = lists.flatten()
                 line, ids = flat.field("line").to_numpy(), flat.field("id").to_numpy()
                 pick = np.searchsorted(row * (1 << 32) + number, owner * (1 << 32) + line)
+                order = np.argsort(pick, kind="stable")
+                pick, ids = pick[order], ids[order]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), T.binaries(*T.distinct(*shingle_sets(data, start[pick], end[pick])))], ["id", "members"])
 
     return held.mapInArrow(cut, "id long, members binary").groupBy("id").agg(F.first("members").alias("members"))

@@ -3,7 +3,7 @@
 ``link`` finds the components of "similarity at least the threshold" among the
 pairs that share a bucket, without writing all pairs of a bucket:
 
-1. star round: in every bucket one member, drawn by hash, is compared with the
+1. star round: in every bucket the member with the smallest id is compared with the
    others, by sizes and signatures first and then on the full sets;
 2. rest round: in buckets that then still hold several components, the common
    set members of all pairs of *different* components are counted inside tasks, by
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.llm.components import connected_components
-from talkweave.llm.tables import Scratch
+from talkweave.llm.tables import Scratch, small
 
 #: Members of a bucket per block in the rest round.
 BLOCK = 1024
+#: Shared buckets up to which they are broadcast to a second pass over all items' buckets (48 MB); beyond, both are shuffled.
+FEW = 2_000_000
 
 #: May the pair reach the threshold?  Gets sizes and signatures (rows of a matrix) of both sides.
 Possible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -128,8 +130,8 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     sets_of: from a frame of ids to (id, members binary), the sorted 64-bit hashes.
     """
     placed = items.select("id", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("bucket", "id")).alias("hub")).where("n > 1")
-    placed = scratch.save(placed.join(shared, "bucket").select("bucket", "id", "hub"), "buckets")
+    shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("bucket", "hub"), "shared")
+    placed = scratch.save(placed.join(small(shared, FEW), "bucket").select("bucket", "id", "hub"), "buckets")
 
     def pairs(frame: DataFrame) -> DataFrame:
         return frame.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

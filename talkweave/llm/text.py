@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 #: Word separators U+0020 and U+0009-U+000D.
 IS_SPACE = np.zeros(256, bool)
