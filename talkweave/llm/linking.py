@@ -5,7 +5,7 @@ pairs that share a bucket, without writing all pairs of a bucket:
 
 1. star round: in every bucket the member with the smallest id is compared with the
    others, by sizes and signatures first and then on the full sets;
-2. rest round: in buckets that then still hold several components, the common
+2. rest round: in buckets whose other members are still in several components, the common
    set members of all pairs of *different* components are counted inside tasks, by
    an inverted index over a block of bounded size; components that a link joins
    are one from there on, so a task returns a spanning forest at most.
@@ -141,8 +141,10 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     links = scratch.save(_confirmed(first, sets, percent), "links")
     roots = connected_components(links, scratch)
 
-    rooted = placed.select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    undecided = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    # the star round has decided all pairs with the hub; equal sets of other members are looked at once
+    rooted = placed.where("id <> hub").select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    undecided = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("digest"))
+    undecided = undecided.where("low < high").groupBy("n", "first", "last", "digest").agg(F.min("bucket").alias("bucket")).select("bucket")
     rooted = scratch.save(rooted.join(undecided, "bucket"), "undecided")
     if rooted.isEmpty():
         return roots
