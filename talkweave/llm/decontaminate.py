@@ -65,7 +65,8 @@ def kept_hashes(frame: DataFrame, short: list[int], k: int = K, window: int = WI
     span = window - k + 1
     frame = frame.withColumn("grams", _each(F.when(F.col("n_words") >= window, F.col("n_words") - k + 1).otherwise(0), lambda i: _gram(F.col("w"), i, k)))
     least = _each(F.size("grams") - span + 1, lambda i: F.least(*[F.col("grams")[i + j] for j in range(span)]))
-    grams = [_each(F.col("n_words") - n + 1, lambda i, n=n: _gram(F.col("w"), i, n, n)) for n in short]
+    of = lambda n: _each(F.col("n_words") - n + 1, lambda i: _gram(F.col("w"), i, n, n))
+    grams = [of(n) for n in short]
     return frame.withColumn("kept", F.array_distinct(F.concat(least, *grams) if grams else least))
 
 
