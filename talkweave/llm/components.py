@@ -39,5 +39,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if now == state or not now[0]:
             break
         state = now
+        before = scratch.paths[-1]
         stars = scratch.save(_star(stars), "stars")
+        scratch.drop([before])
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -103,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     if not hashes:
         judged = cut(docs, "doc_id").select("doc_id", "text_hash", "n_words")
         hits = judged.where("false").select("doc_id", "text_hash").withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")})
-        return _report(judged, hits)
+        return scratch.finish(_report(judged, hits))
 
     hashed = kept_hashes(cut(docs, "doc_id"), short, k, window)
     if hashes <= BROADCAST_ROWS:
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     named = hit.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
     hits = n_hit.join(named.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), same).select("doc_id", "text_hash", "n_hit", "items")
-    return _report(judged, hits)
+    return scratch.finish(_report(judged, hits))
 
 
 def _report(judged: DataFrame, hits: DataFrame) -> DataFrame:

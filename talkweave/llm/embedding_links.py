@@ -208,4 +208,4 @@ def near_links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     judged = named.join(links.withColumnRenamed("node", "id"), "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     judged = judged.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
     out = rows.join(judged, "embedding", "left").withColumn("component_id", F.coalesce("root", "vec_id"))
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return scratch.finish(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")))

@@ -17,7 +17,7 @@ them on request).  Rows that repeat both doc_id and text are one document and ke
 the same lines.  Null doc_ids come first in order.  Extra columns are carried by
 ``keep_lines``.  Items are told apart by 128 bits and named by the first 64.
 
-Scale.  One pass gives about 150 bytes a line; a very common line is one item, summed
+Scale.  One pass gives about 100 bytes a line; a very common line is one item, summed
 before the shuffle.  Only lines that share a band are read again.
 """
 
@@ -65,12 +65,12 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return word_start[first], word_end[last], row[first], number[first]
 
 
-def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: T.Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the character shingles of each span (with repeats) and their number; spans ascend and don't overlap.
 
     Windows over the whole piece are hashed in one go, and those inside spans are picked.
     """
-    spans = T.Spans(data)
+    spans = spans or T.Spans(data)
     begins = np.flatnonzero((data & 0xC0) != 0x80)
     first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
     whole = last - first >= CHARS
@@ -92,7 +92,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """REGISTERS independent minima of each row of hashes, upper 16 bits mixed down."""
+    """REGISTERS independent minima of each row of hashes, mixed down to 8 bits."""
     out = np.empty((REGISTERS, len(number)), np.uint32)
     starts = np.cumsum(number) - number
     high, room = (hashes >> np.uint64(32)).astype(np.uint32), np.empty(len(hashes), np.uint32)
@@ -100,7 +100,7 @@ def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
         np.bitwise_xor(high, s, out=room)
         np.multiply(room, m, out=room)
         np.minimum.reduceat(room, starts, out=out[i])
-    return (T.mix(out.T.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    return (T.mix(out.T.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
 def one_permutation(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ def one_permutation(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
         ok = full[row, other]
         out[row[ok], column[ok]] = low[row[ok], other[ok]]
         row, column = row[~ok], column[~ok]
-    return (T.mix(out.astype(np.uint64) + (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(40))) >> np.uint64(48)).astype(np.uint16)
+    return (T.mix(out.astype(np.uint64) + (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(40))) >> np.uint64(56)).astype(np.uint8)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -132,12 +132,13 @@ def _signed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, data, at in T.pieces(batch, "text"):
                 start, end, row, number = lines(data, at)
-                h1, h2 = (T.Spans(data, base).hash(start, end) for base in T.BASES)
+                spans = T.Spans(data)
+                h1, h2 = spans.hash(start, end), T.Spans(data, T.BASES[1]).hash(start, end)
                 firsts = np.sort(np.unique(h1, return_index=True)[1])
-                hashes, count = T.distinct(*shingle_sets(data, start[firsts], end[firsts]))
+                hashes, count = T.distinct(*shingle_sets(data, start[firsts], end[firsts], spans))
                 small, large = count < LARGE, count >= SMALL
                 each = np.repeat(np.arange(len(count)), count)
-                classic, single = np.zeros((len(count), REGISTERS), np.uint16), np.zeros((len(count), REGISTERS), np.uint16)
+                classic, single = np.zeros((len(count), REGISTERS), np.uint8), np.zeros((len(count), REGISTERS), np.uint8)
                 if small.any():
                     classic[small] = minima(hashes[small[each]], count[small])
                 if large.any():
@@ -180,7 +181,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 pick, ids = pick[order], ids[order]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), T.binaries(*T.distinct(*shingle_sets(data, start[pick], end[pick])))], ["id", "members"])
 
-    return held.mapInArrow(cut, "id long, members binary").groupBy("id").agg(F.first("members").alias("members"))
+    return held.mapInArrow(cut, "id long, members binary")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -192,8 +193,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     signed = scratch.save(_signed(docs), "lines")
     classes = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.max("size").alias("size"), F.first("signature", True).alias("signature"), F.first("large", True).alias("large"))
     classes = scratch.save(classes, "classes")
-    width = 2 * ROWS
-    bands = lambda column, salt: F.array(*[F.xxhash64(F.lit(salt + i), F.substring(column, i * width + 1, width)) for i in range(BANDS)])
+    bands = lambda column, salt: F.array(*[F.xxhash64(F.lit(salt + i), F.substring(column, i * ROWS + 1, ROWS)) for i in range(BANDS)])
     kind = F.when(F.col("size") < LARGE, bands("signature", 0)).otherwise(bands("signature", 1000))
     kind = F.when(F.col("large").isNotNull(), F.concat(kind, bands("large", 1000))).otherwise(kind)
     items = classes.select(F.col("h1").alias("id"), "size", "signature", kind.alias("buckets"))
@@ -201,13 +201,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets(docs, classes.select(F.col("h1").alias("id"), "first.*").join(ids, "id"))
 
-    roots = link(items, sets_of, _possible, np.dtype(np.uint16), PERCENT, scratch)
+    roots = link(items, sets_of, _possible, np.dtype(np.uint8), PERCENT, scratch)
     rooted = classes.select("h1", "h2", "first").join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     linked = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("keeper"))
     keepers = rooted.join(linked, "root", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
     judged = signed.select("doc_id", "text_hash", "line", "h1", "h2").join(keepers, ["h1", "h2"])
     goes = ~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("keeper"))
-    return judged.groupBy("doc_id", "text_hash").agg(F.size(F.collect_set("line")).alias("n_lines"), F.array_sort(F.collect_set(F.when(goes, F.col("line")))).alias("removed"))
+    return scratch.finish(judged.groupBy("doc_id", "text_hash").agg(F.size(F.collect_set("line")).alias("n_lines"), F.array_sort(F.collect_set(F.when(goes, F.col("line")))).alias("removed")))
 
 
 def _rewritten(docs: DataFrame, removed: DataFrame) -> DataFrame:

@@ -127,17 +127,19 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     """(node, root) for every item that is linked with another, root being the smallest id.
 
     items: id long (unique), size long, signature binary, buckets array<long>.
-    sets_of: from a frame of ids to (id, members binary), the sorted 64-bit hashes.
+    sets_of: from a frame of ids to (id, members binary), the sorted 64-bit hashes; repeated rows do no harm.
     """
     placed = items.select("id", F.explode("buckets").alias("bucket"))
-    shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1").select("bucket", "hub"), "shared")
-    placed = scratch.save(placed.join(small(shared, FEW), "bucket").select("bucket", "id", "hub"), "buckets")
+    shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared")
+    placed = scratch.save(placed.join(small(shared, FEW), "bucket").select("bucket", "id", "hub", "n"), "buckets")
 
     def pairs(frame: DataFrame) -> DataFrame:
         return frame.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
     first = scratch.save(_plausible(pairs(placed), items, possible, kind), "star")
-    sets = scratch.save(sets_of(placed.select("id").distinct()), "sets")
+    # in a bucket of two the star round decides, so an implausible pair needs no sets
+    needed = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(placed.where("n > 2").select("id")).distinct()
+    sets = scratch.save(sets_of(needed), "sets")
     links = scratch.save(_confirmed(first, sets, percent), "links")
     roots = connected_components(links, scratch)
 

@@ -205,4 +205,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
     judged = judged.withColumn("repeated", F.coalesce("repeated", F.array().cast("array<bigint>")))
     rest = F.when(F.size("repeated") == 0, F.col("undecided")).otherwise(F.filter("undecided", lambda _, i: unique(i)))
     judged = judged.withColumn("text", F.array_join(F.concat("kept", rest), "\n"))
-    return judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return scratch.finish(judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))

@@ -162,12 +162,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         rows = docs.withColumnRenamed("doc_id", "id").join(small(ids, FEW), "id", "left_semi")
-        return sets(rows, words).groupBy("id").agg(F.first("members").alias("members"))
+        return sets(rows, words)
 
     roots = link(items, sets_of, possible(percent), np.dtype(np.uint16), percent, scratch)
     named = classes.select(*key, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("root", "id").alias("root"))
     out = sketched.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return scratch.finish(out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:

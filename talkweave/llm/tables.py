@@ -29,14 +29,31 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.paths: list[str] = []
         self.count = 0
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
+        """The frame, written and read back."""
         self.count += 1
         path = f"{self.folder}/{self.count:03d}-{name}"
         frame.write.parquet(path)
+        self.paths.append(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def drop(self, paths: list[str]) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths.remove(path)
+
+    def finish(self, frame: DataFrame) -> DataFrame:
+        """The frame as the last table of the call; all others are deleted, as it no longer depends on them."""
+        before = list(self.paths)
+        result = self.save(frame, "result")
+        self.drop(before)
+        return result
+
 
 def small(frame: DataFrame, rows: int) -> DataFrame:
     """The frame, marked for broadcast if it has at most ``rows`` rows; beyond, joins shuffle it."""
