@@ -164,7 +164,7 @@ def _possible(size_a: np.ndarray, size_b: np.ndarray, sig_a: np.ndarray, sig_b:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, members) of the wanted lines; wanted: id and the place of one copy of it."""
+    """(id, members) of the wanted lines, members being their text; wanted: id and the place of one copy of it."""
     places = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
     held = docs.join(small(places, FEW), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("text", "wanted")
 
@@ -177,13 +177,23 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 flat = lists.flatten()
                 line, ids = flat.field("line").to_numpy(), flat.field("id").to_numpy()
                 pick = np.searchsorted(row * (1 << 32) + number, owner * (1 << 32) + line)
-                order = np.argsort(pick, kind="stable")
-                pick, ids = pick[order], ids[order]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), T.binaries(*T.distinct(*shingle_sets(data, start[pick], end[pick])))], ["id", "members"])
+                found = [data[a:b].tobytes() for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found, pa.binary())], ["id", "members"])
 
     return held.mapInArrow(cut, "id long, members binary")
 
 
+def _unpack(found: list[bytes]) -> list[np.ndarray]:
+    """The shingle sets of lines."""
+    out: list[np.ndarray] = []
+    for k in range(0, len(found), 1024):
+        part = found[k : k + 1024]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        hashes, number = T.distinct(*shingle_sets(np.frombuffer(b"".join(part), np.uint8), at[:-1], at[1:]))
+        out += np.split(hashes, np.cumsum(number)[:-1])
+    return out
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_lines, removed): each document's number of non-blank lines and the numbers of those that go.
 
@@ -201,7 +211,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     def sets_of(ids: DataFrame) -> DataFrame:
         return _sets(docs, classes.select(F.col("h1").alias("id"), "first.*").join(ids, "id"))
 
-    roots = link(items, sets_of, _possible, np.dtype(np.uint8), PERCENT, scratch)
+    roots = link(items, sets_of, _possible, np.dtype(np.uint8), PERCENT, scratch, _unpack)
     rooted = classes.select("h1", "h2", "first").join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     linked = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("keeper"))
     keepers = rooted.join(linked, "root", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))

@@ -36,6 +36,15 @@ FEW = 2_000_000
 Possible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+#: Sorted distinct 64-bit hashes of each of a list of stored items.
+Unpack = Callable[[list[bytes]], list[np.ndarray]]
+
+
+def raw_hashes(items: list[bytes]) -> list[np.ndarray]:
+    """Items stored as the bytes of their sorted hashes."""
+    return [np.frombuffer(x, np.uint64) for x in items]
+
+
 def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -55,16 +64,15 @@ def _plausible(pairs: DataFrame, items: DataFrame, possible: Possible, kind: np.
     return pairs.select("a", "b", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets (sorted 64-bit hashes) have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("members").alias(f"set_{side}")), side)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b["set_a"], b["set_b"], strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for i, (x, y) in enumerate(zip(unpack(b["set_a"].to_pylist()), unpack(b["set_b"].to_pylist()), strict=True)):
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(ok))
@@ -91,10 +99,10 @@ def _common(values: np.ndarray, number: np.ndarray, rows: np.ndarray) -> Iterato
         yield i, np.bincount(owners[place], minlength=len(number))
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
     """Links between different components within buckets, enough of them to join all components that are linked there.
 
-    members: bucket, id, root, members (sorted 64-bit hashes).
+    members: bucket, id, root, members.
     A bucket of n members is cut into ceil(n / BLOCK) parts by hash; each pair of
     parts is one group, so a group has at most about two blocks of rows.
     """
@@ -108,7 +116,7 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
         ids, label = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)[1]
         found: list[tuple[int, int]] = []
         if label.max(initial=0):
-            sets = [np.frombuffer(x, np.uint64) for x in group["members"]]
+            sets = unpack(group["members"].tolist())
             number = np.array([len(x) for x in sets])
             asked = np.flatnonzero(label != np.bincount(label).argmax())
             for i, common in _common(np.concatenate(sets), number, asked):
@@ -123,11 +131,11 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
     return dealt.select("bucket", "low", "high", "id", "root", "members").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
-def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch) -> DataFrame:
+def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch, unpack: Unpack = raw_hashes) -> DataFrame:
     """(node, root) for every item that is linked with another, root being the smallest id.
 
     items: id long (unique), size long, signature binary, buckets array<long>.
-    sets_of: from a frame of ids to (id, members binary), the sorted 64-bit hashes; repeated rows do no harm.
+    sets_of: from a frame of ids to (id, members binary), which ``unpack`` turns to sets; repeated rows do no harm.
     """
     placed = items.select("id", F.explode("buckets").alias("bucket"))
     shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared")
@@ -140,7 +148,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     # in a bucket of two the star round decides, so an implausible pair needs no sets
     needed = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(placed.where("n > 2").select("id")).distinct()
     sets = scratch.save(sets_of(needed), "sets")
-    links = scratch.save(_confirmed(first, sets, percent), "links")
+    links = scratch.save(_confirmed(first, sets, percent, unpack), "links")
     roots = connected_components(links, scratch)
 
     # the star round has decided all pairs with the hub; equal sets of other members are looked at once
@@ -150,7 +158,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     rooted = scratch.save(rooted.join(undecided, "bucket"), "undecided")
     if rooted.isEmpty():
         return roots
-    more = scratch.save(_rest(rooted.join(sets, "id"), percent), "links")
+    more = scratch.save(_rest(rooted.join(sets, "id"), percent, unpack), "links")
     if more.isEmpty():
         return roots
     return connected_components(links.unionByName(more), scratch)
