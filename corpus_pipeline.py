@@ -40,10 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids and number, and whether decoding gives the text back."""
-    content = vocabulary()
-    decoded = bpe_codec.decode(bpe_codec.encode(docs, content), content)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": same}).drop("decoded")
+    return bpe_codec.encode(docs, vocabulary(), verified="round_trip").withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

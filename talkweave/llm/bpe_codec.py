@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from talkweave.llm import text as T
 from talkweave.llm.pretokens import pretokens
 from talkweave.llm.vocabulary import Vocabulary, parse
 
 #: Text of one block, whose distinct pieces share one index.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -123,8 +124,11 @@ def _shared(frame: DataFrame, content: bytes):
     return frame.sparkSession.sparkContext.broadcast(content)
 
 
-def encode(frame: DataFrame, content: bytes, column: str = "text", ids: str = "ids") -> DataFrame:
-    """The frame with a column of token ids (array<int>) of its text column; content: the vocabulary file's bytes."""
+def encode(frame: DataFrame, content: bytes, column: str = "text", ids: str = "ids", verified: str | None = None) -> DataFrame:
+    """The frame with a column of token ids (array<int>) of its text column; content: the vocabulary file's bytes.
+
+    verified: a further column that says whether decoding the ids gives the text back (null: the empty text).
+    """
     shared = _shared(frame, content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +136,14 @@ def encode(frame: DataFrame, content: bytes, column: str = "text", ids: str = "i
         for block in T.blocks(batches, column, BLOCK_BYTES):
             tokens, number = encode_rows(T.strings(block[column]), vocabulary)
             ends = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.astype(np.int32)))], [*block.schema.names, ids])
+            columns = dict(zip(block.schema.names, block.columns, strict=True)) | {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.astype(np.int32)))}
+            if verified:
+                texts = T.strings(block[column])
+                columns[verified] = pa.array([decode_ids(tokens[ends[k] : ends[k + 1]], vocabulary) == texts[k].as_buffer().to_pybytes() for k in range(len(texts))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    kept = frame.drop(ids)
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
+    kept = frame.drop(ids, *filter(None, [verified]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(ids, ArrayType(IntegerType())), *[StructField(v, BooleanType()) for v in filter(None, [verified])]]))
 
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -150,7 +158,9 @@ def decode(frame: DataFrame, content: bytes, ids: str = "ids", column: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = parse(shared.value)
         for batch in batches:
-            texts = [decode_ids(np.array(x or [], np.int64), vocabulary).decode("utf-8", "replace") for x in batch[ids].to_pylist()]
+            given = batch[ids].fill_null([]) if batch[ids].null_count else batch[ids]
+            flat, ends = given.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(given).to_numpy(zero_copy_only=False))])
+            texts = [decode_ids(flat[ends[k] : ends[k + 1]], vocabulary).decode("utf-8", "replace") for k in range(len(given))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, column])
 
     kept = frame.drop(column)
