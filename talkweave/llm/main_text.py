@@ -7,22 +7,28 @@ comments, scripts and styles, by element, role, class or id, go.  The other bloc
 are judged by repetition within their host: the token streams of all pages of a host
 are taken as one text, whose suffixes are dealt into buckets by their first RUN
 tokens.  These buckets are the intervals of the host's suffix array with common
-prefixes of at least RUN tokens, so a bucket with suffixes of two distinct pages or
-more is a repeated substring, and longer ones are chains of such buckets.  A block
-whose tokens are covered by repeated substrings for at least COVERED of its length
-is boilerplate; unique runs stay.  Pages that have an article keep nothing outside it.
+prefixes of at least RUN tokens, and longer repeated substrings are chains of such
+buckets.  What counts is distinct contents: pages of a host whose open blocks are
+equal are one.  A bucket is a template's if it has suffixes of LEAST distinct contents
+and of a share SHARE of all that the host has.  A block whose tokens are covered by
+such buckets for at least COVERED of its length is boilerplate; other blocks stay.
+Where this would leave nothing of a page, the page is a copy, nearly or exactly, of
+others, and its blocks stay.  Pages that have an article keep nothing outside it.
+
+So copies of a text never remove it, and hosts of fewer than LEAST distinct contents
+lose nothing, as a footer can't be told there from a passage that was copied.
 
 Suffixes inside articles are not judged, because copies of an article on other pages
 are repeated substrings too and must stay.
 
-Defined cases.  Null or empty html gives the empty text.  Repeated rows of one page_id
-are one page for "distinct pages".  Unclosed elements end with what contains them; an
+Defined cases.  Null or empty html gives the empty text.  Pages, not page ids, are
+compared, so repeated and null page_ids are judged each by its own blocks.  Unclosed elements end with what contains them; an
 unterminated tag at the end is dropped; an unterminated comment, script or style runs
 to the end.  A null url is a host of its own.  Extra columns are ignored.
 
-Scale.  One scan cuts pages; only hashes of undecided blocks are shuffled, summed by
-host and hash before the exchange, so a host with very many pages isn't gathered in
-one task.
+Scale.  Pages are cut twice, which costs less than to keep the cut texts; only hashes of undecided blocks are shuffled, those of
+equal pages once, and counted by host and hash before the exchange, so a host with very
+many pages isn't gathered in one task.
 """
 
 from __future__ import annotations
@@ -37,11 +43,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
-from talkweave.llm.tables import Scratch
+from talkweave.llm.tables import Scratch, small
 
 #: Tokens of a repeated substring at least, and the share of a block's tokens that must be covered.
 RUN = 5
 COVERED = 0.6
+#: Distinct contents of a host that a template's substring is in at least: their number, and their share of all.
+LEAST = 3
+SHARE = 0.5
+#: Rows of lists by host that are broadcast at most.
+FEW = 100_000
 
 # What elements, roles and names of classes and ids mean.
 RAW = "script style noscript template textarea title xmp iframe noembed noframes"
@@ -185,11 +196,15 @@ def _cut(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """Every row's (page_id, url, text, n_chars). pages: page_id, url, html."""
     scratch = Scratch(pages.sparkSession, "pages")
-    cut = scratch.save(_cut(pages), "blocks")
-    heads = cut.where("size(undecided) > 0").select("host", "page_id", F.explode(F.array_distinct(F.flatten("heads"))).alias("head"))
-    repeated = heads.groupBy("host", "head").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low < high")
-    found = heads.join(repeated.select("host", "head"), ["host", "head"]).groupBy("host", "page_id").agg(F.collect_set("head").alias("repeated"))
-    found = found.withColumnsRenamed({"host": "_h", "page_id": "_p"})
+    cut = _cut(pages)
+    cut = cut.withColumn("content", F.when(F.size("undecided") > 0, F.md5(F.to_json("undecided").cast("binary"))))
+    heads = cut.where("content IS NOT NULL").select("host", "content", F.explode(F.array_distinct(F.flatten("heads"))).alias("head")).distinct()
+    heads = scratch.save(heads, "heads")
+    many = heads.groupBy("host", "head").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    contents = heads.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= LEAST)
+    repeated = scratch.save(many.join(small(contents, FEW), "host").where(F.col("n") >= SHARE * F.col("all")).select("host", "head"), "repeated")
+    found = heads.join(small(repeated, FEW), ["host", "head"]).groupBy("host", "content").agg(F.collect_set("head").alias("repeated"))
+    found = found.withColumnsRenamed({"host": "_h", "content": "_c"})
 
     # a token is covered if one of the RUN suffix heads that reach it is repeated
     def unique(index: F.Column) -> F.Column:
@@ -201,8 +216,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
         covered = F.size(F.filter(F.sequence(F.lit(0), tokens - 1), lambda t: F.exists(F.sequence(F.greatest(F.lit(0), t - reach + 1), F.least(t, last)), hit)))
         return covered < COVERED * tokens
 
-    judged = cut.join(found, (F.col("host") == F.col("_h")) & F.col("page_id").eqNullSafe(F.col("_p")), "left")
+    judged = cut.join(found, (F.col("host") == F.col("_h")) & (F.col("content") == F.col("_c")), "left")
     judged = judged.withColumn("repeated", F.coalesce("repeated", F.array().cast("array<bigint>")))
-    rest = F.when(F.size("repeated") == 0, F.col("undecided")).otherwise(F.filter("undecided", lambda _, i: unique(i)))
+    judged = judged.withColumn("own", F.when(F.size("repeated") == 0, F.col("undecided")).otherwise(F.filter("undecided", lambda _, i: unique(i))))
+    rest = F.when(F.size("own") == 0, F.col("undecided")).otherwise(F.col("own"))
     judged = judged.withColumn("text", F.array_join(F.concat("kept", rest), "\n"))
     return scratch.finish(judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))

@@ -287,6 +287,21 @@ def test_main_text(spark):
     assert html.unescape("&copy") == "©"
 
 
+def test_main_text_keeps_copies_on_a_host(spark):
+    words = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    page = lambda *blocks: "<body>" + "".join(f"<div class=content>{b}</div>" for b in blocks) + "</body>"
+    url, other, third, mixed = "http://two/x", "http://near/x", "http://heading/x", "http://mixed/x"
+    pages = [(1, url, page(words("a"))), (2, url, page(words("a")))]
+    pages += [(10 + k, other, page(words("b").replace("b29", f"v{k}"))) for k in range(4)]
+    pages += [(20 + k, third, page("The plan" if k < 2 else f"Plan {k}", words(f"c{k}x"))) for k in range(6)]
+    pages += [(30 + k, mixed, page(words("footer", 9), words("d" if k < 4 else f"d{k}x"))) for k in range(8)] + [(None, mixed, page(words("footer", 9), words("e")))]
+    got = {r.page_id: r.text for r in main_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == words("a")
+    assert [got[10 + k] for k in range(4)] == [words("b").replace("b29", f"v{k}") for k in range(4)]
+    assert [got[20 + k].split("\n")[0] for k in range(6)] == ["The plan"] * 2 + [f"Plan {k}" for k in range(2, 6)]
+    assert [got[30 + k] for k in range(8)] == [words("d")] * 4 + [words(f"d{k}x") for k in range(4, 8)] and got[None] == words("e")
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
