@@ -11,7 +11,11 @@ the scale of short ones, the pair sum is divided by the number of terms.
 Training.  Labels come from rows whose crc32(doc_id as text) mod 5 is not 0.  At
 most about SAMPLE of these are used, chosen by a hash of doc_id (a documented
 bound); their term ids, not their texts, come to the driver, which fits the model
-by AdaGrad in a fixed order.  Labels, lang, source and doc_id are never inputs.
+by AdaGrad in a fixed order.  Terms that are strong alone are fitted first; from
+there the weights and factors of all terms are fitted, factors with a pull to 0 (L2)
+and weights with one to where they began (L1).  So rare terms and pairs
+whose parts are neutral alone are learnt from the rows that strong terms don't explain.
+Labels, lang, source and doc_id are never inputs.
 
 Defined cases.  A null, empty or wordless text gets the score of the bias alone.
 Rows without labels, with null labels or labelled twice: null labels are not
@@ -39,13 +43,17 @@ FACTORS = 4
 #: Leading bytes of a word that are terms too.
 STEMS = (6, 8)
 SAMPLE = 12_000
-#: Terms whose share of labelled rows differs between the labels by fewer standard deviations are left out.
+#: Terms whose share of labelled rows differs between the labels by so many standard deviations are fitted first.
 SIGNIFICANT = 4.0
 EPOCHS = 20
 BATCH = 64
 RATE = 0.3
 #: Pull of each touched weight to 0, of the loss's sum over a batch.
 DECAY = 0.005
+#: The fit of all terms: passes, step of the weights, and their L1 pull.
+ALL_EPOCHS = 20
+ALL_RATE = 0.01
+LASSO = 0.2
 THRESHOLD = 0.5
 
 #: ASCII other than letters and digits separates words.
@@ -87,7 +95,49 @@ def term_sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(terms: np.ndarray, number: np.ndarray, labels: np.ndarray) -> Model:
-    """AdaGrad on the logistic loss; rows in an order drawn once."""
+    """The model of all terms, started from that of the terms that are strong alone."""
+    first = fit_strong(terms, number, labels)
+    return fit_all(first, terms, number, labels) if first.trained else first
+
+
+def fit_all(first: Model, terms: np.ndarray, number: np.ndarray, labels: np.ndarray) -> Model:
+    """AdaGrad over all terms from a given model; rows without a term teach only the bias, which stays."""
+    rng = np.random.default_rng(1)
+    w, v = first.weights.astype(float), first.factors.astype(float)
+    new = (v == 0).all(1)
+    v[new] = rng.normal(0, 0.02, (new.sum(), FACTORS))
+    begin, gw, gv = w.copy(), np.ones(len(w)), np.ones(v.shape)
+    at = np.concatenate([[0], np.cumsum(number)])
+    full = np.flatnonzero(number)
+    for _ in range(ALL_EPOCHS):
+        order = rng.permutation(full)
+        for k in range(0, len(order), BATCH):
+            rows = order[k : k + BATCH]
+            n = number[rows]
+            starts = np.cumsum(n) - n
+            ids = terms[np.repeat(at[rows] - starts, n) + np.arange(n.sum())]
+            row = np.repeat(np.arange(len(rows)), n)
+            x = v[ids]
+            total = np.add.reduceat(x, starts, 0)
+            squares = np.add.reduceat((x**2).sum(1), starts)
+            logit = first.bias + np.add.reduceat(w[ids], starts) + 0.5 * ((total**2).sum(1) - squares) / n
+            error = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[rows]
+            touched, inverse = np.unique(ids, return_inverse=True)
+            dw = np.bincount(inverse, error[row], len(touched))
+            pull = (error / n)[row, None] * (total[row] - x)
+            dv = np.stack([np.bincount(inverse, pull[:, f], len(touched)) for f in range(FACTORS)], 1) + DECAY * v[touched]
+            gw[touched] += dw**2
+            gv[touched] += dv**2
+            step = ALL_RATE / np.sqrt(gw[touched])
+            moved = w[touched] - step * dw - begin[touched]
+            w[touched] = begin[touched] + np.sign(moved) * np.maximum(np.abs(moved) - step * LASSO, 0)
+            v[touched] -= RATE * dv / np.sqrt(gv[touched])
+    seen = np.bincount(terms, minlength=len(w)) > 0
+    return Model(first.bias, w.astype(np.float32), (v * seen[:, None]).astype(np.float32))
+
+
+def fit_strong(terms: np.ndarray, number: np.ndarray, labels: np.ndarray) -> Model:
+    """AdaGrad on the logistic loss over terms that are strong alone; rows in an order drawn once."""
     if not len(labels):
         return Model(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), False)
     rng = np.random.default_rng(0)

@@ -317,6 +317,32 @@ def test_classifiers_on_held_out_rows(tables):
         assert rows["score"].between(0, 1).all()
 
 
+def test_toxicity_recall_on_held_out_rows(tables):
+    docs, labels = tables
+    rows = toxicity.toxicity(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    toxic, clean = rows[rows["toxic"] == 1], rows[rows["toxic"] == 0]
+    assert len(toxic) >= 5 and toxic["predicted"].mean() >= 0.5 and clean["predicted"].mean() <= 0.05
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_toxicity_learns_a_pair_neutral_alone(strict):
+    """Terms 1 and 2 are toxic together, clean alone; the rest is toxic, by term 3 unless strict. Each alone is toxic in half its rows, like all rows."""
+
+    def rows(seed):
+        rng, sets, labels = np.random.default_rng(seed), [], []
+        for k in range(2400):
+            own = [[1, 2], [1], [2], [] if strict else [3]][k % 4]
+            sets.append(sorted({*own, *rng.integers(1000, 1400, 12).tolist()}))
+            labels.append(float(k % 4 in (0, 3)))
+        return np.concatenate(sets).astype(np.int64), np.array([len(x) for x in sets]), np.array(labels)
+
+    model = toxicity.fit(*rows(0))
+    terms, number, labels = rows(1)
+    toxic = model.logits(terms, number) >= 0
+    assert model.factors[1].any() and model.factors[2].any()
+    assert toxic[0::4].mean() >= 0.8 and toxic[1::4].mean() <= 0.1 and toxic[2::4].mean() <= 0.1
+
+
 def test_classifiers_without_labels_or_text(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100000), (3, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, toxic int, quality int")
