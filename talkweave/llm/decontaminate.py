@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talkweave.llm.tables import Scratch
+from talkweave.llm.tables import Scratch, numbered
 
 K = 5
 WINDOW = 10
@@ -152,6 +152,7 @@ def _report(judged: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The documents that hold no window of any benchmark item; rows of a doc_id go together if one of them is hit."""
-    hit = contamination(docs, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit_id"]), "left_anti")
+    """The rows that hold no window of any benchmark item, each judged by its own text."""
+    rows = numbered(docs)
+    hit = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("_row"))
+    return rows.join(hit, "_row", "left_anti").select(docs.columns)

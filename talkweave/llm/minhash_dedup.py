@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
 from talkweave.llm.linking import link
-from talkweave.llm.tables import Scratch, small
+from talkweave.llm.tables import Scratch, numbered, small
 
 WORDS = 5
 PERCENT = 85
@@ -171,6 +171,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """The documents without the near-duplicates of an earlier one: of each group the smallest doc_id stays."""
-    groups = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_kept_id"]), "left_semi")
+    """One row of each group of near-duplicate rows: that of the smallest doc_id, null last; unlinked rows all stay."""
+    rows = numbered(docs)
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("rank")).join(groups, "_row")
+    first = ranked.groupBy("component_id").agg(F.min_by("_row", "rank").alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").select(docs.columns)

@@ -55,6 +55,11 @@ class Scratch:
         return result
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows, saved with a number of their own in _row: a key where doc_id is null or repeated."""
+    return Scratch(docs.sparkSession, "rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def small(frame: DataFrame, rows: int) -> DataFrame:
     """The frame, marked for broadcast if it has at most ``rows`` rows; beyond, joins shuffle it."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
+from talkweave.llm.tables import numbered
 
 BITS = 18
 FACTORS = 4
@@ -225,6 +226,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic; rows of one doc_id go together if one of them is."""
-    toxic = toxicity(docs, train(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["_toxic_id"], "left_anti")
+    """The rows that aren't predicted toxic, each judged by its own text."""
+    rows = numbered(docs)
+    toxic = toxicity(rows.select(F.col("_row").alias("doc_id"), "text"), train(rows, labels)).where("predicted = 1").select(F.col("doc_id").alias("_row"))
+    return rows.join(toxic, "_row", "left_anti").select(docs.columns)

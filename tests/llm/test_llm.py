@@ -89,6 +89,21 @@ def test_minhash_empty_and_null_ids(spark, docs):
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(odd).collect()) == [(-1, 4, False), (2, 2, True), (4, 4, True), (4, 4, True)]
 
 
+def test_filters_decide_by_row(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (4, text("c")), (4, text("c")), (4, text("d")), (None, text("c")), (7, text("e"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = lambda found: sorted(map(tuple, found), key=repr)
+    assert order(minhash_dedup.keep_one(frame).collect()) == order([rows[0], rows[1], rows[3], rows[5], rows[7]])
+    bench = spark.createDataFrame([(1, text("a")), (2, text("d"))], "item_id long, text string")
+    assert order(decontaminate.clean(frame, bench).collect()) == order([r for r in rows if r[1] not in (text("a"), text("d"))])
+    learnt = [(100 + k, ("vile " if k % 2 else "kind ") + f"w{k}") for k in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in learnt], "doc_id long, toxic int")
+    given = [*learnt, (None, "vile x"), (None, "kind x"), (5, "vile y"), (5, "kind y")]
+    kept = toxicity.without_toxic(spark.createDataFrame(given, "doc_id long, text string"), labels)
+    assert order(kept.collect()) == order([r for r in given if r[1].startswith("kind")])
+
+
 def test_register_estimates():
     rng = np.random.default_rng(0)
     errors = []
