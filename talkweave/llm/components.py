@@ -2,9 +2,10 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014) make every
 component a star around its smallest id in about log(n) rounds.  Each round is
-two aggregations and two joins whose right sides have one row per node, so a
-node with very many neighbours only makes a skewed left side, which adaptive
-execution splits.  Nothing but two numbers per round reaches the driver.
+two aggregations and two joins whose right sides have one row per node.  While
+these are small they are broadcast, so that a node with very many neighbours stays
+where its edges are; beyond, it makes a skewed left side, which adaptive execution
+splits.  Nothing but two numbers per round reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,18 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.tables import Scratch
+from talkweave.llm.tables import BROADCAST, Scratch
 
+#: Bytes of a node with its least neighbour.
+NODE_BYTES = 24
 
-def _star(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on (u, v) with u > v."""
+
+def _star(edges: DataFrame, few: bool) -> DataFrame:
+    """One large-star and one small-star step on (u, v) with u > v; few: one row per node may be broadcast."""
+    mark = F.broadcast if few else lambda x: x
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = both.join(mark(least), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.col("u"), F.col("v"), "m")
-    out = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    lower = large.join(mark(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return lower.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -40,6 +44,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         state = now
         before = scratch.paths[-1]
-        stars = scratch.save(_star(stars), "stars")
+        stars = scratch.save(_star(stars, 2 * now[0] * NODE_BYTES <= BROADCAST), "stars")
         scratch.drop([before])
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,11 +2,8 @@
 
 Method.  Lines are what stands between line feeds, without white space at both
 ends; blank lines are left alone.  Equal lines are one item.  An item is its set of
-distinct character shingles of length CHARS (a shorter line is one shingle).  Lines
-of fewer than LARGE shingles get a signature of BANDS * ROWS independent minima;
-lines of at least THRESHOLD * LARGE get one-permutation minima with optimal
-densification (Shrivastava, 2017), which cost one pass.  Similar lines have sizes so
-close that both always have one kind in common.  Lines that share a band are
+distinct character shingles of length CHARS (a shorter line is one shingle), with a
+signature of BANDS * ROWS independent minima.  Lines that share a band are
 confirmed by exact Jaccard similarity and linked by distributed union-find (see
 ``linking``).  Of each component the first line (by doc_id, then line number)
 stays; all others go.
@@ -15,10 +12,11 @@ Defined cases.  A null text stays null; empty and blank texts stay as they are.
 Documents all of whose non-blank lines go are empty after it (``keep_lines`` drops
 them on request).  Rows that repeat both doc_id and text are one document and keep
 the same lines.  Null doc_ids come first in order.  Extra columns are carried by
-``keep_lines``.  Items are told apart by 128 bits and named by the first 64.
+``keep_lines``; columns named as those it adds are replaced.  Items are told apart by
+128 bits and named by the first 64.
 
-Scale.  One pass gives about 100 bytes a line; a very common line is one item, summed
-before the shuffle.  Only lines that share a band are read again.
+Scale.  One pass gives about 100 bytes a line; equal lines are summed before the
+shuffle, in buffers of fixed width.  Only lines that share a band are read again.
 """
 
 from __future__ import annotations
@@ -27,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +37,10 @@ CHARS = 8
 PERCENT = 80
 BANDS, ROWS = 14, 4
 REGISTERS = BANDS * ROWS
-LARGE = 256
-SMALL = LARGE * PERCENT // 100
 #: Standard deviations under the threshold at which signatures rule a pair out.
 MARGIN = 4.0
-#: Documents up to which the list of wanted lines is broadcast to the scan that reads them again; beyond, the texts are shuffled.
-FEW = 500_000
-
-IS_FEED = np.zeros(256, bool)
-IS_FEED[0x0A] = True
+#: The signature as long columns of eight registers each.
+SIGNATURE = [f"s{i}" for i in range(REGISTERS // 8)]
 
 
 def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,70 +97,50 @@ def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
     return (T.mix(out.T.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
 
 
-def one_permutation(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """REGISTERS bins of one permutation; empty bins take the value of the first full bin of a fixed random walk of their own."""
-    rows = len(number)
-    bins = ((hashes >> np.uint64(32)) * np.uint64(REGISTERS) >> np.uint64(32)).astype(np.int64)
-    low = np.full(rows * REGISTERS, np.iinfo(np.uint32).max, np.uint32)
-    np.minimum.at(low, np.repeat(np.arange(rows) * REGISTERS, number) + bins, (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32) >> np.uint32(1))
-    low = low.reshape(rows, REGISTERS)
-    full = low != np.iinfo(np.uint32).max
-    out = np.where(full, low, 0)
-    row, column = np.nonzero(~full)
-    step = 0
-    while len(row):
-        step += 1
-        other = (T.mix(column.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(step)) % np.uint64(REGISTERS)).astype(np.int64)
-        ok = full[row, other]
-        out[row[ok], column[ok]] = low[row[ok], other[ok]]
-        row, column = row[~ok], column[~ok]
-    return (T.mix(out.astype(np.uint64) + (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(40))) >> np.uint64(56)).astype(np.uint8)
-
-
 def _signed(docs: DataFrame) -> DataFrame:
-    """One row per non-blank line: its document, number and 128-bit hash; the first of equal ones in a piece has size and signatures."""
-    schema = "doc_id long, text_hash long, line int, h1 long, h2 long, size long, signature binary, large binary"
+    """One row per non-blank line: its document, number and 128-bit hash; the first of equal ones in a piece has the signature."""
+    schema = "doc_id long, text_hash long, line int, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SIGNATURE)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in T.pieces(batch, "text"):
                 start, end, row, number = lines(data, at)
+                if not len(start):
+                    continue
                 spans = T.Spans(data)
-                h1, h2 = spans.hash(start, end), T.Spans(data, T.BASES[1]).hash(start, end)
-                firsts = np.sort(np.unique(h1, return_index=True)[1])
-                hashes, count = T.distinct(*shingle_sets(data, start[firsts], end[firsts], spans))
-                small, large = count < LARGE, count >= SMALL
-                each = np.repeat(np.arange(len(count)), count)
-                classic, single = np.zeros((len(count), REGISTERS), np.uint8), np.zeros((len(count), REGISTERS), np.uint8)
-                if small.any():
-                    classic[small] = minima(hashes[small[each]], count[small])
-                if large.any():
-                    single[large] = one_permutation(hashes[large[each]], count[large])
-                sizes, signature, second = np.zeros(len(start), np.int64), np.full(len(start), None, object), np.full(len(start), None, object)
-                sizes[firsts] = count
-                main = np.where(small[:, None], classic, single)
-                signature[firsts] = [x.tobytes() for x in main]
-                both = np.flatnonzero(small & large)
-                second[firsts[both]] = [x.tobytes() for x in single[both]]
-                columns = [part["doc_id"].take(pa.array(row)), part["text_hash"].take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sizes), pa.array(signature, pa.binary()), pa.array(second, pa.binary())]
+                h1 = spans.hash(start, end)
+                _, firsts, copy = np.unique(h1, return_index=True, return_inverse=True)
+                hashes, count = shingle_sets(data, start[np.sort(firsts)], end[np.sort(firsts)], spans)
+                # the second half is of the shingles: lines are equal if their sequences and their shingles are
+                half = T.mix(np.add.reduceat(T.mix(hashes ^ T.BASES[1]), np.cumsum(count) - count))
+                h2 = half[np.argsort(np.argsort(firsts))[copy]]
+                firsts.sort()
+                signature = np.ascontiguousarray(minima(hashes, count)).view(np.int64)
+                rest = np.ones(len(start), bool)
+                rest[firsts] = False
+
+                def spread(values: np.ndarray) -> pa.Array:
+                    full = np.zeros(len(start), np.int64)  # noqa: B023
+                    full[firsts] = values  # noqa: B023
+                    return pa.array(full, mask=rest)  # noqa: B023
+
+                owner = pa.array(row)
+                columns = [part["doc_id"].take(owner), part["text_hash"].take(owner), pa.array(number.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *map(spread, signature.T)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(sign, schema)
 
 
-def _possible(size_a: np.ndarray, size_b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+def _possible(_: np.ndarray, __: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
     t = PERCENT / 100
-    ok = 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
-    # ``signature`` is of the one kind below LARGE and of the other from there on
-    alike = (sig_a == sig_b).mean(1) >= t - MARGIN * np.sqrt(t * (1 - t) / REGISTERS)
-    return ok & (alike | ((size_a < LARGE) != (size_b < LARGE)))
+    return (sig_a == sig_b).mean(1) >= t - MARGIN * np.sqrt(t * (1 - t) / REGISTERS)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, members) of the wanted lines, members being their text; wanted: id and the place of one copy of it."""
-    places = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")).withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    held = docs.join(small(places, FEW), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("text", "wanted")
+    """(id, members) of the wanted lines, members being their text; wanted: doc_id, text_hash, and the lines and ids in ``wanted``."""
+    places = wanted.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
+    held = docs.join(small(places, 16 + 16 * F.size("wanted")), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))).select("text", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,50 +169,54 @@ def _unpack(found: list[bytes]) -> list[np.ndarray]:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_lines, removed): each document's number of non-blank lines and the numbers of those that go.
+    """(doc_id, text_hash, removed): the numbers of the lines that go, of documents that have any.
 
     docs: doc_id long, text, text_hash (xxhash64 of the text).
     """
     scratch = Scratch(docs.sparkSession, "lines")
     signed = scratch.save(_signed(docs), "lines")
-    classes = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.max("size").alias("size"), F.first("signature", True).alias("signature"), F.first("large", True).alias("large"))
-    classes = scratch.save(classes, "classes")
-    bands = lambda column, salt: F.array(*[F.xxhash64(F.lit(salt + i), F.substring(column, i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    kind = F.when(F.col("size") < LARGE, bands("signature", 0)).otherwise(bands("signature", 1000))
-    kind = F.when(F.col("large").isNotNull(), F.concat(kind, bands("large", 1000))).otherwise(kind)
-    items = classes.select(F.col("h1").alias("id"), "size", "signature", kind.alias("buckets"))
+    place = F.struct("doc_id", "text_hash", "line")
+    largest = [F.max(c).alias(c) for c in SIGNATURE]  # equal lines have equal values, or none
+    classes = scratch.save(signed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *largest), "classes")
+    band = lambda i: F.shiftrightunsigned(SIGNATURE[i // 2], 32 * (i % 2)).bitwiseAND(0xFFFFFFFF) + F.lit(i << 32)
+    items = classes.select(F.col("h1").alias("id"), F.lit(0).cast("long").alias("size"), F.array(*SIGNATURE).alias("signature"), F.array(*map(band, range(BANDS))).alias("buckets"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return _sets(docs, classes.select(F.col("h1").alias("id"), "first.*").join(ids, "id"))
+        copies = signed.select("doc_id", "text_hash", "line", F.col("h1").alias("id")).join(small(ids), "id")
+        first = copies.groupBy("id").agg(F.min(place).alias("first")).select("id", "first.*")
+        return _sets(docs, scratch.save(first.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "places"))
 
     roots = link(items, sets_of, _possible, np.dtype(np.uint8), PERCENT, scratch, _unpack)
-    rooted = classes.select("h1", "h2", "first").join(roots.withColumnRenamed("node", "h1"), "h1", "left").withColumn("root", F.coalesce("root", "h1"))
-    linked = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi").groupBy("root").agg(F.min("first").alias("keeper"))
-    keepers = rooted.join(linked, "root", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
-    judged = signed.select("doc_id", "text_hash", "line", "h1", "h2").join(keepers, ["h1", "h2"])
-    goes = ~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("keeper"))
-    return scratch.finish(judged.groupBy("doc_id", "text_hash").agg(F.size(F.collect_set("line")).alias("n_lines"), F.array_sort(F.collect_set(F.when(goes, F.col("line")))).alias("removed")))
+    # only lines with copies or links can go; an unlinked line's component is told by both halves of its hash
+    touched = classes.select("h1", "h2", "copies").join(roots.withColumnRenamed("node", "h1"), "h1", "left").where("copies > 1 OR root IS NOT NULL")
+    touched = scratch.save(touched.select("h1", "h2", F.coalesce("root", "h1").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("half")), "touched")
+    several = scratch.save(signed.select("doc_id", "text_hash", "line", "h1", "h2").join(small(touched), ["h1", "h2"]).drop("h1", "h2"), "several")
+    keepers = scratch.save(several.groupBy("root", "half").agg(F.min(place).alias("keeper")), "keepers")
+    goes = several.join(small(keepers, F.lit(48)), ["root", "half"]).where(~place.eqNullSafe(F.col("keeper")))
+    return scratch.finish(goes.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
 def _rewritten(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """docs with n_lines and n_removed, and their texts without the removed lines."""
-    removed = removed.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})
-    joined = docs.join(removed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left").drop("_d", "_t", "text_hash")
-    joined = joined.withColumns({"n_lines": F.coalesce("n_lines", F.lit(0)), "n_removed": F.coalesce(F.size("removed"), F.lit(0))})
+    removed = removed.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "removed": "_removed"})
+    joined = docs.join(small(removed, 16 + 4 * F.size("_removed")), F.col("_key").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left").drop("_d", "_t", "_key", "_hash")
+    joined = joined.withColumns({"n_lines": F.lit(0), "n_removed": F.coalesce(F.size("_removed"), F.lit(0))})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for k, gone in enumerate(batch["removed"].to_pylist()):
-                if gone and texts[k] is not None:
-                    drop = set(gone)
-                    texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in drop)
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
-            columns.pop("removed")
-            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+            for part, data, at in T.pieces(batch, "text"):
+                count = np.bincount(lines(data, at)[2], minlength=len(part)).astype(np.int32)
+                gone = part["n_removed"].to_numpy() > 0
+                texts = []
+                for text, numbers in zip(part["text"].filter(pa.array(gone)).to_pylist(), part["_removed"].filter(pa.array(gone)).to_pylist(), strict=True):
+                    drop = set(numbers)
+                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
+                columns = dict(zip(part.schema.names, part.columns, strict=True)) | {"n_lines": pa.array(count)}
+                columns["text"] = pc.replace_with_mask(part["text"], pa.array(gone), pa.array(texts, part["text"].type))
+                del columns["_removed"]
+                yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    schema = joined.drop("removed").schema
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, joined.drop("_removed").schema)
 
 
 def keep_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
@@ -246,7 +224,6 @@ def keep_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 
     drop_emptied leaves out documents that had lines and kept none.
     """
-    docs = docs.drop("n_lines", "n_removed", "text_hash", "removed").withColumn("text_hash", F.xxhash64("text"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_hash")
-    out = _rewritten(docs, removed_lines(keyed))
+    docs = docs.drop("n_lines", "n_removed").withColumns({"_key": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
+    out = _rewritten(docs, removed_lines(docs.select(F.col("_key").alias("doc_id"), "text", F.col("_hash").alias("text_hash"))))
     return out.where("n_removed = 0 OR n_removed < n_lines") if drop_emptied else out

@@ -19,18 +19,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talkweave.llm import text as T
 from talkweave.llm.components import connected_components
 from talkweave.llm.tables import Scratch, small
 
 #: Members of a bucket per block in the rest round.
 BLOCK = 1024
-#: Shared buckets up to which they are broadcast to a second pass over all items' buckets (48 MB); beyond, both are shuffled.
-FEW = 2_000_000
+#: Bytes of members that a task of the rest round compares at once, if no single group has more.
+CHUNK = 4 << 20
 
 #: May the pair reach the threshold?  Gets sizes and signatures (rows of a matrix) of both sides.
 Possible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -46,6 +46,9 @@ def raw_hashes(items: list[bytes]) -> list[np.ndarray]:
 
 
 def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
+    """Signatures as rows: binary values, or lists of longs that hold the same bytes."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy().view(kind).reshape(len(column), -1)
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
@@ -71,64 +74,136 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(unpack(b["set_a"].to_pylist()), unpack(b["set_b"].to_pylist()), strict=True)):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            if not b.num_rows:
+                continue
+            sides = [unpack(b[c].to_pylist()) for c in ("set_a", "set_b")]
+            number = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)])
+            union = T.distinct(np.concatenate([v for both in zip(*sides, strict=True) for v in both]), number)[1]
+            ok = 100 * (number - union) >= percent * union
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
 
 
-def _common(values: np.ndarray, number: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each asked row with the number of its values in common with every row; values are distinct within rows."""
-    owner = np.repeat(np.arange(len(number)), number)
-    order = np.argsort(values, kind="stable")
-    ordered, owners = values[order], owner[order]
-    new = np.ones(len(ordered), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
+#: Pairs of members whose signatures are compared at once.
+PAIRS = 1 << 16
+
+
+def _plausible_groups(begins: np.ndarray, ends: np.ndarray, roots: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, possible: Possible) -> list[tuple[int, int, np.ndarray]]:
+    """Groups (begin, end) with the members (places in the group) that some member of another component may be linked with."""
+    found = []
+    number = ends - begins
+    for low, high in zip(begins[number * number > PAIRS].tolist(), ends[number * number > PAIRS].tolist(), strict=True):
+        n, able = high - low, np.zeros(high - low, bool)
+        step = max(1, PAIRS // n)
+        for k in range(0, n, step):
+            i = np.repeat(np.arange(k, min(k + step, n)), n) + low
+            j = np.tile(np.arange(low, high), min(k + step, n) - k)
+            apart = np.flatnonzero(roots[i] != roots[j])
+            i, j = i[apart], j[apart]
+            ok = possible(sizes[i], sizes[j], signatures[i], signatures[j])
+            able[i[ok] - low] = True
+        found.append((low, high, np.flatnonzero(able)))
+    for n in np.unique(number[number * number <= PAIRS]).tolist():
+        starts, (a, b) = begins[number == n], np.triu_indices(n, 1)
+        step = max(1, PAIRS // max(len(a), 1))
+        for k in range(0, len(starts), step):
+            i, j = (starts[k : k + step, None] + a).ravel(), (starts[k : k + step, None] + b).ravel()
+            apart = np.flatnonzero(roots[i] != roots[j])
+            i, j = i[apart], j[apart]
+            ok = possible(sizes[i], sizes[j], signatures[i], signatures[j])
+            able = np.unique(np.concatenate([i[ok], j[ok]]))
+            owner = starts[np.searchsorted(starts, able, "right") - 1]
+            for part in np.split(np.arange(len(able)), np.flatnonzero(np.diff(owner)) + 1):
+                if len(part):
+                    low = int(owner[part[0]])
+                    found.append((low, low + n, able[part] - low))
+    return [f for f in found if len(f[2]) > 1]
+
+
+def _forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, enough to join all that are linked.
+
+    Common values are counted by an inverted index, for all members but those of the largest component.
+    """
+    number = np.array([len(x) for x in sets])
+    owner, value = np.repeat(np.arange(len(sets)), number), np.concatenate(sets)
+    order = np.argsort(value, kind="stable")
+    owners = owner[order]
+    new = np.append(True, value[order][1:] != value[order][:-1])
     first = np.flatnonzero(new)
-    length = np.diff(np.append(first, len(ordered)))
-    term = np.empty(len(values), np.int64)
+    length = np.diff(np.append(first, len(value)))
+    term = np.empty(len(value), np.int64)
     term[order] = np.cumsum(new) - 1
     at = np.concatenate([[0], np.cumsum(number)])
-    for i in rows.tolist():
+    found: list[tuple[int, int]] = []
+    label = np.unique(roots, return_inverse=True)[1]
+    for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
         t = term[at[i] : at[i + 1]]
         n = length[t]
         place = np.repeat(first[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        yield i, np.bincount(owners[place], minlength=len(number))
+        common = np.bincount(owners[place], minlength=len(sets))
+        near = np.flatnonzero((100 * common >= percent * (number + number[i] - common)) & (label != label[i]))
+        while len(near):
+            found.append((ids[i], ids[near[0]]))
+            label[label == label[near[0]]] = label[i]
+            near = near[label[near] != label[i]]
+    return found
 
 
-def _rest(members: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
+def _rest(members: DataFrame, percent: int, possible: Possible, kind: np.dtype, unpack: Unpack) -> DataFrame:
     """Links between different components within buckets, enough of them to join all components that are linked there.
 
-    members: bucket, id, root, members.
-    A bucket of n members is cut into ceil(n / BLOCK) parts by hash; each pair of
-    parts is one group, so a group has at most about two blocks of rows.
+    members: bucket, n (rows of the bucket), id, root, size, signature, members.  A bucket of n
+    members is cut into ceil(n / BLOCK) parts by hash before anything is shuffled by bucket;
+    each pair of parts is one group, so a group has at most about two blocks of rows.  A task
+    takes the groups of its partition as they come, about CHUNK bytes at a time: sizes and
+    signatures first, then the full sets of the members that these leave.
     """
-    parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        ids, label = group["id"].to_numpy(), np.unique(group["root"].to_numpy(), return_inverse=True)[1]
-        found: list[tuple[int, int]] = []
-        if label.max(initial=0):
-            sets = unpack(group["members"].tolist())
-            number = np.array([len(x) for x in sets])
-            asked = np.flatnonzero(label != np.bincount(label).argmax())
-            for i, common in _common(np.concatenate(sets), number, asked):
-                near = np.flatnonzero((100 * common >= percent * (number + number[i] - common)) & (label != label[i]))
-                while len(near):
-                    found.append((ids[i], ids[near[0]]))
-                    label[label == label[near[0]]] = label[i]
-                    near = near[label[near] != label[i]]
-        a, b = np.array(found, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.select("bucket", "low", "high", "id", "root", "members").groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumns({"part": F.pmod(F.xxhash64("id"), parts).cast("int"), "other": F.explode(F.sequence(F.lit(0), parts - 1))})
+    key = ["bucket", "low", "high"]
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).select(*key, "id", "root", "size", "signature", "members")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def links(table: pa.Table) -> pa.RecordBatch:
+            table = table.combine_chunks()
+            keys = np.stack([table[c].to_numpy() for c in key])
+            begins = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+            ids, roots, sizes = (table[c].to_numpy() for c in ("id", "root", "size"))
+            signatures = _matrix(table["signature"].combine_chunks() if isinstance(table["signature"], pa.ChunkedArray) else table["signature"], kind)
+            found: list[tuple[int, int]] = []
+            groups = _plausible_groups(begins, np.append(begins[1:], len(ids)), roots, sizes, signatures, possible)
+            if groups:
+                rows = np.concatenate([low + able for low, _, able in groups])
+                sets, k = unpack(table["members"].take(pa.array(rows)).to_pylist()), 0
+                for _, _, able in groups:
+                    part = rows[k : k + len(able)]
+                    found += _forest(ids[part], roots[part], sets[k : k + len(able)], percent)
+                    k += len(able)
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.nbytes < CHUNK:
+                continue
+            last = [held[c][-1] for c in key]
+            whole = held.num_rows - 1
+            while whole >= 0 and [held[c][whole] for c in key] == last:
+                whole -= 1
+            if whole >= 0:  # the last group may go on in the next batch
+                yield links(held.slice(0, whole + 1))
+                held = held.slice(whole + 1)
+        if held is not None:
+            yield links(held)
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
 
 
 def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch, unpack: Unpack = raw_hashes) -> DataFrame:
@@ -139,7 +214,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     """
     placed = items.select("id", F.explode("buckets").alias("bucket"))
     shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared")
-    placed = scratch.save(placed.join(small(shared, FEW), "bucket").select("bucket", "id", "hub", "n"), "buckets")
+    placed = scratch.save(placed.join(small(shared), "bucket").select("bucket", "id", "hub", "n"), "buckets")
 
     def pairs(frame: DataFrame) -> DataFrame:
         return frame.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -147,18 +222,18 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     first = scratch.save(_plausible(pairs(placed), items, possible, kind), "star")
     # in a bucket of two the star round decides, so an implausible pair needs no sets
     needed = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(placed.where("n > 2").select("id")).distinct()
-    sets = scratch.save(sets_of(needed), "sets")
+    sets = scratch.save(sets_of(scratch.save(needed, "needed")), "sets")
     links = scratch.save(_confirmed(first, sets, percent, unpack), "links")
     roots = connected_components(links, scratch)
 
     # the star round has decided all pairs with the hub; equal sets of other members are looked at once
-    rooted = placed.where("id <> hub").select("bucket", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    undecided = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("digest"))
+    left = placed.where("id <> hub").select("bucket", "id", F.col("n").alias("all")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    undecided = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("digest"))
     undecided = undecided.where("low < high").groupBy("n", "first", "last", "digest").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rooted = scratch.save(rooted.join(undecided, "bucket"), "undecided")
-    if rooted.isEmpty():
+    left = scratch.save(left.join(undecided, "bucket").select("bucket", F.col("all").alias("n"), "id", "root"), "undecided")
+    if left.isEmpty():
         return roots
-    more = scratch.save(_rest(rooted.join(sets, "id"), percent, unpack), "links")
+    more = scratch.save(_rest(left.join(items.select("id", "size", "signature"), "id").join(sets, "id"), percent, possible, kind, unpack), "links")
     if more.isEmpty():
         return roots
-    return connected_components(links.unionByName(more), scratch)
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)

@@ -43,8 +43,6 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Standard deviations under the threshold at which an estimate rules a pair out.
 MARGIN = 5.0
-#: Ids up to which a list of documents is broadcast to the scan that reads them again (16 MB); beyond, the texts are shuffled.
-FEW = 2_000_000
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +159,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     items = classes.where("id IS NOT NULL").select("id", "size", "signature", buckets.alias("buckets"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        rows = docs.withColumnRenamed("doc_id", "id").join(small(ids, FEW), "id", "left_semi")
+        rows = docs.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi")
         return sets(rows, words)
 
     roots = link(items, sets_of, possible(percent), np.dtype(np.uint16), percent, scratch)

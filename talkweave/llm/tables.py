@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return Scratch(docs.sparkSession, "rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
-def small(frame: DataFrame, rows: int) -> DataFrame:
-    """The frame, marked for broadcast if it has at most ``rows`` rows; beyond, joins shuffle it."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+#: Bytes that may be broadcast.
+BROADCAST = 64 << 20
+
+
+def small(frame: DataFrame, size: Column | None = None) -> DataFrame:
+    """The frame, marked for broadcast if its rows have at most BROADCAST bytes; beyond, joins shuffle it.
+
+    size: the bytes of a row; without it, all columns are taken as numbers of eight bytes.
+    """
+    rows, total = frame.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    total += rows * 8 * (2 if size is not None else len(frame.columns) + 1)
+    return F.broadcast(frame) if total <= BROADCAST else frame
