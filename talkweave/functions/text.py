@@ -6,6 +6,7 @@ All are native expressions.  "White space" is Unicode white space, as (?U)\\s.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ def ustrip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of the value, which is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def filled(text: Column) -> Column:
     """Null where the text is empty."""
     return F.nullif(text, F.lit(""))
@@ -77,9 +83,16 @@ def strip_hallucinations(text: Column, patterns: list[str] | None = None) -> Col
     return ustrip(F.regexp_replace(F.regexp_replace(clean, " {2,}", " "), r"(?U)\n\s*\n\s*\n", "\n\n"))
 
 
-def to_simplified(text: Column, table: dict[str, str] | None = None) -> Column:
-    """Characters replaced by a table of single characters; without a table, unchanged."""
-    return F.translate(text, "".join(table), "".join(table.values())) if table else text
+def to_simplified(text: Column, table: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> Column:
+    """Phrases (the longest that fits first), then single characters replaced by tables; without tables, unchanged."""
+    one = (lambda t: F.translate(t, "".join(table), "".join(table.values()))) if table else (lambda t: t)
+    if not phrases:
+        return one(text)
+    pattern = "|".join(r"\Q" + p + r"\E" for p in sorted(phrases, key=len, reverse=True))
+    known = F.create_map(*[F.lit(x) for kv in phrases.items() for x in kv])
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+    parts = F.zip_with(F.split(text, pattern, -1), found, lambda t, p: F.concat(one(t), F.coalesce(known[p], F.lit(""))))
+    return F.array_join(parts, "")
 
 
 def format_timestamp(seconds: Column) -> Column:
@@ -161,14 +174,15 @@ def normalise_speaker_map(response: Column, author: Column) -> Column:
 
 
 def replace_speaker_tags(text: Column, names: Column, keep_punctuation: bool = False) -> Column:
-    """Bold speaker tags replaced by names, entry by entry; keep_punctuation also skips keys without a speaker id."""
-    pattern = rf"(?i)(?:{SPEAKER_WORD}|SPEAKER)[\s_]*([A-Z0-9]+)"
+    """Bold speaker tags, in brackets or not, replaced by names, entry by entry; keep_punctuation also skips keys without a speaker id."""
+    gap = r"(?U:[\s_]*)"
+    pattern = rf"(?i)(?:{SPEAKER_WORD}|SPEAKER){gap}([A-Z0-9]+)"
 
     def one(text: Column, entry: Column) -> Column:
         found = filled(F.regexp_extract(entry["key"], pattern, 1))
         name = quoted(found if keep_punctuation else F.coalesce(found, entry["key"]))
         tail = "" if keep_punctuation else r"(?U:[:：\s]*)"
-        tag = F.concat(F.lit(rf"(?i)\*\*(?:\[{SPEAKER_WORD}\s*"), name, F.lit(r"\]|SPEAKER_"), name, F.lit(r")\*\*" + tail))
+        tag = F.concat(F.lit(rf"\*\*\[?(?:{SPEAKER_WORD}|SPEAKER){gap}"), name, F.lit(r"\]?\*\*" + tail))
         new = F.concat(F.lit("**["), literal_replacement(entry["value"]), F.lit("]**" if keep_punctuation else "]** "))
         return F.coalesce(F.regexp_replace(text, tag, new), text)
 

@@ -49,19 +49,54 @@ def file_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("extension")).agg(F.count("*").alias("n"))
 
 
+#: Positions of segments are summed up in ranges of 2**20, then of 2**32, then all; see ``transcript_metrics``.
+SHIFTS = (20, 32, 63)
+
+
+def _pieces(segments: DataFrame, mark: str) -> DataFrame:
+    """Segments as what their pieces between marks add up to: has a mark, first and last piece filled, filled pieces inside."""
+    parts = F.transform(F.split("text", mark), lambda p: X.ustrip(p) != "")
+    inside = F.filter(F.slice("_p", 2, F.greatest(F.size("_p") - 2, F.lit(0))), lambda f: f)
+    rows = segments.withColumns({"_p": parts, "seq": F.col("seq").cast("long")})
+    return rows.select(
+        "config_name", "seq", (F.size("_p") > 1).alias("has"), F.element_at("_p", 1).alias("first"), F.element_at("_p", -1).alias("last"),
+        F.size(inside).cast("long").alias("inner"), F.length("text").cast("long").alias("chars"), F.lit(1).cast("long").alias("lines"),
+    )
+
+
+def _joined(rows: DataFrame, shift: int) -> DataFrame:
+    """Rows of one config and range added up in order; pieces at their borders are one piece."""
+    keys = ["config_name", "range"]
+    rows = rows.withColumn("range", F.shiftright("seq", shift))
+    before = F.coalesce(F.sum(F.col("has").cast("long")).over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("border", before)
+    # the first piece belongs to the border before the row's first mark, the last one to that after it
+    sides = F.array(F.struct(F.col("border").alias("at"), F.col("first").alias("filled"), "inner", "chars", "lines", F.col("has").cast("long").alias("marks")), F.struct((F.col("border") + F.col("has").cast("long")).alias("at"), F.col("last").alias("filled"), F.lit(0).cast("long").alias("inner"), F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("marks")))
+    sums = [F.sum(c).alias(c) for c in ("inner", "chars", "lines", "marks")]
+    borders = rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*").groupBy(*keys, "at").agg(F.max("filled").alias("filled"), *sums)
+    last = F.max_by("filled", "at")
+    out = borders.groupBy(*keys).agg(F.min_by("filled", "at").alias("first"), last.alias("last"), F.max("at").alias("top"), F.count_if("filled").alias("all"), *sums)
+    ends = F.col("first").cast("long") + F.when(F.col("top") > 0, F.col("last").cast("long")).otherwise(0)
+    return out.select("config_name", F.col("range").alias("seq"), (F.col("top") > 0).alias("has"), "first", "last", (F.col("inner") + F.col("all") - ends).alias("inner"), "chars", "lines")
+
+
 def transcript_metrics(segments: DataFrame, runs: DataFrame, configs: list[str] | None = None) -> DataFrame:
     """(config_name, engine, char_count, line_count, paragraph_count, duration_seconds, error) of each run.
 
-    segments: config_name, seq, text; runs: config_name, engine, duration_seconds, error.  A failed run has zeros.
+    segments: config_name, seq (a whole number), text; runs: config_name, engine, duration_seconds,
+    error.  The texts of a config count as joined by spaces, and paragraphs are the filled pieces
+    between full stops.  No text is gathered: counts are added up in ranges of seq, level by
+    level, so that a window spans a range's rows only.  A failed run has zeros.
     """
     if configs:
         runs = runs.where(F.col("config_name").isin(configs))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"])
-    joined = segments.groupBy("config_name").agg(F.array_join(texts, " ").alias("joined"), F.count("*").alias("lines"))
-    pieces = F.size(F.filter(F.split("joined", "。"), lambda p: X.ustrip(p) != ""))
+    rows, done = _pieces(segments, "。"), 0
+    for shift in SHIFTS:
+        rows, done = _joined(rows, shift - done), shift
+    joined = rows.select("config_name", "lines", (F.col("chars") + F.col("lines") - 1).alias("chars"), (F.col("inner") + F.col("first").cast("long") + F.when(F.col("has"), F.col("last").cast("long")).otherwise(0)).alias("pieces"))
     rows = runs.join(joined, "config_name", "left")
     number = lambda c: F.when(F.col("error").isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
-    return rows.select("config_name", "engine", number(F.length("joined")).alias("char_count"), number(F.col("lines")).alias("line_count"), number(F.when(F.col("joined").isNotNull(), pieces)).alias("paragraph_count"), F.round("duration_seconds", 1).alias("duration_seconds"), "error")
+    return rows.select("config_name", "engine", number(F.col("chars")).alias("char_count"), number(F.col("lines")).alias("line_count"), number(F.col("pieces")).alias("paragraph_count"), F.round("duration_seconds", 1).alias("duration_seconds"), "error")
 
 
 def eval_report(metrics: DataFrame) -> DataFrame:

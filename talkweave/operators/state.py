@@ -54,7 +54,8 @@ def lookup_status(ids: DataFrame, state: DataFrame) -> DataFrame:
 def counted_before(frame: DataFrame, counted: Column, order: str = "pos", span: int = RANGE) -> DataFrame:
     """The frame with ``before``: how many earlier rows count.
 
-    Rows are numbered within ranges of ``order``; the ranges' totals, a small table, are
+    ``order`` is a position: whole numbers, about as dense as the rows (sparse ones make as many
+    ranges as rows).  Rows are numbered within ranges of it; the ranges' totals, a small table, are
     summed over all earlier ranges.  So no window spans the whole table, only that of totals.
     """
     frame = frame.withColumns({"_range": F.floor(F.col(order) / span), "_counted": counted.cast("int")})

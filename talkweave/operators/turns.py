@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,106 +19,117 @@ SIGNIFICANT_SHARE, SIGNIFICANT_CHARS = 0.05, 100
 PARAGRAPH, CHUNK_CHARS = 500, 2500
 
 
-def fold(items: Column, first: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
-    """A left fold over an array whose state type is that of ``first``."""
-    return F.aggregate(items, first, step, finish)
-
-
 def split_sentences(text: Column) -> Column:
     """Pieces that end with sentence marks, stripped, without empty ones; the unterminated tail is the last."""
     return F.filter(F.transform(F.split(text, "(?<=[。！？；.!?;])"), X.ustrip), lambda s: s != "")
 
 
-def greedy_groups(items: Column, size: Callable[[Column], Column], limit: int, rolled: Callable[[Column], Column] | None = None, always: Column | None = None) -> Column:
-    """Consecutive items in groups: a group closes when it isn't empty and its size and the next one's exceed ``limit``.
+def greedy_groups(items: Column, size: Callable[[Column], Column], limit: int, separator: str, rolled: Callable[[Column], Column] | None = None, free: Callable[[Column], Column] | None = None) -> Column:
+    """Consecutive items joined in groups: a group closes when it isn't empty and its size and the next one's exceed ``limit``.
 
-    rolled: the size that a new group starts with, if other than its item's; always: an item that never closes a group.
+    rolled: the size that a new group starts with, if other than its item's; free: items that
+    never close a group.  The fold carries sizes and the places of cuts only, so that its cost
+    is in proportion to the items.
     """
-    kind = "array<array<string>>"
-    state = F.struct(F.array().cast(kind).alias("out"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
 
-    def step(acc: Column, item: Column) -> Column:
-        n = size(item)
-        full = (F.size(acc["now"]) > 0) & (acc["n"] + (n if rolled is None else rolled(item)) > limit)
-        if always is not None:
-            full = full & ~always
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]).alias("out"),
-            F.when(full, F.array(item)).otherwise(F.concat(acc["now"], F.array(item))).alias("now"),
-            F.when(full, n if rolled is None else rolled(item)).otherwise(acc["n"] + n).alias("n"),
-        )
+    def groups(items: Column) -> Column:
+        closing = lambda x: F.lit(True) if free is None else ~free(x)
+        sizes = F.transform(items, lambda x: F.struct(size(x).alias("own"), (size if rolled is None else rolled)(x).alias("first"), closing(x).alias("closing")))
+        state = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
 
-    return fold(items, state, step, lambda acc: F.when(F.size(acc["now"]) > 0, F.concat(acc["out"], F.array(acc["now"]))).otherwise(acc["out"]))
+        def step(acc: Column, item: Column) -> Column:
+            full = item["closing"] & (acc["at"] > 0) & (acc["n"] + item["first"] > limit)
+            return F.struct(
+                F.when(full, F.array_append(acc["cuts"], acc["at"])).otherwise(acc["cuts"]).alias("cuts"), (acc["at"] + 1).alias("at"),
+                F.when(full, item["first"]).otherwise(acc["n"] + item["own"]).alias("n"),
+            )
 
+        bounds = F.aggregate(sizes, state, step, lambda acc: F.concat(F.array(F.lit(0)), acc["cuts"], F.array(acc["at"])))
+        spans = X.bound(bounds, lambda b: F.arrays_zip(F.slice(b, 1, F.size(b) - 1).alias("low"), F.slice(b, 2, F.size(b) - 1).alias("high")))
+        joined = F.transform(spans, lambda x: F.array_join(F.slice(items, x["low"] + 1, x["high"] - x["low"]), separator))
+        return F.when(F.size(items) == 0, F.array().cast("array<string>")).otherwise(joined)
 
-def pack_paragraphs(text: Column, target: int = PARAGRAPH, check_tail: bool = True) -> Column:
-    """Sentences packed to paragraphs of ``target`` characters; check_tail=False appends the unterminated tail unchecked."""
-    sentences = split_sentences(text)
-    if check_tail:
-        groups = greedy_groups(sentences, F.length, target)
-    else:
-        tail = ~F.rlike(F.element_at(sentences, -1), F.lit(r"[。！？；.!?;]$"))
-        body = F.when(tail, F.slice(sentences, 1, F.size(sentences) - 1)).otherwise(sentences)
-        groups = greedy_groups(body, F.length, target)
-        last = F.concat(F.coalesce(F.try_element_at(groups, F.lit(-1)), F.array().cast("array<string>")), F.slice(sentences, -1, 1))
-        groups = F.when(tail, F.concat(F.slice(groups, 1, F.greatest(F.size(groups) - 1, F.lit(0))), F.array(last))).otherwise(groups)
-    packed = F.transform(groups, lambda g: F.array_join(g, ""))
-    none = F.array().cast("array<string>")
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, none).when(F.size(sentences) == 0, F.array(text)).otherwise(packed)
+    return X.bound(items, groups)
 
 
-def pack_segments(segments: DataFrame, keys: list[str], order: str = "seq", target: int = PARAGRAPH) -> DataFrame:
-    """Segments' texts packed by the same rule: keys, paragraphs."""
-    rows = segments.withColumn("_t", X.ustrip(F.coalesce("text", F.lit("")))).where("_t <> ''")
-    listed = rows.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, "_t"))), lambda s: s["_t"]).alias("_all"))
-    return listed.select(*keys, F.transform(greedy_groups(F.col("_all"), F.length, target), lambda g: F.array_join(g, "")).alias("paragraphs"))
+def pack_paragraphs(text: Column, target: int = PARAGRAPH, check_tail: bool = True) -> Column:
+    """Sentences packed to paragraphs of ``target`` characters; check_tail=False appends the unterminated tail unchecked."""
+    tail = None if check_tail else lambda x: ~F.rlike(x, F.lit(r"[。！？；.!?;]$"))
+    packed = lambda s: F.when(F.size(s) == 0, F.array(text)).otherwise(greedy_groups(s, F.length, target, "", free=tail))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(X.bound(split_sentences(text), packed))
 
 
 def pack_chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
     """Non-blank lines packed to chunks; a line adds two for its separator, except the one that opens a later chunk."""
     lines = F.filter(F.split(text, "\n"), lambda x: X.ustrip(x) != "")
-    groups = greedy_groups(lines, lambda x: F.length(x) + 2, limit, rolled=F.length)
-    return F.when(F.size(lines) == 0, F.array(text)).otherwise(F.transform(groups, lambda g: F.array_join(g, "\n\n")))
+    packed = lambda x: F.when(F.size(x) == 0, F.array(text)).otherwise(greedy_groups(x, lambda y: F.length(y) + 2, limit, "\n\n", rolled=F.length))
+    return X.bound(lines, packed)
 
 
-def merge_turns(turns: DataFrame, gap: float = MERGE_GAP, span: float = MERGE_SPAN) -> DataFrame:
-    """Turns of one speaker merged while the gap is at most ``gap`` and the merged turn at most ``span`` long.
+def numbered_groups(rows: DataFrame, keys: list[str], order: str, values: list[str], step: Callable[..., tuple[bool, tuple]], name: str) -> DataFrame:
+    """The rows with ``name``: the number of the group that a fold over the ordered rows of each key puts them in.
 
-    Islands of speaker and gap come from windows; only the span, which depends on the merge so far, is folded.
+    step(state, *values) returns whether the row opens a group, and the new state; the state
+    of a key's first row is None.  Rows are sorted within partitions and pass through in
+    batches; only the state of one key is held, however many rows it has.
     """
-    w = Window.partitionBy("item_id").orderBy("seq")
-    near = F.lag("speaker").over(w).eqNullSafe(F.col("speaker")) & (F.col("start_s") - F.lag("end_s").over(w) <= gap)
-    island = F.sum(F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).over(w)
-    one = F.struct("seq", "start_s", "end_s", "text")
-    grouped = turns.withColumn("_island", island).groupBy("item_id", "_island", "speaker").agg(F.sort_array(F.collect_list(one)).alias("_all"))
-    kind = "array<struct<seq:int,start_s:double,end_s:double,texts:array<string>>>"
+    schema = rows.withColumn(name, F.lit(0)).schema
 
-    def step(acc: Column, t: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        fits = F.coalesce(t["end_s"] - last["start_s"] <= span, F.lit(False))
-        fresh = F.struct(t["seq"].cast("int").alias("seq"), t["start_s"].alias("start_s"), t["end_s"].alias("end_s"), F.array(t["text"]).alias("texts"))
-        longer = F.struct(last["seq"].alias("seq"), last["start_s"].alias("start_s"), t["end_s"].alias("end_s"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(fresh)))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, group = None, None, 0
+        for batch in batches:
+            numbers = []
+            for k, v in zip(zip(*(batch[c].to_pylist() for c in keys), strict=True), zip(*(batch[c].to_pylist() for c in values), strict=True), strict=True):
+                if k != key:
+                    key, state, group = k, None, -1
+                opens, state = step(state, *v)
+                group += opens
+                numbers.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, name])
 
-    merged = grouped.select("item_id", "speaker", F.explode(F.aggregate("_all", F.array().cast(kind), step)).alias("m"))
-    return merged.select("item_id", "m.seq", "speaker", "m.start_s", "m.end_s", F.array_join("m.texts", " ").alias("text"), F.size("m.texts").alias("n_turns"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(number, schema)
+
+
+def ordered(at: str, value: str) -> Column:
+    """The values of a group in order, as an array."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(at, value))), lambda s: s[value])
+
+
+def pack_segments(segments: DataFrame, keys: list[str], order: str = "seq", target: int = PARAGRAPH) -> DataFrame:
+    """Segments' texts packed by the same rule: keys, paragraph_no, text."""
+
+    def step(size: int | None, n: int) -> tuple[bool, int]:
+        opens = size is None or size + n > target
+        return opens, n if opens else size + n
+
+    rows = segments.select(*keys, order, X.ustrip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''").withColumn("_n", F.length("text"))
+    return numbered_groups(rows, keys, order, ["_n"], step, "paragraph_no").groupBy(*keys, "paragraph_no").agg(F.array_join(ordered(order, "text"), "").alias("text"))
+
+
+def merge_turns(turns: DataFrame, gap: float = MERGE_GAP, span: float = MERGE_SPAN) -> DataFrame:
+    """Turns of one speaker merged while the gap is at most ``gap`` and the merged turn at most ``span`` long."""
+
+    def step(state: tuple | None, speaker: str, start: float, end: float) -> tuple[bool, tuple]:
+        joins = state is not None and state[0] == speaker and start - state[2] <= gap and end - state[1] <= span
+        return not joins, (speaker, state[1] if joins else start, end)
+
+    rows = turns.select("item_id", F.col("seq").cast("int").alias("seq"), "speaker", "start_s", "end_s", "text")
+    grouped = numbered_groups(rows, ["item_id"], "seq", ["speaker", "start_s", "end_s"], step, "_turn").groupBy("item_id", "_turn")
+    merged = grouped.agg(
+        F.min("seq").alias("seq"), F.min_by("speaker", "seq").alias("speaker"), F.min_by("start_s", "seq").alias("start_s"), F.max_by("end_s", "seq").alias("end_s"),
+        F.array_join(ordered("seq", "text"), " ").alias("text"), F.count("*").cast("int").alias("n_turns"),
+    )
+    return merged.drop("_turn")
 
 
 def batch_turns(turns: DataFrame, most: int = BATCH_TURNS, seconds: float = BATCH_SECONDS) -> DataFrame:
     """Turns with batch_no: a batch closes when it has ``most`` turns or the next one would pass ``seconds``."""
-    listed = turns.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("seq", (F.col("end_s") - F.col("start_s")).alias("d")))).alias("_all"))
-    state = F.struct(F.array().cast("array<struct<seq:int,batch_no:int>>").alias("out"), F.lit(0).alias("b"), F.lit(0).alias("n"), F.lit(0.0).alias("s"))
 
-    def step(acc: Column, t: Column) -> Column:
-        close = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["s"] + t["d"] > seconds))
-        b = acc["b"] + F.when(close, 1).otherwise(0)
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(t["seq"].cast("int").alias("seq"), b.alias("batch_no")))).alias("out"), b.alias("b"),
-            F.when(close, 1).otherwise(acc["n"] + 1).alias("n"), F.when(close, t["d"]).otherwise(acc["s"] + t["d"]).alias("s"),
-        )
+    def step(state: tuple | None, start: float, end: float) -> tuple[bool, tuple]:
+        opens = state is None or state[0] >= most or state[1] + (end - start) > seconds
+        return opens, (1, end - start) if opens else (state[0] + 1, state[1] + (end - start))
 
-    numbered = listed.select("item_id", F.explode(F.aggregate("_all", state, step, lambda a: a["out"])).alias("x")).select("item_id", "x.seq", "x.batch_no")
-    return turns.join(numbered, ["item_id", "seq"])
+    return numbered_groups(turns, ["item_id"], "seq", ["start_s", "end_s"], step, "batch_no")
 
 
 def plan_chunks(items: DataFrame, seconds: int = CHUNK_SECONDS, slack: int = CHUNK_SLACK) -> DataFrame:
@@ -167,8 +179,8 @@ def speaker_blocks(turns: DataFrame, speaker: str = "effective") -> DataFrame:
     w = Window.partitionBy("item_id").orderBy("seq")
     new = ~F.coalesce(F.lag(speaker).over(w).eqNullSafe(F.col(speaker)) & F.lag("seq").over(w).isNotNull(), F.lit(False))
     rows = turns.withColumn("block", F.sum(new.cast("int")).over(w))
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", X.ustrip(F.coalesce("text", F.lit(""))).alias("t")))), lambda s: s["t"])
-    return rows.groupBy("item_id", "block", F.col(speaker).alias("speaker")).agg(F.array_join(parts, "").alias("text"))
+    rows = rows.withColumn("text", X.ustrip(F.coalesce("text", F.lit(""))))
+    return rows.groupBy("item_id", "block", F.col(speaker).alias("speaker")).agg(F.array_join(ordered("seq", "text"), "").alias("text"))
 
 
 def speaker_labels(speakers: DataFrame) -> DataFrame:
@@ -213,3 +225,9 @@ def render_transcript(items: DataFrame, turns: DataFrame, style: str = "qwen") -
     author = F.when(F.coalesce("author", F.lit("")) != "", F.concat(F.lit(f"\n\n**{X.AUTHOR_LABEL}**: "), F.col("author"))).otherwise("")
     head = F.concat(F.lit("# "), F.col("title"), F.lit("")) if style == "whisperx" else F.concat(F.lit("# "), F.col("title"), author, F.lit("\n\n---"))
     return items.join(body, "item_id", "left").select("item_id", F.concat(head, F.lit("\n\n"), F.coalesce(X.filled(F.col("body")), F.lit(X.NO_TRANSCRIPT)), F.lit("\n")).alias("md"))
+
+
+def timestamped_lines(segments: DataFrame, decimal: bool = False) -> DataFrame:
+    """(item_id, text): the stamped lines of each item in order. segments: item_id, seq, start_s, end_s, text."""
+    line = X.timestamped_line(F.col("start_s"), F.col("end_s"), F.col("text"), decimal)
+    return segments.select("item_id", "seq", line.alias("line")).groupBy("item_id").agg(F.array_join(ordered("seq", "line"), "\n").alias("text"))

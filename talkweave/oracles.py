@@ -20,7 +20,7 @@ _SPANS = """span AS (SELECT CAST(user_id AS VARCHAR) AS item_id, event_id AS seq
 
 _METRICS = """run AS (SELECT '1_' || lang AS config_name, 'e' AS engine, round(sum(n_chars) / 7.0, 1) AS duration_seconds,
   CASE WHEN lang = 'de' THEN 'it broke in the middle of everything' END AS error FROM documents GROUP BY lang),
-joined AS (SELECT '1_' || lang AS config_name, string_agg(replace(substr(text, 1, 200), '.', '。'), ' ' ORDER BY doc_id) AS j, count(*) AS n FROM documents GROUP BY lang),
+joined AS (SELECT '1_' || lang AS config_name, string_agg(replace(replace(text, '.', '。'), chr(10), ' '), ' ' ORDER BY doc_id) AS j, sum(len(string_split(text, chr(10)))) AS n FROM documents GROUP BY lang),
 metrics AS (SELECT config_name, engine, CASE WHEN error IS NULL THEN length(j) ELSE 0 END AS char_count, CASE WHEN error IS NULL THEN n ELSE 0 END AS line_count,
   CASE WHEN error IS NULL THEN len(list_filter(string_split(j, '。'), lambda p: trim(p, E' \\t\\n\\r') <> '')) ELSE 0 END AS paragraph_count, duration_seconds, error FROM run JOIN joined USING (config_name))"""
 
@@ -34,7 +34,7 @@ ORACLES: dict[str, str] = {
     "transition_audit": f"""WITH {_LOG}, p AS (SELECT lag(status) OVER (PARTITION BY item_id ORDER BY ts, event_id) AS previous, status AS next FROM log),
   ok(previous, next) AS (VALUES ('new','downloading'),('new','skipped_ai'),('new','skipped_old'),('downloading','downloaded'),('downloaded','transcribing'),('transcribing','transcript_ready'),('transcript_ready','correcting'),('correcting','corrected'),('corrected','summarizing'),('summarizing','summarized'),('summarized','success'),('success','uploaded'),('downloading','error'),('transcribing','error'),('correcting','error'),('summarizing','error'))
   SELECT previous, next, count(*) AS n, (previous, next) IN (SELECT (previous, next) FROM ok) AS allowed FROM p WHERE previous IS NOT NULL GROUP BY previous, next""",
-    "mark_seen": f"""WITH {_CURRENT}, seen AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 3 = 0 THEN 1700000000 + doc_id * 60 END AS p FROM documents WHERE doc_id % 2 = 0)
+    "mark_seen": f"""WITH {_CURRENT}, seen AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 3 = 0 THEN 1700000000 + doc_id * 60 END AS p FROM documents)
   SELECT item_id, coalesce(c.status, 'new') AS status, CASE WHEN c.item_id IS NULL THEN 'now' ELSE 'then' END AS first_seen, CASE WHEN s.item_id IS NULL THEN 'then' ELSE 'now' END AS last_seen,
   coalesce(s.p, CASE WHEN c.item_id IS NOT NULL THEN 7 END) AS pubdate FROM cur c FULL JOIN seen s USING (item_id)""",
     "build_queue": f"""WITH {_CURRENT}, {_CATALOG}, r AS (SELECT pos, item_id, coalesce(status, 'new') AS status FROM cat LEFT JOIN cur USING (item_id)),
@@ -61,7 +61,7 @@ ORACLES: dict[str, str] = {
     "strip_hallucinations": r"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '  谢谢收看' || text || chr(10) || ' ' || chr(10) || ' ' || chr(10) || '感谢收看 end' ELSE text END AS t FROM documents),
   c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(t, '谢谢收看', ''), '感谢收看', ''), '  +', ' ', 'g'), '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), E' \t\n\r') AS t FROM m) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM c""",
     "strip_think": r"""SELECT doc_id, md5(trim(text, E' \t\n\r')) AS digest FROM documents""",
-    "safe_filename": r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 300), '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM documents)
+    "safe_filename": r"""WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS s FROM documents)
   SELECT doc_id, coalesce(nullif(CASE WHEN length(s) > 100 THEN regexp_replace(substr(s, 1, 100), '_+$', '') ELSE s END, ''), 'untitled') AS name FROM n""",
     "extract_title": r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN coalesce(nullif(trim(regexp_extract(text, '^\s*(\S[^\n]*)', 1), E' \t\n\r'), ''), CAST(doc_id AS VARCHAR)) ELSE CAST(doc_id AS VARCHAR) END AS title FROM documents""",
     "extract_body": r"""WITH b AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(text || chr(10) || '---', E' \t\n\r') WHEN 1 THEN trim(' ---' || source, E' \t\n\r') ELSE ' ' || text END AS t FROM documents)
@@ -86,8 +86,8 @@ ORACLES: dict[str, str] = {
     "assign_speakers": f"""WITH {_SPANS}, o AS (SELECT a.item_id, a.seq, b.speaker, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS v FROM span a JOIN span b ON a.item_id = b.item_id AND a.speaker = 'error' AND b.speaker <> 'error' AND least(a.e, b.e) > greatest(a.s, b.s) GROUP BY ALL),
   best AS (SELECT item_id, seq, arg_min(speaker, row(-round(v, 6), speaker)) AS speaker FROM o GROUP BY ALL) SELECT span.item_id, span.seq, best.speaker FROM span LEFT JOIN best ON span.item_id = best.item_id AND span.seq = best.seq WHERE span.speaker = 'error'""",
     "speaker_map": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN '主持人' ELSE role END AS a, 'x' AS c, 2 AS n, '说话人A 是 ' || CASE WHEN role = 'user' THEN '主持人' ELSE role END || ', C 是 x' AS info FROM conversations",
-    "replaced_tags": r"SELECT conv_id, turn, '**[$1\' || role || ']** ' || substr(text, 1, 40) || ' **[Bo]** x' AS text FROM conversations",
-    "path_conflicts": r"""WITH n AS (SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 4), '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'untitled') AS p FROM documents)
+    "replaced_tags": r"SELECT conv_id, turn, '**[$1\' || role || ']** ' || text || ' **[Bo]** x **[Bo]** y **[$1\' || role || ']** z' AS text FROM conversations",
+    "path_conflicts": r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '[<>:"/\\|?*]', '_', 'g'), '\s+', '_', 'g'), '^[._]+|[._]+$', '', 'g') AS p FROM documents), n AS (SELECT doc_id, coalesce(nullif(p, ''), 'untitled') AS p FROM m)
   SELECT CAST(doc_id AS VARCHAR) AS item_id, count(*) OVER (PARTITION BY p) AS n_items, row_number() OVER (PARTITION BY p ORDER BY doc_id DESC) = 1 AS wins FROM n""",
     "stage_stats": f"""WITH {_CURRENT}, {_CATALOG}, r AS (SELECT coalesce(status, 'new') AS s FROM cat LEFT JOIN cur USING (item_id)), x AS (
   SELECT 'download' AS stage, CASE WHEN s = 'uploaded' THEN 'already_downloaded' WHEN s <> 'error' THEN 'downloaded' ELSE 'download_failed' END AS outcome FROM r
@@ -100,10 +100,6 @@ ORACLES: dict[str, str] = {
     "queue_preview": f"WITH {_CATALOG}, c AS (SELECT count(*) AS n FROM cat), h AS (SELECT row_number() OVER (ORDER BY pos) AS number, title FROM cat) SELECT number, title FROM h WHERE number <= 10 UNION ALL SELECT 11, 'and ' || (n - 10) || ' more' FROM c WHERE n > 10",
     "transcript_metrics": f"WITH {_METRICS} SELECT * FROM metrics",
     "eval_report": f"WITH {_METRICS} SELECT split_part(config_name, '_', 1) AS number, config_name, engine, char_count || CASE WHEN error IS NULL AND char_count = (SELECT max(char_count) FROM metrics WHERE error IS NULL) THEN ' ⭐' ELSE '' END AS chars, paragraph_count AS paragraphs, duration_seconds AS seconds, CASE WHEN error IS NULL THEN '✅' ELSE '❌ ' || substr(error, 1, 30) END AS status FROM metrics",
-    "markdown_blocks": r"""WITH l AS (SELECT doc_id AS item_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, string_split(text, chr(10)) AS s FROM documents),
-  k AS (SELECT item_id, line_no, s[line_no + 1] AS x, CASE line_no % 5 WHEN 0 THEN 'heading' WHEN 3 THEN 'quote' WHEN 4 THEN 'rule' ELSE 'bullet' END AS kind FROM l),
-  r AS (SELECT *, sum(CASE WHEN line_no % 5 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY line_no) AS run FROM k)
-  SELECT item_id, line_no, kind, CASE WHEN kind = 'heading' THEN 2 ELSE 0 END AS level, CASE WHEN kind = 'rule' THEN 0 ELSE length(trim(x, E' \t\r')) END AS n, CASE WHEN kind = 'bullet' THEN run END AS run FROM r""",
 }
 
 _FOLD = """list_reduce(list_prepend(struct_pack(o := []::VARCHAR[], c := '', l := 0), list_transform({items}, lambda x: struct_pack(o := []::VARCHAR[], c := x, l := length(x)))),
@@ -128,3 +124,98 @@ ORACLES["merge_turns"] = f"""WITH RECURSIVE {_SPANS}, o AS (SELECT item_id, spea
   UNION ALL SELECT o.item_id, o.k, CASE WHEN o.speaker = r.speaker AND o.s - r.e <= 300 AND o.e - r.s0 <= 500 THEN r.first ELSE o.k END, o.speaker,
   CASE WHEN o.speaker = r.speaker AND o.s - r.e <= 300 AND o.e - r.s0 <= 500 THEN r.s0 ELSE o.s END, o.e FROM r JOIN o ON o.item_id = r.item_id AND o.k = r.k + 1)
   SELECT item_id, first AS seq, any_value(speaker) AS speaker, round(any_value(s0), 4) AS start_s, round(arg_max(e, k), 4) AS end_s, count(*) AS n_turns FROM r GROUP BY item_id, first"""
+
+_PLAIN = "translate(text, '*_`[]()#', '')"
+_MARKED = f"""array_to_string(list_transform(string_split({_PLAIN}, chr(10)), lambda x, i: CASE (i - 1) % 5 WHEN 0 THEN '## ' || x WHEN 1 THEN '  - ' || x WHEN 2 THEN '* ' || x WHEN 3 THEN chr(9) || '> ' || x ELSE x END), chr(10))"""
+_ESCAPED = """replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;')"""
+# lines are classified by what they hold; md is a CTE with doc_id and md
+_BLOCKS = rf"""l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS s, unnest(range(0, len(string_split(md, chr(10))))) AS line_no FROM md),
+  k AS (SELECT doc_id, line_no, s, ltrim(s, E' \t') AS t, CASE WHEN trim(s, E' \t') = '' THEN 'blank' WHEN regexp_matches(s, '^#{{1,6}}\s+') THEN 'heading' WHEN regexp_matches(s, '^\s*(-{{3,}}|\*{{3,}}|_{{3,}})\s*$') THEN 'rule'
+    WHEN starts_with(ltrim(s, E' \t'), '> ') THEN 'quote' WHEN regexp_matches(ltrim(s, E' \t'), '^[-*] ') THEN 'bullet' ELSE 'paragraph' END AS kind FROM l),
+  b AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'heading' THEN length(regexp_extract(s, '^#+')) ELSE 0 END AS level,
+    CASE kind WHEN 'heading' THEN trim(regexp_replace(s, '^#+\s+', ''), E' \t') WHEN 'rule' THEN '' WHEN 'quote' THEN trim(substr(t, 3), E' \t') WHEN 'bullet' THEN trim(substr(t, 3), E' \t') ELSE trim(s, E' \t') END AS text,
+    kind = 'bullet' AND coalesce(lag(kind) OVER w, '') <> 'bullet' AS opens, kind = 'bullet' AND coalesce(lead(kind) OVER w, '') <> 'bullet' AS closes FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
+_STYLE = """  <style>
+    body{font-family:serif;line-height:1.45;font-size:0.95em}
+    h1,h2,h3{margin:0.6em 0 0.35em; padding:0}
+    p{margin:0.35em 0}
+    ul{margin:0.25em 0 0.35em 1.1em; padding:0}
+    li{margin:0.15em 0}
+    blockquote{margin:0.5em 0; padding-left:1em; border-left:3px solid #ccc; color:#666; font-style:italic}
+    hr{border:0; border-top:1px solid #ddd; margin:1em 0}
+  </style>
+"""
+_HEAD = "<?xml version=''1.0'' encoding=''utf-8''?>\n<!DOCTYPE html>\n<html xmlns=''http://www.w3.org/1999/xhtml'' xml:lang=''zh-CN'' lang=''zh-CN''>\n<head>\n  <meta charset=''utf-8''/>\n  <title>Content</title>\n" + _STYLE + "</head>\n<body>\n"
+_XHTML = f"""{_BLOCKS}, e AS (SELECT *, replace({_ESCAPED.format(x="text")}, '**发布时间**', '<b>发布时间</b>') AS i FROM b WHERE kind <> 'blank'),
+  h AS (SELECT doc_id, line_no, CASE kind WHEN 'heading' THEN '<h' || level || '>' || i || '</h' || level || '>' WHEN 'rule' THEN '<hr/>' WHEN 'quote' THEN '<blockquote>' || i || '</blockquote>'
+    WHEN 'bullet' THEN CASE WHEN opens THEN '<ul>' || chr(10) ELSE '' END || '<li>' || i || '</li>' || CASE WHEN closes THEN chr(10) || '</ul>' ELSE '' END ELSE '<p>' || i || '</p>' END AS html FROM e),
+  x AS (SELECT md.doc_id, '{_HEAD}' || coalesce(string_agg(html, chr(10) ORDER BY line_no), '') || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS xhtml FROM md LEFT JOIN h USING (doc_id) GROUP BY md.doc_id)"""
+ORACLES["markdown_blocks"] = f"WITH md AS (SELECT doc_id, {_MARKED} AS md FROM documents), {_BLOCKS} SELECT doc_id AS item_id, line_no, kind, level, md5(text) AS digest, CASE WHEN kind = 'bullet' THEN run END AS run FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM b) WHERE kind <> 'blank'"
+ORACLES["rendered_xhtml"] = f"WITH md AS (SELECT doc_id, {_MARKED} AS md FROM documents), {_XHTML} SELECT doc_id, length(xhtml) AS n, md5(xhtml) AS digest FROM x"
+ORACLES["inline_html"] = f"""SELECT doc_id, md5('<b>' || source || '</b> <code style="background:#f4f4f4;padding:0 2px"> cd </code> <a href="u_v_w">a_b</a> <i>i</i> ' || {_ESCAPED.format(x=_PLAIN)}) AS digest FROM documents"""
+ORACLES["book_table"] = f"""WITH book AS (SELECT *, strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%d %H:%M') AS pub_time FROM documents WHERE doc_id % 4 <> 0),
+  md AS (SELECT doc_id, '# ' || source || chr(10) || chr(10) || '**发布时间**: ' || pub_time || chr(10) || {_MARKED} AS md FROM book WHERE doc_id % 10 <> 1), {_XHTML}
+  SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 10 = 1 THEN CAST(doc_id AS VARCHAR) ELSE source END AS title, pub_time, CASE WHEN doc_id % 10 = 1 THEN CAST(doc_id AS VARCHAR) ELSE source END || '.epub' AS path,
+  CASE WHEN doc_id % 10 = 1 THEN 'error' ELSE 'converted' END AS outcome, md5(xhtml) AS digest FROM book LEFT JOIN x USING (doc_id)"""
+_CORRECTED = "'# ' || source || chr(10) || chr(10) || '**UP主**: ' || lang || chr(10) || chr(10) || '---' || chr(10) || chr(10) || {body}"
+_FULL = "chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 完整文本' || chr(10) || chr(10) || text"
+ORACLES["stage_documents"] = f"SELECT doc_id, md5({_CORRECTED.format(body='text')}) AS corrected, md5({_CORRECTED.format(body=chr(39) + 's' + chr(39))} || {_FULL}) AS final FROM documents"
+ORACLES["stale_paths"] = "SELECT CAST(doc_id AS VARCHAR) AS item_id, 'out/' || doc_id || '.epub' AS epub_path FROM documents WHERE doc_id % 2 = 0"
+_SPOKEN = rf"""doc AS (SELECT CAST(conv_id AS VARCHAR) AS item_id, string_agg('**[说话人 A]** ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
+  li AS (SELECT item_id, list_filter(string_split(body, chr(10)), lambda x: trim(x, E' \t\r') <> '') AS s FROM doc), fo AS (SELECT item_id, {_FOLD.format(items="s", limit=2500, join="chr(10) || chr(10)", plus=2)} AS r FROM li),
+  chunks AS (SELECT item_id, list_append(r.o, r.c) AS p FROM fo)"""
+_SAID = rf"""{_SPOKEN}, jo AS (SELECT item_id, array_to_string(list_transform(p, lambda x: trim(x, E' \t\r\n')), chr(10) || chr(10)) AS j FROM chunks),
+  na AS (SELECT item_id, regexp_replace(regexp_replace(j, '\*\*\[说话人 A\]\*\*[:：\s]*', '**[Ann]** ', 'g'), '(\*\*\[Ann\]\*\* )+', '**[Ann]** ', 'g') AS j FROM jo),
+  said AS (SELECT item_id, trim(regexp_replace(regexp_replace(j, '  +', ' ', 'g'), '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), E' \t\r\n') AS c FROM na)"""
+ORACLES["corrected_documents"] = f"WITH {_SAID} SELECT item_id, length(c) AS n, md5(c) AS digest FROM said"
+ORACLES["process_transcripts"] = f"WITH {_SAID} SELECT item_id, 't' AS title, 'a' AS author, md5(c) AS corrected, md5(c) AS summary FROM said"
+ORACLES["stitched_responses"] = f"WITH {_SPOKEN} SELECT item_id, i - 1 AS chunk_no, CASE WHEN i % 2 = 1 THEN md5(lower(p[i])) END AS digest FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM chunks)"
+ORACLES["summarize_documents"] = rf"""WITH a AS (SELECT *, CASE doc_id % 7 WHEN 0 THEN '总结失败：API 超时。原始内容长度: ' || length(text) WHEN 1 THEN '总结失败：boom' ELSE CASE WHEN doc_id % 3 = 0 THEN trim(text, E' \t\r\n') ELSE source END END AS s FROM documents)
+  SELECT doc_id AS item_id, doc_id % 7 > 1 AND length(s) < 100 AS is_short, doc_id % 7 <= 1 AS is_error, md5(s) AS summary, md5({_CORRECTED.format(body="s")} || {_FULL}) AS final FROM a"""
+ORACLES["filter_requests"] = "WITH a AS (SELECT doc_id, md5('Keep ' || coalesce(nullif(substr(text, 1, 60), ''), '未知标题') || ' of ' || source || '?') AS p FROM documents) SELECT CAST(doc_id AS VARCHAR) AS item_id, p AS prompt, p AS sent, CAST(0 AS DOUBLE) AS temperature, 512 AS num_predict FROM a"
+ORACLES["speaker_requests"] = "SELECT doc_id AS item_id, md5('未知标题 ' || source || ' ' || substr(text, 1, 5000)) AS prompt FROM documents"
+ORACLES["response_texts"] = r"SELECT doc_id, md5(trim(text, E' \t\r\n')) AS digest FROM documents"
+ORACLES["languages"] = r"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang END AS own, length(regexp_replace(text, '\s', '', 'g')) AS n, len(regexp_extract_all(text, '[\x{3040}-\x{309F}\x{30A0}-\x{30FF}]')) AS j, len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]')) AS z FROM documents)
+  SELECT doc_id, CASE WHEN n = 0 THEN 'zh' WHEN j / n > 0.2 THEN 'ja' WHEN z / n > 0.3 THEN 'zh' ELSE 'en' END AS detected, 'ja' AS configured, coalesce(own, 'zh') AS reported, coalesce(own NOT IN ('zh', 'chinese', 'cmn'), true) AS batched, coalesce(own NOT IN ('zh', 'chinese', 'cmn'), false) AS single FROM c"""
+ORACLES["simplified"] = "SELECT doc_id, md5('说话头发发现了X' || translate(text, 'e', 'é') || '头发现了') AS digest FROM documents"
+ORACLES["parsed_times"] = "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS seconds FROM events"
+_CLOCK = "CASE WHEN {x} >= 3600 THEN printf('%02d:%02d:%02d', {x} // 3600, {x} // 60 % 60, {x} % 60) ELSE printf('%02d:%02d', {x} // 60, {x} % 60) END"
+ORACLES["stamped_lines"] = f"SELECT CAST(user_id AS VARCHAR) AS item_id, md5(string_agg('[' || {_CLOCK.format(x='event_id')} || ' --> ' || {_CLOCK.format(x='(event_id + 4000)')} || '] ' || event_type, chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY user_id"
+ORACLES["id_labels"] = "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '[' || source || ']' WHEN doc_id < 26 THEN '[说话人 ' || chr(65 + CAST(doc_id AS INT)) || ']' ELSE '[说话人 ' || (doc_id + 1) || ']' END AS label FROM documents"
+# t: a CTE with key, text; the unterminated tail joins the last paragraph unchecked
+_UNCHECKED = rf"""se AS (SELECT key, text, list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;]*[。！？；.!?;]|[^。！？；.!?;]+$'), lambda x: trim(x, E' \t\n\r')), lambda x: x <> '') AS s FROM t),
+  ta AS (SELECT *, len(s) > 0 AND NOT regexp_matches(s[-1], '[。！？；.!?;]$') AS tail FROM se), bo AS (SELECT *, CASE WHEN tail THEN s[:-2] ELSE s END AS body FROM ta),
+  fo AS (SELECT *, CASE WHEN len(body) > 0 THEN {_FOLD.format(items="body", limit=500, join="''", plus=0)} END AS r FROM bo),
+  packed AS (SELECT key, CASE WHEN text = '' THEN [] WHEN len(s) = 0 THEN [text] WHEN tail AND len(body) = 0 THEN [s[-1]] WHEN tail THEN list_append(r.o, r.c || s[-1]) ELSE list_append(r.o, r.c) END AS p FROM fo)"""
+ORACLES["unchecked_tails"] = f"WITH t AS (SELECT doc_id AS key, text || ' and a tail without an end' AS text FROM documents), {_UNCHECKED} SELECT key AS doc_id, i - 1 AS seq, length(p[i]) AS n FROM (SELECT key, p, unnest(range(1, len(p) + 1)) AS i FROM packed)"
+_STRONG = _STATS.replace("share > 0.3 OR chars > 2000", "share > 0.05 OR chars > 100")
+ORACLES["rendered_transcripts"] = f"""WITH {_STRONG}, m AS (SELECT talk.item_id, seq, t, CASE WHEN significant THEN talk.speaker END AS own FROM talk LEFT JOIN sig USING (item_id, speaker)),
+  ef AS (SELECT m.item_id, m.seq, m.t, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY m.item_id ORDER BY m.seq), best.speaker) AS e FROM m LEFT JOIN (SELECT item_id, speaker FROM sig WHERE prominent) best USING (item_id)),
+  nw AS (SELECT *, CASE WHEN seq > min(seq) OVER (PARTITION BY item_id) AND lag(e) OVER (PARTITION BY item_id ORDER BY seq) IS NOT DISTINCT FROM e THEN 0 ELSE 1 END AS new FROM ef),
+  bl AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY seq) AS block FROM nw), t AS (SELECT row(item_id, block, e) AS key, string_agg(t, '' ORDER BY seq) AS text FROM bl GROUP BY item_id, block, e), {_UNCHECKED},
+  la AS (SELECT item_id, speaker, '[说话人 ' || chr(64 + CAST(rank() OVER (PARTITION BY item_id ORDER BY speaker) AS INT)) || ']' AS label FROM stats), sv AS (SELECT item_id, count(*) > 1 AS several FROM sig WHERE significant GROUP BY item_id),
+  ro AS (SELECT key[1] AS item_id, key[2] AS block, key[3] AS speaker, p FROM packed), pa AS (SELECT ro.item_id, block, list_transform(p, lambda x: CASE WHEN several THEN '**' || label || '** ' ELSE '' END || x) AS p FROM ro LEFT JOIN la USING (item_id, speaker) LEFT JOIN sv USING (item_id)),
+  bd AS (SELECT item_id, array_to_string(flatten(list(p ORDER BY block)), chr(10) || chr(10)) AS body FROM pa GROUP BY item_id)
+  SELECT item_id, md5('# T' || item_id || chr(10) || chr(10) || '**UP主**: U' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || coalesce(nullif(body, ''), '(转录失败或无文字内容)') || chr(10)) AS digest FROM bd"""
+ORACLES["named_turns"] = "SELECT CAST(conv_id AS VARCHAR) AS item_id, turn AS seq, CASE WHEN role = 'user' THEN 'Ann ' || conv_id ELSE role END AS name FROM conversations"
+ORACLES["filled_turns"] = f"WITH {_TALK} SELECT item_id, seq FROM talk WHERE seq % 3 <> 0 AND seq % 7 <> 0 AND t <> ''"
+ORACLES["required_fields"] = "SELECT CASE WHEN doc_id % 5 = 0 THEN 'missing_fields' ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1"
+ORACLES["state_selections"] = f"WITH {_CURRENT}, c AS (SELECT item_id, status, CAST(item_id AS INT) AS i FROM cur) SELECT 'pending' AS selection, item_id FROM c WHERE status = 'downloaded' UNION ALL SELECT 'summaries', item_id FROM c WHERE i % 3 = 0 UNION ALL SELECT 'transcripts', item_id FROM c WHERE i % 3 = 0 OR i % 2 = 0"
+ORACLES["catalog_to_queue"] = "SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS item_id, substr(text, 1, 60) AS title, 'https://example.org/' || doc_id AS url, CAST(n_chars AS INT) AS duration_s, source AS author, 1700000000 + doc_id * 60 AS pubdate FROM documents"
+ORACLES["applied_outcomes"] = f"""WITH {_LOG}, f AS (SELECT *, CASE status WHEN 'new' THEN 'downloading' WHEN 'transcript_ready' THEN 'error' ELSE status END AS s, CASE status WHEN 'transcript_ready' THEN 'Transcription failed: ' || item_id WHEN 'error' THEN 'LLM step failed: ' || item_id END AS e FROM log)
+  SELECT item_id, arg_max(s, row(ts, event_id)) AS status, arg_max(e, row(ts, event_id)) FILTER (e IS NOT NULL) AS error FROM f GROUP BY item_id"""
+_MIDWAY = "mid AS (SELECT doc_id AS pos, CAST(doc_id AS VARCHAR) AS item_id, ['transcribing', 'correcting', 'summarizing', 'downloading', 'error', 'summarized', 'corrected', 'transcript_ready', 'summary_ready', 'success'][doc_id % 10 + 1] AS s FROM documents)"
+ORACLES["recovered_midway"] = f"""WITH {_MIDWAY}, {_PRESENT}, n AS (SELECT *, CASE s WHEN 'error' THEN CASE WHEN 'media/' || item_id || '.m4a' IN (SELECT path FROM files) THEN 'downloaded' ELSE 'new' END WHEN 'transcribing' THEN 'downloaded' WHEN 'correcting' THEN 'transcript_ready' WHEN 'summarizing' THEN 'corrected' ELSE s END AS status FROM mid)
+  SELECT item_id, status, CASE WHEN s <> 'error' THEN 'e' END AS error, status <> s AS changed FROM n"""
+ORACLES["publish_worklist"] = f"WITH {_MIDWAY}, r AS (SELECT pos, item_id, s AS status, list_position(['summarized', 'corrected', 'transcript_ready', 'summary_ready'], s) AS rank FROM mid) SELECT pos, item_id, status, CAST(rank AS BIGINT) AS rank FROM r WHERE rank > 0"
+ORACLES["combined_stats"] = f"""WITH st AS ({ORACLES["stage_stats"]}) SELECT coalesce(sum(n) FILTER (outcome IN ('downloaded', 'transcribed')), 0) AS processed, coalesce(sum(n) FILTER (outcome = 'transcribed'), 0) AS transcript_ready, coalesce(sum(n) FILTER (outcome = 'corrected'), 0) AS corrected,
+  coalesce(sum(n) FILTER (outcome = 'summarized'), 0) AS summarized, coalesce(sum(n) FILTER (outcome = 'download_failed'), 0) AS download_failed, coalesce(sum(n) FILTER (outcome = 'error' AND stage <> 'upload'), 0) AS error FROM st"""
+ORACLES["catalog_files"] = "SELECT CAST(doc_id AS VARCHAR) AS item_id, source AS title, 'http://h/' || doc_id AS url, CAST(n_chars AS INT) AS duration_s, lang AS author, doc_id AS aid FROM documents WHERE doc_id % 7 <> 0 AND doc_id // 1000 % 5 <> 4"
+ORACLES["state_files"] = f"WITH {_CURRENT} SELECT item_id, status, CASE WHEN status = 'error' THEN 'failed' END AS error, status = 'error' AS has_error FROM cur"
+ORACLES["queue_files"] = f"""WITH {_CURRENT}, r AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS item_id, d.* EXCLUDE (doc_id) FROM documents d), q AS (SELECT r.*, row_number() OVER (ORDER BY doc_id) AS k FROM r LEFT JOIN cur USING (item_id) WHERE coalesce(status, 'new') IN {_QUEUEABLE})
+  SELECT k - 1 AS pos, item_id, substr(text, 1, 60) AS title, 'https://example.org/' || item_id AS url, CAST(n_chars AS INT) AS duration_s, source AS author, 1700000000 + doc_id * 60 AS pubdate FROM q WHERE k <= 50"""
+ORACLES["document_files"] = "SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 'transcript' ELSE 'final' END AS stage, source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.final.md' END AS path, md5(text) AS digest FROM documents"
+ORACLES["text_files"] = "SELECT source, sum(length(text) + 1) AS n_chars, sum(octet_length(encode(text)) + 1) AS n_bytes FROM documents GROUP BY source"
+ORACLES["eval_files"] = "SELECT lang, 'e' AS engine, count(*) AS n, CAST(0.5 * count(*) AS DOUBLE) AS seconds FROM documents GROUP BY lang"
+ORACLES["state_stream"] = "SELECT CAST(user_id AS VARCHAR) AS item_id, max(event_id) AS seq, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id"
+ORACLES["ingest_stream"] = f"""WITH {_CURRENT}, k AS (SELECT CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE n_chars >= 300) SELECT item_id, coalesce(status, 'new') AS status, k.item_id IS NOT NULL AS seen, k.item_id IS NOT NULL AND coalesce(status, 'new') IN {_QUEUEABLE} AS queued FROM cur FULL JOIN k USING (item_id)"""

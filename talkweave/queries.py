@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkweave import schemas as S
 from talkweave.functions import text as X
 from talkweave.operators import infer, publish, reports, rules, state, turns
 from talkweave.oracles import ORACLES  # noqa: F401
 from talkweave.plans import bindings as B
+from talkweave.sources import files, shared
+from talkweave.streaming import jobs
 
 FLAGSHIP = "queue_status"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +73,7 @@ def transition_audit(s, d):
 @query
 def mark_seen(s, d):
     before = B.current(s, d).select("item_id", "status", F.lit("then").alias("first_seen"), F.lit("then").alias("last_seen"), F.lit(7).cast("long").alias("pubdate"))
-    seen = B.catalog(s, d).where("pos % 2 = 0").select("item_id", F.when(F.col("pos") % 3 == 0, F.col("pubdate")).alias("pubdate"))
+    seen = B.catalog(s, d).select("item_id", F.when(F.col("pos") % 3 == 0, F.col("pubdate")).alias("pubdate"))
     return state.mark_seen(before, seen, F.lit("now"))
 
 
@@ -167,7 +170,7 @@ def strip_think(s, d):
 
 @query
 def safe_filename(s, d):
-    return _docs(s, d).select("doc_id", X.safe_filename(F.substring("text", 1, 300)).alias("name"))
+    return _docs(s, d).select("doc_id", X.safe_filename(F.col("text")).alias("name"))
 
 
 @query
@@ -220,8 +223,7 @@ def pack_chunks(s, d):
 
 @query
 def pack_segments(s, d):
-    rows = turns.pack_segments(B.speech(s, d), ["item_id"])
-    return rows.select("item_id", F.posexplode("paragraphs").alias("seq", "p")).select("item_id", "seq", F.length("p").alias("n"))
+    return turns.pack_segments(B.speech(s, d), ["item_id"]).select("item_id", F.col("paragraph_no").alias("seq"), F.length("text").alias("n"))
 
 
 @query
@@ -291,16 +293,35 @@ def speaker_map(s, d):
 
 @query
 def replaced_tags(s, d):
-    md = F.concat(F.lit("**[说话人 A]** **[说话人 A]** "), F.substring("text", 1, 40), F.lit(" **SPEAKER_b**: x"))
+    md = F.concat(F.lit("**[说话人 A]** **[说话人 A]** "), F.col("text"), F.lit(" **SPEAKER_B**: x **[SPEAKER_B]** y **说话人　A** z"))
     names = F.create_map(F.lit("说话人A"), F.concat(F.lit("$1\\"), F.col("role")), F.lit("SPEAKER_B"), F.lit("Bo"))
     return B.table(s, d, "conversations").select("conv_id", "turn", X.replace_speaker_tags(X.collapse_repeated_tags(md), names).alias("text"))
 
 
+def _marked(text: Column) -> Column:
+    """Whole texts with every fifth line as a heading, indented bullet, bullet, quote or rule."""
+    plain = F.translate(text, "*_`[]()#", "")
+    line = F.transform(F.split(plain, "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).when(i % 5 == 1, F.concat(F.lit("  - "), x)).when(i % 5 == 2, F.concat(F.lit("* "), x)).when(i % 5 == 3, F.concat(F.lit("\t> "), x)).otherwise(x))
+    return F.array_join(line, "\n")
+
+
 @query
 def markdown_blocks(s, d):
-    line = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## "), x)).when(i % 5 == 1, F.concat(F.lit("- "), x)).when(i % 5 == 2, F.concat(F.lit("* "), x)).when(i % 5 == 3, F.concat(F.lit("> "), x)).otherwise("---"))
-    docs = _docs(s, d).select(F.col("doc_id").alias("item_id"), F.array_join(line, "\n").alias("md"))
-    return publish.markdown_blocks(docs).select("item_id", "line_no", "kind", "level", F.length("text").alias("n"), "run")
+    docs = _docs(s, d).select(F.col("doc_id").alias("item_id"), _marked(F.col("text")).alias("md"))
+    return publish.markdown_blocks(docs).select("item_id", "line_no", "kind", "level", F.md5(F.col("text").cast("binary")).alias("digest"), "run")
+
+
+@query
+def rendered_xhtml(s, d):
+    docs = _docs(s, d).select("doc_id", _marked(F.col("text")).alias("md"))
+    return publish.render_xhtml(docs).select("doc_id", F.length("xhtml").alias("n"), F.md5(F.col("xhtml").cast("binary")).alias("digest"))
+
+
+@query
+def inline_html(s, d):
+    plain = F.translate("text", "*_`[]()#", "")
+    md = F.concat(F.lit("**"), F.col("source"), F.lit("** `cd` [a_b](u_v_w) _i_ "), plain)
+    return _docs(s, d).select("doc_id", F.md5(publish.inline_html(md).cast("binary")).alias("digest"))
 
 
 @query
@@ -308,13 +329,26 @@ def book_table(s, d):
     docs = _docs(s, d)
     path = F.concat(F.lit("t/"), F.col("doc_id").cast("string"))
     states = docs.select(F.col("doc_id").cast("string").alias("item_id"), F.when(F.col("doc_id") % 4 == 0, "uploaded").otherwise("summarized").alias("status"), (F.lit(1_700_000_000) + F.col("doc_id")).alias("pubdate"), path.alias("transcript_md"), F.lit("").alias("summary_md"))
-    files = docs.where("doc_id % 10 <> 1").select(path.alias("path"), F.concat(F.lit("# "), F.col("source"), F.lit("\n\n- **a** [x](y)\n- b\n\n"), F.col("text")).alias("md"))
-    return publish.book_table(states, files).select("item_id", "title", "pub_time", "path", "outcome", F.length("xhtml").alias("n"))
+    files = docs.where("doc_id % 10 <> 1").select(path.alias("path"), F.concat(F.lit("# "), F.col("source"), F.lit("\n"), _marked(F.col("text"))).alias("md"))
+    return publish.book_table(states, files).select("item_id", "title", "pub_time", "path", "outcome", F.md5(F.col("xhtml").cast("binary")).alias("digest"))
+
+
+@query
+def stage_documents(s, d):
+    body = F.col("text")
+    docs = _docs(s, d).select("doc_id", publish.corrected_markdown(F.col("source"), F.col("lang"), body).alias("c"), publish.final_markdown(F.col("source"), F.col("lang"), F.lit("s"), body).alias("f"))
+    return docs.select("doc_id", F.md5(F.col("c").cast("binary")).alias("corrected"), F.md5(F.col("f").cast("binary")).alias("final"))
+
+
+@query
+def stale_paths(s, d):
+    books = B.catalog(s, d).select("item_id", F.concat(X.safe_filename(F.col("title")), F.lit(".epub")).alias("path"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("out/"), F.col("item_id"), F.lit(".epub"))).otherwise("out/x.epub").alias("epub_path"))
+    return publish.stale_paths(books)
 
 
 @query
 def path_conflicts(s, d):
-    books = B.catalog(s, d).select("pos", "item_id", F.concat(X.safe_filename(F.substring("title", 1, 4)), F.lit(".epub")).alias("path"))
+    books = B.catalog(s, d).select("pos", "item_id", F.concat(X.safe_filename(F.col("title")), F.lit(".epub")).alias("path"))
     return publish.path_conflicts(books).select("item_id", "n_items", "wins")
 
 
@@ -347,12 +381,17 @@ def queue_preview(s, d):
     return reports.queue_preview(B.catalog(s, d))
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """Every line of every document as a segment of its language's config, in order of document and line."""
+    rows = docs.select(F.concat(F.lit("1_"), F.col("lang")).alias("config_name"), "doc_id", F.posexplode(F.split(F.replace("text", F.lit("."), F.lit("。")), "\n")).alias("line", "text"))
+    return rows.select("config_name", F.shiftleft("doc_id", 20).bitwiseOR(F.col("line")).alias("seq"), "text")
+
+
 @query
 def transcript_metrics(s, d):
     docs = _docs(s, d)
     runs = docs.groupBy(F.concat(F.lit("1_"), F.col("lang")).alias("config_name")).agg(F.lit("e").alias("engine"), (F.sum("n_chars") / 7.0).alias("duration_seconds"), F.when(F.min("lang") == "de", "it broke in the middle of everything").alias("error"))
-    segments = docs.select(F.concat(F.lit("1_"), F.col("lang")).alias("config_name"), F.col("doc_id").alias("seq"), F.replace(F.substring("text", 1, 200), F.lit("."), F.lit("。")).alias("text"))
-    return reports.transcript_metrics(segments, runs)
+    return reports.transcript_metrics(_lines(docs), runs)
 
 
 @query
@@ -360,16 +399,270 @@ def eval_report(s, d):
     return reports.eval_report(transcript_metrics(s, d))
 
 
+def _spoken(s: SparkSession, d: str) -> DataFrame:
+    """Conversations as documents of tagged lines."""
+    talk = B.speech(s, d).withColumn("line", F.concat(F.lit("**[说话人 A]** "), F.col("text")))
+    return talk.groupBy("item_id").agg(F.array_join(turns.ordered("seq", "line"), "\n").alias("body"), F.lit("t").alias("title"), F.lit("a").alias("author"), F.lit("en").alias("language"), F.create_map(F.lit("说话人A"), F.lit("Ann")).alias("names"))
+
+
+TEMPLATE = "Title {title} by {author}: {text}"
+
+
 @query
 def corrected_documents(s, d):
-    talk = B.speech(s, d)
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat(F.lit("**[说话人 A]** "), F.col("text")).alias("t")))), lambda x: x["t"])
-    docs = talk.groupBy("item_id").agg(F.array_join(parts, "\n").alias("body"), F.lit("t").alias("title"), F.lit("a").alias("author"), F.lit("en").alias("language"), F.create_map(F.lit("说话人A"), F.lit("Ann")).alias("names"))
-    requests = infer.chunk_requests(docs, "Title {title} by {author}: {text}")
-    answered = infer.infer(requests, _echo)
+    docs = _spoken(s, d)
+    answered = infer.infer(infer.chunk_requests(docs, TEMPLATE), _echo)
     return infer.correct_documents(docs, answered).select("item_id", F.length("corrected").alias("n"), F.md5(F.col("corrected").cast("binary")).alias("digest"))
 
 
+@query
+def stitched_responses(s, d):
+    requests = infer.chunk_requests(_spoken(s, d), TEMPLATE)
+    stored = requests.where("chunk_no % 2 = 0").select("item_id", "chunk_no", F.lower("chunk_text").alias("response"), F.lit(None).cast("string").alias("error"))
+    return infer.stitch(requests.select("item_id", "chunk_no"), stored).select("item_id", "chunk_no", F.md5(F.col("response").cast("binary")).alias("digest"))
+
+
+@query
+def process_transcripts(s, d):
+    done = infer.process_transcripts(_spoken(s, d), _echo, TEMPLATE, "Sum {title}: {text}")
+    return done.select("item_id", "title", "author", F.md5(F.col("corrected").cast("binary")).alias("corrected"), F.md5(F.col("summary").cast("binary")).alias("summary"))
+
+
+@query
+def summarize_documents(s, d):
+    docs = _docs(s, d).select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), F.col("lang").alias("author"), F.col("text").alias("corrected"))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>x</think>"), F.col("text"))).otherwise(F.col("source"))
+    error = F.when(F.col("doc_id") % 7 == 0, "read timeout").when(F.col("doc_id") % 7 == 1, "boom")
+    answered = _docs(s, d).select(F.col("doc_id").alias("item_id"), F.when(error.isNull(), answer).alias("response"), error.alias("error"))
+    out = infer.summarize_documents(docs, answered)
+    return out.select("item_id", "is_short", "is_error", F.md5(F.col("summary").cast("binary")).alias("summary"), F.md5(F.col("final_md").cast("binary")).alias("final"))
+
+
+@query
+def filter_requests(s, d):
+    asked = infer.filter_requests(B.catalog(s, d), "Keep {title} of {author}?")
+    given = F.from_json("body", "model string, prompt string, stream boolean, options struct<temperature double, num_predict int>")
+    return asked.select("item_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"), given.alias("b")).select("item_id", "prompt", F.md5(F.col("b.prompt").cast("binary")).alias("sent"), "b.options.temperature", "b.options.num_predict")
+
+
+@query
+def speaker_requests(s, d):
+    docs = _docs(s, d).select(F.col("doc_id").alias("item_id"), F.lit("").alias("title"), F.col("source").alias("author"), F.col("text").alias("body"))
+    return infer.speaker_requests(docs, "{title} {author} {text}").select("item_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+@query
+def response_texts(s, d):
+    body = F.to_json(F.struct(F.concat(F.lit(" <think>a\n</think> "), F.col("text")).alias("response")))
+    return _docs(s, d).select("doc_id", F.md5(X.response_text(body).cast("binary")).alias("digest"))
+
+
+@query
+def languages(s, d):
+    own = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("lang"))
+    text = F.col("text")
+    return _docs(s, d).select("doc_id", X.language_of_item(None, text).alias("detected"), X.language_of_item("ja", text).alias("configured"), X.language_of_item(None, text, own, "zh").alias("reported"), X.needs_bilingual(own, True).alias("batched"), X.needs_bilingual(own, False).alias("single"))
+
+
+@query
+def simplified(s, d):
+    text = F.concat(F.lit("說話頭髮發現發"), F.col("text"), F.lit("頭發現"))
+    out = X.to_simplified(text, {"說": "说", "話": "话", "發": "发", "頭": "头", "e": "é"}, {"頭髮": "头发", "發現": "发现了", "發": "X"})
+    return _docs(s, d).select("doc_id", F.md5(out.cast("binary")).alias("digest"))
+
+
+@query
+def parsed_times(s, d):
+    text = F.when(F.col("event_id") % 3 == 0, "not a time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return B.table(s, d, "events").select("event_id", F.unix_seconds(X.parse_iso(text)).alias("seconds"))
+
+
+@query
+def stamped_lines(s, d):
+    rows = B.intervals(s, d).withColumns({"start_s": F.col("seq").cast("double"), "end_s": F.col("seq") + 4000.5})
+    return turns.timestamped_lines(rows).select("item_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query
+def id_labels(s, d):
+    raw = F.when(F.col("doc_id") % 4 == 0, F.col("source")).otherwise(F.format_string("SPEAKER_%02d", "doc_id"))
+    return _docs(s, d).select("doc_id", X.id_label(raw).alias("label"))
+
+
+@query
+def unchecked_tails(s, d):
+    rows = _docs(s, d).select("doc_id", F.posexplode(turns.pack_paragraphs(F.concat("text", F.lit(" and a tail without an end")), check_tail=False)).alias("seq", "p"))
+    return rows.select("doc_id", "seq", F.length("p").alias("n"))
+
+
+@query
+def rendered_transcripts(s, d):
+    items = B.table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("item_id"), F.concat(F.lit("T"), F.col("conv_id")).alias("title"), F.lit("U").alias("author")).distinct()
+    return turns.render_transcript(items, B.speech(s, d)).select("item_id", F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
+@query
+def named_turns(s, d):
+    speech = B.speech(s, d)
+    names = speech.select("item_id").distinct().select("item_id", F.create_map(F.lit("user"), F.concat(F.lit("Ann "), F.col("item_id"))).alias("names"))
+    return turns.with_names(speech, names).select("item_id", "seq", "name")
+
+
+@query
+def filled_turns(s, d):
+    rows = B.speech(s, d).withColumn("text", F.when(F.col("seq") % 3 == 0, " \u3000\n").when(F.col("seq") % 7 == 0, F.lit(None)).otherwise(F.col("text")))
+    return rules.drop_empty_turns(rows).select("item_id", "seq")
+
+
+@query
+def required_fields(s, d):
+    rows = B.catalog(s, d).withColumn("url", F.when(F.col("pos") % 5 == 0, "").otherwise(F.col("url")))
+    return rules.drop_reason(rows, rules.Rules(keep_when_uncertain=False)).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def state_selections(s, d):
+    states = B.current(s, d).withColumns({"summary_md": F.when(F.col("item_id").cast("int") % 3 == 0, "s").when(F.col("item_id").cast("int") % 3 == 1, ""), "transcript_md": F.when(F.col("item_id").cast("int") % 2 == 0, "t")})
+    picked = {"pending": rules.pending_items(states, "downloaded"), "summaries": rules.with_summaries(states), "transcripts": rules.with_transcripts(states)}
+    first, *rest = [f.select(F.lit(k).alias("selection"), "item_id") for k, f in picked.items()]
+    return first.unionByName(rest[0]).unionByName(rest[1])
+
+
+@query
+def catalog_to_queue(s, d):
+    return rules.catalog_to_queue(B.catalog(s, d))
+
+
+@query
+def applied_outcomes(s, d):
+    states = B.current(s, d).select("item_id", "status", F.lit(None).cast("string").alias("error"))
+    log = B.log(s, d)
+    kind = {"new": ("download", "started"), "downloaded": ("download", "downloaded"), "transcript_ready": ("transcribe", "error"), "uploaded": ("upload", "uploaded"), "error": ("llm", "error")}
+    of = lambda i: F.create_map(*[F.lit(x) for k, v in kind.items() for x in (k, v[i])])[F.col("status")]
+    outcomes = log.select("item_id", "seq", of(0).alias("stage"), of(1).alias("outcome"), F.col("item_id").alias("detail"), F.lit(None).cast("map<string,string>").alias("extra"), "status")
+    return state.upsert_state(states, state.outcome_updates(outcomes), ["status", "error"])
+
+
+def _midway(s: SparkSession, d: str) -> DataFrame:
+    """Documents as items in the middle of their stages."""
+    kinds = ["transcribing", "correcting", "summarizing", "downloading", "error", "summarized", "corrected", "transcript_ready", "summary_ready", "success"]
+    status = F.array(*map(F.lit, kinds))[(F.col("doc_id") % len(kinds)).cast("int")]
+    path = F.concat(F.lit("media/"), F.col("doc_id").cast("string"), F.lit(".m4a"))
+    return _docs(s, d).select(F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("item_id"), status.alias("status"), path.alias("audio_path"), path.alias("transcript_md"), F.lit("e").alias("error"))
+
+
+@query
+def recovered_midway(s, d):
+    return state.recover_state(_midway(s, d), B.present(s, d)).select("item_id", "status", "error", "changed")
+
+
+@query
+def publish_worklist(s, d):
+    rows = _midway(s, d)
+    return state.stage_worklist(rows.select("pos", "item_id"), rows, "publish").select("pos", "item_id", "status", "rank")
+
+
+@query
+def combined_stats(s, d):
+    return reports.combined_stats(stage_stats(s, d))
+
+
+@query
+def catalog_files(s, d):
+    item = F.struct(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("bvid"), F.col("source").alias("title"), F.col("n_chars").cast("int").alias("duration"), F.struct(F.col("lang").alias("name")).alias("owner"), F.col("doc_id").alias("aid"))
+    page = F.floor(F.col("doc_id") / 1000)
+    listed = _docs(s, d).groupBy(page.alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda x: x["i"]).alias("list"))
+    path = shared.fresh_folder(s, "catalog")
+    code = F.when(F.col("page") % 5 == 4, -1).otherwise(0)
+    listed.select(F.to_json(F.struct(code.alias("code"), F.struct("list").alias("data"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_catalog(s, path, "http://h/").select("item_id", "title", "url", "duration_s", "author", "aid")
+
+
+@query
+def state_files(s, d):
+    states = B.current(s, d).select("item_id", "status", F.col("last_attempt"), F.when(F.col("status") == "error", "failed").alias("error"))
+    full = states.select("item_id", *[(F.col(f) if f in states.columns else F.lit(None).cast("long" if f == "pubdate" else "string")).alias(f) for f in S.STATE_FIELDS])
+    path = shared.fresh_folder(s, "state")
+    files.write_state(full, path, "json")
+    return files.read_state(s, path).select("item_id", "status", "error", "has_error")
+
+
+@query
+def queue_files(s, d):
+    queue, _ = state.build_queue(B.catalog(s, d), B.current(s, d), 50)
+    path = shared.fresh_folder(s, "queue")
+    files.write_queue(rules.catalog_to_queue(queue), path)
+    return files.read_queue(s, path).select("pos", "item_id", "title", "url", "duration_s", "author", "pubdate")
+
+
+@query
+def document_files(s, d):
+    docs = _docs(s, d)
+    path = shared.fresh_folder(s, "documents")
+    stem = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".corrected.md"))
+    stage = F.when(F.col("doc_id") % 2 == 0, "transcript").otherwise("final")
+    path_of = F.when(F.col("doc_id") % 2 == 0, files.stage_path(stem, "transcript")).otherwise(files.stage_path(stem, "final"))
+    files.write_documents(docs.select(F.col("doc_id").alias("item_id"), stage.alias("stage"), path_of.alias("path"), F.col("text").alias("md")), path)
+    return s.read.parquet(path).select("item_id", "stage", "path", F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
+@query
+def text_files(s, d):
+    path = shared.fresh_folder(s, "texts")
+    _docs(s, d).select("source", "text").repartition("source").write.partitionBy("source").text(path)
+    source = lambda c: F.regexp_extract(c, "source=([^/]*)/", 1)
+    read = files.read_documents(s, f"{path}/*/*").groupBy(source("path").alias("source")).agg(F.sum(F.length("md")).alias("n_chars"))
+    listed = files.artifact_listing(s, path, "*.txt").groupBy(source("path").alias("source")).agg(F.sum("length").alias("n_bytes"))
+    return read.join(listed, "source")
+
+
+@query
+def eval_files(s, d):
+    path, results = shared.fresh_folder(s, "eval"), shared.fresh_folder(s, "results")
+    docs = _docs(s, d)
+    header = docs.select("lang").distinct().select("lang", F.lit("# engine: e").alias("value"))
+    line = X.timestamped_line(F.col("doc_id"), F.col("doc_id") + F.lit(0.5), F.col("source"), True)
+    header.unionByName(docs.select("lang", line.alias("value"))).repartition("lang").write.partitionBy("lang").text(path)
+    read = files.read_eval_outputs(s, f"{path}/*").withColumn("lang", F.regexp_extract("path", "lang=([^/]*)/", 1))
+    found = read.groupBy("lang").agg(F.max("value").alias("engine"), F.count("text").alias("n"), F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"))
+    files.write_eval_results(found, results)
+    return s.read.schema(found.schema).json(results)
+
+
+@query
+def state_stream(s, d):
+    """Events as a stream of updates; the folded states of all micro-batches are written, and the last one of each item counts."""
+    path = shared.fresh_folder(s, "stream")
+    B.table(s, d, "events").select(F.col("user_id").cast("string").alias("item_id"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("status")).repartitionByRange(3, F.col("seq") % 10).write.parquet(f"{path}/in")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    updates = s.readStream.schema("item_id string, seq long, status string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = jobs.state_stream(updates).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    out.foreachBatch(lambda frame, number: frame.write.mode("overwrite").parquet(f"{path}/out/batch={number}")).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").groupBy("item_id").agg(F.max("seq").alias("seq"), F.max_by("status", F.struct("seq", "batch")).alias("status"))
+
+
+@query
+def ingest_stream(s, d):
+    """Catalog files taken in as a stream: queue and states after the last batch."""
+    path = shared.fresh_folder(s, "ingest")
+    item = F.struct(F.col("doc_id").cast("string").alias("bvid"), F.col("source").alias("title"), F.col("n_chars").cast("int").alias("duration"))
+    listed = _docs(s, d).groupBy(F.floor(F.col("doc_id") / 1000).alias("page")).agg(F.collect_list(item).alias("list"))
+    listed.select(F.to_json(F.struct(F.lit(0).alias("code"), F.struct("list").alias("data"))).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/in")
+    known = B.current(s, d).select("item_id", "status", F.lit("then").alias("first_seen"), F.lit("then").alias("last_seen"), F.lit(None).cast("long").alias("pubdate"))
+    known.write.parquet(f"{path}/state/000000")
+    done = [0]
+
+    def save(queue: DataFrame, after: DataFrame, number: int) -> None:
+        after.write.mode("overwrite").parquet(f"{path}/state/{number + 1:06d}")
+        queue.select("item_id", "status").write.mode("overwrite").parquet(f"{path}/queue/batch={number}")
+        done[0] = number + 1
+
+    load = lambda: s.read.parquet(f"{path}/state/{done[0]:06d}")
+    jobs.incremental_ingest(s, f"{path}/in", f"{path}/checkpoint", "http://h/", rules.Rules(300), load, save, 1 << 40).awaitTermination()
+    queued = s.read.parquet(f"{path}/queue").select("item_id", F.lit(True).alias("queued")).distinct()
+    return load().join(queued, "item_id", "left").select("item_id", "status", F.col("last_seen") != "then", F.coalesce("queued", F.lit(False)).alias("queued")).toDF("item_id", "status", "seen", "queued")
+
+
 def _echo(prompt: str) -> str:
     """A deterministic stand-in for a model: what follows the instruction."""
     return "<think>hm</think>" + prompt.split(": ", 1)[1]

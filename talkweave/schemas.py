@@ -7,7 +7,6 @@ from pyspark.sql.types import (
     DoubleType,
     IntegerType,
     LongType,
-    MapType,
     StringType,
     StructField,
     StructType,
@@ -48,5 +47,5 @@ QUEUE_ITEM = _struct(bvid=_S, title=_S, url=_S, duration=_I, up_name=_S, pubdate
 QUEUE_ENVELOPE = _struct(generated_at=_S, queue=ArrayType(QUEUE_ITEM))
 STATE_FIELDS = ["status", "first_seen", "last_seen", "first_attempt", "last_attempt", "pubdate", "audio_path", "transcript_md", "corrected_md", "summary_md", "epub_path", "title", "up_name", "language", "error"]
 STATE = StructType([StructField("item_id", _S, False), *[StructField(f, _L if f == "pubdate" else _S) for f in STATE_FIELDS]])
-STATE_FILE = _struct(videos=MapType(_S, StructType(STATE.fields[1:])))
+STATE_ENTRY = StructType(STATE.fields[1:])
 TURNS = _struct(item_id=_S, seq=_I, speaker=_S, start_s=_D, end_s=_D, text=_S)

@@ -25,28 +25,31 @@ def read_catalog(spark: SparkSession, path: str, url_prefix: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """State rows of a map-of-maps JSON file; unreadable or without items: none. has_error tells a null error from none."""
-    text = spark.read.text(path, wholetext=True)
-    typed = text.select(F.explode(F.from_json("value", S.STATE_FILE)["videos"]).alias("item_id", "v"))
-    raw = text.select(F.explode(F.from_json(F.get_json_object("value", "$.videos"), "map<string,string>")).alias("item_id", "j"))
-    given = raw.select("item_id", F.array_contains(F.json_object_keys("j"), "error").alias("has_error"))
-    return typed.select("item_id", "v.*").join(given, "item_id", "left")
+    """State rows of map-of-maps JSON files; unreadable or without items: none. has_error tells a null error from none."""
+    raw = F.from_json(F.get_json_object("value", "$.videos"), "map<string,string>")
+    entries = spark.read.text(path, wholetext=True).select(F.explode(raw).alias("item_id", "j"))
+    return entries.select("item_id", F.from_json("j", S.STATE_ENTRY).alias("v"), F.array_contains(F.json_object_keys("j"), "error").alias("has_error")).select("item_id", "v.*", "has_error")
 
 
-def state_json(state: DataFrame) -> DataFrame:
-    """One row: the whole state as map-of-maps JSON, for small states."""
+#: Items of a state file; larger states make more files.
+STATE_ITEMS = 50_000
+
+
+def state_json(state: DataFrame, files: int = 1) -> DataFrame:
+    """One row for each of ``files`` parts of the state, by hash of item_id: its map-of-maps JSON."""
     entry = F.struct("item_id", F.struct(*S.STATE_FIELDS))
-    return state.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("videos"))).alias("value"))
+    parts = state.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(files)).alias("part"))
+    return parts.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("videos"))).alias("value")).select("value")
 
 
 def write_state(state: DataFrame, path: str, form: str = "parquet") -> None:
-    """Parquet, JSON lines ("lines"), or one map-of-maps JSON file ("json")."""
+    """Parquet, JSON lines ("lines"), or map-of-maps JSON files ("json") of about STATE_ITEMS items."""
     if form == "parquet":
         state.write.mode("overwrite").parquet(path)
     elif form == "lines":
         state.write.mode("overwrite").json(path)
     else:
-        state_json(state).write.mode("overwrite").text(path)
+        state_json(state, state.count() // STATE_ITEMS + 1).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,8 @@ def test_speaker_map_and_tags(column):
     assert maps == [{"说话人A": "主持人"}, {}, {}]
     names = F.create_map(F.lit("说话人A"), F.lit("$1\\x"), F.lit("SPEAKER_01"), F.lit("Bo"))
     assert column(X.replace_speaker_tags(x, names), ["**[说话人 A]**: hi **SPEAKER_01** ho"]) == ["**[$1\\x]** hi **[Bo]** ho"]
+    assert column(X.replace_speaker_tags(x, names), ["**[SPEAKER_01]** a", "**说话人 A** b", "**[说话人\u3000A]**：c", "**[说话人_A]**d"]) == ["**[Bo]** a", "**[$1\\x]** b", "**[$1\\x]** c", "**[$1\\x]** d"]
+    assert column(X.to_simplified(x, {"發": "发", "頭": "头"}, {"頭髮": "头发", "發": "X", "發現": "发现"}), ["頭髮發現發頭", ""]) == ["头发发现X头", ""]
     assert column(X.collapse_repeated_tags(x), ["**[a]**: **[a]**: b"]) == ["**[a]**: b"]
     assert column(X.speaker_info_text(F.create_map(F.lit("A"), x)), ["b"]) == ["A 是 b"]
 

@@ -121,9 +121,37 @@ def test_markdown(spark):
     md = "# T\n\n- a\n- b\n\n- **c** [l](u_v_w)\n> q\n---\n`x` <y>\nplain"
     blocks = publish.markdown_blocks(spark.createDataFrame([("i", md)], "item_id string, md string"))
     assert [(r.kind, r.level, r.text, r.run) for r in blocks.orderBy("line_no").collect()] == [("heading", 1, "T", None), ("bullet", 0, "a", 1), ("bullet", 0, "b", 1), ("bullet", 0, "**c** [l](u_v_w)", 2), ("quote", 0, "q", None), ("rule", 0, "", None), ("paragraph", 0, "`x` <y>", None), ("paragraph", 0, "plain", None)]
-    html = publish.render_xhtml(blocks).first()["xhtml"]
+    html = publish.render_xhtml(spark.createDataFrame([("i", md)], "item_id string, md string")).first()["xhtml"]
     body = html.split("<body>\n")[1].split("\n</body>")[0]
-    assert body == '<h1>T</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<ul>\n<li><b>c</b> <a href="u_v_w">l</a></li>\n</ul>\n<blockquote>q</blockquote>\n<hr/>\n<p><code> x </code> &lt;y&gt;</p>\n<p>plain</p>'
+    assert body == '<h1>T</h1>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<ul>\n<li><b>c</b> <a href="u_v_w">l</a></li>\n</ul>\n<blockquote>q</blockquote>\n<hr/>\n<p><code style="background:#f4f4f4;padding:0 2px"> x </code> &lt;y&gt;</p>\n<p>plain</p>'
+
+
+def test_markdown_white_space_and_line_ends(spark):
+    md = "  - x\n\t> q\u2028* y\u001cz\r\n  ***  "
+    frame = spark.createDataFrame([("i", md), ("n", None)], "item_id string, md string")
+    assert [(r.kind, r.text) for r in publish.markdown_blocks(frame).orderBy("line_no").collect()] == [("bullet", "x"), ("quote", "q"), ("bullet", "y"), ("paragraph", "z"), ("rule", "")]
+    html = {r.item_id: r.xhtml for r in publish.render_xhtml(frame).collect()}
+    assert html["n"] is None and html["i"].startswith("<?xml") and " lang='zh-CN'>" in html["i"] and "<style>" in html["i"]
+    assert html["i"].split("<body>\n")[1] == "<ul>\n<li>x</li>\n</ul>\n<blockquote>q</blockquote>\n<ul>\n<li>y</li>\n</ul>\n<p>z</p>\n<hr/>\n</body>\n</html>\n"
+
+
+def test_pack_segments_and_long_texts(spark):
+    rows_ = spark.createDataFrame([("a", i, t) for i, t in enumerate(["x" * 300, " ", "y" * 200, "z", None])] + [("b", 0, "q")], "item_id string, seq int, text string")
+    got = rows(turns.pack_segments(rows_, ["item_id"]), "item_id", "paragraph_no")
+    assert got == [("a", 0, "x" * 300 + "y" * 200), ("a", 1, "z"), ("b", 0, "q")]
+    long = spark.range(1).select(F.repeat(F.lit("Twelve chars."), 64_000).alias("t")).select(turns.pack_paragraphs(F.col("t")).alias("p")).first()["p"]
+    assert "".join(long) == "Twelve chars." * 64_000 and max(map(len, long)) <= 500
+
+
+def test_metrics_against_joined_text(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = {c: ["".join(rng.choice(["。", " ", "x", "yy"]) for _ in range(rng.randrange(0, 5))) for _ in range(60)] for c in ("1_a", "2_b")}
+    segments = spark.createDataFrame([(c, i << 19, t) for c, ts in texts.items() for i, t in enumerate(ts)], "config_name string, seq long, text string")
+    runs = spark.createDataFrame([(c, "e", 1.0, None) for c in texts], "config_name string, engine string, duration_seconds double, error string")
+    got = {r.config_name: (r.char_count, r.line_count, r.paragraph_count) for r in reports.transcript_metrics(segments, runs).collect()}
+    assert got == {c: (len(" ".join(ts)), 60, sum(p.strip() != "" for p in " ".join(ts).split("。"))) for c, ts in texts.items()}
 
 
 def test_infer_keeps_failures(spark):

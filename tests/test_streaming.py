@@ -27,3 +27,13 @@ def test_incremental_ingest(spark, tmp_path):
 
     jobs.incremental_ingest(spark, str(tmp_path / "in"), str(tmp_path / "cp"), "http://h/", rules.Rules(60), lambda: empty, save).awaitTermination(120)
     assert saved == {0: (["A"], [("A", "new")])}
+
+
+def test_late_updates_across_batches(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), []
+    for n, rows in enumerate([[("a", 5, "x"), ("b", 1, "p")], [("a", 3, "late"), ("b", 2, "q")], [("a", 9, "z")]]):
+        spark.createDataFrame(rows, "item_id string, seq long, status string").coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.state_stream(spark.readStream.schema("item_id string, seq long, status string").parquet(source))
+        query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+        query.foreachBatch(lambda frame, _, n=n: seen.append((n, sorted(map(tuple, frame.collect()))))).start().awaitTermination(120)
+    assert [s for _, s in seen if s] == [[("a", 5, "x"), ("b", 1, "p")], [("a", 5, "x"), ("b", 2, "q")], [("a", 9, "z")]]
