@@ -1,8 +1,10 @@
 """The numbered operators against brute force, the public libraries and held-out labels."""
 
+import functools
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -13,6 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import FOLDER
 from talkweave.llm import bpe_codec, decontaminate, embedding_links, line_dedup, main_text, minhash_dedup, ppm_scores, quality, token_counts, toxicity
 from talkweave.llm.queries import vocabulary
 from talkweave.llm.vocabulary import parse
@@ -156,54 +159,62 @@ def test_ppm_against_brute_force(spark, docs, texts):
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
     known = Counter(w for i in tokens if not held[i] for w in tokens[i])
     n, v = sum(known.values()), len(known)
-    trie = [{} for _ in range(5)]
-    spelt = lambda w: [(b"    " + w.encode() + b" ", p) for p in range(4, 5 + len(w.encode()))]
-    for w in known:
-        for s, p in spelt(w) if w else ():
-            for k in range(5):
-                trie[k].setdefault(s[p - k : p], Counter())[s[p]] += 1
-
+    order = ppm_scores.ORDER
+    start = b"\n" * order
+    coded = {i: start + " ".join(tokens[i][:-1]).encode() + b"\n" for i in tokens}
+    trie = [{} for _ in range(order + 1)]
+    for i, t in coded.items():
+        if not held[i]:
+            for p in range(order, len(t)):
+                for k in range(order + 1):
+                    trie[k].setdefault(t[p - k : p], Counter())[t[p]] += 1
+
+    @functools.cache
     def code(context, symbol):
         out, seen = 0.0, set()
-        for k in range(4, -1, -1):
-            left = {s: c for s, c in trie[k].get(context[4 - k :], {}).items() if s not in seen}
+        for k in range(order, -1, -1):
+            left = {s: c for s, c in trie[k].get(context[order - k :], {}).items() if s not in seen}
             if left:
-                total = sum(left.values()) + len(left)
+                total = 2 * sum(left.values())
                 if symbol in left:
-                    return out + math.log10(left[symbol] / total)
+                    return out + math.log10((2 * left[symbol] - 1) / total)
                 out += math.log10(len(left) / total)
                 seen |= set(left)
         return out - math.log10(256 - len(seen))
 
-    def score(words):
-        uses, same, right, recent, before, out = Counter(), Counter(), Counter(), Counter(), 0, 0.0
-        for k, w in enumerate(words):
-            p = 10 ** (math.log10((2 * known[w] - 1) / (2 * n)) if known[w] else math.log10(v / (2 * n)) + sum(code(s[p - 4 : p], s[p]) for s, p in spelt(w)))
-            p = 0.9 * p + 0.1 * recent[w] / k if k else p
-            if uses[before]:
-                weight = 0.98 * right[before] / (uses[before] + 0.5)
-                p = (1 - weight) * p + weight * same[before, w] / uses[before]
-            out += math.log10(p)
-            right[before] += same[before, w] > 0
-            uses[before] += 1
-            same[before, w] += 1
-            recent[w] += 1
-            before = w
-        return out
-
     for r in ppm_scores.scores(docs).collect():
-        words = tokens[r.doc_id]
+        words, t = tokens[r.doc_id], coded[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(words), sum(known[w] > 0 for w in words), n)
         assert r.base_score == pytest.approx(sum(math.log10((known[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words), rel=1e-9)
-        assert r.score == pytest.approx(score(words), rel=1e-9)
+        assert r.score == pytest.approx(sum(code(t[p - order : p], t[p]) for p in range(order, len(t))), rel=1e-9)
     assert ppm_scores.scores(docs.limit(0)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER.replace("sf0.001", "sf0.1")), reason="no tables")
+def test_ppm_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet(FOLDER.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    score, base = ppm_scores.scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert score > 0.97 * base
+
+
+def test_ppm_odd_rows(spark):
+    long = "the cat sat on the mat " * 60_000
+    rows = [(1, long), (1, long), (None, "the cat"), (2, None), (3, ""), (4, " \n"), (5, "zebra\tquilt")]
+    got = ppm_scores.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 360_001), (1, 360_001), (2, 1), (3, 1), (4, 1), (5, 3)]
+    assert not any(r.held_out for r in got if r.doc_id is None) and len({r.score for r in got if r.n_tokens == 1}) == 1
+    untrained = ppm_scores.scores(spark.createDataFrame([(None, "ab"), (None, "")], "doc_id long, text string")).collect()
+    assert sorted(r.score for r in untrained) == pytest.approx([-3 * math.log10(256), -math.log10(256)]) and {r.n_known for r in untrained} == {0}
+
+
 def test_grams_sum_to_one():
-    gram, _ = ppm_scores.word_grams(np.frombuffer(b"abcabdaba", np.uint8), np.array([0, 3, 6, 9]))
+    text = ppm_scores.stream(np.frombuffer(b"ab c abdab cab c", np.uint8), np.array([0, 8, 16]))
+    assert text.tobytes() == b"ab c abd\nab cab c\n"
+    gram = np.concatenate([g for g, _ in ppm_scores.gram_slices(text)]).astype(np.int64)
+    assert gram[0] == int.from_bytes(b"\n\n\n\n\na", "big") and gram[12] == int.from_bytes(b"\n\nab c", "big")
     pairs = np.zeros((256, 256))
     np.add.at(pairs, ((gram >> 8) & 255, gram & 255), 1)
-    context = 0x20206162
+    context = int.from_bytes(b" c ab", "big")
     asked = np.unique(np.concatenate([gram[(gram >> 8 & 0xFFFF) == context & 0xFFFF], (context << 8) + np.arange(256)]))
     count = np.array([(gram == g).sum() for g in asked], float)
     p = 10 ** ppm_scores.log_probabilities(asked, count, pairs)[(asked >> 8) == context]
