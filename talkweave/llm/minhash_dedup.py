@@ -13,10 +13,11 @@ confirmed on their full shingle sets (see ``linking``).
 
 Defined cases.  Null, empty or blank texts have the empty set (size 0), are
 linked with nothing and form components of their own.  Texts of 1 to k-1 words
-are one shingle.  Equal texts, repeated rows of one doc_id and ties share the
-smallest doc_id.  Extra columns are ignored; an empty table gives an empty
-result.  Rows whose doc_id is null are kept and linked like others by their set,
-but never represent a group unless all its rows are null.
+are one shingle.  Equal texts and ties share the smallest doc_id.  Rows are told
+apart by numbers of their own: rows of one doc_id with different texts are linked
+each by its own set, and so are rows whose doc_id is null; a component is named by
+its smallest doc_id, and has none if all its rows are null.  Extra columns are
+ignored; an empty table gives an empty result.
 
 Scale.  One pass over the text gives 128 + 8 m / 4 bytes a document; everything
 after works on that, except for the sets of documents that share a band.
@@ -144,34 +145,42 @@ def possible(percent: int):
     return test
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Every row's (doc_id, n_shingles, component_id, kept) under Jaccard similarity of word shingles.
+def components(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(_row, doc_id, n_shingles, root) of rows with a number of their own in _row: rows of one root are one component.
 
-    docs: doc_id, text.  kept marks one document of each component, the one with the smallest doc_id.
+    rows: _row, doc_id, text.  Rows without a shingle have no root.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketched = scratch.save(sketches(docs, words), "sketches")
+    scratch = Scratch(rows.sparkSession, "minhash")
+    sketched = scratch.save(sketches(rows.select(F.col("_row").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "_row"), "sketches")
     key = ["size", "d1", "d2"]
-    classes = scratch.save(sketched.where("size > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
+    classes = scratch.save(sketched.where("size > 0").groupBy(*key).agg(F.min("_row").alias("id"), F.first("signature").alias("signature")), "classes")
     width = 2 * ROWS
     buckets = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * width + 1, width)) for i in range(BANDS)])
-    items = classes.where("id IS NOT NULL").select("id", "size", "signature", buckets.alias("buckets"))
+    items = classes.select("id", "size", "signature", buckets.alias("buckets"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        rows = docs.withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi")
-        return sets(rows, words)
+        return sets(rows.select(F.col("_row").alias("id"), "text").join(small(ids), "id", "left_semi"), words)
 
     roots = link(items, sets_of, possible(percent), np.dtype(np.uint16), percent, scratch)
     named = classes.select(*key, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("root", "id").alias("root"))
-    out = sketched.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.coalesce("root", "doc_id"))
-    return scratch.finish(out.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    out = sketched.select("_row", *key).join(named, key, "left").join(rows.select("_row", "doc_id"), "_row")
+    return scratch.finish(out.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("size").alias("n_shingles"), "root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every row's (doc_id, n_shingles, component_id, kept) under Jaccard similarity of word shingles.
+
+    docs: doc_id, text.  component_id is the smallest doc_id of the row's component, kept marks the rows that have it.
+    """
+    found = components(numbered(docs.select("doc_id", "text")), words, percent)
+    names = found.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicate rows: that of the smallest doc_id, null last; unlinked rows all stay."""
     rows = numbered(docs)
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("rank")).join(groups, "_row")
-    first = ranked.groupBy("component_id").agg(F.min_by("_row", "rank").alias("_row")).select("_row")
+    ranked = components(rows, words, percent).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    first = ranked.groupBy(F.coalesce("root", "_row").alias("root"), F.col("root").isNull()).agg(F.min_by("_row", "rank").alias("_row")).select("_row")
     return rows.join(first, "_row", "left_semi").select(docs.columns)
