@@ -51,8 +51,6 @@ COVERED = 0.6
 #: Distinct contents of a host that a template's substring is in at least: their number, and their share of all.
 LEAST = 3
 SHARE = 0.5
-#: Rows of lists by host that are broadcast at most.
-FEW = 100_000
 
 # What elements, roles and names of classes and ids mean.
 RAW = "script style noscript template textarea title xmp iframe noembed noframes"
@@ -73,12 +71,14 @@ h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p
 VOID = "area base br col embed hr img input link meta param source track wbr"
 
 _RAW, _SKIPPED, _ROLES, _NAMES, _MAIN, _MAIN_NAMES, _BLOCKS, _VOID = (frozenset(x.split()) for x in (RAW, SKIPPED, SKIPPED_ROLES, SKIPPED_NAMES, MAIN, MAIN_NAMES, BLOCKS, VOID))
+# Quotes hold a value only after an equals sign, as in browsers; elsewhere they are characters.  All loops are possessive, so that a page takes time in proportion to its length.
+_WITHIN = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+"
 _TOKEN = re.compile(
-    r"(?P<text>[^<]+)|<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(_RAW)) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z|(?P<stray><)",
+    r"(?P<text>[^<]++)|<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(sorted(_RAW)) + rf")\b{_WITHIN}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?:(?P<attributes>{_WITHIN})>|(?P<cut>[^>]*+)>)|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z|(?P<stray><)",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 
 KEEP, DROP, OPEN = "keep", "drop", "open"
 
@@ -126,6 +126,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         name = (m["name"] or "").lower()
         if not name:
             continue
+        attributes = m["attributes"] or m["cut"] or ""
         if name == "br":
             held.append(" ")
         if name in _BLOCKS:
@@ -142,13 +143,13 @@ def blocks(page: str) -> list[tuple[str, str]]:
                         break
                 state = stack[-1][1] if stack else OPEN
             continue
-        if name in _VOID or m["attributes"].endswith("/"):
+        if name in _VOID or attributes.endswith("/"):
             continue
         if stack and stack[-1][0] == "p" and name in _BLOCKS:  # a paragraph ends where a block begins
             stack.pop()
             depth = depths.pop()
             state = stack[-1][1] if stack else OPEN
-        means = _meaning(name, m["attributes"])
+        means = _meaning(name, attributes)
         if means and state != DROP and means != state:
             flush()
             stack.append((name, means))
@@ -193,6 +194,26 @@ def _cut(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
+def unique_blocks(blocks_: list[str], heads: list[list[int]], repeated: set[int]) -> list[str]:
+    """The blocks that repeated substrings cover for less than COVERED of their tokens; all of them if none is left.
+
+    A token is covered if one of the suffix heads that reach it is repeated, so runs of repeated
+    heads are the longer repeated substrings, and what is between them is the page's own.
+    """
+    kept = []
+    for text, own in zip(blocks_, heads, strict=True):
+        tokens = len(text.split(" "))
+        reach = RUN if len(own) > 1 else tokens
+        covered = end = 0
+        for at, head in enumerate(own):
+            if head in repeated:
+                covered += at + reach - max(end, at)
+                end = at + reach
+        if covered < COVERED * tokens:
+            kept.append(text)
+    return kept or blocks_
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """Every row's (page_id, url, text, n_chars). pages: page_id, url, html."""
     scratch = Scratch(pages.sparkSession, "pages")
@@ -201,24 +222,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     heads = cut.where("content IS NOT NULL").select("host", "content", F.explode(F.array_distinct(F.flatten("heads"))).alias("head")).distinct()
     heads = scratch.save(heads, "heads")
     many = heads.groupBy("host", "head").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    contents = heads.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= LEAST)
-    repeated = scratch.save(many.join(small(contents, FEW), "host").where(F.col("n") >= SHARE * F.col("all")).select("host", "head"), "repeated")
-    found = heads.join(small(repeated, FEW), ["host", "head"]).groupBy("host", "content").agg(F.collect_set("head").alias("repeated"))
-    found = found.withColumnsRenamed({"host": "_h", "content": "_c"})
-
-    # a token is covered if one of the RUN suffix heads that reach it is repeated
-    def unique(index: F.Column) -> F.Column:
-        own = F.col("heads")[index]
-        tokens = F.size(F.split(F.col("undecided")[index], " "))
-        reach = F.when(F.size(own) > 1, F.lit(RUN)).otherwise(tokens)
-        hit = lambda i: F.array_contains("repeated", own[i])
-        last = F.size(own) - 1
-        covered = F.size(F.filter(F.sequence(F.lit(0), tokens - 1), lambda t: F.exists(F.sequence(F.greatest(F.lit(0), t - reach + 1), F.least(t, last)), hit)))
-        return covered < COVERED * tokens
-
-    judged = cut.join(found, (F.col("host") == F.col("_h")) & (F.col("content") == F.col("_c")), "left")
-    judged = judged.withColumn("repeated", F.coalesce("repeated", F.array().cast("array<bigint>")))
-    judged = judged.withColumn("own", F.when(F.size("repeated") == 0, F.col("undecided")).otherwise(F.filter("undecided", lambda _, i: unique(i))))
-    rest = F.when(F.size("own") == 0, F.col("undecided")).otherwise(F.col("own"))
-    judged = judged.withColumn("text", F.array_join(F.concat("kept", rest), "\n"))
+    contents = scratch.save(heads.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all")).where(F.col("all") >= LEAST), "contents")
+    repeated = scratch.save(many.join(small(contents, F.length("host")), "host").where(F.col("n") >= SHARE * F.col("all")).select("host", "head"), "repeated")
+    found = heads.join(small(repeated, F.length("host")), ["host", "head"]).groupBy("host", "content").agg(F.collect_set("head").alias("repeated"))
+    found = scratch.save(found.withColumnsRenamed({"host": "_h", "content": "_c"}), "found")
+
+    @F.arrow_udf("array<string>")
+    def unique(undecided: pa.Array, own: pa.Array, told: pa.Array) -> pa.Array:
+        rows = zip(undecided.to_pylist(), own.to_pylist(), told.to_pylist(), strict=True)
+        return pa.array([unique_blocks(b, h, set(t)) if t else b for b, h, t in rows], pa.list_(pa.string()))
+
+    judged = cut.join(small(found, F.length("_h") + 32 + 8 * F.size("repeated")), (F.col("host") == F.col("_h")) & (F.col("content") == F.col("_c")), "left")
+    judged = judged.withColumn("text", F.array_join(F.concat("kept", unique("undecided", "heads", "repeated")), "\n"))
     return scratch.finish(judged.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
