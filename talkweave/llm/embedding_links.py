@@ -17,11 +17,12 @@ forest, so no result grows with the square of a group.
 
 Defined cases.  Null, empty or zero vectors, and those with null or non-finite
 components, are linked with nothing.  Vectors of different lengths are not linked.
-Repeated rows of one vec_id are rows of their own.  Extra columns, labels included,
-are ignored.  Rows with a null vec_id are linked and counted, but name no component.
+Rows are linked by their vectors alone: rows of one vec_id, or of none, with different
+vectors are linked each by its own, and a component is named by its smallest vec_id
+(by none, if all are null).  Extra columns, labels included, are ignored.
 
 Scale.  All pairs are compared because links are exact; the work is cut into equal
-tile pairs of bounded memory, each of which reads two tiles.
+tile pairs of bounded memory; a task holds one tile and takes its partners as they come.
 """
 
 from __future__ import annotations
@@ -101,26 +102,37 @@ def compare(raw_a: np.ndarray, raw_b: np.ndarray, basis: np.ndarray, threshold:
         yield i[ok] + k, j[ok]
 
 
-def _linked(classes: DataFrame, dims: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """(node, other, links) of the distinct vectors of one length: counts have other null, forest edges have links 0."""
+def _linked(classes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, other, links) of distinct vectors: counts have other null, forest edges have links 0.
+
+    classes: id, n, dims, embedding.  The basis is fitted to the most frequent length; vectors of
+    other lengths keep their own, as every orthonormal basis gives the same links.
+    """
     context = classes.sparkSession.sparkContext
-    number = classes.count()
-    sample = classes.where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, SAMPLE / number))).select("embedding").toPandas()
-    basis = np.eye(dims)
+    main = classes.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
+    if main is None:
+        return classes.select(F.col("id").alias("node"), F.col("id").alias("other"), F.col("n").alias("links"))
+    sample = classes.where((F.col("dims") == main["dims"]) & (F.pmod(F.xxhash64("embedding"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, SAMPLE / main["count"])))).select("embedding").toPandas()
+    basis = np.eye(main["dims"])
     if len(sample):
         unit = _unit(np.array(sample["embedding"].tolist(), np.float64))
         basis = np.linalg.eigh(unit.T @ unit)[1][:, ::-1].copy()
     shared = context.broadcast(basis)
 
+    def own(dims: int) -> np.ndarray:
+        return shared.value if len(shared.value) == dims else np.eye(dims)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                raw = batch["embedding"].flatten().to_numpy().reshape(-1, dims)
-                angle = np.arccos(np.clip(_unit(raw) @ shared.value[:, 0], -1, 1))
-                yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(angle)], ["id", "n", "raw", "angle"])
+            length = batch["dims"].to_numpy()
+            for dims in np.unique(length).tolist():
+                part = batch.filter(pa.array(length == dims))
+                raw = part["embedding"].flatten().to_numpy().reshape(-1, dims)
+                angle = np.arccos(np.clip(_unit(raw) @ own(dims)[:, 0], -1, 1))
+                yield pa.RecordBatch.from_arrays([part["id"], part["n"], part["dims"], pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(angle)], ["id", "n", "dims", "raw", "angle"])
 
-    placed = scratch.save(classes.mapInArrow(place, "id long, n long, raw binary, angle double"), "placed")
-    parts = max(1, math.ceil(number / (4 * TILE)))
+    placed = scratch.save(classes.select("id", "n", "dims", "embedding").mapInArrow(place, "id long, n long, dims int, raw binary, angle double"), "placed")
+    parts = max(1, math.ceil(placed.count() / (4 * TILE)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -129,14 +141,19 @@ def _linked(classes: DataFrame, dims: int, threshold: float, scratch: Scratch) -
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
             angle = t["angle"].to_numpy()
-            return pa.RecordBatch.from_pylist([{
-                "tile": TaskContext.get().partitionId() * (1 << 24) + tile, "low": float(angle.min()), "high": float(angle.max()),
-                "ids": t["id"].to_numpy().tobytes(), "ns": t["n"].to_numpy().tobytes(), "raws": b"".join(t["raw"].to_pylist()),
-            }])
+            return pa.RecordBatch.from_arrays([
+                pa.array([TaskContext.get().partitionId() * (1 << 24) + tile]), t["dims"].combine_chunks()[:1], pa.array([float(angle.min())]), pa.array([float(angle.max())]),
+                *[pa.array([x], pa.binary()) for x in (t["id"].to_numpy().tobytes(), t["n"].to_numpy().tobytes(), b"".join(t["raw"].to_pylist()))],
+            ], ["tile", "dims", "low", "high", "ids", "ns", "raws"])
 
         for batch in batches:
             while batch.num_rows:
-                head = batch.slice(0, TILE - size)
+                length = batch["dims"].to_numpy()
+                if size and held[0]["dims"][0].as_py() != length[0]:
+                    yield out()
+                    held, size, tile = [], 0, tile + 1
+                same = int(np.argmax(length != length[0])) or batch.num_rows  # a tile holds one length
+                head = batch.slice(0, min(TILE - size, same))
                 held.append(head)
                 size += head.num_rows
                 batch = batch.slice(head.num_rows)
@@ -146,32 +163,40 @@ def _linked(classes: DataFrame, dims: int, threshold: float, scratch: Scratch) -
         if size:
             yield out()
 
-    ordered = placed.repartitionByRange(parts, "angle").sortWithinPartitions("angle")
-    tiles = scratch.save(ordered.mapInArrow(pack, "tile long, low double, high double, ids binary, ns binary, raws binary"), "tiles")
+    ordered = placed.repartitionByRange(parts, "dims", "angle").sortWithinPartitions("dims", "angle")
+    tiles = scratch.save(ordered.mapInArrow(pack, "tile long, dims int, low double, high double, ids binary, ns binary, raws binary"), "tiles")
 
     reach = math.acos(threshold) + 1e-6
     bucket = lambda x: F.floor(F.col(x) / reach)
-    left = tiles.select(F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(bucket("low") - 1, bucket("high") + 1)).alias("bucket"))
-    right = tiles.select(F.col("tile").alias("b"), "low", "high", F.explode(F.sequence(bucket("low"), bucket("high"))).alias("bucket"))
+    left = tiles.select("dims", F.col("tile").alias("a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), F.explode(F.sequence(bucket("low") - 1, bucket("high") + 1)).alias("bucket"))
+    right = tiles.select("dims", F.col("tile").alias("b"), "low", "high", F.explode(F.sequence(bucket("low"), bucket("high"))).alias("bucket"))
     near = (F.col("low") - F.col("high_a") <= reach) & (F.col("low_a") - F.col("high") <= reach)
-    pairs = left.join(right, "bucket").where(near & (F.col("a") <= F.col("b"))).select("a", "b").distinct()
-    data = tiles.select("tile", "ids", "ns", "raws")
-    for side in ("a", "b"):
-        pairs = pairs.join(data.withColumnsRenamed({"tile": side, "ids": f"ids_{side}", "ns": f"ns_{side}", "raws": f"raws_{side}"}), side)
+    pairs = left.join(right, ["dims", "bucket"]).where(near & (F.col("a") <= F.col("b"))).select("dims", "a", "b").distinct()
     count = tiles.count()
-    pairs = pairs.repartition(max(1, min(count * (count + 1) // 2, 4096)), "a", "b")
+    # a task holds the left tile of a run of pairs and takes the right ones as they come
+    groups = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(max(1, 64 // count))))
+    lefts = groups.select("dims", "a", "part").distinct().select("dims", "a", "part", F.col("a").alias("tile"), F.lit(0).alias("right"))
+    rows = lefts.unionByName(groups.select("dims", "a", "part", F.col("b").alias("tile"), F.lit(1).alias("right"))).join(tiles.select("tile", "ids", "ns", "raws"), "tile")
+    rows = rows.repartition(max(1, min(count * max(1, 64 // count), 4096)), "a", "part").sortWithinPartitions("a", "part", "right", "tile")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis, mine = None, None
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda name, kind: np.frombuffer(batch[name][row].as_buffer(), kind)  # noqa: B023, E731
-                same = batch["a"][row] == batch["b"][row]
-                ids_a, ids_b, n_a, n_b = (get(c, np.int64) for c in ("ids_a", "ids_b", "ns_a", "ns_b"))
+                dims = batch["dims"][row].as_py()
+                tile = (get("ids", np.int64), get("ns", np.int64), get("raws", np.float64).reshape(-1, dims))
+                if not batch["right"][row].as_py():
+                    mine = tuple(x.copy() for x in tile)
+                    basis = own(dims)
+                    continue
+                same = batch["a"][row] == batch["tile"][row]
+                (ids_a, n_a, raw_a), (ids_b, n_b, raw_b) = mine, tile
                 links_a, links_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
                 shift = 0 if same else len(ids_a)
                 nodes = ids_a if same else np.concatenate([ids_a, ids_b])
                 forest = np.arange(len(nodes))
-                for i, j in compare(get("raws_a", np.float64).reshape(-1, dims), get("raws_b", np.float64).reshape(-1, dims), shared.value, threshold, same):
+                for i, j in compare(raw_a, raw_b, basis, threshold, same):
                     np.add.at(links_a, i, n_b[j])
                     np.add.at(links_a if same else links_b, j, n_a[i])
                     forest = _roots(len(nodes), np.concatenate([np.arange(len(nodes)), i]), np.concatenate([forest, j + shift]))
@@ -181,7 +206,7 @@ def _linked(classes: DataFrame, dims: int, threshold: float, scratch: Scratch) -
                 other = pa.array(np.concatenate([np.zeros(len(some), np.int64), nodes[forest[edge]]]), mask=np.arange(len(node)) < len(some))
                 yield pa.RecordBatch.from_arrays([pa.array(node), other, pa.array(np.concatenate([links[some], np.zeros(len(edge), np.int64)]))], ["node", "other", "links"])
 
-    return pairs.mapInArrow(work, "node long, other long, links long")
+    return rows.select("dims", "a", "tile", "right", "ids", "ns", "raws").mapInArrow(work, "node long, other long, links long")
 
 
 def near_links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
@@ -194,18 +219,15 @@ def near_links(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("embedding", F.when(usable, F.col("embedding")))
-    classes = scratch.save(rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).withColumn("dims", F.size("embedding")), "classes")
-    named = classes.where("vec_id IS NOT NULL").withColumnRenamed("vec_id", "id")
-    found = None
-    for (dims,) in sorted(named.select("dims").distinct().collect()):
-        one = _linked(named.where(F.col("dims") == dims).select("id", "n", "embedding"), dims, threshold, scratch)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = scratch.save(found, "found")
+    # distinct vectors have numbers of their own: vec_ids may be null or repeated
+    classes = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    classes = scratch.save(classes.withColumns({"dims": F.size("embedding"), "id": F.monotonically_increasing_id()}), "classes")
+    found = scratch.save(_linked(classes, threshold, scratch), "found")
     links = found.where("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
-    judged = named.join(links.withColumnRenamed("node", "id"), "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    judged = judged.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
-    out = rows.join(judged, "embedding", "left").withColumn("component_id", F.coalesce("root", "vec_id"))
+    judged = classes.join(links.withColumnRenamed("node", "id"), "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    judged = judged.select("embedding", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
+    names = judged.groupBy("root").agg(F.min("first").alias("name"))
+    named = judged.join(names, "root").select("embedding", "links", "name", F.lit(True).alias("linked"))
+    out = rows.join(named, "embedding", "left").withColumn("component_id", F.when(F.col("linked"), F.col("name")).otherwise(F.col("vec_id")))
     return scratch.finish(out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")))
