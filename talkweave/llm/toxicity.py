@@ -19,8 +19,8 @@ Labels, lang, source and doc_id are never inputs.
 
 Defined cases.  A null, empty or wordless text gets the score of the bias alone.
 Rows without labels, with null labels or labelled twice: null labels are not
-learnt from, repeated ones count as often as they occur.  Without any label all
-scores are 0.5 and nothing is predicted toxic.  Repeated rows score alike; extra columns are ignored or carried.
+learnt from, and of repeated rows of one doc_id one teaches.  Without any label all
+scores are UNTRAINED, below the threshold.  Repeated rows score alike; extra columns are ignored or carried.
 
 Scale.  Scoring is one scan without a shuffle; the model, 2**BITS * (1 + FACTORS)
 floats whatever the corpus, is broadcast.
@@ -57,6 +57,8 @@ ALL_RATE = 0.01
 LASSO = 0.2
 THRESHOLD = 0.5
 
+#: The score of every text where there are no labels.
+UNTRAINED = 0.25
 #: ASCII other than letters and digits separates words.
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[[c for c in range(128) if not chr(c).isalnum()]] = True
@@ -140,7 +142,7 @@ def fit_all(first: Model, terms: np.ndarray, number: np.ndarray, labels: np.ndar
 def fit_strong(terms: np.ndarray, number: np.ndarray, labels: np.ndarray) -> Model:
     """AdaGrad on the logistic loss over terms that are strong alone; rows in an order drawn once."""
     if not len(labels):
-        return Model(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), False)
+        return Model(float(np.log(UNTRAINED / (1 - UNTRAINED))), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), False)
     rng = np.random.default_rng(0)
     share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     w, v = np.zeros(1 << BITS), rng.normal(0, 0.02, (1 << BITS, FACTORS))
@@ -191,7 +193,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, label: str, most: int) -> Data
     number = wanted.count()
     if number > most:
         wanted = wanted.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * most / number))
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "label")
+    # repeated rows of one doc_id, here or there, teach once
+    return docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("row")).select("doc_id", "row.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE) -> Model:
@@ -221,8 +224,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(p)], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
-    above = (F.col("score") >= THRESHOLD) & F.lit(model.trained)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", above.cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
