@@ -124,6 +124,9 @@ class Model:
         for a in range(0, len(vectors), BLOCK):
             cosine = vectors[a : a + BLOCK] @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            border = np.take_along_axis(cosine, near, 1).min(1)
+            for i in np.flatnonzero((cosine >= border[:, None]).sum(1) > k):  # ties at the border go to the smaller doc_id
+                near[i] = np.lexsort((np.arange(cosine.shape[1]), -cosine[i]))[:k]
             weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6).astype(np.float64) ** POWER
             out[a : a + BLOCK] = (weight * self.labels[near]).sum(1) / weight.sum(1)
         return np.clip(out, 0, 1)
