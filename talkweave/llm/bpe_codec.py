@@ -168,9 +168,9 @@ def decode(frame: DataFrame, content: bytes, ids: str = "ids", column: str = "de
 
 
 def round_trip(docs: DataFrame, content: bytes) -> DataFrame:
-    """Every row's (doc_id, n_tokens, ids_sha256, decoded_sha256, decoded): encoded, then decoded from the ids."""
+    """Every row's (doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, then decoded from the ids."""
     shared = _shared(docs, content)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = parse(shared.value)
@@ -178,12 +178,11 @@ def round_trip(docs: DataFrame, content: bytes) -> DataFrame:
         for block in T.blocks(batches, "text", BLOCK_BYTES):
             tokens, number = encode_rows(T.strings(block["text"]), vocabulary)
             at = np.concatenate([[0], np.cumsum(number)])
-            hashes, texts, digests = [], [], []
+            hashes, digests = [], []
             for k in range(len(number)):
                 ids = tokens[at[k] : at[k + 1]]
                 hashes.append(hashlib.sha256(",".join(map(names.__getitem__, ids.tolist())).encode()).hexdigest())
-                texts.append(decode_ids(ids, vocabulary).decode("utf-8", "replace"))
-                digests.append(hashlib.sha256(texts[-1].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(number.astype(np.int64)), pa.array(hashes, pa.string()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"])
+                digests.append(hashlib.sha256(decode_ids(ids, vocabulary).decode("utf-8", "replace").encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([block["doc_id"], pa.array(number.astype(np.int64)), pa.array(hashes, pa.string()), pa.array(digests, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, schema)

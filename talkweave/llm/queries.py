@@ -53,7 +53,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe_codec.round_trip(_table(spark, folder, "documents"), vocabulary()).drop("decoded")
+    return bpe_codec.round_trip(_table(spark, folder, "documents"), vocabulary())
 
 
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:

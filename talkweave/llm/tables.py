@@ -7,20 +7,27 @@ of a recomputation, and nothing depends on one machine's disk.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkweave.sources.shared import fresh_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one is made only where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+
+_opened: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Tables of all operator calls inside are deleted on leaving; what is kept must be written by then."""
+    _opened.append([])
+    try:
+        yield
+    finally:
+        for scratch in _opened.pop():
+            scratch.drop(list(scratch.paths))
 
 
 class Scratch:
@@ -28,9 +35,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.folder = fresh_folder(spark, name)
         self.paths: list[str] = []
         self.count = 0
+        if _opened:
+            _opened[-1].append(self)
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         """The frame, written and read back."""

@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -88,6 +89,11 @@ def test_minhash_against_all_pairs(docs, texts):
 
 def test_minhash_empty_and_null_ids(spark, docs):
     assert minhash_dedup.near_duplicates(docs.limit(0)).count() == 0
+    words = [f"w{k}" for k in range(100)]
+    near, other = " ".join(words), " ".join([*words[:-1], "x"])
+    rows = [(None, near), (9, other), (3, near.upper()), (3, "unlike all others here"), (5, "unlike all others here"), (None, "alone a b c d e")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted([(None, 3, False), (9, 3, False), (3, 3, True), (3, 3, True), (5, 3, False), (None, None, False)], key=repr)
     odd = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(odd).collect()) == [(-1, 4, False), (2, 2, True), (4, 4, True), (4, 4, True)]
 
@@ -154,6 +160,20 @@ def test_embeddings_against_all_pairs(spark):
     assert embedding_links.near_links(none).first().n_links == 0 and embedding_links.near_links(none.limit(0)).count() == 0
 
 
+def test_embeddings_with_null_and_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0]), (None, [1.0, 0.02]), (None, [-1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (1, [3.0])]
+    got = embedding_links.near_links(spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label string, n_links int")).collect()
+    expected = [(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (7, 1, 5, False), (None, 2, 5, False), (None, 0, None, False), (8, 1, 2, False), (2, 1, 2, True), (1, 0, 1, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+
+
+def test_embeddings_of_one_large_group(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.array([1.0, 0, 0, 0]) + rng.normal(scale=0.01, size=4)]) for i in range(9000)]
+    got = embedding_links.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).groupBy("n_links", "component_id").count().collect()
+    assert [tuple(r) for r in got] == [(8999, 0, 9000)]
+
+
 def test_ppm_against_brute_force(spark, docs, texts):
     tokens = {i: [*spaced(t), None] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
@@ -245,7 +265,8 @@ def test_codec_and_counts_against_library(spark, library, texts):
     for r in decoded.collect():
         assert r.ids == expected[r.doc_id] and r.decoded == (r.text or "") == library.decode(r.ids, skip_special_tokens=False)
     for r in bpe_codec.round_trip(rows, content).collect():
-        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, expected[r.doc_id])).encode()).hexdigest()
+        text = every[r.doc_id] if r.doc_id < 9999 else ""
+        assert r.asDict() == {"doc_id": r.doc_id, "n_tokens": len(expected[r.doc_id]), "ids_sha256": hashlib.sha256(",".join(map(str, expected[r.doc_id])).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(text.encode()).hexdigest()}
     for r in token_counts.token_counts(rows, content).collect():
         text = every[r.doc_id] if r.doc_id < 9999 else ""
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), len(expected[r.doc_id]), len(expected[r.doc_id]) > 1024)
@@ -328,6 +349,36 @@ def test_main_text_keeps_copies_on_a_host(spark):
     assert [got[30 + k] for k in range(8)] == [words("d")] * 4 + [words(f"d{k}x") for k in range(4, 8)] and got[None] == words("e")
 
 
+def test_main_text_odd_pages(spark):
+    schema = "page_id long, url string, html string, text long, n_chars string"
+    words = " ".join(f"w{k}" for k in range(200_000))
+    pages = [(1, "http://a", f"<article>{words}</article>"), (2, "http://a", "<a " + '"' * 3000), (3, None, "<p title=it's>x</p>" + "<b =\"" * 2000), (4, "http://a", "<article>x<b <c>y</article>"), (4, "http://a", "<article>x<b <c>y</article>"), (None, None, None)]
+    frame = spark.createDataFrame([(*p, 7, "q") for p in pages], schema)
+    begin = time.perf_counter()
+    got = sorted(((r.page_id or 0, r.text) for r in main_text.main_texts(frame).collect()), key=repr)
+    assert time.perf_counter() - begin < 60
+    assert got[0] == (0, "") and got[1] == (1, words) and got[4] == got[5] == (4, "xy")
+    assert dict(got)[3].startswith("x")
+    assert main_text.main_texts(frame.limit(0)).count() == 0
+
+
+def test_unique_blocks_against_all_substrings():
+    rng = random.Random(7)
+    for _ in range(200):
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(4)]
+        heads = [x.tolist() for x in main_text._hashes(texts)]
+        runs = {tuple(t.split()[k : k + 5]) for t in texts for k in range(max(1, len(t.split()) - 4))}
+        chosen = {r for r in runs if rng.random() < 0.4}
+        names = {h: r for t, own in zip(texts, heads) for h, r in zip(own, [tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))])}
+        kept = []
+        for t in texts:
+            w = t.split()
+            covered = {p for k in range(len(w)) for r in chosen if tuple(w[k : k + len(r)]) == r and (len(r) == 5 or len(r) == len(w)) for p in range(k, k + len(r))}
+            if len(covered) < main_text.COVERED * len(w):
+                kept.append(t)
+        assert main_text.unique_blocks(texts, heads, {h for h, r in names.items() if r in chosen}) == (kept or texts)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
@@ -350,6 +401,38 @@ def test_toxicity_recall_on_held_out_rows(tables):
     assert len(toxic) >= 5 and toxic["predicted"].mean() >= 0.5 and clean["predicted"].mean() <= 0.05
 
 
+def test_toxicity_on_the_large_held_out_rows(spark):
+    read = lambda name: spark.read.parquet(FOLDER.replace("sf0.001", "sf0.1") + f"/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    rows = toxicity.toxicity(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    assert rows[rows["toxic"] == 1]["predicted"].mean() >= 0.8 and rows[rows["toxic"] == 0]["predicted"].mean() <= 0.02
+    rows = quality.quality(docs, quality.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
+    assert rows[rows["quality"] == 1]["predicted"].mean() >= 0.8 and rows[rows["quality"] == 0]["predicted"].mean() <= 0.2
+
+
+def test_logits_against_all_pairs():
+    rng = np.random.default_rng(0)
+    w, v = rng.normal(size=50), rng.normal(size=(50, 4))
+    sets = [np.sort(rng.choice(50, size=n, replace=False)) for n in (1, 2, 9, 0, 30)]
+    got = toxicity.Model(-0.3, w, v).logits(np.concatenate(sets), np.array([len(s) for s in sets]))
+    expected = [-0.3 + w[s].sum() + sum(v[a] @ v[b] for k, a in enumerate(s) for b in s[k + 1 :]) / max(len(s), 1) for s in sets]
+    assert got == pytest.approx(expected)
+
+
+def test_votes_against_a_loop():
+    rng = np.random.default_rng(1)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    vectors = unit(rng.normal(size=(60, 6)))
+    vectors[20:40] = vectors[0]  # ties beyond the border
+    labels, asked = rng.integers(0, 2, 60).astype(float), unit(np.concatenate([rng.normal(size=(30, 6)), vectors[:1]]))
+    got = quality.Model(None, None, vectors, labels).scores(asked)
+    for x, score in zip(asked, got, strict=True):
+        cosine = vectors @ x
+        near = sorted(range(60), key=lambda i: (-cosine[i], i))[: quality.NEIGHBOURS]
+        weight = [max(float(cosine[i]), 1e-6) ** quality.POWER for i in near]
+        assert score == pytest.approx(sum(a * labels[i] for a, i in zip(weight, near, strict=True)) / sum(weight), rel=1e-4)
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_toxicity_learns_a_pair_neutral_alone(strict):
     """Terms 1 and 2 are toxic together, clean alone; the rest is toxic, by term 3 unless strict. Each alone is toxic in half its rows, like all rows."""
@@ -373,7 +456,8 @@ def test_classifiers_without_labels_or_text(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100000), (3, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, toxic int, quality int")
     for model, score in ((toxicity.train(odd, labels), toxicity.toxicity), (quality.train(odd, labels), quality.quality)):
-        assert [r.score for r in score(odd, model).collect()] == [0.5] * 4
+        rows = score(odd, model).collect()
+        assert len({r.score for r in rows}) == 1 and all(r.predicted == (r.score >= (0.5 if score is toxicity.toxicity else 0.3)) for r in rows)
         assert score(odd.limit(0), model).count() == 0
     one = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1)], "doc_id long, toxic int, quality int")
     assert quality.quality(odd, quality.train(odd, one)).count() == 4 and toxicity.toxicity(odd, toxicity.train(odd, one)).count() == 4
