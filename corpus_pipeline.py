@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import bpe_codec, decontaminate, line_dedup, minhash_dedup, toxicity
 from talkweave.llm.queries import vocabulary
-from talkweave.llm.tables import Scratch
+from talkweave.llm.tables import Scratch, released
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = scratch.save(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = list(scratch.paths)
+        with released():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
