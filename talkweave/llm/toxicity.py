@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
-from talkweave.llm.tables import numbered
 
 BITS = 18
 FACTORS = 4
@@ -211,6 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return fit(np.concatenate([np.zeros(0, np.uint32), *sets]).astype(np.int64), np.array([len(x) for x in sets], np.int64), rows["label"].to_numpy())
 
 
+def _probabilities(model: Model, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    terms, number = term_sets(data, at)
+    return 1 / (1 + np.exp(-np.clip(model.logits(terms.astype(np.int64), number), -700, 700)))
+
+
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """Every row's (doc_id, held_out, score, predicted)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -219,16 +223,20 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
         fitted = shared.value
         for batch in batches:
             for part, data, at in T.pieces(batch, "text"):
-                terms, number = term_sets(data, at)
-                p = 1 / (1 + np.exp(-np.clip(fitted.logits(terms.astype(np.int64), number), -700, 700)))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(p)], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(_probabilities(fitted, data, at))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that aren't predicted toxic, each judged by its own text."""
-    rows = numbered(docs)
-    toxic = toxicity(rows.select(F.col("_row").alias("doc_id"), "text"), train(rows, labels)).where("predicted = 1").select(F.col("doc_id").alias("_row"))
-    return rows.join(toxic, "_row", "left_anti").select(docs.columns)
+    """The rows that aren't predicted toxic, each judged by its own text as it passes through."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for batch in batches:
+            for part, data, at in T.pieces(batch, "text"):
+                yield part.filter(pa.array(_probabilities(fitted, data, at) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
