@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
 from talkweave.llm.linking import link
-from talkweave.llm.tables import Scratch, numbered, small
+from talkweave.llm.tables import Scratch, small
 
 WORDS = 5
 PERCENT = 85
@@ -78,7 +78,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarr
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, size, d1, d2, signature) of every row: set size, a 128-bit digest of the set, and the registers."""
+    """(doc_id, text_hash, size, d1, d2, signature) of every row: set size, a 128-bit digest of the set, and the registers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +91,11 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     digests.append((sums[at_row[1:]] - sums[at_row[:-1]]).view(np.int64))
                 reg = registers(h, number)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(number.astype(np.int64)), *map(pa.array, digests), T.binaries(reg.ravel(), np.full(len(number), REGISTERS))],
-                    ["doc_id", "size", "d1", "d2", "signature"],
+                    [part["doc_id"], part["text_hash"], pa.array(number.astype(np.int64)), *map(pa.array, digests), T.binaries(reg.ravel(), np.full(len(number), REGISTERS))],
+                    ["doc_id", "text_hash", "size", "d1", "d2", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, size long, d1 long, d2 long, signature binary")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(sketch, "doc_id long, text_hash long, size long, d1 long, d2 long, signature binary")
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -145,13 +145,14 @@ def possible(percent: int):
     return test
 
 
-def components(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(_row, doc_id, n_shingles, root) of rows with a number of their own in _row: rows of one root are one component.
+def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(_row, doc_id, text_hash, n_shingles, root) of every row: rows of one root are one component.
 
-    rows: _row, doc_id, text.  Rows without a shingle have no root.
+    docs: doc_id, text.  _row numbers the rows as they are sketched.  Rows without a shingle have no root.
     """
-    scratch = Scratch(rows.sparkSession, "minhash")
-    sketched = scratch.save(sketches(rows.select(F.col("_row").alias("doc_id"), "text"), words).withColumnRenamed("doc_id", "_row"), "sketches")
+    scratch = Scratch(docs.sparkSession, "minhash")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    sketched = scratch.save(sketches(docs, words).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     key = ["size", "d1", "d2"]
     classes = scratch.save(sketched.where("size > 0").groupBy(*key).agg(F.min("_row").alias("id"), F.first("signature").alias("signature")), "classes")
     width = 2 * ROWS
@@ -159,12 +160,14 @@ def components(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     items = classes.select("id", "size", "signature", buckets.alias("buckets"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return sets(rows.select(F.col("_row").alias("id"), "text").join(small(ids), "id", "left_semi"), words)
+        places = sketched.select(F.col("_row").alias("id"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).join(small(ids), "id")
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t"))
+        return sets(docs.join(small(scratch.save(places, "places")), same), words)
 
     roots = link(items, sets_of, possible(percent), np.dtype(np.uint16), percent, scratch)
     named = classes.select(*key, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(*key, F.coalesce("root", "id").alias("root"))
-    out = sketched.select("_row", *key).join(named, key, "left").join(rows.select("_row", "doc_id"), "_row")
-    return scratch.finish(out.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("size").alias("n_shingles"), "root"))
+    out = sketched.select("_row", "doc_id", "text_hash", *key).join(named, key, "left")
+    return scratch.finish(out.select("_row", "doc_id", "text_hash", F.col("size").alias("n_shingles"), "root"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -172,15 +175,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     docs: doc_id, text.  component_id is the smallest doc_id of the row's component, kept marks the rows that have it.
     """
-    found = components(numbered(docs.select("doc_id", "text")), words, percent)
+    found = components(docs, words, percent)
     names = found.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = found.join(names, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicate rows: that of the smallest doc_id, null last; unlinked rows all stay."""
-    rows = numbered(docs)
-    ranked = components(rows, words, percent).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    first = ranked.groupBy(F.coalesce("root", "_row").alias("root"), F.col("root").isNull()).agg(F.min_by("_row", "rank").alias("_row")).select("_row")
-    return rows.join(first, "_row", "left_semi").select(docs.columns)
+    """One row of each group of near-duplicate rows: that of the smallest doc_id, null last; unlinked rows all stay.
+
+    Rows of one doc_id and text are equal here, so any one of them may stay.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    keys = components(docs, words, percent).where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    best = keys.groupBy("root").agg(F.count("*").alias("keys"), F.min(rank).alias("best"))
+    judged = keys.join(best, "root").withColumn("stays", rank == F.col("best"))
+    # rows that go, and those that stay once; all others need no mention
+    special = scratch.save(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "stays"), "special")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    told = docs.join(small(special), same, "left")
+    once = told.where("stays").dropDuplicates(["_d", "_t"])
+    return told.where("stays IS NULL").unionByName(once).select(docs.columns)
