@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talkweave.llm.tables import Scratch, numbered
+from talkweave.llm.tables import Scratch, small
 
 K = 5
 WINDOW = 10
@@ -122,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     item_windows = _windows(item_windows, lengths).select("item_id", "fit", F.explode_outer("windows").alias("x")).where("x.length = fit")
     item_windows = scratch.save(item_windows.select("item_id", "x.length", "x.h1", "x.h2").distinct(), "item-windows")
     suspects = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    suspects = suspects.join(possible.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi")
+    suspects = suspects.join(small(possible.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t"})), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi")
     suspects = suspects.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
     places = _windows(suspects, lengths).select("doc_id", "text_hash", F.explode_outer("windows").alias("x")).select("doc_id", "text_hash", "x.*")
     hit = scratch.save(places.join(_checked(item_windows, item_windows.count()), ["length", "h1", "h2"]).select("doc_id", "text_hash", "place", "length", "item_id"), "hits")
@@ -152,7 +152,7 @@ def _report(judged: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """The rows that hold no window of any benchmark item, each judged by its own text."""
-    rows = numbered(docs)
-    hit = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("_row"))
-    return rows.join(hit, "_row", "left_anti").select(docs.columns)
+    """The rows that hold no window of any benchmark item, each judged by its own text (told apart by 64 bits of a hash)."""
+    name = F.xxhash64(F.lit("clean"), F.col("text"))
+    hit = contamination(docs.select(name.alias("doc_id"), "text"), benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("_name")).distinct()
+    return docs.join(small(hit), name == F.col("_name"), "left_anti")
