@@ -20,14 +20,20 @@ _opened: list[list[Scratch]] = []
 
 
 @contextmanager
-def released() -> Iterator[None]:
-    """Tables of all operator calls inside are deleted on leaving; what is kept must be written by then."""
+def opened() -> Iterator[list[Scratch]]:
+    """Collects the tables of all operator calls inside, for ``release`` once nothing reads them any more."""
     _opened.append([])
     try:
-        yield
+        yield _opened[-1]
     finally:
-        for scratch in _opened.pop():
-            scratch.drop(list(scratch.paths))
+        _opened.pop()
+
+
+def release(tables: list[Scratch]) -> None:
+    """Delete the tables, and forget them."""
+    for scratch in tables:
+        scratch.drop(list(scratch.paths))
+    tables.clear()
 
 
 class Scratch:
@@ -64,11 +70,6 @@ class Scratch:
         return result
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The rows, saved with a number of their own in _row: a key where doc_id is null or repeated."""
-    return Scratch(docs.sparkSession, "rows").save(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
 #: Bytes that may be broadcast.
 BROADCAST = 64 << 20
 
