@@ -15,8 +15,16 @@ among those that end here, that may stand after the last token at its own begin:
 two tokens may be neighbours if no merge across their border would have been
 applied before the merges that made them.  So the next state and the growth
 follow from state and byte alone.  States are compiled when first reached and
-kept in tables, which are dropped and begun anew beyond MOST_STATES.  All
-distinct pieces of a block run at once, one byte per step; long pieces run alone.
+kept in tables, which are dropped and begun anew beyond MOST_STATES.
+
+Pieces are cut into chunks of CHUNK bytes, and all distinct chunks of a block run at
+once, one byte per step.  A chunk's map tells, for each state in which it may begin,
+the state in which it ends and the tokens it adds.  A piece begins in the first state;
+a later chunk may begin there (a guess, so that no chunk waits for another) or where
+the maps of the chunk before end.  Encodings soon fall into step whatever stood
+before, so nearly all maps have two entries; entries are added until no map ends in
+a state that the next one lacks.  The maps of a piece are then composed by a parallel
+prefix scan (pointer doubling), which gives its count whatever its length.
 
 Defined cases.  A null or empty text has no bytes and no tokens.  The special
 token's string inside a text counts as one token.  Repeated rows give repeated
@@ -43,8 +51,8 @@ from talkweave.llm.vocabulary import Vocabulary, parse
 
 LIMIT_TOKENS = 1024
 MOST_STATES = 400_000
-#: Pieces of more bytes run one by one.
-LONG = 96
+#: Bytes of a chunk, the part of a piece that has a map of its own.
+CHUNK = 96
 BLOCK_BYTES = 4 << 20
 
 
@@ -178,47 +186,64 @@ class Transducer:
         if len(self.keys) > MOST_STATES:
             self.clear()
         length = np.diff(starts)
+        number = -(-length // CHUNK)  # chunks of each piece
+        first = np.cumsum(number) - number
+        piece = np.repeat(np.arange(len(length)), number)
+        begin = starts[:-1][piece] + CHUNK * (np.arange(len(piece)) - first[piece])
+        size = np.minimum(CHUNK, starts[1:][piece] - begin)
         out = np.zeros(len(length), np.int64)
-        run = np.flatnonzero((length > 0) & (length <= LONG))
-        run = run[np.argsort(-length[run], kind="stable")]
-        alive = np.searchsorted(-length[run], -np.arange(LONG + 1), "left")  # alive[k]: pieces with more than k bytes
-        begin = starts[:-1][run]
-        state, total = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
-        for k in range(LONG):
+        whole, several = number[piece] == 1, np.flatnonzero(number > 1)
+        out[piece[whole]] = self.run(data, begin[whole], size[whole], np.zeros(whole.sum(), np.int64))[1]
+        if len(several):
+            heads = np.cumsum(number[several]) - number[several]
+            out[several] = self._composed(data, begin[~whole], size[~whole], heads)
+        return out
+
+    def run(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where chunks of at most CHUNK bytes end that begin in the given states, and the tokens they add."""
+        order = np.argsort(-size, kind="stable")
+        alive = np.searchsorted(-size[order], -np.arange(CHUNK + 1), "left")  # alive[k]: chunks with more than k bytes
+        begin, at, total = begin[order], state[order], np.zeros(len(order), np.int64)
+        for k in range(CHUNK):
             m = int(alive[k])
             if not m:
                 break
-            key = state[:m] * 256 + data[begin[:m] + k]
+            key = at[:m] * 256 + data[begin[:m] + k]
             place = self.find(key)
             if (place < 0).any():
                 for missing in np.unique(key[place < 0]).tolist():
                     self.compile(missing >> 8, missing & 255)
                 place = self.find(key)
             total[:m] += self.grows[place]
-            state[:m] = self.next[place]
-        out[run] = total
-        for i in np.flatnonzero(length > LONG):
-            out[i] = self._long(data[starts[i] : starts[i + 1]].tolist())
-        return out
-
-    def _long(self, piece: list[int]) -> int:
-        state = total = 0
-        for byte in piece:
-            place = self.place(state * 256 + byte)
-            if place < 0:
-                self.compile(state, byte)
-                place = self.place(state * 256 + byte)
-            total += int(self.grows[place])
-            state = int(self.next[place])
-        return total
-
-    def place(self, key: int) -> int:
-        at = self.home(key)
-        while self.slots[at] != key:
-            if self.slots[at] < 0:
-                return -1
-            at = (at + 1) & (len(self.slots) - 1)
-        return at
+            at[:m] = self.next[place]
+        end, added = np.empty_like(at), np.empty_like(total)
+        end[order], added[order] = at, total
+        return end, added
+
+    def _composed(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Number of tokens of each piece of several chunks; heads: the pieces' first chunks, ascending."""
+        texts = [data[a : a + n].tobytes() for a, n in zip(begin.tolist(), size.tolist(), strict=True)]
+        content = pa.array(texts, pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
+        sample = np.unique(content, return_index=True)[1]  # a chunk of each content
+        last = np.zeros(len(begin), bool)
+        last[np.append(heads[1:], len(begin)) - 1] = True
+        # an entry of a map: its chunk and state as one number, where it ends, what it adds
+        entries, ends, adds = (np.zeros(0, np.int64) for _ in range(3))
+        new = np.arange(len(begin)) << 32
+        while len(new):
+            chunk = new >> 32
+            runs, which = np.unique(content[chunk] << 32 | new & 0xFFFFFFFF, return_inverse=True)
+            one = sample[runs >> 32]
+            end, added = (x[which] for x in self.run(data, begin[one], size[one], runs & 0xFFFFFFFF))
+            entries, ends, adds = (np.concatenate(x) for x in ((entries, new), (ends, end), (adds, added)))
+            new = np.setdiff1d((chunk + 1 << 32 | end)[~last[chunk]], entries)
+        order = np.argsort(entries)
+        entries, ends, adds = entries[order], ends[order], np.append(adds[order], 0)
+        chunk = entries >> 32
+        then = np.append(np.where(last[chunk], len(entries), np.searchsorted(entries, chunk + 1 << 32 | ends)), len(entries))
+        for _ in range(int(np.diff(np.append(heads, len(begin))).max()).bit_length()):
+            adds, then = adds + adds[then], then[then]
+        return adds[np.searchsorted(entries, heads << 32)]
 
 
 @functools.lru_cache(maxsize=1)

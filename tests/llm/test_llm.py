@@ -278,6 +278,19 @@ def test_decode_keeps_invalid_bytes_visible():
     assert bpe_codec.decode_ids(np.array([int(v.byte_id[0xE9])]), v).decode("utf-8", "replace") == "�"
 
 
+def test_long_pieces_against_library(library, monkeypatch):
+    rng = random.Random(8)
+    drawn = lambda parts, n: "".join(rng.choice(parts) for _ in range(n))
+    n = 6000
+    long = ["a" * n, "ab" * n, "=" * n, " " * n, "日本語中文" * n, drawn("abcdefghijklmnopqrstuvwxyz", n), drawn(["th", "ing", "er"], n), drawn("=-_*#", n), drawn("éßñж日", n), "." * n + "x " + "." * 97]
+    machine = token_counts.Transducer(parse(vocabulary()))
+    expected = [len(library.encode(t, add_special_tokens=False).ids) for t in long]
+    assert token_counts.count_rows(pa.array(long), machine).tolist() == expected
+    for size in (1, 7, 5000):  # the cut of pieces into chunks must not matter
+        monkeypatch.setattr(token_counts, "CHUNK", size)
+        assert token_counts.count_rows(pa.array([t[:700] for t in long]), machine).tolist() == [len(library.encode(t[:700], add_special_tokens=False).ids) for t in long]
+
+
 def test_transducer_is_dropped_and_rebuilt(monkeypatch):
     machine = token_counts.Transducer(parse(vocabulary()))
     first = token_counts.count_rows(pa.array(strange()), machine)
