@@ -47,10 +47,10 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """Start and end of each non-blank line without outer white space, its row, and its number in the row."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 4
-    word_start, word_end, _ = T.words(data, at)
-    feeds = np.cumsum(data == 0x0A)
-    row = np.searchsorted(at, word_start, "right") - 1
-    before = np.concatenate([[0], feeds])
+    word_start, word_end, words = T.words(data, at)
+    row = np.repeat(np.arange(len(words)), words)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(data == 0x0A, out=before[1:])
     number = before[word_start] - before[at[row]]
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
@@ -69,15 +69,15 @@ def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: T.
     first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
     whole = last - first >= CHARS
     number = np.where(whole, last - first - CHARS + 1, 1)
-    ends = np.append(begins, len(data))
     inside = np.zeros(len(begins) + 1, np.int8)
     inside[first] = 1
     inside[np.where(whole, last - CHARS + 1, first + 1)] -= 1
-    picked = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    stop = ends[np.minimum(picked + CHARS, len(begins))]
+    picked = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    edges = np.append(begins, np.full(CHARS, len(data)))
+    hashes = spans.steps(edges, CHARS)[picked]
     short = np.flatnonzero(~whole)
-    stop[(np.cumsum(number) - number)[short]] = end[short]
-    return spans.hash(ends[picked], stop), number
+    hashes[(np.cumsum(number) - number)[short]] = spans.sum(start[short], end[short])
+    return T.mix(hashes), number
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 18
+PIECE_BYTES = 1 << 17
 
 #: Word separators U+0020 and U+0009-U+000D.
 IS_SPACE = np.zeros(256, bool)
@@ -23,17 +23,21 @@ IS_SPACE[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
-    return h
+    out = h >> np.uint64(30)
+    out ^= h
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    shifted = out >> np.uint64(27)
+    out ^= shifted
+    out *= np.uint64(0x94D049BB133111EB)
+    shifted = np.right_shift(out, np.uint64(31), out=shifted) if out.ndim else out >> np.uint64(31)
+    out ^= shifted
+    return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -58,12 +62,34 @@ class Spans:
 
     def __init__(self, values: np.ndarray, base: np.uint64 = BASES[0]):
         p, self.inverse = powers(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * p[: len(values)], out=self.sums[1:])
+        self.sums = np.empty(len(values) + 1, np.uint64)
+        self.sums[0], rest = 0, self.sums[1:]
+        np.add(values, np.uint64(1), out=rest)
+        rest *= p[: len(values)]
+        np.cumsum(rest, out=rest)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return mix(self.sum(start, end))
+
+    def sum(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash before it is mixed."""
+        h = self.sums[end]
+        h -= self.sums[start]
+        h *= self.inverse[start]
+        length = (end - start).astype(np.uint64)
+        length *= LENGTH
+        h += length
+        return h
+
+    def steps(self, edges: np.ndarray, width: int) -> np.ndarray:
+        """The sums of the spans from each of ascending edges to the one ``width`` further on."""
+        at, start = self.sums[edges], edges[:-width]
+        h = at[width:] - at[:-width]
+        h *= self.inverse[start]
+        length = (edges[width:] - start).view(np.uint64)
+        length *= LENGTH
+        h += length
+        return h
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
