@@ -495,3 +495,58 @@ def test_pipeline(spark):
         w = word.findall(lower(r.text))
         assert not any(tuple(w[k : k + 10]) in windows for k in range(len(w) - 9))
     assert F is not None
+
+
+def test_pipeline_against_brute_force(spark, library, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    given = [(100 + k, ("vile " if k % 4 == 1 else "kind ") + words(25)) for k in range(240)]
+    own = [t for _, t in given]
+    broken = lambda t, n: "\n".join(" ".join(t.split()[k : k + n]) for k in range(0, len(t.split()), n))
+    item = words(40)
+    shared = words(20)
+    given += [(1, None), (2, ""), (3, " \n\t"), (None, "kind " + words(30))]
+    given += [(400 + k, f"kind {words(20)}\n{shared[:-k] if k else shared}") for k in range(4)]  # one line in four spellings
+    given += [(500 + k, broken(own[4 * k], 7)) for k in range(5)]  # copies whose lines are cut elsewhere
+    given += [(510, "  " + own[0] + " \n" + own[2]), (511, f"kind\t{words(3)}\n" * 3)]  # lines that stand elsewhere, a line three times
+    given += [(600 + k, f"kind {words(15)}\n{words(4)} {' '.join(item.split()[3 * k : 3 * k + 9 + k % 2])} {words(4)}") for k in range(6)]  # nine words of an item, or ten
+    rng.shuffle(given)
+    folder = str(tmp_path)
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in given]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int((t or "").startswith("vile"))) for i, t in given if i is not None], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    left = sorted((r for r in given if not (r[1] or "").startswith("vile")), key=lambda r: -1 if r[0] is None else r[0])
+    # lines: the first of each component stays
+    lines = [(n, k, x.strip(WHITE)) for n, (_, t) in enumerate(left) for k, x in enumerate((t or "").split("\n")) if x.strip(WHITE)]
+    keys = list(dict.fromkeys(x for _, _, x in lines))
+    sets = [frozenset(x[k : k + 8] for k in range(max(len(x) - 7, 1))) for x in keys]
+    roots = components(range(len(keys)), [(a, b) for a in range(len(keys)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    seen, gone, had = set(), defaultdict(set), defaultdict(int)
+    for n, k, x in lines:
+        root = roots[keys.index(x)]
+        had[n] += 1
+        if root in seen:
+            gone[n].add(k)
+        seen.add(root)
+    kept = [(i, t if not gone[n] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[n])) for n, (i, t) in enumerate(left) if not had[n] or len(gone[n]) < had[n]]
+    assert len(kept) < len(left) and any(gone[n] and len(gone[n]) < had[n] for n in range(len(left)))
+    # near-duplicates: the smallest doc_id of each component stays
+    grams = [frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if (w := spaced(t)) else frozenset() for _, t in kept]
+    links = [(a, b) for a in range(len(kept)) for b in range(a) if grams[a] and grams[b] and 100 * len(grams[a] & grams[b]) >= 80 * len(grams[a] | grams[b])]
+    roots = components(range(len(kept)), links)
+    assert len(links) >= 4
+    kept = [r for n, r in enumerate(kept) if roots[n] == n]
+    # benchmark: a shared window of ten words
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    tens = lambda t: {tuple(w[k : k + 10]) for w in [word.findall(lower(t))] for k in range(len(w) - 9)}
+    expected = [r for r in kept if not tens(r[1]) & tens(item)]
+    assert len(kept) - len(expected) == 3
+    got = corpus_pipeline.run(spark, folder).collect()
+    order = lambda found: sorted(found, key=repr)
+    assert order((r.doc_id, r.text, r.source, r.n_chars) for r in got) == order((i, t, "web", None if t is None else len(t)) for i, t in expected)
+    for r in got:
+        assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids) and r.round_trip
