@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talkweave.llm.tables import Scratch, small
+from talkweave.llm.tables import Scratch, fresh, small
 
 K = 5
 WINDOW = 10
@@ -153,6 +153,6 @@ def _report(judged: DataFrame, hits: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """The rows that hold no window of any benchmark item, each judged by its own text (told apart by 64 bits of a hash)."""
-    name = F.xxhash64(F.lit("clean"), F.col("text"))
-    hit = contamination(docs.select(name.alias("doc_id"), "text"), benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("_name")).distinct()
-    return docs.join(small(hit), name == F.col("_name"), "left_anti")
+    name, (hashed,) = F.xxhash64(F.lit("clean"), F.col("text")), fresh(docs, "_hashed")
+    hit = contamination(docs.select(name.alias("doc_id"), "text"), benchmark, window, k).where("contaminated").select(F.col("doc_id").alias(hashed)).distinct()
+    return docs.join(small(hit), name == F.col(hashed), "left_anti")

@@ -11,12 +11,13 @@ stays; all others go.
 Defined cases.  A null text stays null; empty and blank texts stay as they are.
 Documents all of whose non-blank lines go are empty after it (``keep_lines`` drops
 them on request).  Rows that repeat both doc_id and text are one document and keep
-the same lines.  Null doc_ids come first in order.  Extra columns are carried by
-``keep_lines``; columns named as those it adds are replaced.  Items are told apart by
-128 bits and named by the first 64.
+the same lines.  Null doc_ids come first in order.  Extra columns, whatever their
+names, are carried by ``keep_lines``; those named n_lines and n_removed are replaced.
+Items are told apart by 128 bits of hash and named by numbers of their own.
 
-Scale.  One pass gives about 100 bytes a line; equal lines are summed before the
-shuffle, in buffers of fixed width.  Only lines that share a band are read again.
+Scale.  One pass gives about 150 bytes a line; equal lines are summed before the
+shuffle, in buffers of fixed width.  Only lines that share a band are read again; a
+band has 64 bits, so that strangers share none even among 10**9 lines.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
 from talkweave.llm.linking import link
-from talkweave.llm.tables import Scratch, small
+from talkweave.llm.tables import Scratch, fresh, small
 
 CHARS = 8
 PERCENT = 80
@@ -39,8 +40,8 @@ BANDS, ROWS = 14, 4
 REGISTERS = BANDS * ROWS
 #: Standard deviations under the threshold at which signatures rule a pair out.
 MARGIN = 4.0
-#: The signature as long columns of eight registers each.
-SIGNATURE = [f"s{i}" for i in range(REGISTERS // 8)]
+#: The signature: a long column for each band, of ROWS registers of 16 bits.
+SIGNATURE = [f"s{i}" for i in range(BANDS)]
 
 
 def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +87,7 @@ def _constants() -> tuple[np.ndarray, np.ndarray]:
 
 
 def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """REGISTERS independent minima of each row of hashes, mixed down to 8 bits."""
+    """REGISTERS independent minima of each row of hashes, mixed down to 16 bits."""
     out = np.empty((REGISTERS, len(number)), np.uint32)
     starts = np.cumsum(number) - number
     high, room = (hashes >> np.uint64(32)).astype(np.uint32), np.empty(len(hashes), np.uint32)
@@ -94,7 +95,7 @@ def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
         np.bitwise_xor(high, s, out=room)
         np.multiply(room, m, out=room)
         np.minimum.reduceat(room, starts, out=out[i])
-    return (T.mix(out.T.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8)
+    return (T.mix(out.T.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -177,30 +178,34 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     signed = scratch.save(_signed(docs), "lines")
     place = F.struct("doc_id", "text_hash", "line")
     largest = [F.max(c).alias(c) for c in SIGNATURE]  # equal lines have equal values, or none
-    classes = scratch.save(signed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *largest), "classes")
-    band = lambda i: F.shiftrightunsigned(SIGNATURE[i // 2], 32 * (i % 2)).bitwiseAND(0xFFFFFFFF) + F.lit(i << 32)
-    items = classes.select(F.col("h1").alias("id"), F.lit(0).cast("long").alias("size"), F.array(*SIGNATURE).alias("signature"), F.array(*map(band, range(BANDS))).alias("buckets"))
+    summed = signed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *largest)
+    classes = scratch.save(summed.withColumn("id", F.monotonically_increasing_id()), "classes")
+    bands = F.array(*[F.xxhash64(F.lit(i), s) for i, s in enumerate(SIGNATURE)])
+    items = classes.select("id", F.lit(0).cast("long").alias("size"), F.array(*SIGNATURE).alias("signature"), bands.alias("buckets"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        copies = signed.select("doc_id", "text_hash", "line", F.col("h1").alias("id")).join(small(ids), "id")
+        named = scratch.save(classes.select("id", "h1", "h2").join(small(ids), "id"), "named")
+        copies = signed.select("doc_id", "text_hash", "line", "h1", "h2").join(small(named), ["h1", "h2"])
         first = copies.groupBy("id").agg(F.min(place).alias("first")).select("id", "first.*")
         return _sets(docs, scratch.save(first.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "places"))
 
-    roots = link(items, sets_of, _possible, np.dtype(np.uint8), PERCENT, scratch, _unpack)
-    # only lines with copies or links can go; an unlinked line's component is told by both halves of its hash
-    touched = classes.select("h1", "h2", "copies").join(roots.withColumnRenamed("node", "h1"), "h1", "left").where("copies > 1 OR root IS NOT NULL")
-    touched = scratch.save(touched.select("h1", "h2", F.coalesce("root", "h1").alias("root"), F.when(F.col("root").isNull(), F.col("h2")).otherwise(0).alias("half")), "touched")
+    roots = link(items, sets_of, _possible, np.dtype(np.uint16), PERCENT, scratch, _unpack)
+    # only lines with copies or links can go
+    touched = classes.select("id", "h1", "h2", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 OR root IS NOT NULL")
+    touched = scratch.save(touched.select("h1", "h2", F.coalesce("root", "id").alias("root")), "touched")
     several = scratch.save(signed.select("doc_id", "text_hash", "line", "h1", "h2").join(small(touched), ["h1", "h2"]).drop("h1", "h2"), "several")
-    keepers = scratch.save(several.groupBy("root", "half").agg(F.min(place).alias("keeper")), "keepers")
-    goes = several.join(small(keepers, F.lit(48)), ["root", "half"]).where(~place.eqNullSafe(F.col("keeper")))
+    keepers = scratch.save(several.groupBy("root").agg(F.min(place).alias("keeper")), "keepers")
+    goes = several.join(small(keepers, F.lit(48)), "root").where(~place.eqNullSafe(F.col("keeper")))
     return scratch.finish(goes.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
 def _rewritten(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """docs with n_lines and n_removed, and their texts without the removed lines."""
-    removed = removed.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "removed": "_removed"})
-    joined = docs.join(small(removed, 16 + 4 * F.size("_removed")), F.col("_key").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_t")), "left").drop("_d", "_t", "_key", "_hash")
-    joined = joined.withColumns({"n_lines": F.lit(0), "n_removed": F.coalesce(F.size("_removed"), F.lit(0))})
+    doc, hashed, gone_lines = fresh(docs, "_doc", "_hashed", "_removed")
+    removed = removed.withColumnsRenamed({"doc_id": doc, "text_hash": hashed, "removed": gone_lines})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(hashed))
+    joined = docs.join(small(removed, 16 + 4 * F.size(gone_lines)), same, "left").drop(doc, hashed)
+    joined = joined.withColumns({"n_lines": F.lit(0), "n_removed": F.coalesce(F.size(gone_lines), F.lit(0))})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,15 +213,15 @@ def _rewritten(docs: DataFrame, removed: DataFrame) -> DataFrame:
                 count = np.bincount(lines(data, at)[2], minlength=len(part)).astype(np.int32)
                 gone = part["n_removed"].to_numpy() > 0
                 texts = []
-                for text, numbers in zip(part["text"].filter(pa.array(gone)).to_pylist(), part["_removed"].filter(pa.array(gone)).to_pylist(), strict=True):
+                for text, numbers in zip(part["text"].filter(pa.array(gone)).to_pylist(), part[gone_lines].filter(pa.array(gone)).to_pylist(), strict=True):
                     drop = set(numbers)
                     texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop))
                 columns = dict(zip(part.schema.names, part.columns, strict=True)) | {"n_lines": pa.array(count)}
                 columns["text"] = pc.replace_with_mask(part["text"], pa.array(gone), pa.array(texts, part["text"].type))
-                del columns["_removed"]
+                del columns[gone_lines]
                 yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
-    return joined.mapInArrow(cut, joined.drop("_removed").schema)
+    return joined.mapInArrow(cut, joined.drop(gone_lines).schema)
 
 
 def keep_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
@@ -224,6 +229,6 @@ def keep_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 
     drop_emptied leaves out documents that had lines and kept none.
     """
-    docs = docs.drop("n_lines", "n_removed").withColumns({"_key": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    out = _rewritten(docs, removed_lines(docs.select(F.col("_key").alias("doc_id"), "text", F.col("_hash").alias("text_hash"))))
+    docs = docs.drop("n_lines", "n_removed")
+    out = _rewritten(docs, removed_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))))
     return out.where("n_removed = 0 OR n_removed < n_lines") if drop_emptied else out

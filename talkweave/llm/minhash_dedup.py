@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from talkweave.llm import text as T
 from talkweave.llm.linking import link
-from talkweave.llm.tables import Scratch, small
+from talkweave.llm.tables import Scratch, fresh, small
 
 WORDS = 5
 PERCENT = 85
@@ -135,7 +135,6 @@ def possible(percent: int):
     def test(size_a: np.ndarray, size_b: np.ndarray, sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
         ok = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
         where = np.flatnonzero(ok)
-        where = where[(sig_a[where] == sig_b[where]).mean(1) >= least - 0.1]
         ok[:] = False
         for k in range(0, len(where), 4096):
             w = where[k : k + 4096]
@@ -189,11 +188,12 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFram
     scratch = Scratch(docs.sparkSession, "keep-one")
     keys = components(docs, words, percent).where("root IS NOT NULL").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    doc, text, stays = fresh(docs, "_doc", "_text", "_stays")
     best = keys.groupBy("root").agg(F.count("*").alias("keys"), F.min(rank).alias("best"))
     judged = keys.join(best, "root").withColumn("stays", rank == F.col("best"))
     # rows that go, and those that stay once; all others need no mention
-    special = scratch.save(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "stays"), "special")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    special = scratch.save(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text), F.col("stays").alias(stays)), "special")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
     told = docs.join(small(special), same, "left")
-    once = told.where("stays").dropDuplicates(["_d", "_t"])
-    return told.where("stays IS NULL").unionByName(once).select(docs.columns)
+    once = told.where(F.col(stays)).dropDuplicates([doc, text])
+    return told.where(F.col(stays).isNull()).unionByName(once).select(docs.columns)

@@ -70,6 +70,18 @@ class Scratch:
         return result
 
 
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores after them as it takes to differ from all columns of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bytes that may be broadcast.
 BROADCAST = 64 << 20
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 1 << 17
 
@@ -57,10 +58,20 @@ def powers(base: np.uint64, size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(int(base), 1 << max(20, int(size).bit_length()))
 
 
+#: Values of a span that the running sum hashes.
+SHORT = 32
+
+
 class Spans:
-    """Hashes of any spans of one sequence, from one running sum."""
+    """Hashes of any spans of one sequence: of up to SHORT values from one running sum, of more by xxhash.
+
+    The sum is a polynomial modulo 2**64.  For such there are long sequences (from 2**10
+    values) that collide for every base, as their difference is a product of many even
+    factors; that of two short ones has fewer than 20 factors of two from there, of 64.
+    """
 
     def __init__(self, values: np.ndarray, base: np.uint64 = BASES[0]):
+        self.values = values
         p, self.inverse = powers(base, len(values) + 1)
         self.sums = np.empty(len(values) + 1, np.uint64)
         self.sums[0], rest = 0, self.sums[1:]
@@ -69,10 +80,15 @@ class Spans:
         np.cumsum(rest, out=rest)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(self.sum(start, end))
+        h = mix(self.sum(start, end))
+        long = np.flatnonzero(end - start > SHORT)
+        if len(long):
+            raw, width = self.values.tobytes(), self.values.itemsize
+            h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip((start[long] * width).tolist(), (end[long] * width).tolist(), strict=True)]
+        return h
 
     def sum(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hash before it is mixed."""
+        """The hash of short spans before it is mixed."""
         h = self.sums[end]
         h -= self.sums[start]
         h *= self.inverse[start]
@@ -82,7 +98,7 @@ class Spans:
         return h
 
     def steps(self, edges: np.ndarray, width: int) -> np.ndarray:
-        """The sums of the spans from each of ascending edges to the one ``width`` further on."""
+        """The sums of the (short) spans from each of ascending edges to the one ``width`` further on."""
         at, start = self.sums[edges], edges[:-width]
         h = at[width:] - at[:-width]
         h *= self.inverse[start]
@@ -166,7 +182,7 @@ def shingles(word_hash: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndar
 
 
 #: Bits of a hash that ``distinct`` keeps; the other bits number the rows sorted together.
-HASH_BITS = 52
+HASH_BITS = 58
 
 
 def distinct(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

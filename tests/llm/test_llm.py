@@ -113,6 +113,50 @@ def test_filters_decide_by_row(spark):
     assert order(kept.collect()) == order([r for r in given if r[1].startswith("kind")])
 
 
+def thue_morse(n):
+    """A word and its complement that collide in every polynomial hash modulo 2**64."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_do_not_collide(spark):
+    x, y = thue_morse(2048)
+    spaces = x.translate(str.maketrans("ab", " a")), y.translate(str.maketrans("ab", " a"))
+    rows = [(1, f"{x} one"), (2, f"{y} one"), (3, f"{spaces[0]} z"), (4, f"{spaces[1]} z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    pair = frame.where("doc_id < 3")
+    assert sorted((r.doc_id, r.component_id) for r in minhash_dedup.near_duplicates(pair).collect()) == [(1, 1), (2, 2)]
+    assert minhash_dedup.keep_one(pair).count() == 2
+    # the lines have the same eight-letter shingles, so they are equal sets, but the counts of words differ
+    known = spark.createDataFrame([(1, f"{x} {x}"), (2, f"{y}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm_scores.scores(known).collect()}
+    assert [(got[i].n_tokens, got[i].n_known) for i in (1, 2)] == [(3, 3), (2, 2 if zlib.crc32(b"2") % 10 else 1)]
+    lines = spark.createDataFrame([(1, f"{'q' * 40}{x}{'r' * 40}"), (2, f"{'s' * 2100}{y}{'t' * 2100}")], "doc_id long, text string")
+    assert sum(r.n_removed for r in line_dedup.keep_lines(lines).collect()) == 0
+    from talkweave.llm import text as T
+
+    data = np.frombuffer((x + y).encode(), np.uint8)
+    a, b = T.Spans(data).hash(np.array([0, 2048]), np.array([2048, 4096]))
+    assert a != b
+
+
+def test_helper_names_as_columns(spark):
+    """Columns with any name an operator might use inside are carried unchanged."""
+    names = ["stays", "_stays", "_STAYS_", "_doc", "_text", "_d", "_t", "_name", "_hashed", "_removed", "_key", "_hash", "n", "root", "w", "kept", "score", "held_out", "n_words", "items", "ids"]
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(i, text(i % 4), *[f"{c}{i}" for c in names]) for i in range(8)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, text(3))], "item_id long, text string")
+    assert sorted(map(tuple, minhash_dedup.keep_one(frame).collect())) == rows[:4]
+    assert sorted(map(tuple, decontaminate.clean(frame, bench).collect())) == [r for r in rows if r[0] % 4 != 3]
+    kept = line_dedup.keep_lines(frame)
+    assert kept.columns == [*frame.columns, "n_lines", "n_removed"]
+    assert sorted((*r[:2], *r[2:-2], r.n_removed) for r in kept.collect()) == [(i, t if i < 4 else "", *rest, int(i >= 4)) for i, t, *rest in rows]
+    assert toxicity.without_toxic(frame, frame.select("doc_id", F.lit(0).alias("toxic"))).columns == frame.columns
+
+
 def test_register_estimates():
     rng = np.random.default_rng(0)
     errors = []
