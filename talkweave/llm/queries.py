@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import bpe_codec, decontaminate, embedding_links, line_dedup, main_text, minhash_dedup, oracles, ppm_scores, quality, token_counts, toxicity
+from talkweave.llm import bpe_codec, decontaminate, embedding_links, language_id, line_dedup, main_text, minhash_dedup, oracles, ppm_scores, quality, ranked_search, spelling, token_counts, toxicity
 
 #: The vocabulary of operators 7 and 9.
 VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,19 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return language_id.languages(docs, language_id.train(docs))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_main_text": op2_main_text,
@@ -80,10 +93,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_decontaminate": op10_decontaminate,
+    "op11_language_id": op11_language_id,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": oracles.MINHASH,
     "op4_embedding_links": oracles.EMBEDDINGS,
     "op10_decontaminate": oracles.DECONTAMINATE,
+    "op12_ranked_search": oracles.SEARCH,
+    "op13_spelling_variants": oracles.SPELLING,
 }
