@@ -5,10 +5,12 @@ All are native expressions.  "White space" is Unicode white space, as (?U)\\s.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -260,13 +262,14 @@ def parse_iso(text: Column) -> Column:
 
 
 def valid_patterns(patterns: list[str]) -> list[str]:
-    """Non-blank patterns that compile; a leading (?i) is dropped, as matching ignores case anyway."""
-    kept = []
-    for p in patterns:
+    """Non-blank patterns that compile where they are matched, in the JVM; a leading (?i) is dropped, as matching ignores case anyway."""
+    java = SparkContext._active_spark_context._jvm.java.util.regex
+
+    def compiles(pattern: str) -> bool:
         try:
-            re.compile(p)
-        except re.error:
-            continue
-        if p.strip():
-            kept.append(p.removeprefix("(?i)"))
-    return kept
+            java.Pattern.compile(pattern)
+        except (IllegalArgumentException, Py4JJavaError):
+            return False
+        return True
+
+    return [p.removeprefix("(?i)") for p in patterns if p.strip() and compiles("(?iu)" + p.removeprefix("(?i)"))]

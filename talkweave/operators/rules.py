@@ -56,6 +56,15 @@ def ai_decision_filter(queue: DataFrame, state: DataFrame, responses: DataFrame,
     return fresh.join(responses.select("item_id", "response"), "item_id", "left").withColumn("skip", skip)
 
 
+def skipped_outcomes(decided: DataFrame, now: Column) -> DataFrame:
+    """Outcomes for ``outcome_updates`` of decided rows: those that are skipped keep title and author, and when they were tried; the others change nothing.
+
+    decided: pos, item_id, title, author, skip.
+    """
+    extra = F.create_map(F.lit("title"), F.col("title"), F.lit("up_name"), F.col("author"), F.lit("last_attempt"), now.cast("string"))
+    return decided.where("skip").select("item_id", F.col("pos").alias("seq"), F.lit("filter").alias("stage"), F.lit("skipped").alias("outcome"), F.lit(None).cast("string").alias("detail"), extra.alias("extra"), F.lit(S.NEW).alias("status"))
+
+
 def lookup_new(queue: DataFrame, state: DataFrame) -> DataFrame:
     status = state.select("item_id", "status")
     return queue.join(status, "item_id", "left").where(F.coalesce("status", F.lit(S.NEW)) == S.NEW).drop("status")

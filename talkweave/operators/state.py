@@ -167,6 +167,7 @@ OUTCOMES = {
     ("llm", "summarized"): (S.SUMMARIZED, None),
     ("llm", "error"): (S.ERROR, "LLM step failed: "),
     ("upload", "uploaded"): (S.UPLOADED, None),
+    ("filter", "skipped"): (S.SKIPPED_AI, None),
 }
 
 

@@ -210,7 +210,8 @@ ORACLES["recovered_midway"] = f"""WITH {_MIDWAY}, {_PRESENT}, n AS (SELECT *, CA
 ORACLES["publish_worklist"] = f"WITH {_MIDWAY}, r AS (SELECT pos, item_id, s AS status, list_position(['summarized', 'corrected', 'transcript_ready', 'summary_ready'], s) AS rank FROM mid) SELECT pos, item_id, status, CAST(rank AS BIGINT) AS rank FROM r WHERE rank > 0"
 ORACLES["combined_stats"] = f"""WITH st AS ({ORACLES["stage_stats"]}) SELECT coalesce(sum(n) FILTER (outcome IN ('downloaded', 'transcribed')), 0) AS processed, coalesce(sum(n) FILTER (outcome = 'transcribed'), 0) AS transcript_ready, coalesce(sum(n) FILTER (outcome = 'corrected'), 0) AS corrected,
   coalesce(sum(n) FILTER (outcome = 'summarized'), 0) AS summarized, coalesce(sum(n) FILTER (outcome = 'download_failed'), 0) AS download_failed, coalesce(sum(n) FILTER (outcome = 'error' AND stage <> 'upload'), 0) AS error FROM st"""
-ORACLES["catalog_files"] = "SELECT CAST(doc_id AS VARCHAR) AS item_id, source AS title, 'http://h/' || doc_id AS url, CAST(n_chars AS INT) AS duration_s, lang AS author, doc_id AS aid FROM documents WHERE doc_id % 7 <> 0 AND doc_id // 1000 % 5 <> 4"
+ORACLES["catalog_files"] = """WITH p AS (SELECT *, row_number() OVER (ORDER BY CAST(doc_id // 100 AS VARCHAR), doc_id) - 1 AS pos FROM documents WHERE doc_id // 100 % 5 <> 4)
+  SELECT pos, CAST(doc_id AS VARCHAR) AS item_id, source AS title, 'http://h/' || doc_id AS url, CAST(n_chars AS INT) AS duration_s, lang AS author, doc_id AS aid FROM p WHERE doc_id % 7 <> 0"""
 ORACLES["state_files"] = f"WITH {_CURRENT} SELECT item_id, status, CASE WHEN status = 'error' THEN 'failed' END AS error, status = 'error' AS has_error FROM cur"
 ORACLES["queue_files"] = f"""WITH {_CURRENT}, r AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS item_id, d.* EXCLUDE (doc_id) FROM documents d), q AS (SELECT r.*, row_number() OVER (ORDER BY doc_id) AS k FROM r LEFT JOIN cur USING (item_id) WHERE coalesce(status, 'new') IN {_QUEUEABLE})
   SELECT k - 1 AS pos, item_id, substr(text, 1, 60) AS title, 'https://example.org/' || item_id AS url, CAST(n_chars AS INT) AS duration_s, source AS author, 1700000000 + doc_id * 60 AS pubdate FROM q WHERE k <= 50"""
@@ -219,3 +220,12 @@ ORACLES["text_files"] = "SELECT source, sum(length(text) + 1) AS n_chars, sum(oc
 ORACLES["eval_files"] = "SELECT lang, 'e' AS engine, count(*) AS n, CAST(0.5 * count(*) AS DOUBLE) AS seconds FROM documents GROUP BY lang"
 ORACLES["state_stream"] = "SELECT CAST(user_id AS VARCHAR) AS item_id, max(event_id) AS seq, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id"
 ORACLES["ingest_stream"] = f"""WITH {_CURRENT}, k AS (SELECT CAST(doc_id AS VARCHAR) AS item_id FROM documents WHERE n_chars >= 300) SELECT item_id, coalesce(status, 'new') AS status, k.item_id IS NOT NULL AS seen, k.item_id IS NOT NULL AND coalesce(status, 'new') IN {_QUEUEABLE} AS queued FROM cur FULL JOIN k USING (item_id)"""
+ORACLES["ingest_in_order"] = f"""WITH {_CURRENT}, p AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, n_chars, row_number() OVER (ORDER BY doc_id // 100 % 5, CAST(doc_id // 100 AS VARCHAR), doc_id) - 1 AS pos FROM documents)
+  SELECT pos, item_id, coalesce(status, 'new') AS status FROM p LEFT JOIN cur USING (item_id) WHERE n_chars >= 300 AND coalesce(status, 'new') IN {_QUEUEABLE} ORDER BY pos LIMIT 120"""
+ORACLES["upsert_stream"] = """WITH u AS (SELECT CAST(user_id AS VARCHAR) AS item_id, event_id, event_type AS t FROM events),
+  g AS (SELECT item_id, arg_max(t, event_id) FILTER (t <> 'click') AS s, arg_max(row(CASE WHEN t = 'error' THEN 'at ' || event_id END), event_id) FILTER (t IN ('error', 'signup')) AS e FROM u GROUP BY item_id),
+  k AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, 'known' AS status, 'old' AS error FROM customer)
+  SELECT item_id, coalesce(s, status) AS status, CASE WHEN e IS NULL THEN error ELSE e[1] END AS error FROM k FULL JOIN g USING (item_id)"""
+ORACLES["skipped_states"] = f"""WITH {_CURRENT}, sk AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS item_id, 'https://example.org/' || doc_id AS title, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+  new AS (SELECT sk.* FROM sk LEFT JOIN cur USING (item_id) WHERE coalesce(status, 'new') = 'new')
+  SELECT item_id, CASE WHEN title IS NULL THEN status ELSE 'skipped_ai' END AS status, title, source AS up_name, CASE WHEN title IS NOT NULL THEN 'now' END AS last_attempt FROM cur FULL JOIN new USING (item_id)"""

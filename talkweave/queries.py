@@ -570,12 +570,12 @@ def combined_stats(s, d):
 @query
 def catalog_files(s, d):
     item = F.struct(F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("bvid"), F.col("source").alias("title"), F.col("n_chars").cast("int").alias("duration"), F.struct(F.col("lang").alias("name")).alias("owner"), F.col("doc_id").alias("aid"))
-    page = F.floor(F.col("doc_id") / 1000)
+    page = F.floor(F.col("doc_id") / 100)
     listed = _docs(s, d).groupBy(page.alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda x: x["i"]).alias("list"))
     path = shared.fresh_folder(s, "catalog")
     code = F.when(F.col("page") % 5 == 4, -1).otherwise(0)
-    listed.select(F.to_json(F.struct(code.alias("code"), F.struct("list").alias("data"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    return files.read_catalog(s, path, "http://h/").select("item_id", "title", "url", "duration_s", "author", "aid")
+    listed.select("page", F.to_json(F.struct(code.alias("code"), F.struct("list").alias("data"))).alias("value")).write.partitionBy("page").text(path)
+    return files.read_catalog(s, path, "http://h/").select("pos", "item_id", "title", "url", "duration_s", "author", "aid")
 
 
 @query
@@ -629,16 +629,39 @@ def eval_files(s, d):
     return s.read.schema(found.schema).json(results)
 
 
+def _streamed(s: SparkSession, d: str, name: str, updates: DataFrame, batches: int) -> DataFrame:
+    """The written changes of a stream of updates in several micro-batches, which cut the order of seq."""
+    path = shared.fresh_folder(s, name)
+    updates.repartitionByRange(batches, F.pmod(F.xxhash64("seq"), F.lit(1009))).write.parquet(f"{path}/in")
+    store, key = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, store)
+    try:
+        stream = s.readStream.schema(updates.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        out = jobs.state_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        out.foreachBatch(lambda frame, number: frame.write.mode("overwrite").parquet(f"{path}/out/batch={number}")).start().awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return s.read.parquet(f"{path}/out")
+
+
 @query
 def state_stream(s, d):
-    """Events as a stream of updates; the folded states of all micro-batches are written, and the last one of each item counts."""
-    path = shared.fresh_folder(s, "stream")
-    B.table(s, d, "events").select(F.col("user_id").cast("string").alias("item_id"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("status")).repartitionByRange(3, F.col("seq") % 10).write.parquet(f"{path}/in")
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    updates = s.readStream.schema("item_id string, seq long, status string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    out = jobs.state_stream(updates).writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    out.foreachBatch(lambda frame, number: frame.write.mode("overwrite").parquet(f"{path}/out/batch={number}")).start().awaitTermination()
-    return s.read.parquet(f"{path}/out").groupBy("item_id").agg(F.max("seq").alias("seq"), F.max_by("status", F.struct("seq", "batch")).alias("status"))
+    """Events as a stream of updates of one field; the last change of each item counts."""
+    updates = B.table(s, d, "events").select(F.col("user_id").cast("string").alias("item_id"), F.col("event_id").cast("long").alias("seq"), F.create_map(F.lit("status"), F.col("event_type")).alias("fields"))
+    return jobs.last_changes(_streamed(s, d, "stream", updates, 3)).select("item_id", "seq", F.col("fields")["status"].alias("status"))
+
+
+@query
+def upsert_stream(s, d):
+    """Events as a stream of partial updates: some name an error, some name it as null, some name nothing."""
+    status = F.create_map(F.lit("status"), F.col("event_type"))
+    failed = F.create_map(F.lit("status"), F.col("event_type"), F.lit("error"), F.when(F.col("event_type") == "error", F.concat(F.lit("at "), F.col("event_id").cast("string"))))
+    fields = F.when(F.col("event_type").isin("error", "signup"), failed).when(F.col("event_type") == "click", F.create_map().cast("map<string,string>")).otherwise(status)
+    updates = B.table(s, d, "events").select(F.col("user_id").cast("string").alias("item_id"), F.col("event_id").cast("long").alias("seq"), fields.alias("fields"))
+    changes = jobs.last_changes(_streamed(s, d, "upserts", updates, 4))
+    known = B.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("item_id"), F.lit("known").alias("status"), F.lit("old").alias("error"))
+    return state.upsert_state(known, changes, ["status", "error"])
 
 
 @query
@@ -648,19 +671,52 @@ def ingest_stream(s, d):
     item = F.struct(F.col("doc_id").cast("string").alias("bvid"), F.col("source").alias("title"), F.col("n_chars").cast("int").alias("duration"))
     listed = _docs(s, d).groupBy(F.floor(F.col("doc_id") / 1000).alias("page")).agg(F.collect_list(item).alias("list"))
     listed.select(F.to_json(F.struct(F.lit(0).alias("code"), F.struct("list").alias("data"))).alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/in")
+    _ingested(s, d, path, f"{path}/in", 1 << 40)
+    queued = s.read.parquet(f"{path}/queue").select("item_id", F.lit(True).alias("queued")).distinct()
+    after = s.read.parquet(f"{path}/state/{sum(1 for _ in _batches(s, path)):06d}")
+    return after.join(queued, "item_id", "left").select("item_id", "status", F.col("last_seen") != "then", F.coalesce("queued", F.lit(False)).alias("queued")).toDF("item_id", "status", "seen", "queued")
+
+
+def _batches(s: SparkSession, path: str) -> list[int]:
+    """Ids of the batches whose queue is written."""
+    return [r.batch for r in s.read.parquet(f"{path}/batches").distinct().collect()]
+
+
+def _ingested(s: SparkSession, d: str, path: str, source: str, most: int) -> None:
+    """One run over new files: the state before batch n is in state/n, its queue in queue/batch=n, and batches names all."""
+    first = f"{path}/state/000000"
     known = B.current(s, d).select("item_id", "status", F.lit("then").alias("first_seen"), F.lit("then").alias("last_seen"), F.lit(None).cast("long").alias("pubdate"))
-    known.write.parquet(f"{path}/state/000000")
-    done = [0]
+    known.write.mode("ignore").parquet(first)
 
     def save(queue: DataFrame, after: DataFrame, number: int) -> None:
         after.write.mode("overwrite").parquet(f"{path}/state/{number + 1:06d}")
-        queue.select("item_id", "status").write.mode("overwrite").parquet(f"{path}/queue/batch={number}")
-        done[0] = number + 1
+        queue.select("pos", "item_id", "status").write.mode("overwrite").parquet(f"{path}/queue/batch={number}")
+        s.range(number, number + 1).withColumnRenamed("id", "batch").write.mode("overwrite").parquet(f"{path}/batches/of={number}")
 
-    load = lambda: s.read.parquet(f"{path}/state/{done[0]:06d}")
-    jobs.incremental_ingest(s, f"{path}/in", f"{path}/checkpoint", "http://h/", rules.Rules(300), load, save, 1 << 40).awaitTermination()
-    queued = s.read.parquet(f"{path}/queue").select("item_id", F.lit(True).alias("queued")).distinct()
-    return load().join(queued, "item_id", "left").select("item_id", "status", F.col("last_seen") != "then", F.coalesce("queued", F.lit(False)).alias("queued")).toDF("item_id", "status", "seen", "queued")
+    load = lambda number: s.read.parquet(f"{path}/state/{number:06d}")
+    jobs.incremental_ingest(s, source, f"{path}/checkpoint", "http://h/", rules.Rules(300), load, save, most).awaitTermination()
+
+
+@query
+def ingest_in_order(s, d):
+    """Catalog files that arrive in five lots, each taken in by a run of its own: the capped queue over all, in order of arrival and path."""
+    path = shared.fresh_folder(s, "lots")
+    item = F.struct(F.col("doc_id").cast("string").alias("bvid"), F.col("source").alias("title"), F.col("n_chars").cast("int").alias("duration"))
+    listed = _docs(s, d).groupBy(F.floor(F.col("doc_id") / 100).alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda x: x["i"]).alias("list"))
+    listed = listed.select("page", F.to_json(F.struct(F.lit(0).alias("code"), F.struct("list").alias("data"))).alias("value"))
+    for lot in range(5):
+        listed.where(F.col("page") % 5 == lot).write.partitionBy("page").text(f"{path}/in/lot={lot}")
+        _ingested(s, d, path, f"{path}/in/*/*", 120)
+    return s.read.parquet(f"{path}/queue").select("pos", "item_id", "status")
+
+
+@query
+def skipped_states(s, d):
+    """What the model's decisions make of the states: skipped items are named, all others stay as they were."""
+    states = B.current(s, d).select("item_id", "status", *[F.lit(None).cast("string").alias(c) for c in ("title", "up_name", "last_attempt")])
+    queue = B.catalog(s, d).select("pos", "item_id", F.col("url").alias("title"), "author")
+    decided = rules.ai_decision_filter(queue, B.current(s, d), B.toxic(s, d).dropDuplicates(["item_id"]), 1 << 30)
+    return state.upsert_state(states, state.outcome_updates(rules.skipped_outcomes(decided, F.lit("now"))), ["status", "title", "up_name", "last_attempt"])
 
 
 def _echo(prompt: str) -> str:

@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talkweave import schemas as S
 
 
 def parse_catalog(envelopes: DataFrame, url_prefix: str, column: str = "value") -> DataFrame:
-    """Catalog rows with pos from rows of envelope JSON; error envelopes, malformed items and empty ids give none."""
-    body = F.from_json(column, S.API_ENVELOPE)
-    rows = envelopes.select(body.alias("e")).where("e.code = 0").select(F.posexplode("e.data.list").alias("pos", "i")).where("i IS NOT NULL")
+    """Catalog rows with pos from rows of envelope JSON; error envelopes, malformed items and empty ids give none.
+
+    Where the envelopes have a path, one for each, pos goes on from file to file in order of path; else it is the place in
+    the envelope.  Each file is given a range of positions: the sizes of the earlier ones' lists, one number per file.
+    """
+    several = "path" in envelopes.columns
+    lists = envelopes.select(F.col("path" if several else column).alias("_path"), F.from_json(column, S.API_ENVELOPE).alias("e")).where("e.code = 0")
+    rows = lists.select("_path", F.posexplode("e.data.list").alias("pos", "i"))
+    if several:
+        sizes = rows.groupBy("_path").agg(F.max("pos").cast("long").alias("_last"))
+        earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select("_path", F.coalesce(F.sum(F.col("_last") + 1).over(earlier), F.lit(0)).alias("_start"))
+        rows = rows.join(starts, "_path").withColumn("pos", F.col("_start") + F.col("pos"))
+    rows = rows.where("i IS NOT NULL")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     return rows.where(text("i.bvid") != "").select(
         "pos", F.col("i.bvid").alias("item_id"), text("i.title").alias("title"), F.concat(F.lit(url_prefix), F.col("i.bvid")).alias("url"),
@@ -20,8 +32,8 @@ def parse_catalog(envelopes: DataFrame, url_prefix: str, column: str = "value")
 
 
 def read_catalog(spark: SparkSession, path: str, url_prefix: str) -> DataFrame:
-    """Catalog rows of whole-file envelope JSON."""
-    return parse_catalog(spark.read.text(path, wholetext=True), url_prefix)
+    """Catalog rows of whole-file envelope JSON, in order of path."""
+    return parse_catalog(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")), url_prefix)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:

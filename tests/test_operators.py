@@ -189,3 +189,10 @@ def test_catalog_state_and_queue_files(spark, tmp_path):
 def test_eval_lines(spark):
     lines = spark.createDataFrame([("p", "# engine: x"), ("p", "[0.0-1.5] hi"), ("p", "")], "path string, value string")
     assert rows(files.parse_eval_lines(lines), "start_s") == [("p", "engine", "x", None, None, None), ("p", None, None, 0.0, 1.5, "hi")]
+
+
+def test_patterns_that_only_python_takes_are_ignored(spark):
+    """Patterns are tested where they are matched; a bad one denies nothing and ends no job."""
+    rows = spark.createDataFrame([("1", "an ad here", "u", 9, "x"), ("2", "fine", "u", 9, "x"), ("3", "BAD", "u", 9, "x")], "item_id string, title string, url string, duration_s int, author string")
+    kept = rules.rule_filter(rows, rules.Rules(title_deny=["(?P<x>ad)", "[broken", " ", "(?i)bad", r"\p{Digit}+$"]))
+    assert sorted(r.item_id for r in kept.collect()) == ["1", "2"]
