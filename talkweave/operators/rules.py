@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkweave import schemas as S
+from talkweave.functions import lookup
 from talkweave.functions import text as X
 
 
@@ -29,6 +30,11 @@ def author_denied(rules: Rules) -> Column:
     return reduce(lambda a, d: a | F.lower(F.coalesce("author", F.lit(""))).contains(d), deny, F.lit(False))
 
 
+def author_denied_by(catalog: DataFrame, deny: DataFrame) -> DataFrame:
+    """The rows with ``denied_by``: the first entry (by pos) of a deny table that the author's name contains, or null. deny: entry, pos."""
+    return lookup.denied_by(catalog, "author", deny)
+
+
 def title_denied(rules: Rules) -> Column:
     title = F.coalesce("title", F.lit(""))
     return (title != "") & reduce(lambda a, p: a | title.rlike("(?iu)" + p), X.valid_patterns(rules.title_deny), F.lit(False))

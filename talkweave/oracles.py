@@ -229,3 +229,11 @@ ORACLES["upsert_stream"] = """WITH u AS (SELECT CAST(user_id AS VARCHAR) AS item
 ORACLES["skipped_states"] = f"""WITH {_CURRENT}, sk AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS item_id, 'https://example.org/' || doc_id AS title, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
   new AS (SELECT sk.* FROM sk LEFT JOIN cur USING (item_id) WHERE coalesce(status, 'new') = 'new')
   SELECT item_id, CASE WHEN title IS NULL THEN status ELSE 'skipped_ai' END AS status, title, source AS up_name, CASE WHEN title IS NOT NULL THEN 'now' END AS last_attempt FROM cur FULL JOIN new USING (item_id)"""
+_ENTRIES = r"entry AS (SELECT entry, min((item_id << 16) + i) AS pos FROM (SELECT item_id, unnest(w) AS entry, unnest(range(len(w))) AS i FROM (SELECT item_id, regexp_extract_all(text, '\p{L}{6,}') AS w FROM benchmark)) GROUP BY entry)"
+ORACLES["denied_texts"] = f"""WITH {_ENTRIES}, low AS (SELECT lower(entry) AS k, min(pos) AS pos, arg_min(entry, pos) AS entry FROM entry GROUP BY 1), hit AS (SELECT doc_id, arg_min(entry, pos) AS denied_by FROM documents JOIN low ON contains(lower(text), k) GROUP BY doc_id)
+  SELECT doc_id, denied_by FROM documents LEFT JOIN hit USING (doc_id)"""
+ORACLES["denied_authors"] = """WITH deny AS (SELECT 'C' || substr(s_name, 11, 20) AS entry, s_suppkey AS pos FROM supplier WHERE s_name IS NOT NULL), c AS (SELECT c_custkey AS item_id, replace(c_name, 'ustomer#', '') AS author FROM customer),
+  hit AS (SELECT item_id, arg_min(entry, pos) AS denied_by FROM c JOIN deny ON contains(lower(author), lower(entry)) GROUP BY item_id) SELECT item_id, denied_by FROM c LEFT JOIN hit USING (item_id)"""
+ORACLES["phrase_tables"] = f"""WITH {_ENTRIES}, p AS (SELECT '(' || string_agg(entry, '|' ORDER BY length(entry) DESC, entry) || ')' AS p FROM entry), m AS (SELECT doc_id, regexp_replace(text, p, '<' || chr(1) || '\\1' || chr(2) || '>', 'g') AS t FROM documents, p),
+  s AS (SELECT doc_id, string_split(t, chr(1)) AS parts FROM m)
+  SELECT doc_id, md5(array_to_string(list_transform(parts, lambda x: CASE WHEN contains(x, chr(2)) THEN split_part(x, chr(2), 1) || replace(split_part(x, chr(2), 2), 'e', 'é') ELSE replace(x, 'e', 'é') END), '')) AS digest FROM s"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave import schemas as S
+from talkweave.functions import lookup
 from talkweave.functions import text as X
 from talkweave.operators import infer, publish, reports, rules, state, turns
 from talkweave.oracles import ORACLES  # noqa: F401
@@ -677,6 +678,32 @@ def ingest_stream(s, d):
     return after.join(queued, "item_id", "left").select("item_id", "status", F.col("last_seen") != "then", F.coalesce("queued", F.lit(False)).alias("queued")).toDF("item_id", "status", "seen", "queued")
 
 
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    """The words of six letters or more of the benchmark, and where each is first."""
+    words = B.table(s, d, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}{6,}"), F.lit(0))).alias("i", "entry"))
+    return words.groupBy("entry").agg(F.min(F.shiftleft("item_id", 16) + F.col("i")).alias("pos"))
+
+
+@query
+def denied_texts(s, d):
+    """Whole documents, and the names of suppliers, against a deny table: which entry is hit first."""
+    return lookup.denied_by(_docs(s, d), "text", _entries(s, d)).select("doc_id", "denied_by")
+
+
+@query
+def denied_authors(s, d):
+    deny = B.table(s, d, "supplier").select(F.concat(F.lit("C"), F.substring("s_name", 11, 20)).alias("entry"), F.col("s_suppkey").alias("pos"))
+    rows = B.table(s, d, "customer").select(F.col("c_custkey").alias("item_id"), F.replace("c_name", F.lit("ustomer#"), F.lit("")).alias("author"))
+    return rules.author_denied_by(rows, deny).select("item_id", "denied_by")
+
+
+@query
+def phrase_tables(s, d):
+    """Every word of a table in whole documents, the longest that fits first, put in brackets."""
+    table = {r.entry: f"<{r.entry}>" for r in _entries(s, d).toLocalIterator()}
+    return _docs(s, d).select("doc_id", F.md5(lookup.replace_phrases(F.col("text"), table, {"e": "é"}).cast("binary")).alias("digest"))
+
+
 def _batches(s: SparkSession, path: str) -> list[int]:
     """Ids of the batches whose queue is written."""
     return [r.batch for r in s.read.parquet(f"{path}/batches").distinct().collect()]

@@ -1,6 +1,11 @@
+import random
+
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from talkweave.functions import lookup
 from talkweave.functions import text as X
 
 x = None
@@ -79,3 +84,52 @@ def test_bilingual(column):
 
 def test_patterns():
     assert X.valid_patterns(["(?i)a", "[bad", " "]) == ["a"]
+
+
+def test_deny_table_of_100000_entries(spark):
+    """Equal to SQL contains; blank and null entries deny nothing, and the first entry by pos wins."""
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdEFé ") for _ in range(n))
+    entries = [(word(rng.randint(4, 9)), k) for k in range(100_000)] + [("", -1), (None, -2), (" \u3000", -3)]
+    titles = [(k, word(rng.randint(0, 60))) for k in range(300)] + [(900, None), (901, "")]
+    known = spark.createDataFrame(entries, "entry string, pos long").repartition(4)
+    got = lookup.denied_by(spark.createDataFrame(titles, "id int, title string"), "title", known)
+    deny = pd.DataFrame([(e.lower(), e, p) for e, p in entries if e and e.strip()], columns=["low", "entry", "pos"])  # noqa: F841
+    asked = pd.DataFrame(titles, columns=["id", "title"])  # noqa: F841
+    want = duckdb.sql("SELECT id, (SELECT arg_min(entry, pos) FROM deny WHERE contains(lower(title), low)) FROM asked").fetchall()
+    assert sorted((r.id, r.denied_by) for r in got.collect()) == sorted(want)
+    assert lookup.denied_by(got.drop("denied_by"), "title", known.where("false")).where("denied_by IS NOT NULL").count() == 0
+
+
+def test_deny_table_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "CHARACTERS", 10)
+    entries = spark.createDataFrame([("abc", 3), ("bcd", 1), ("CDE", 2), ("xyz", 0), ("", 9)], "entry string, pos long")
+    rows = spark.createDataFrame([("zabcdez",), ("cde",), ("none",), (None,)], "t string")
+    assert sorted(map(str, (r.denied_by for r in lookup.denied_by(rows, "t", entries).collect()))) == sorted(["bcd", "CDE", "None", "None"])
+
+
+def longest_first(text, table, single):
+    out, at = [], 0
+    while at < len(text):
+        size = next((n for n in range(max(map(len, table)), 0, -1) if text[at : at + n] in table and at + n <= len(text)), 0)
+        out.append(table[text[at : at + size]] if size else single.get(text[at], text[at]))
+        at += size or 1
+    return "".join(out)
+
+
+def test_phrases_of_a_large_table(spark, monkeypatch):
+    """50,000 phrases, equal to a plain loop; texts are cut into pieces, and end and begin in the middle of phrases."""
+    monkeypatch.setattr(lookup, "PIECE", 64)
+    rng = random.Random(6)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    table = {word(rng.randint(1, 7), "abcd𠀀發現"): word(rng.randint(0, 4), "xy\\$") for _ in range(50_000)}
+    table.pop("a", None)
+    single = {"a": "A", "é": "e"}
+    texts = [word(rng.randint(0, 300), "abcd𠀀發現é \n\0") for _ in range(60)] + ["", None, "é" * 5000, "abc" * 4000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: r.v for r in rows.select("id", lookup.replace_phrases(F.col("t"), table, single).alias("v")).collect()}
+    assert got == {i: None if t is None else longest_first(t, table, single) for i, t in enumerate(texts)}
+    few = {"ab": "1", "abc": "2", "": "never", "c\0": "never"}
+    frame = spark.createDataFrame([("abcab c\0ab",)], "t string").select(lookup.replace_phrases(F.col("t"), few).alias("v"), X.to_simplified(F.col("t"), {}, {"ab": "1", "abc": "2"}).alias("same"))
+    assert tuple(frame.first()) == ("21 c\0" + "1", "21 c\0" + "1")
+    assert rows.select(lookup.replace_phrases(F.col("t"), {}).alias("v")).where("v IS NOT DISTINCT FROM ''").count() == 1
