@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,70 +27,211 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "(?<=[。！？；.!?;])"), X.ustrip), lambda s: s != "")
 
 
-def greedy_groups(items: Column, size: Callable[[Column], Column], limit: int, separator: str, rolled: Callable[[Column], Column] | None = None, free: Callable[[Column], Column] | None = None) -> Column:
-    """Consecutive items joined in groups: a group closes when it isn't empty and its size and the next one's exceed ``limit``.
+def first_beyond(values: np.ndarray, base: np.ndarray, limit: float) -> np.ndarray:
+    """For every place i the first j > i with values[j] - base[i] > limit, or the number of places.
 
-    rolled: the size that a new group starts with, if other than its item's; free: items that
-    never close a group.  The fold carries sizes and the places of cuts only, so that its cost
-    is in proportion to the items.
+    Maxima over ranges of powers of two are made once; all places then descend through them together.
     """
+    n = len(values)
+    maxima = [values]
+    while 2 << (len(maxima) - 1) <= n:
+        step = 1 << (len(maxima) - 1)
+        maxima.append(np.maximum(maxima[-1][:-step], maxima[-1][step:]))
+    j = np.arange(1, n + 1)
+    for k in range(len(maxima) - 1, -1, -1):
+        fits = np.flatnonzero(j + (1 << k) <= n)
+        passed = fits[maxima[k][j[fits]] - base[fits] <= limit]
+        j[passed] += 1 << k
+    return j
+
+
+def reached(successor: np.ndarray) -> np.ndarray:
+    """The places on the way from place 0, by pointer doubling; a successor of the array's length ends it."""
+    n = len(successor)
+    jump, on = np.append(successor, n), np.zeros(n + 1, bool)
+    on[0] = True
+    while True:
+        places = np.flatnonzero(on)
+        further = jump[places]
+        if (further == n).all():
+            return places[places < n]
+        on[further] = True
+        jump = jump[jump]
+
+
+def _packed(own: np.ndarray, first: np.ndarray, closing: np.ndarray, fresh: np.ndarray, limit: int) -> np.ndarray:
+    """The items that open groups; ``fresh`` ones do in any case. A group begins with the ``first`` size of the item that opens it (a fresh one's ``own``), and adds the ``own`` ones of the others; items that aren't ``closing`` open none."""
+    total = np.cumsum(own)
+    values = np.where(closing, total - own + first, np.iinfo(np.int64).min // 4)
+    values[fresh] = np.iinfo(np.int64).max // 4
+    return reached(first_beyond(values, total - np.where(fresh, own, first), limit))
+
+
+#: Items that are packed together.
+PACKED = 1 << 16
+#: Of items: sizes in a group, as its first item, and whether they close the group before.
+Sizes = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _joined(lists: pa.Array, sizes: Sizes, limit: int, separator: str) -> pa.Array:
+    """Each list's items joined in groups."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    items = lists.flatten()
+    own, first, closing = sizes(items)
+    ends = np.cumsum(counts)
+    opens, low, row = [np.zeros(0, np.int64)], 0, 0
+    while row < len(counts):
+        stop = max(row + 1, int(np.searchsorted(ends, low + PACKED, "right")))
+        high = int(ends[stop - 1])
+        fresh = np.zeros(high - low, bool)
+        fresh[(ends - counts - low)[row:stop][counts[row:stop] > 0]] = True
+        if high > low:
+            opens.append(_packed(own[low:high], first[low:high], closing[low:high], fresh, limit) + low)
+        low, row = high, stop
+    at = np.concatenate(opens)
+    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(items)), pa.int32()), items), separator)
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.concatenate([[0], ends])), pa.int32()), groups)
+
+
+def greedy_groups(items: Column, sizes: Sizes, limit: int, separator: str) -> Column:
+    """Consecutive items joined in groups: a group closes when it isn't empty and its size and the next one's exceed ``limit``.
 
-    def groups(items: Column) -> Column:
-        closing = lambda x: F.lit(True) if free is None else ~free(x)
-        sizes = F.transform(items, lambda x: F.struct(size(x).alias("own"), (size if rolled is None else rolled)(x).alias("first"), closing(x).alias("closing")))
-        state = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("n"))
-
-        def step(acc: Column, item: Column) -> Column:
-            full = item["closing"] & (acc["at"] > 0) & (acc["n"] + item["first"] > limit)
-            return F.struct(
-                F.when(full, F.array_append(acc["cuts"], acc["at"])).otherwise(acc["cuts"]).alias("cuts"), (acc["at"] + 1).alias("at"),
-                F.when(full, item["first"]).otherwise(acc["n"] + item["own"]).alias("n"),
-            )
+    Where each group would end is searched for all items of an Arrow batch at once, and pointer doubling finds the groups that
+    there are, so that the cost is in proportion to the items, however many groups a text has.
+    """
 
-        bounds = F.aggregate(sizes, state, step, lambda acc: F.concat(F.array(F.lit(0)), acc["cuts"], F.array(acc["at"])))
-        spans = X.bound(bounds, lambda b: F.arrays_zip(F.slice(b, 1, F.size(b) - 1).alias("low"), F.slice(b, 2, F.size(b) - 1).alias("high")))
-        joined = F.transform(spans, lambda x: F.array_join(F.slice(items, x["low"] + 1, x["high"] - x["low"]), separator))
-        return F.when(F.size(items) == 0, F.array().cast("array<string>")).otherwise(joined)
+    @F.arrow_udf("array<string>")
+    def grouped(lists: pa.Array) -> pa.Array:
+        return _joined(lists, sizes, limit, separator)
 
-    return X.bound(items, groups)
+    return grouped(items)
 
 
 def pack_paragraphs(text: Column, target: int = PARAGRAPH, check_tail: bool = True) -> Column:
     """Sentences packed to paragraphs of ``target`` characters; check_tail=False appends the unterminated tail unchecked."""
-    tail = None if check_tail else lambda x: ~F.rlike(x, F.lit(r"[。！？；.!?;]$"))
-    packed = lambda s: F.when(F.size(s) == 0, F.array(text)).otherwise(greedy_groups(s, F.length, target, "", free=tail))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(X.bound(split_sentences(text), packed))
+
+    def sizes(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = pc.utf8_length(items).to_numpy().astype(np.int64)
+        return n, n, np.ones(len(n), bool) if check_tail else pc.match_substring_regex(items, "[。！？；.!?;]$").to_numpy(zero_copy_only=False)
+
+    packed = greedy_groups(split_sentences(text), sizes, target, "")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.size(packed) == 0, F.array(text)).otherwise(packed)
 
 
 def pack_chunks(text: Column, limit: int = CHUNK_CHARS) -> Column:
     """Non-blank lines packed to chunks; a line adds two for its separator, except the one that opens a later chunk."""
-    lines = F.filter(F.split(text, "\n"), lambda x: X.ustrip(x) != "")
-    packed = lambda x: F.when(F.size(x) == 0, F.array(text)).otherwise(greedy_groups(x, lambda y: F.length(y) + 2, limit, "\n\n", rolled=F.length))
-    return X.bound(lines, packed)
 
+    def sizes(items: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = pc.utf8_length(items).to_numpy().astype(np.int64)
+        return n + 2, n, np.ones(len(n), bool)
+
+    packed = greedy_groups(F.filter(F.split(text, "\n"), lambda x: X.ustrip(x) != ""), sizes, limit, "\n\n")
+    return F.when(text.isNull(), F.lit(None)).when(F.size(packed) == 0, F.array(text)).otherwise(packed)
 
-def numbered_groups(rows: DataFrame, keys: list[str], order: str, values: list[str], step: Callable[..., tuple[bool, tuple]], name: str) -> DataFrame:
-    """The rows with ``name``: the number of the group that a fold over the ordered rows of each key puts them in.
 
-    step(state, *values) returns whether the row opens a group, and the new state; the state
-    of a key's first row is None.  Rows are sorted within partitions and pass through in
-    batches; only the state of one key is held, however many rows it has.
+#: Of some ordered rows: which open a group? Gets values, which rows are the first of their key, and what was carried from the rows before, if the first row goes on; returns it for the next rows too.
+Opens = Callable[[list[pa.Array], np.ndarray, object], tuple[np.ndarray, object]]
+
+
+def numbered_groups(rows: DataFrame, keys: list[str], order: str, values: list[str], opens: Opens, name: str) -> DataFrame:
+    """The rows with ``name``: the number of the group that a greedy rule over the ordered rows of each key puts them in.
+
+    Only keys, order and values leave the JVM, sorted within partitions, a batch at a time; between batches
+    only the state of the open group is kept, however many rows a key has.  Nothing is done row by row.
+    ``order`` is unique within a key.
     """
-    schema = rows.withColumn(name, F.lit(0)).schema
+    names = [f"_k{i}" for i in range(len(keys) + 1)]
+    narrow = rows.select(*[F.col(c).alias(n) for c, n in zip([*keys, order], names, strict=True)], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)])
+    schema = narrow.select(*names).withColumn(name, F.lit(0)).schema
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, group = None, None, 0
+        last, carried, group = None, None, 0
         for batch in batches:
-            numbers = []
-            for k, v in zip(zip(*(batch[c].to_pylist() for c in keys), strict=True), zip(*(batch[c].to_pylist() for c in values), strict=True), strict=True):
-                if k != key:
-                    key, state, group = k, None, -1
-                opens, state = step(state, *v)
-                group += opens
-                numbers.append(group)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int32())], [*batch.schema.names, name])
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)
+            for c in names[:-1]:
+                column = batch[c].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                fresh[1:] |= column[1:] != column[:-1]
+            fresh[0] = [batch[c][0].as_py() for c in names[:-1]] != last
+            flags, carried = opens([batch[f"_v{i}"] for i in range(len(values))], fresh, None if fresh[0] else carried)
+            count = np.cumsum(flags)
+            starts = np.flatnonzero(fresh)
+            base = np.full(batch.num_rows, -group, np.int64)
+            base[starts[0] if len(starts) else batch.num_rows :] = np.repeat(count[starts], np.diff(np.append(starts, batch.num_rows)))
+            numbers = count - base
+            last, group = [batch[c][-1].as_py() for c in names[:-1]], int(numbers[-1])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(numbers.astype(np.int32))], [*names, name])
+
+    numbered = narrow.repartition(*names[:-1]).sortWithinPartitions(*names).mapInArrow(number, schema)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip([*keys, order], names, strict=True)])
+    return rows.join(numbered, same).drop(*names)
+
+
+def _by_size(limit: int) -> Opens:
+    """A group closes when its size and the next row's exceed ``limit``; carried: the open group's size."""
+
+    def opens(values: list[pa.Array], fresh: np.ndarray, carried: object) -> tuple[np.ndarray, object]:
+        n = np.concatenate([[carried] if carried is not None else [], values[0].to_numpy()]).astype(np.int64)
+        new = np.concatenate([[True] if carried is not None else [], fresh]).astype(bool)
+        places = _packed(n, n, np.ones(len(n), bool), new, limit)
+        flags = np.zeros(len(n), bool)
+        flags[places] = True
+        return flags[len(n) - len(fresh) :], int(n[places[-1] :].sum())
+
+    return opens
+
+
+def _by_speaker(gap: float, span: float) -> Opens:
+    """A turn goes on while the speaker stays, the gap to the turn before is at most ``gap`` and all at most ``span`` long; carried: speaker, start and last end of the open turn."""
+
+    def opens(values: list[pa.Array], fresh: np.ndarray, carried: object) -> tuple[np.ndarray, object]:
+        known = carried is not None
+        code = values[0].dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        start, end = (np.concatenate([[carried[i]] if known else [], v.to_numpy(zero_copy_only=False)]).astype(float) for i, v in ((1, values[1]), (2, values[2])))
+        other = np.concatenate([[True] if known else [], [True], code[1:] != code[:-1]]).astype(bool)
+        if known:
+            other[1] = carried[0] != values[0][0].as_py()
+        closes = other | np.concatenate([[True] if known else [], fresh]).astype(bool)
+        closes[1:] |= ~(start[1:] - end[:-1] <= gap)
+        limits = np.where(closes | np.isnan(end), np.inf, end)
+        places = reached(first_beyond(limits, start, span))
+        flags = np.zeros(len(start), bool)
+        flags[places] = True
+        return flags[known:], (values[0][-1].as_py(), float(start[places[-1]]), float(end[-1]))
+
+    return opens
+
+
+def _by_number(most: int, seconds: float) -> Opens:
+    """A batch closes when it has ``most`` rows or the next one would pass ``seconds``; carried: number and length of the open one.
+
+    Lengths are added in the order of rows, from each row on, so that sums are those of a fold.
+    """
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(number, schema)
+    def opens(values: list[pa.Array], fresh: np.ndarray, carried: object) -> tuple[np.ndarray, object]:
+        known = carried is not None
+        length = np.concatenate([[carried[1]] if known else [], values[1].to_numpy(zero_copy_only=False) - values[0].to_numpy(zero_copy_only=False)]).astype(float)
+        new = np.concatenate([[True] if known else [], fresh]).astype(bool)
+        n = len(length)
+        count, total, successor = np.ones(n, np.int64), length.copy(), np.full(n, n)
+        count[0] = carried[0] if known else 1
+        alive, step = np.arange(n - 1), 1
+        while len(alive):
+            after = alive + step
+            ends = new[after] | (count[alive] >= most) | (total[alive] + length[after] > seconds)
+            successor[alive[ends]] = after[ends]
+            alive, after = alive[~ends], after[~ends]
+            count[alive] += 1
+            total[alive] += length[after]
+            step += 1
+            alive = alive[alive + step < n]
+        places = reached(successor)
+        flags = np.zeros(n, bool)
+        flags[places] = True
+        return flags[known:], (int(count[places[-1]]), float(total[places[-1]]))
+
+    return opens
 
 
 def ordered(at: str, value: str) -> Column:
@@ -98,23 +242,15 @@ def ordered(at: str, value: str) -> Column:
 def pack_segments(segments: DataFrame, keys: list[str], order: str = "seq", target: int = PARAGRAPH) -> DataFrame:
     """Segments' texts packed by the same rule: keys, paragraph_no, text."""
 
-    def step(size: int | None, n: int) -> tuple[bool, int]:
-        opens = size is None or size + n > target
-        return opens, n if opens else size + n
-
     rows = segments.select(*keys, order, X.ustrip(F.coalesce("text", F.lit(""))).alias("text")).where("text <> ''").withColumn("_n", F.length("text"))
-    return numbered_groups(rows, keys, order, ["_n"], step, "paragraph_no").groupBy(*keys, "paragraph_no").agg(F.array_join(ordered(order, "text"), "").alias("text"))
+    return numbered_groups(rows, keys, order, ["_n"], _by_size(target), "paragraph_no").groupBy(*keys, "paragraph_no").agg(F.array_join(ordered(order, "text"), "").alias("text"))
 
 
 def merge_turns(turns: DataFrame, gap: float = MERGE_GAP, span: float = MERGE_SPAN) -> DataFrame:
     """Turns of one speaker merged while the gap is at most ``gap`` and the merged turn at most ``span`` long."""
 
-    def step(state: tuple | None, speaker: str, start: float, end: float) -> tuple[bool, tuple]:
-        joins = state is not None and state[0] == speaker and start - state[2] <= gap and end - state[1] <= span
-        return not joins, (speaker, state[1] if joins else start, end)
-
     rows = turns.select("item_id", F.col("seq").cast("int").alias("seq"), "speaker", "start_s", "end_s", "text")
-    grouped = numbered_groups(rows, ["item_id"], "seq", ["speaker", "start_s", "end_s"], step, "_turn").groupBy("item_id", "_turn")
+    grouped = numbered_groups(rows, ["item_id"], "seq", ["speaker", "start_s", "end_s"], _by_speaker(gap, span), "_turn").groupBy("item_id", "_turn")
     merged = grouped.agg(
         F.min("seq").alias("seq"), F.min_by("speaker", "seq").alias("speaker"), F.min_by("start_s", "seq").alias("start_s"), F.max_by("end_s", "seq").alias("end_s"),
         F.array_join(ordered("seq", "text"), " ").alias("text"), F.count("*").cast("int").alias("n_turns"),
@@ -125,11 +261,7 @@ def merge_turns(turns: DataFrame, gap: float = MERGE_GAP, span: float = MERGE_SP
 def batch_turns(turns: DataFrame, most: int = BATCH_TURNS, seconds: float = BATCH_SECONDS) -> DataFrame:
     """Turns with batch_no: a batch closes when it has ``most`` turns or the next one would pass ``seconds``."""
 
-    def step(state: tuple | None, start: float, end: float) -> tuple[bool, tuple]:
-        opens = state is None or state[0] >= most or state[1] + (end - start) > seconds
-        return opens, (1, end - start) if opens else (state[0] + 1, state[1] + (end - start))
-
-    return numbered_groups(turns, ["item_id"], "seq", ["start_s", "end_s"], step, "batch_no")
+    return numbered_groups(turns, ["item_id"], "seq", ["start_s", "end_s"], _by_number(most, seconds), "batch_no")
 
 
 def plan_chunks(items: DataFrame, seconds: int = CHUNK_SECONDS, slack: int = CHUNK_SLACK) -> DataFrame:

@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators import infer, publish, reports, rules, state, turns
@@ -196,3 +201,69 @@ def test_patterns_that_only_python_takes_are_ignored(spark):
     rows = spark.createDataFrame([("1", "an ad here", "u", 9, "x"), ("2", "fine", "u", 9, "x"), ("3", "BAD", "u", 9, "x")], "item_id string, title string, url string, duration_s int, author string")
     kept = rules.rule_filter(rows, rules.Rules(title_deny=["(?P<x>ad)", "[broken", " ", "(?i)bad", r"\p{Digit}+$"]))
     assert sorted(r.item_id for r in kept.collect()) == ["1", "2"]
+
+
+def folded(rows, step):
+    """Group numbers by a plain loop over one item's rows."""
+    state, group, out = None, -1, []
+    for row in rows:
+        opens, state = step(state, *row)
+        group += opens
+        out.append(group)
+    return out
+
+
+def size_step(limit):
+    return lambda s, n: (s is None or s + n > limit, n if s is None or s + n > limit else s + n)
+
+
+def speaker_step(gap, span):
+    def step(s, speaker, start, end):
+        joins = s is not None and s[0] == speaker and start - s[2] <= gap and end - s[1] <= span
+        return not joins, (speaker, s[1] if joins else start, end)
+
+    return step
+
+
+def number_step(most, seconds):
+    def step(s, start, end):
+        opens = s is None or s[0] >= most or s[1] + (end - start) > seconds
+        return opens, (1, end - start) if opens else (s[0] + 1, s[1] + (end - start))
+
+    return step
+
+
+@pytest.mark.parametrize("width", [1, 2, 7, 1000])
+def test_greedy_rules_against_loops(width):
+    """Rules over batches of any width, with what is carried from batch to batch, give the rows of a fold."""
+    rng = random.Random(width)
+    items = [rng.randint(1, 60) for _ in range(30)]
+    rows = [(item, k, rng.choice(["a", "b", None]), rng.uniform(0, 9), rng.randint(0, 30)) for item, n in enumerate(items) for k in range(n)]
+    rows = [(i, k, who, 2.0 * k + x, 2.0 * k + x + rng.choice([0.1, 1.0, 5.0, 40.0]), n) for i, k, who, x, n in rows]
+    column = lambda c: pa.array([r[c] for r in rows])
+    for opens, columns, step in [
+        (turns._by_size(50), (5,), size_step(50)), (turns._by_size(0), (5,), size_step(0)), (turns._by_speaker(3.0, 20.0), (2, 3, 4), speaker_step(3.0, 20.0)),
+        (turns._by_speaker(50.0, 8.0), (2, 3, 4), speaker_step(50.0, 8.0)), (turns._by_number(3, 12.0), (3, 4), number_step(3, 12.0)), (turns._by_number(1000, 33.3), (3, 4), number_step(1000, 33.3)),
+    ]:
+        want = [g for i in range(len(items)) for g in folded([tuple(r[c] for c in columns) for r in rows if r[0] == i], step)]
+        got, carried, last, group = [], None, None, 0
+        for k in range(0, len(rows), width):
+            part = rows[k : k + width]
+            fresh = np.array([r[0] != (part[j - 1][0] if j else last) for j, r in enumerate(part)])
+            flags, carried = opens([column(c).slice(k, width) for c in columns], fresh, None if fresh[0] else carried)
+            for new, opened in zip(fresh, flags, strict=True):
+                group = 0 if new else group + int(opened)
+                got.append(group)
+            last = part[-1][0]
+        assert got == want
+
+
+def test_groups_of_one_very_long_item(spark):
+    """An item of a million turns and a document of 10 MB: by arithmetic, and in the order of rows."""
+    n = 1_000_000
+    long = spark.range(n).select(F.lit("x").alias("item_id"), F.col("id").cast("int").alias("seq"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"))
+    sums = turns.batch_turns(long, 8, 240.0).agg(F.max("batch_no"), F.count_if(F.col("batch_no") != F.floor(F.col("seq") / 8)), F.count("*")).first()
+    assert tuple(sums) == (n // 8 - 1, 0, n)
+    text = spark.range(1).select(F.repeat(F.lit("abcdefghi."), n).alias("t"))
+    paragraphs = text.select(turns.pack_paragraphs(F.col("t")).alias("p")).select(F.size("p"), F.size(F.array_distinct("p")), F.length(F.col("p")[0]))
+    assert tuple(paragraphs.first()) == (n * 10 // 500, 1, 500)
