@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +37,49 @@ def infer(requests: DataFrame, respond: Callable[[str], str], concurrency: int |
     return requests.mapInPandas(call, f"{columns}, response string, error string")
 
 
+#: Answers by digest of the prompt; see ``infer_once``.
+ANSWERS = "digest string, response string, error string"
+
+
+def infer_once(requests: DataFrame, respond: Callable[[str], str], store: str, in_flight: int = 4, waves: int = 8, concurrency: int | None = None) -> DataFrame:
+    """The requests with response and error, each distinct prompt asked once and answers kept in ``store``.
+
+    store: a shared folder.  Only prompts without a stored response are asked, those that failed before again; they are dealt
+    by digest into ``waves`` jobs, each of which adds its answers when it ends, so that a run
+    that broke off goes on with the waves that are left.  A task has up to ``in_flight`` calls open, and
+    keeps the order of its rows.
+    """
+    spark = requests.sparkSession
+    spark.createDataFrame([], ANSWERS).write.mode("append").parquet(store)
+    digest = F.sha2(F.col("prompt").cast("binary"), 256)
+    wanted = requests.where("prompt IS NOT NULL").select(digest.alias("digest"), "prompt").dropDuplicates(["digest"])
+
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return respond(prompt), None
+        except Exception as e:  # any failure of the caller's function is a result
+            return None, f"{type(e).__name__}: {e}"
+
+    def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(in_flight) as pool:
+            for frame in frames:
+                answers: list[tuple[str | None, str | None]] = []
+                for k in range(0, len(frame), in_flight):
+                    answers += pool.map(one, frame["prompt"].iloc[k : k + in_flight])
+                yield pd.DataFrame({"digest": frame["digest"], "response": [a for a, _ in answers], "error": [e for _, e in answers]})
+
+    for wave in range(waves):
+        known = spark.read.schema(ANSWERS).parquet(store).where("response IS NOT NULL").select("digest")
+        left = wanted.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == wave).join(known, "digest", "left_anti")
+        left = left.repartition(concurrency) if concurrency else left
+        left.mapInPandas(call, ANSWERS).write.mode("append").parquet(store)
+    stored = spark.read.schema(ANSWERS).parquet(store)
+    # a prompt that failed once and was answered later has several rows
+    best = stored.groupBy(F.col("digest").alias("_digest")).agg(F.max("response").alias("response"), F.max("error").alias("error"))
+    joined = requests.join(best.withColumn("error", F.when(F.col("response").isNull(), F.col("error"))), digest == F.col("_digest"), "left")
+    return joined.drop("_digest")
+
+
 def stitch(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Requests with their stored responses by item_id and chunk_no; null where there is none."""
     return requests.join(responses.select("item_id", "chunk_no", "response", "error"), ["item_id", "chunk_no"], "left")

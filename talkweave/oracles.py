@@ -237,3 +237,7 @@ ORACLES["denied_authors"] = """WITH deny AS (SELECT 'C' || substr(s_name, 11, 20
 ORACLES["phrase_tables"] = f"""WITH {_ENTRIES}, p AS (SELECT '(' || string_agg(entry, '|' ORDER BY length(entry) DESC, entry) || ')' AS p FROM entry), m AS (SELECT doc_id, regexp_replace(text, p, '<' || chr(1) || '\\1' || chr(2) || '>', 'g') AS t FROM documents, p),
   s AS (SELECT doc_id, string_split(t, chr(1)) AS parts FROM m)
   SELECT doc_id, md5(array_to_string(list_transform(parts, lambda x: CASE WHEN contains(x, chr(2)) THEN split_part(x, chr(2), 1) || replace(split_part(x, chr(2), 2), 'e', 'é') ELSE replace(x, 'e', 'é') END), '')) AS digest FROM s"""
+ORACLES["placed_texts"] = "SELECT source || '/' || doc_id % 97 || '.final.md' AS path, md5(arg_min(text, doc_id)) AS digest FROM documents GROUP BY 1"
+ORACLES["state_entries"] = f"""WITH {_CURRENT}, k AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, c_acctbal, c_nationkey FROM customer)
+  SELECT item_id, coalesce(status, 'known') AS status, CASE WHEN status = 'error' THEN 'failed' END AS error, cur.item_id IS NOT NULL AS has_error, k.item_id IS NOT NULL AS has_note, round(CAST(c_acctbal AS DOUBLE), 2) AS balance, CAST(c_nationkey AS BIGINT) AS nation FROM k FULL JOIN cur USING (item_id)"""
+ORACLES["asked_once"] = "SELECT CAST(conv_id AS VARCHAR) AS item_id, CAST(turn AS INT) AS seq, md5('<think>hm</think>' || lower(role) || ' ' || split_part(text, '.', 1)) AS digest, CAST(NULL AS VARCHAR) AS error FROM conversations"

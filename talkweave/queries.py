@@ -617,6 +617,41 @@ def text_files(s, d):
     return read.join(listed, "source")
 
 
+@query
+def placed_texts(s, d):
+    """One file for each document at its path; of those that clash the first one."""
+    path = shared.fresh_folder(s, "placed")
+    place = files.stage_path(F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 97).cast("string"), F.lit(".md")), "final")
+    files.write_texts(_docs(s, d).select(F.col("doc_id").alias("pos"), place.alias("path"), F.col("text").alias("md")), path)
+    read = files.read_documents(s, f"{path}/*/*")
+    return read.select(F.regexp_extract("path", "([^/]*/[^/]*)$", 1).alias("path"), F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
+@query
+def state_entries(s, d):
+    """States with keys of any name, written, read, updated and written again: other keys stay as they were, nulls too."""
+    path = shared.fresh_folder(s, "entries")
+    row = F.struct(F.lit("known").alias("status"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("string").alias("note"), F.struct(F.col("c_nationkey").alias("nation")).alias("home"))
+    known = B.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("item_id"), F.parse_json(F.to_json(row, {"ignoreNullFields": "false"})).alias("entry"))
+    files.write_entries(known, f"{path}/before", 4)
+    updates = B.log(s, d).select("item_id", "seq", F.create_map(F.lit("status"), F.col("status"), F.lit("error"), F.when(F.col("status") == "error", "failed")).alias("fields"))
+    files.write_entries(files.upsert_entries(files.read_entries(s, f"{path}/before"), updates), f"{path}/after", 4)
+    e = F.col("entry")
+    return files.read_entries(s, f"{path}/after").select(
+        "item_id", files.entry_value(e, "status").alias("status"), files.entry_value(e, "error").alias("error"), files.entry_has(e, "error").alias("has_error"),
+        files.entry_has(e, "note").alias("has_note"), F.round(files.entry_value(e, "balance", "double"), 2).alias("balance"), files.entry_value(e, "home.nation", "long").alias("nation"),
+    )
+
+
+@query
+def asked_once(s, d):
+    """Every line of the conversations as a prompt: equal ones are asked once, in two runs of which the second asks nothing."""
+    store = shared.fresh_folder(s, "answers")
+    talk = B.speech(s, d).select("item_id", "seq", F.concat(F.lit("Say it: "), F.lower("speaker"), F.lit(" "), F.substring_index("text", ".", 1)).alias("prompt"))
+    infer.infer_once(talk, _echo, store, waves=2)
+    return infer.infer_once(talk, _fails, store, waves=1).select("item_id", "seq", F.md5(F.col("response").cast("binary")).alias("digest"), "error")
+
+
 @query
 def eval_files(s, d):
     path, results = shared.fresh_folder(s, "eval"), shared.fresh_folder(s, "results")
@@ -749,3 +784,8 @@ def skipped_states(s, d):
 def _echo(prompt: str) -> str:
     """A deterministic stand-in for a model: what follows the instruction."""
     return "<think>hm</think>" + prompt.split(": ", 1)[1]
+
+
+def _fails(prompt: str) -> str:
+    """A model that must not be asked."""
+    raise ValueError(prompt)

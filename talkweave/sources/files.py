@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,6 +104,92 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").partitionBy("stage").parquet(path)
 
 
+def write_texts(documents: DataFrame, path: str) -> None:
+    """One UTF-8 text file for each document, at its path under ``path``. documents: pos, path, md.
+
+    Of documents with one path the first by pos is written.  Tasks write to a staging folder; which files they
+    wrote is a table, and so holds those of finished attempts only.  A second job moves these files to their
+    places, and the staging folder goes.  A killed task leaves nothing at the places, and a move that is
+    tried again finds its file moved.
+    """
+    spark = documents.sparkSession
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    rank = F.struct("pos", F.xxhash64("md"))
+    winners = documents.groupBy("path").agg(F.min_by("md", rank).alias("md"))
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = f"{staging}/{uuid.uuid4().hex}"
+        store, at = fs.FileSystem.from_uri(folder)
+        store.create_dir(at)
+        number = 0
+        for batch in batches:
+            names = []
+            for md in batch["md"].to_pylist():
+                names.append(f"{folder}/{number}")
+                number += 1
+                with store.open_output_stream(f"{at}/{names[-1].rsplit('/', 1)[1]}") as out:
+                    out.write((md or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch["path"]], ["staged", "path"])
+
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            for staged, place in zip(batch["staged"].to_pylist(), batch["path"].to_pylist(), strict=True):
+                store, source = fs.FileSystem.from_uri(staged)
+                target = f"{fs.FileSystem.from_uri(path)[1]}/{place}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    made.add(folder)
+                if store.get_file_info(source).type != fs.FileType.NotFound:
+                    store.move(source, target)
+            yield batch.select(["path"])
+
+    table = f"{staging}/files"
+    try:
+        winners.select("path", "md").mapInArrow(stage, "staged string, path string").write.parquet(table)
+        spark.read.schema("staged string, path string").parquet(table).mapInArrow(publish, "path string").write.format("noop").mode("overwrite").save()
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(staging)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(item_id, entry) of map-of-maps JSON files, the entry being a VARIANT with all its keys; unreadable files give none."""
+    raw = F.from_json(F.get_json_object("value", "$.videos"), "map<string,variant>")
+    return spark.read.text(path, wholetext=True).select(F.explode(raw).alias("item_id", "entry"))
+
+
+def entry_value(entry: Column, field: str, kind: str = "string") -> Column:
+    """A field of an entry; null where it is absent or null (see ``entry_has``) or of another kind."""
+    return F.try_variant_get(entry, f"$.{field}", kind)
+
+
+def entry_has(entry: Column, field: str) -> Column:
+    """Whether an entry has the field, even as null."""
+    return F.map_contains_key(entry.cast("map<string,variant>"), field)
+
+
+def upsert_entries(state: DataFrame, updates: DataFrame) -> DataFrame:
+    """Entries after partial updates in order of seq: given fields are set, to null too, and all other keys stay. updates: item_id, seq, fields map<string,string>."""
+    last = updates.select("item_id", "seq", F.explode("fields").alias("field", "value")).groupBy("item_id", "field").agg(F.max_by(F.struct("value"), "seq").alias("last"))
+    given = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("last.value")))).alias("given"))
+    only = updates.select("item_id").distinct().join(given, "item_id", "left")
+    both = state.join(only, "item_id", "full_outer")
+    old = F.coalesce(F.col("entry").cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    new = F.transform_values(F.coalesce("given", F.create_map().cast("map<string,string>")), lambda _, v: F.parse_json(F.coalesce(F.to_json(F.struct(v.alias("v")), {"ignoreNullFields": "false"}), F.lit("{}"))))
+    new = F.transform_values(new, lambda _, v: F.variant_get(v, "$.v", "variant"))
+    kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return both.select("item_id", F.to_variant_object(F.map_concat(kept, new)).alias("entry"))
+
+
+def write_entries(state: DataFrame, path: str, files: int = 1) -> None:
+    """Map-of-maps JSON files of (item_id, entry), in ``files`` parts by hash of item_id."""
+    pair = F.concat(F.regexp_extract(F.to_json(F.struct(F.col("item_id").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1), F.lit(":"), F.to_json("entry"))
+    parts = state.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(files)).alias("part")).agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("pairs"))
+    parts.select(F.concat(F.lit('{"videos":{'), "pairs", F.lit("}}")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def artifact_listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, length, modificationTime) of files, without their contents."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -267,3 +268,60 @@ def test_groups_of_one_very_long_item(spark):
     text = spark.range(1).select(F.repeat(F.lit("abcdefghi."), n).alias("t"))
     paragraphs = text.select(turns.pack_paragraphs(F.col("t")).alias("p")).select(F.size("p"), F.size(F.array_distinct("p")), F.length(F.col("p")[0]))
     assert tuple(paragraphs.first()) == (n * 10 // 500, 1, 500)
+
+
+def test_inference_goes_on_where_it_broke_off(spark, tmp_path):
+    """Equal prompts are asked once; a run that is killed keeps the answers of its finished waves, and failures are asked again."""
+    log = tmp_path / "calls"
+    rows = spark.createDataFrame([(k, f"prompt {k % 20}") for k in range(60)] + [(99, None)], "item_id int, prompt string").repartition(3)
+
+    def respond(kind):
+        def answer(prompt, kind=kind, log=str(log)):
+            with open(log, "a") as file:
+                file.write(f"{prompt}\n")
+            if kind == "dies" and prompt == "prompt 7":
+                raise SystemExit(1)
+            if kind != "works" and prompt == "prompt 3":
+                raise ValueError("no")
+            return prompt.upper()
+
+        return answer
+
+    calls = lambda: log.read_text().splitlines() if log.exists() else []
+    with pytest.raises(Exception, match="(?i)fail|exit|abort"):
+        infer.infer_once(rows, respond("dies"), str(tmp_path / "store"), waves=10).count()
+    first = calls()
+    assert len(first) == len(set(first)) < 20
+    kept = {r.response for r in spark.read.schema(infer.ANSWERS).parquet(str(tmp_path / "store")).where("response IS NOT NULL").collect()}
+    infer.infer_once(rows, respond("fails"), str(tmp_path / "store"), waves=3)
+    second = calls()[len(first) :]
+    assert sorted(second) == sorted(f"prompt {k}" for k in range(20) if f"PROMPT {k}" not in kept)
+    found = infer.infer_once(rows, respond("works"), str(tmp_path / "store"), in_flight=1, waves=1).collect()
+    assert calls()[len(first) + len(second) :] == ["prompt 3"]
+    assert sorted((r.item_id, r.response, r.error) for r in found) == sorted([(k, f"PROMPT {k % 20}", None) for k in range(60)] + [(99, None, None)], key=lambda r: r[0])
+
+
+def test_texts_at_their_places(spark, tmp_path):
+    """Clashes go to the first by pos; a failed job leaves nothing behind."""
+    out = str(tmp_path / "out")
+    rows = [(2, "a/x.md", "late"), (1, "a/x.md", "early ü"), (3, "b.md", ""), (4, "c/d/e.md", None)]
+    files.write_texts(spark.createDataFrame(rows, "pos long, path string, md string").repartition(3), out)
+    found = {str(p.relative_to(out)): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert found == {"a/x.md": "early ü", "b.md": "", "c/d/e.md": ""}
+    bad = spark.range(20).select(F.col("id").alias("pos"), F.format_string("f%d.md", "id").alias("path"), F.when(F.col("id") == 19, F.raise_error(F.lit("killed")).cast("string")).otherwise("text").alias("md"))
+    with pytest.raises(Exception, match="killed"):
+        files.write_texts(bad, str(tmp_path / "bad"))
+    assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
+
+
+def test_entries_keep_unknown_keys(spark, tmp_path):
+    (tmp_path / "s.json").write_text('{"videos": {"a\\"b": {"status": "new", "tags": ["x", 1], "error": null, "deep": {"k": null}}, "c": {}}, "version": 3}')
+    (tmp_path / "t.json").write_text("not json")
+    entries = files.read_entries(spark, str(tmp_path / "*.json"))
+    updates = spark.createDataFrame([('a"b', 1, {"status": "x"}), ('a"b', 2, {"status": "y", "note": None}), ("d", 1, {}), ("e", 1, {"status": "z"})], "item_id string, seq long, fields map<string,string>")
+    files.write_entries(files.upsert_entries(entries, updates), str(tmp_path / "out"), 2)
+    got = {r.item_id: json.loads(r.j) for r in files.read_entries(spark, str(tmp_path / "out")).select("item_id", F.to_json("entry").alias("j")).collect()}
+    assert got == {'a"b': {"status": "y", "tags": ["x", 1], "error": None, "deep": {"k": None}, "note": None}, "c": {}, "d": {}, "e": {"status": "z"}}
+    e = F.col("entry")
+    row = files.read_entries(spark, str(tmp_path / "out")).where(F.col("item_id") == 'a"b').select(files.entry_value(e, "error").alias("error"), files.entry_has(e, "error").alias("given"), files.entry_has(e, "absent").alias("absent")).first()
+    assert tuple(row) == (None, True, False)
