@@ -50,6 +50,8 @@ BLOCK_BYTES = 32 << 20
 RANGE_BYTES = 16 << 20
 #: Bytes of text whose grams are worked out at once.
 SLICE = 1 << 19
+#: Arrays of keys that are held before they are added up.
+MERGED = 20
 SPACE, END = 0x20, 0x0A
 #: Keys of words have this bit, those of grams don't.
 WORD = np.uint64(1 << 63)
@@ -174,7 +176,7 @@ def _parts(docs: DataFrame, ranges: int) -> DataFrame:
                         some, n = np.unique(key[of], return_counts=True)
                         keys.append(some)
                         counts.append(n * unit)
-                if len(keys) > 64:
+                if len(keys) > MERGED:
                     merged = _summed(keys, counts)
                     keys, counts = [merged[0]], [merged[1]]
                 states = part["held_out"].to_numpy(zero_copy_only=False).astype(np.uint8) + 2 * np.array(part["doc_id"].is_null()).astype(np.uint8)
