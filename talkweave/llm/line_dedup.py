@@ -40,6 +40,8 @@ BANDS, ROWS = 14, 4
 REGISTERS = BANDS * ROWS
 #: Standard deviations under the threshold at which signatures rule a pair out.
 MARGIN = 4.0
+#: Lines that a task remembers to have signed.
+SIGNED = 1 << 18
 #: The signature: a long column for each band, of ROWS registers of 16 bits.
 SIGNATURE = [f"s{i}" for i in range(BANDS)]
 
@@ -99,11 +101,12 @@ def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """One row per non-blank line: its document, number and 128-bit hash; the first of equal ones in a piece has the signature."""
+    """One row per non-blank line: its document, number and 128-bit hash; the first of equal ones in a piece has the signature, unless the task has signed it before."""
     schema = "doc_id long, text_hash long, line int, h1 long, h2 long, " + ", ".join(f"{s} long" for s in SIGNATURE)
     names = [f.split()[0] for f in schema.split(", ")]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed: set[int] = set()
         for batch in batches:
             for part, data, at in T.pieces(batch, "text"):
                 start, end, row, number = lines(data, at)
@@ -117,7 +120,12 @@ def _signed(docs: DataFrame) -> DataFrame:
                 half = T.mix(np.add.reduceat(T.mix(hashes ^ T.BASES[1]), np.cumsum(count) - count))
                 h2 = half[np.argsort(np.argsort(firsts))[copy]]
                 firsts.sort()
-                signature = np.ascontiguousarray(minima(hashes, count)).view(np.int64)
+                if len(signed) > SIGNED:
+                    signed.clear()
+                new = np.array([x not in signed for x in T.mix(h1[firsts] ^ half).tolist()], bool)
+                signed.update(T.mix(h1[firsts] ^ half).tolist())
+                firsts = firsts[new]
+                signature = np.ascontiguousarray(minima(hashes[np.repeat(new, count)], count[new])).view(np.int64)
                 rest = np.ones(len(start), bool)
                 rest[firsts] = False
 
@@ -175,11 +183,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs: doc_id long, text, text_hash (xxhash64 of the text).
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    signed = scratch.save(_signed(docs), "lines")
+    signed = scratch.save(_signed(docs), "lines", hashes=True)
     place = F.struct("doc_id", "text_hash", "line")
     largest = [F.max(c).alias(c) for c in SIGNATURE]  # equal lines have equal values, or none
     summed = signed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), *largest)
-    classes = scratch.save(summed.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = scratch.save(summed.withColumn("id", F.monotonically_increasing_id()), "classes", hashes=True)
     bands = F.array(*[F.xxhash64(F.lit(i), s) for i, s in enumerate(SIGNATURE)])
     items = classes.select("id", F.lit(0).cast("long").alias("size"), F.array(*SIGNATURE).alias("signature"), bands.alias("buckets"))
 

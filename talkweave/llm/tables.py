@@ -47,11 +47,11 @@ class Scratch:
         if _opened:
             _opened[-1].append(self)
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        """The frame, written and read back."""
+    def save(self, frame: DataFrame, name: str, hashes: bool = False) -> DataFrame:
+        """The frame, written and read back; hashes: most columns hold few equal values, so no dictionaries are tried."""
         self.count += 1
         path = f"{self.folder}/{self.count:03d}-{name}"
-        frame.write.parquet(path)
+        frame.write.option("parquet.enable.dictionary", "false" if hashes else "true").parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
