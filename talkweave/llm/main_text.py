@@ -3,7 +3,10 @@
 Method.  A page is cut into blocks (runs of text between block-level tags).  Where
 the markup says what a block is, that decides: text inside an article or main
 element is kept; menus, headers, footers, sidebars, forms, notices, adverts, reader
-comments, scripts and styles, by element, role, class or id, go.  The other blocks
+comments, scripts and styles, by element, role, class or id, go.  A class or id says
+something as a whole name or as one made of known words only (site-header, but neither
+no-sidebar nor related-work).  What classes, ids and forms say is not believed where no
+article is left outside and the element holds an article or most of the page's text.  The other blocks
 are judged by repetition within their host: the token streams of all pages of a host
 are taken as one text, whose suffixes are dealt into buckets by their first RUN
 tokens.  These buckets are the intervals of the host's suffix array with common
@@ -62,6 +65,12 @@ menu nav navbar navigation breadcrumb breadcrumbs sidebar header footer masthead
 share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay widget toolbar
 login signup pagination pager paywall skip
 """
+#: Words that stand beside these names without changing what they mean; others, as in no-sidebar or social-science, do.
+NEUTRAL_NAMES = """
+site page top bottom left right main primary secondary global local mobile desktop list lists box container wrapper wrap inner outer
+area section block group item items bar link links icon icons button buttons form post posts article articles author body content text
+row col column slot unit inline float fixed sticky mini small large first last 1 2 3
+"""
 MAIN = "article main"
 MAIN_NAMES = "articlebody article-body post-content entry-content main-content"
 BLOCKS = """
@@ -70,7 +79,7 @@ h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p
 """
 VOID = "area base br col embed hr img input link meta param source track wbr"
 
-_RAW, _SKIPPED, _ROLES, _NAMES, _MAIN, _MAIN_NAMES, _BLOCKS, _VOID = (frozenset(x.split()) for x in (RAW, SKIPPED, SKIPPED_ROLES, SKIPPED_NAMES, MAIN, MAIN_NAMES, BLOCKS, VOID))
+_RAW, _SKIPPED, _ROLES, _NAMES, _NEUTRAL, _MAIN, _MAIN_NAMES, _BLOCKS, _VOID = (frozenset(x.split()) for x in (RAW, SKIPPED, SKIPPED_ROLES, SKIPPED_NAMES, NEUTRAL_NAMES, MAIN, MAIN_NAMES, BLOCKS, VOID))
 # Quotes hold a value only after an equals sign, as in browsers; elsewhere they are characters.  All loops are possessive, so that a page takes time in proportion to its length.
 _WITHIN = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+"
 _TOKEN = re.compile(
@@ -81,13 +90,23 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|itemprop|aria-hidden)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.IGNORECASE)
 
 KEEP, DROP, OPEN = "keep", "drop", "open"
+#: Dropped by class, id or as a form: believed unless it holds what the page is about.
+DOUBTED = "doubted"
+
+
+def _skipped_name(name: str) -> bool:
+    """Whether a class or id names something to skip: as a whole, or in words all of which are known."""
+    if name in _NAMES:
+        return name not in _MAIN_NAMES
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    return name not in _MAIN_NAMES and not _NAMES.isdisjoint(words) and all(w in _NAMES or w in _NEUTRAL for w in words)
 
 
 def _meaning(name: str, attributes: str) -> str | None:
-    """What an element says of its text: KEEP, DROP or nothing."""
-    if name in _SKIPPED:
+    """What an element says of its text: KEEP, DROP, DOUBTED or nothing."""
+    if name in _SKIPPED and name != "form":
         return DROP
-    means = KEEP if name in _MAIN else None
+    means = KEEP if name in _MAIN else DOUBTED if name == "form" else None
     if attributes and not attributes.isspace():
         for key, a, b, c in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), (a or b or c).lower()
@@ -95,18 +114,35 @@ def _meaning(name: str, attributes: str) -> str | None:
                 return DROP
             if key in ("class", "id"):
                 names = value.split()
-                if name not in _MAIN and name != "body" and any(n in _NAMES or not _NAMES.isdisjoint(re.split(r"[-_]+", n)) and n not in _MAIN_NAMES for n in names):
-                    return DROP
-                if not _MAIN_NAMES.isdisjoint(names):
+                if name not in _MAIN and name != "body" and any(map(_skipped_name, names)):
+                    means = DOUBTED
+                elif not _MAIN_NAMES.isdisjoint(names) and means != DOUBTED:
                     means = KEEP
-            if key == "role" and value in ("main", "article") or key == "itemprop" and value in _MAIN_NAMES:
+            if (key == "role" and value in ("main", "article") or key == "itemprop" and value in _MAIN_NAMES) and means != DOUBTED:
                 means = KEEP
     return means
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
     """The (meaning, text) of a page's blocks in order, DROP ones left out."""
+    believed: set[int] = set()
+    while True:
+        found, doubted = _blocks(page, believed)
+        if not doubted or any(state == KEEP for state, _ in found):
+            return found
+        # no article outside: elements that hold one, or most of the text, aren't what their names say
+        total = sum(len(text) for _, text in found) + sum(size for size, _ in doubted.values())
+        wrong = {at for at, (size, main) in doubted.items() if main or 2 * size > total}
+        if not wrong:
+            return found
+        believed |= wrong
+
+
+def _blocks(page: str, ignored: set[int]) -> tuple[list[tuple[str, str]], dict[int, tuple[int, bool]]]:
+    """The blocks, and of every element that was dropped in doubt, by place, how much text it holds and whether an article; ignored: places of elements whose names and ids say nothing."""
     found: list[tuple[str, str]] = []
+    doubted: dict[int, tuple[int, bool]] = {}
+    doubt = -1  # place of the element in doubt that is open
     stack: list[tuple[str, str]] = []  # open elements that mean something: name, meaning
     depth: dict[str, int] = {}  # open elements by name since the innermost of these
     depths: list[dict[str, int]] = []
@@ -122,6 +158,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if m["text"] is not None or m["stray"]:
             if state != DROP:
                 held.append(m[0])
+            elif doubt >= 0:
+                doubted[doubt] = doubted[doubt][0] + len(m[0].strip()), doubted[doubt][1]
             continue
         name = (m["name"] or "").lower()
         if not name:
@@ -142,6 +180,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     if closed == name:
                         break
                 state = stack[-1][1] if stack else OPEN
+                doubt = doubt if state == DROP else -1
             continue
         if name in _VOID or attributes.endswith("/"):
             continue
@@ -149,7 +188,18 @@ def blocks(page: str) -> list[tuple[str, str]]:
             stack.pop()
             depth = depths.pop()
             state = stack[-1][1] if stack else OPEN
+            doubt = doubt if state == DROP else -1
         means = _meaning(name, attributes)
+        if state == DROP:
+            if means == KEEP and doubt >= 0:
+                doubted[doubt] = doubted[doubt][0], True
+        elif means == DOUBTED:
+            means = None if m.start() in ignored else DROP
+            if means:
+                doubt = m.start()
+                doubted[doubt] = 0, False
+        elif means == DROP:
+            doubt = -1
         if means and state != DROP and means != state:
             flush()
             stack.append((name, means))
@@ -158,7 +208,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         else:
             depth[name] = depth.get(name, 0) + 1
     flush()
-    return found
+    return found, doubted
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:

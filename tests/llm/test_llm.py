@@ -391,6 +391,29 @@ def test_main_text(spark):
     assert html.unescape("&copy") == "©"
 
 
+ARTICLE = "<p>" + "long text of the article goes here. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f'<div class="layout no-sidebar">{ARTICLE}</div>', 1),
+        (f'<div class="content has-menu">{ARTICLE}</div>', 1),
+        (f'<form id="aspnetForm"><div class="nav">menu</div><article>{ARTICLE}</article></form>', 1),
+        (f'<form><div>{ARTICLE}</div></form><div class="sidebar">gone</div>', 1),
+        (f'<article>{ARTICLE}<div class="social-science">b</div><p class="related-work">c</p></article>', 3),
+        (f'<div class="page-content widget">{ARTICLE}</div><div class="post-list related-posts">gone</div>', 1),
+        (f'<article>{ARTICLE}</article><div class="comments"><article>gone {ARTICLE * 9}</article></div>', 1),
+        (f'<article>{ARTICLE}<div class="site-header">gone</div><div id="cookie_banner">gone</div><form>gone</form></article>', 1),
+        (f'<nav>{ARTICLE}</nav><p>short</p>', 1),
+        ('<div class="sidebar"><div class="menu">one two three</div></div>', 1),
+    ],
+)
+def test_names_that_hold_the_page_are_not_believed(page, kept):
+    found = main_text.blocks(page)
+    assert len(found) == kept and not any("gone" in t for _, t in found)
+
+
 def test_main_text_keeps_copies_on_a_host(spark):
     words = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
     page = lambda *blocks: "<body>" + "".join(f"<div class=content>{b}</div>" for b in blocks) + "</body>"
