@@ -49,8 +49,8 @@ def file_counts(files: DataFrame) -> DataFrame:
     return files.groupBy(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("extension")).agg(F.count("*").alias("n"))
 
 
-#: Positions of segments are summed up in ranges of 2**20, then of 2**32, then all; see ``transcript_metrics``.
-SHIFTS = (20, 32, 63)
+#: Positions of segments are summed up in ranges of 2**20, then of 2**40, then all; see ``transcript_metrics``.
+SHIFTS = (20, 40, 63)
 
 
 def _pieces(segments: DataFrame, mark: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,12 +35,61 @@ def upsert_state(state: DataFrame, updates: DataFrame, fields: list[str]) -> Dat
 
     updates: item_id, seq, fields map<string,string>.
     """
+    both = state.join(given_fields(updates), "item_id", "full_outer")
+    return both.withColumns(_with_given(state, fields)).select(*state.columns)
+
+
+def given_fields(updates: DataFrame) -> DataFrame:
+    """(item_id, given map): what all updates of an item give, the last value of each field."""
     last = updates.select("item_id", "seq", F.explode("fields").alias("field", "value")).groupBy("item_id", "field").agg(F.max_by(F.struct("value"), "seq").alias("last"))
     merged = last.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("field", F.col("last.value")))).alias("given"))
     only = updates.select("item_id").distinct().join(merged, "item_id", "left")
-    both = state.join(only.withColumn("given", F.coalesce("given", F.create_map().cast("map<string,string>"))), "item_id", "full_outer")
-    new = {f: F.when(F.map_contains_key("given", f), F.col("given")[f].cast(state.schema[f].dataType)).otherwise(F.col(f)) for f in fields}
-    return both.withColumns(new).select(*state.columns)
+    return only.withColumn("given", F.coalesce("given", F.create_map().cast("map<string,string>")))
+
+
+def _with_given(state: DataFrame, fields: list[str]) -> dict[str, Column]:
+    return {f: F.when(F.map_contains_key("given", f), F.col("given")[f].cast(state.schema[f].dataType)).otherwise(F.col(f)) for f in fields}
+
+
+#: Bytes of updates that are broadcast; see ``merge_state``.
+BROADCAST = 64 << 20
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")
+
+
+def save_state(state: DataFrame, path: str, buckets: int) -> None:
+    """The state as Parquet in folders by hash of item_id, for ``merge_state``."""
+    state.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def merge_plan(state: DataFrame, given: DataFrame, fields: list[str], few: bool) -> DataFrame:
+    """The state with given fields: known rows are joined where they are read, if the given ones are few enough to broadcast; rows of new items follow."""
+    mark = F.broadcast if few else lambda x: x
+    known = state.join(mark(given), "item_id", "left").withColumns(_with_given(state, fields)).select(*state.columns)
+    met = state.select("item_id").join(mark(given.select("item_id")), "item_id", "left_semi")
+    new = given.join(met, "item_id", "left_anti").withColumns({f: F.lit(None).cast(state.schema[f].dataType) for f in state.columns if f != "item_id"})
+    return known.unionByName(new.withColumns(_with_given(state, fields)).select(*state.columns))
+
+
+def merge_state(spark: SparkSession, path: str, updates: DataFrame, fields: list[str], buckets: int) -> list[int]:
+    """Partial updates, as in ``upsert_state``, into a saved state: only the buckets that they name are read and written again.
+
+    Returns these buckets. The state isn't shuffled while the updates have at most BROADCAST bytes. A bucket's new files
+    replace the old ones when the job commits, so a job that fails changes nothing.
+    """
+    given = given_fields(updates).persist(StorageLevel.DISK_ONLY)
+    try:
+        size = F.octet_length("item_id") + F.octet_length(F.to_json("given")) + 64
+        touched = sorted(r[0] for r in given.select(_bucket(buckets)).distinct().collect())
+        few = (given.agg(F.sum(size)).first()[0] or 0) <= BROADCAST
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+        merged = merge_plan(old, given, fields, few).withColumn("bucket", _bucket(buckets))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        return touched
+    finally:
+        given.unpersist()
 
 
 def fold_updates(updates: DataFrame, field: str = "status") -> DataFrame:

@@ -241,3 +241,6 @@ ORACLES["placed_texts"] = "SELECT source || '/' || doc_id % 97 || '.final.md' AS
 ORACLES["state_entries"] = f"""WITH {_CURRENT}, k AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, c_acctbal, c_nationkey FROM customer)
   SELECT item_id, coalesce(status, 'known') AS status, CASE WHEN status = 'error' THEN 'failed' END AS error, cur.item_id IS NOT NULL AS has_error, k.item_id IS NOT NULL AS has_note, round(CAST(c_acctbal AS DOUBLE), 2) AS balance, CAST(c_nationkey AS BIGINT) AS nation FROM k FULL JOIN cur USING (item_id)"""
 ORACLES["asked_once"] = "SELECT CAST(conv_id AS VARCHAR) AS item_id, CAST(turn AS INT) AS seq, md5('<think>hm</think>' || lower(role) || ' ' || split_part(text, '.', 1)) AS digest, CAST(NULL AS VARCHAR) AS error FROM conversations"
+ORACLES["merged_state"] = f"""WITH {_CURRENT}, err AS (SELECT item_id, arg_max(row(CASE WHEN status = 'error' THEN 'failed' END), row(ts, event_id)) AS e FROM log WHERE status IN ('error', 'new') GROUP BY item_id),
+  u AS (SELECT item_id, cur.status AS s, e FROM cur LEFT JOIN err USING (item_id)), k AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, 'known' AS status, 'old' AS error FROM customer)
+  SELECT item_id, coalesce(s, status) AS status, CASE WHEN e IS NULL THEN error ELSE e[1] END AS error FROM k FULL JOIN u USING (item_id)"""

@@ -56,6 +56,21 @@ def upsert_state(s, d):
     return state.upsert_state(empty, updates, ["status", "error"])
 
 
+@query
+def merged_state(s, d):
+    """The same updates in three lots, each merged into the buckets of a saved state that it names."""
+    path = shared.fresh_folder(s, "buckets")
+    state.save_state(B.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("item_id"), F.lit("known").alias("status"), F.lit("old").alias("error")), path, 16)
+    given = F.create_map(F.lit("status"), F.col("status"))
+    with_error = F.create_map(F.lit("status"), F.col("status"), F.lit("error"), F.when(F.col("status") == "error", "failed"))
+    updates = B.log(s, d).select("item_id", "seq", "ts", F.when(F.col("status").isin("error", "new"), with_error).otherwise(given).alias("fields"))
+    ends = [r[0] for r in updates.select(F.percentile_approx("ts", F.array(F.lit(0.4), F.lit(0.7))).alias("e")).select(F.explode("e")).collect()]
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        lot = updates.where((F.lit(True) if low is None else F.col("ts") > low) & (F.lit(True) if high is None else F.col("ts") <= high))
+        state.merge_state(s, path, lot.drop("ts"), ["status", "error"], 16)
+    return s.read.parquet(path).select("item_id", "status", "error")
+
+
 @query
 def lookup_status(s, d):
     return state.lookup_status(B.catalog(s, d).select("item_id"), B.current(s, d))
@@ -385,7 +400,7 @@ def queue_preview(s, d):
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line of every document as a segment of its language's config, in order of document and line."""
     rows = docs.select(F.concat(F.lit("1_"), F.col("lang")).alias("config_name"), "doc_id", F.posexplode(F.split(F.replace("text", F.lit("."), F.lit("。")), "\n")).alias("line", "text"))
-    return rows.select("config_name", F.shiftleft("doc_id", 20).bitwiseOR(F.col("line")).alias("seq"), "text")
+    return rows.select("config_name", F.shiftleft("doc_id", 28).bitwiseOR(F.col("line")).alias("seq"), "text")
 
 
 @query

@@ -325,3 +325,23 @@ def test_entries_keep_unknown_keys(spark, tmp_path):
     e = F.col("entry")
     row = files.read_entries(spark, str(tmp_path / "out")).where(F.col("item_id") == 'a"b').select(files.entry_value(e, "error").alias("error"), files.entry_has(e, "error").alias("given"), files.entry_has(e, "absent").alias("absent")).first()
     assert tuple(row) == (None, True, False)
+
+
+def test_merge_rewrites_only_named_buckets(spark, tmp_path):
+    """Equal to the upsert of the whole state; other buckets keep their files, and the state is not shuffled."""
+    path = str(tmp_path / "state")
+    known = spark.createDataFrame([(f"i{k}", "old", None if k % 2 else "e") for k in range(200)], "item_id string, status string, error string")
+    updates = spark.createDataFrame([("i3", 1, {"status": "x"}), ("i3", 2, {"error": None}), ("i4", 1, {"error": None}), ("fresh", 1, {"status": "y"}), ("bare", 1, {})], "item_id string, seq long, fields map<string,string>")
+    state.save_state(known, path, 32)
+    files_of = lambda: {str(p.relative_to(path)) for p in (tmp_path / "state").rglob("*.parquet")}
+    before = files_of()
+    touched = state.merge_state(spark, path, updates, ["status", "error"], 32)
+    assert 1 <= len(touched) <= 4
+    of_touched = lambda names: {n for n in names if int(n.split("/")[0].removeprefix("bucket=")) in touched}
+    assert before - of_touched(before) == files_of() - of_touched(files_of()) and before != files_of()
+    got = spark.read.parquet(path).select("item_id", "status", "error")
+    want = state.upsert_state(known, updates, ["status", "error"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    given = spark.createDataFrame([("i3", {"status": "x"})], "item_id string, given map<string,string>")
+    plan = state.merge_plan(spark.read.parquet(path).drop("bucket"), given, ["status", "error"], True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, (item_id" in plan and "strategy=broadcast" in plan
