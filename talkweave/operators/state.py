@@ -104,13 +104,15 @@ def lookup_status(ids: DataFrame, state: DataFrame) -> DataFrame:
 def counted_before(frame: DataFrame, counted: Column, order: str = "pos", span: int = RANGE) -> DataFrame:
     """The frame with ``before``: how many earlier rows count.
 
-    ``order`` is a position: whole numbers, about as dense as the rows (sparse ones make as many
-    ranges as rows).  Rows are numbered within ranges of it; the ranges' totals, a small table, are
-    summed over all earlier ranges.  So no window spans the whole table, only that of totals.
+    ``order`` is a position: whole numbers, dense or sparse.  Rows are numbered within ranges of it, the
+    ranges' totals within ranges of ranges, and only the totals of these, one for ``span`` ** 2 positions, are
+    summed over all earlier ones.  So no window spans the whole table, even if every range has one row.
     """
     frame = frame.withColumns({"_range": F.floor(F.col(order) / span), "_counted": counted.cast("int")})
-    totals = frame.groupBy("_range").agg(F.sum("_counted").alias("_total"))
-    earlier = totals.withColumn("_offset", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_total")
+    totals = frame.groupBy("_range").agg(F.sum("_counted").alias("_total")).withColumn("_of", F.floor(F.col("_range") / span))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = totals.groupBy("_of").agg(F.sum("_total").alias("_all")).select("_of", before(Window.orderBy("_of"), "_all").alias("_start"))
+    earlier = totals.withColumn("_own", before(Window.partitionBy("_of").orderBy("_range"), "_total")).join(above, "_of").select("_range", (F.col("_start") + F.col("_own")).alias("_offset"))
     inside = F.coalesce(F.sum("_counted").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return frame.withColumn("_inside", inside).join(earlier, "_range").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_range", "_counted", "_inside", "_offset")
 

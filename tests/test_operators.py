@@ -345,3 +345,15 @@ def test_merge_rewrites_only_named_buckets(spark, tmp_path):
     given = spark.createDataFrame([("i3", {"status": "x"})], "item_id string, given map<string,string>")
     plan = state.merge_plan(spark.read.parquet(path).drop("bucket"), given, ["status", "error"], True)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter, (item_id" in plan and "strategy=broadcast" in plan
+
+
+@pytest.mark.parametrize("span", [2, 3, 1 << 20])
+def test_counting_over_sparse_positions(spark, span):
+    rng = random.Random(span)
+    rows = [(p, rng.random() < 0.4) for p in rng.sample(range(-40, 10**6), 200)]
+    got = state.counted_before(spark.createDataFrame(rows, "pos long, hit boolean").repartition(3), F.col("hit"), span=span)
+    n, want = 0, {}
+    for p, hit in sorted(rows):
+        want[p] = n
+        n += hit
+    assert {r.pos: r.before for r in got.collect()} == want
