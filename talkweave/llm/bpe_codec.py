@@ -34,7 +34,7 @@ from talkweave.llm.pretokens import pretokens
 from talkweave.llm.vocabulary import Vocabulary, parse
 
 #: Text of one block, whose distinct pieces share one index.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:

@@ -63,6 +63,7 @@ def _plausible(pairs: DataFrame, items: DataFrame, possible: Possible, kind: np.
             if b.num_rows:
                 ok = possible(b["size_a"].to_numpy(), b["size_b"].to_numpy(), _matrix(b["sig_a"], kind), _matrix(b["sig_b"], kind))
                 yield b.select(["a", "b"]).filter(pa.array(ok))
+        T.release()
 
     return pairs.select("a", "b", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
@@ -81,6 +82,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack)
             union = T.distinct(np.concatenate([v for both in zip(*sides, strict=True) for v in both]), number)[1]
             ok = 100 * (number - union) >= percent * union
             yield b.select(["a", "b"]).filter(pa.array(ok))
+            del sides, union
+            T.release()
 
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
 
@@ -202,6 +205,8 @@ def _rest(members: DataFrame, percent: int, possible: Possible, kind: np.dtype,
                 held = held.slice(whole + 1)
         if held is not None:
             yield links(held)
+        held = None
+        T.release()
 
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
 

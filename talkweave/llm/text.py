@@ -7,7 +7,9 @@ is never cut: one very long text makes one larger piece.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +127,19 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that gives free memory back; one that does nothing where there is none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give free memory back to the system: a worker lives on after its task, beside the executor's and those of later stages."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batch with about ``most`` bytes of text: (slice, bytes, row starts)."""
     texts = strings(batch.column(column))
@@ -136,6 +151,7 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Itera
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
         yield batch.slice(begin, end - begin), *buffers(texts.slice(begin, end - begin))
         begin = end
+    release()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
@@ -151,6 +167,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
                 held, size = [], 0
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    held.clear()
+    release()
 
 
 def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
