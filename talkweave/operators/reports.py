@@ -107,6 +107,28 @@ def eval_report(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.split_part("config_name", F.lit("_"), F.lit(1)).alias("number"), "config_name", "engine", F.concat(F.col("char_count").cast("string"), star).alias("chars"), F.col("paragraph_count").alias("paragraphs"), F.col("duration_seconds").alias("seconds"), status.alias("status"))
 
 
+# Headings of the evaluation report.
+REPORT_TITLE, REPORT_SOURCE, REPORT_TIME, REPORT_RESULTS, REPORT_DETAILS = "# ASR 转录基准测试报告", "测试视频", "测试时间", "## 结果对比", "## 详细参数"
+REPORT_COLUMNS = ["#", "配置", "引擎", "字符数", "段落数", "耗时(秒)", "状态"]
+REPORT_STAR = "> ⭐ = 最多字符数 (可能意味着最完整的转录)"
+
+
+def report_text(metrics: DataFrame, source: str, at: Column, details: list[tuple[str, list[str]]] | None = None) -> DataFrame:
+    """One row: the evaluation report as a text, its table in order of configuration.
+
+    source, at: what was transcribed, and when; details: names of configurations with the lines that describe
+    them.  The report has a line for each configuration, so its size doesn't grow with what was transcribed.
+    """
+    rule = "|".join(["", "---", "------", "------", "--------", "--------", "----------", "------", ""])
+    head = [REPORT_TITLE, "", f"**{REPORT_SOURCE}**: {source}"], ["", REPORT_RESULTS, "", f"| {' | '.join(REPORT_COLUMNS)} |", rule]
+    tail = ["", REPORT_STAR, "", REPORT_DETAILS, "", *[line for name, lines in details or [] for line in [f"### {name}", *lines, ""]]]
+    cells = F.concat_ws(" | ", "number", "config_name", "engine", "chars", F.col("paragraphs").cast("string"), F.col("seconds").cast("decimal(18,1)").cast("string"), "status")
+    rows = eval_report(metrics).select(F.struct("config_name", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")).alias("row"))
+    table = F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"])
+    lines = F.concat(F.array(*map(F.lit, head[0]), F.concat(F.lit(f"**{REPORT_TIME}**: "), at)), F.array(*map(F.lit, head[1])), table, F.array(*map(F.lit, tail)))
+    return rows.agg(F.array_join(lines, "\n").alias("text"))
+
+
 def queue_preview(queue: DataFrame, most: int = 10, width: int = 60) -> DataFrame:
     """(number, title): the first titles, cut, and a last row with how many more there are."""
     head = queue.orderBy("pos").limit(most).withColumn("number", F.row_number().over(Window.orderBy("pos"))).select("number", F.substring("title", 1, width).alias("title"))

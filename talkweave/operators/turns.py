@@ -279,6 +279,17 @@ def speaker_probe(turns: DataFrame, durations: DataFrame, seconds: float = PROBE
     return rows.select("item_id", "n_speakers", (F.col("duration_s") <= seconds).alias("probe_is_full"), (F.col("n_speakers") <= 1).alias("single_route"))
 
 
+def diarized_turns(turns: DataFrame, durations: DataFrame, seconds: float = PROBE_SECONDS) -> DataFrame:
+    """The turns of items whose probe found several speakers, with ``reused``: the probe covered the item, so its turns are final.
+
+    The items to keep come from the turns of the first ``seconds`` and carry an id and a flag only.  While they
+    are few, adaptive execution broadcasts them; beyond, they are the side from which Spark makes its own
+    filter at run time, so turns of single-speaker items are dropped before the shuffle of the join.
+    """
+    wanted = speaker_probe(turns, durations, seconds).where("NOT single_route").select("item_id", F.col("probe_is_full").alias("reused"))
+    return turns.join(wanted, "item_id")
+
+
 def speaker_stats(turns: DataFrame) -> DataFrame:
     """(item_id, speaker, chars, first_seq, share) over non-empty turns."""
     n = F.length(X.ustrip(F.coalesce("text", F.lit(""))))
@@ -359,6 +370,20 @@ def render_transcript(items: DataFrame, turns: DataFrame, style: str = "qwen") -
     return items.join(body, "item_id", "left").select("item_id", F.concat(head, F.lit("\n\n"), F.coalesce(X.filled(F.col("body")), F.lit(X.NO_TRANSCRIPT)), F.lit("\n")).alias("md"))
 
 
+def render_plain(items: DataFrame, segments: DataFrame) -> DataFrame:
+    """(item_id, md): header and packed paragraphs of segments without speakers; an item without any says that it failed.
+
+    items: item_id, title, author; segments: item_id, seq, text.
+    """
+    packed = pack_segments(segments, ["item_id"])
+    body = packed.groupBy("item_id").agg(F.array_join(ordered("paragraph_no", "text"), "\n\n").alias("body"))
+    author = F.concat(F.lit(f"**{X.AUTHOR_LABEL}**: "), F.coalesce("author", F.lit("")), F.lit("\n\n"))
+    rows = items.join(body, "item_id", "left")
+    named = F.when(F.col("body").isNull() | X.filled(F.col("author")).isNotNull(), author).otherwise("")
+    end = F.coalesce(F.concat("body", F.lit("\n")), F.lit(X.NO_TRANSCRIPT))
+    return rows.select("item_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), named, F.lit("---\n\n"), end).alias("md"))
+
+
 def timestamped_lines(segments: DataFrame, decimal: bool = False) -> DataFrame:
     """(item_id, text): the stamped lines of each item in order. segments: item_id, seq, start_s, end_s, text."""
     line = X.timestamped_line(F.col("start_s"), F.col("end_s"), F.col("text"), decimal)

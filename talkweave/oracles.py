@@ -70,8 +70,9 @@ ORACLES: dict[str, str] = {
   SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN '# ' || source || chr(10) || 'UP主：a' || chr(10) || chr(10) || line || chr(10) || text
   WHEN 1 THEN 'x' || chr(10) || '# ' || source || ' more' || chr(10) || chr(10) || line || chr(10) || text ELSE line || chr(10) || chr(10) || text END) AS digest FROM t""",
     "format_timestamp": "SELECT doc_id, CASE WHEN n_chars >= 3600 THEN printf('%02d:%02d:%02d', n_chars // 3600, n_chars // 60 % 60, n_chars % 60) ELSE printf('%02d:%02d', n_chars // 60, n_chars % 60) END AS stamp, printf('[%.1f-%.1f] %s', CAST(doc_id AS DOUBLE), CAST(n_chars AS DOUBLE), source) AS line FROM documents",
-    "accept_correction": r"""WITH c AS (SELECT doc_id, length(text) AS n, CAST(floor(length(text) * ((doc_id % 10) / 10)) AS INT) AS r, length(trim(text, E' \t\n\r')) AS v FROM documents)
-  SELECT doc_id, CASE WHEN r < 0.3 * n THEN n ELSE r END AS chunk, CASE WHEN v >= 20 AND r >= 0.5 * n AND r <= 2 * n THEN r ELSE n END AS paragraph FROM c""",
+    "accept_correction": r"""WITH c AS (SELECT doc_id, length(text) AS n, CAST(floor(length(text) * ((doc_id % 10) / 10)) AS INT) AS r, length(trim(text, E' \t\n\r')) AS v, text FROM documents),
+  a AS (SELECT doc_id, text, CASE WHEN r < 0.3 * n THEN n ELSE r END AS chunk, CASE WHEN v >= 20 AND r >= 0.5 * n AND r <= 2 * n THEN r ELSE n END AS paragraph FROM c)
+  SELECT doc_id, chunk, paragraph, md5(substr(text, 1, chunk)) AS chunk_digest, md5(substr(text, 1, paragraph)) AS paragraph_digest FROM a""",
     "split_sentences": f"WITH {_SENTENCES} SELECT doc_id, i - 1 AS seq, md5(s[i]) AS digest FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM cut)",
     "speaker_stats": f"WITH {_STATS} SELECT item_id, speaker, chars, first_seq, round(share, 6) AS share FROM shared",
     "significant_speakers": f"WITH {_STATS} SELECT item_id, speaker, prominent, significant FROM sig",
@@ -79,7 +80,7 @@ ORACLES: dict[str, str] = {
   SELECT m.item_id, m.seq, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY m.item_id ORDER BY m.seq), best.speaker) AS effective FROM m LEFT JOIN (SELECT item_id, speaker FROM sig WHERE prominent) best USING (item_id)""",
     "speaker_blocks": f"""WITH {_TALK}, e AS (SELECT item_id, seq, CASE WHEN speaker = 'system' THEN 'user' ELSE speaker END AS speaker, t FROM talk),
   n AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY item_id ORDER BY seq) IS NOT DISTINCT FROM speaker THEN 0 ELSE 1 END AS new FROM e),
-  b AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY seq) AS block FROM n) SELECT item_id, block, speaker, sum(length(t)) AS n FROM b GROUP BY item_id, block, speaker""",
+  b AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY seq) AS block FROM n) SELECT item_id, block, speaker, sum(length(t)) AS n, md5(string_agg(t, '' ORDER BY seq)) AS digest FROM b GROUP BY item_id, block, speaker""",
     "speaker_labels": "WITH s AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS item_id, role AS speaker FROM conversations) SELECT item_id, speaker, '[说话人 ' || chr(64 + CAST(rank() OVER (PARTITION BY item_id ORDER BY speaker) AS INT)) || ']' AS label FROM s",
     "plan_chunks": "WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, n_chars AS d, unnest(range(0, CASE WHEN n_chars <= 210 THEN 1 ELSE CAST(ceil(n_chars / 180) AS INT) END)) AS k FROM documents) SELECT item_id, k AS chunk_no, k * 180 AS start_s, CASE WHEN d <= 210 THEN d ELSE least((k + 1) * 180, d) END AS end_s FROM c",
     "speaker_probe": f"WITH {_SPANS}, z AS (SELECT item_id, speaker, s - min(s) OVER (PARTITION BY item_id) AS s FROM span), p AS (SELECT item_id, count(DISTINCT CASE WHEN s < 120 THEN speaker END) AS n, max(s) AS d FROM z GROUP BY item_id) SELECT item_id, n AS n_speakers, d <= 120 AS probe_is_full, n <= 1 AS single_route FROM p",
@@ -114,7 +115,7 @@ ORACLES["pack_chunks"] = rf"""WITH l AS (SELECT doc_id, text, list_filter(string
   SELECT doc_id, i - 1 AS chunk_no, length(p[i]) AS n, md5(p[i]) AS digest FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)"""
 ORACLES["pack_segments"] = f"""WITH {_TALK}, l AS (SELECT item_id, list(t ORDER BY seq) AS s FROM talk WHERE t <> '' GROUP BY item_id),
   f AS (SELECT item_id, {_FOLD.format(items="s", limit=500, join="''", plus=0)} AS r FROM l), p AS (SELECT item_id, list_append(r.o, r.c) AS p FROM f)
-  SELECT item_id, i - 1 AS seq, length(p[i]) AS n FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)"""
+  SELECT item_id, i - 1 AS seq, length(p[i]) AS n, md5(p[i]) AS digest FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)"""
 ORACLES["batch_turns"] = f"""WITH RECURSIVE {_SPANS}, o AS (SELECT item_id, seq, round((s + value) - s, 2) AS d, row_number() OVER (PARTITION BY item_id ORDER BY seq) AS k FROM span),
   r AS (SELECT item_id, seq, k, 0 AS batch_no, 1 AS n, d AS t FROM o WHERE k = 1
   UNION ALL SELECT o.item_id, o.seq, o.k, CASE WHEN r.n >= 8 OR r.t + o.d > 240 THEN r.batch_no + 1 ELSE r.batch_no END, CASE WHEN r.n >= 8 OR r.t + o.d > 240 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 8 OR r.t + o.d > 240 THEN o.d ELSE r.t + o.d END
@@ -187,7 +188,7 @@ _UNCHECKED = rf"""se AS (SELECT key, text, list_filter(list_transform(regexp_ext
   ta AS (SELECT *, len(s) > 0 AND NOT regexp_matches(s[-1], '[。！？；.!?;]$') AS tail FROM se), bo AS (SELECT *, CASE WHEN tail THEN s[:-2] ELSE s END AS body FROM ta),
   fo AS (SELECT *, CASE WHEN len(body) > 0 THEN {_FOLD.format(items="body", limit=500, join="''", plus=0)} END AS r FROM bo),
   packed AS (SELECT key, CASE WHEN text = '' THEN [] WHEN len(s) = 0 THEN [text] WHEN tail AND len(body) = 0 THEN [s[-1]] WHEN tail THEN list_append(r.o, r.c || s[-1]) ELSE list_append(r.o, r.c) END AS p FROM fo)"""
-ORACLES["unchecked_tails"] = f"WITH t AS (SELECT doc_id AS key, text || ' and a tail without an end' AS text FROM documents), {_UNCHECKED} SELECT key AS doc_id, i - 1 AS seq, length(p[i]) AS n FROM (SELECT key, p, unnest(range(1, len(p) + 1)) AS i FROM packed)"
+ORACLES["unchecked_tails"] = f"WITH t AS (SELECT doc_id AS key, text || ' and a tail without an end' AS text FROM documents), {_UNCHECKED} SELECT key AS doc_id, i - 1 AS seq, length(p[i]) AS n, md5(p[i]) AS digest FROM (SELECT key, p, unnest(range(1, len(p) + 1)) AS i FROM packed)"
 _STRONG = _STATS.replace("share > 0.3 OR chars > 2000", "share > 0.05 OR chars > 100")
 ORACLES["rendered_transcripts"] = f"""WITH {_STRONG}, m AS (SELECT talk.item_id, seq, t, CASE WHEN significant THEN talk.speaker END AS own FROM talk LEFT JOIN sig USING (item_id, speaker)),
   ef AS (SELECT m.item_id, m.seq, m.t, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY m.item_id ORDER BY m.seq), best.speaker) AS e FROM m LEFT JOIN (SELECT item_id, speaker FROM sig WHERE prominent) best USING (item_id)),
@@ -244,3 +245,25 @@ ORACLES["asked_once"] = "SELECT CAST(conv_id AS VARCHAR) AS item_id, CAST(turn A
 ORACLES["merged_state"] = f"""WITH {_CURRENT}, err AS (SELECT item_id, arg_max(row(CASE WHEN status = 'error' THEN 'failed' END), row(ts, event_id)) AS e FROM log WHERE status IN ('error', 'new') GROUP BY item_id),
   u AS (SELECT item_id, cur.status AS s, e FROM cur LEFT JOIN err USING (item_id)), k AS (SELECT CAST(c_custkey AS VARCHAR) AS item_id, 'known' AS status, 'old' AS error FROM customer)
   SELECT item_id, coalesce(s, status) AS status, CASE WHEN e IS NULL THEN error ELSE e[1] END AS error FROM k FULL JOIN u USING (item_id)"""
+_TITLED = "it AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS item_id, 'T' || conv_id AS title, CASE WHEN conv_id % 2 = 0 THEN 'U' ELSE '' END AS author FROM conversations)"
+ORACLES["diarized_turns"] = f"""WITH {_SPANS}, z AS (SELECT item_id, seq, speaker, s - min(s) OVER (PARTITION BY item_id) AS s FROM span),
+  p AS (SELECT item_id, max(s) <= 720 AS reused FROM z GROUP BY item_id HAVING count(DISTINCT CASE WHEN s < 720 THEN speaker END) > 1) SELECT item_id, seq, speaker, reused FROM z JOIN p USING (item_id)"""
+ORACLES["filter_publish_stats"] = f"""WITH {_CURRENT}, {_CATALOG}, r AS (SELECT coalesce(status, 'new') AS s FROM cat LEFT JOIN cur USING (item_id)), x AS (
+  SELECT 'filter' AS stage, unnest(CASE WHEN s = 'error' THEN ['kept', 'error'] WHEN s = 'uploaded' THEN ['skipped'] ELSE ['kept'] END) AS outcome FROM r
+  UNION ALL SELECT 'publish', CASE WHEN s NOT IN ('new', 'error') THEN 'converted' ELSE 'error' END FROM r) SELECT stage, outcome, count(*) AS n FROM x GROUP BY ALL"""
+ORACLES["report_text"] = f"""WITH rp AS ({ORACLES["eval_report"]}), ln AS (SELECT string_agg('| ' || concat_ws(' | ', number, config_name, engine, chars, paragraphs, CAST(CAST(seconds AS DECIMAL(18, 1)) AS VARCHAR), status) || ' |', chr(10) ORDER BY config_name) AS body FROM rp)
+  SELECT array_to_string(['# ASR 转录基准测试报告', '', '**测试视频**: documents', '**测试时间**: 2024-01-01 00:00:00', '', '## 结果对比', '', '| # | 配置 | 引擎 | 字符数 | 段落数 | 耗时(秒) | 状态 |', '|---|------|------|--------|--------|----------|------|', body,
+    '', '> ⭐ = 最多字符数 (可能意味着最完整的转录)', '', '## 详细参数', '', '### 1_de', '- d', '- e', '', '### 1_en', ''], chr(10)) AS text FROM ln"""
+ORACLES["rendered_plain"] = f"""WITH {_TALK}, {_TITLED}, l AS (SELECT item_id, list(t ORDER BY seq) AS s FROM talk WHERE t <> '' AND CAST(item_id AS BIGINT) % 3 <> 0 GROUP BY item_id),
+  f AS (SELECT item_id, {_FOLD.format(items="s", limit=500, join="''", plus=0)} AS r FROM l), p AS (SELECT item_id, array_to_string(list_append(r.o, r.c), chr(10) || chr(10)) AS body FROM f)
+  SELECT item_id, md5('# ' || title || chr(10) || chr(10) || CASE WHEN body IS NULL OR author <> '' THEN '**UP主**: ' || author || chr(10) || chr(10) ELSE '' END || '---' || chr(10) || chr(10) || coalesce(body || chr(10), '(转录失败或无文字内容)')) AS digest FROM it LEFT JOIN p USING (item_id)"""
+ORACLES["rendered_with_ids"] = f"""WITH {_STRONG}, {_TITLED}, m AS (SELECT talk.item_id, seq, t, CASE WHEN significant THEN talk.speaker END AS own FROM talk LEFT JOIN sig USING (item_id, speaker) WHERE t <> ''),
+  ef AS (SELECT m.item_id, m.seq, m.t, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY m.item_id ORDER BY m.seq), best.speaker) AS e FROM m LEFT JOIN (SELECT item_id, speaker FROM sig WHERE prominent) best USING (item_id)),
+  nw AS (SELECT *, CASE WHEN seq > min(seq) OVER (PARTITION BY item_id) AND lag(e) OVER (PARTITION BY item_id ORDER BY seq) IS NOT DISTINCT FROM e THEN 0 ELSE 1 END AS new FROM ef),
+  bl AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY seq) AS block FROM nw), se AS (SELECT item_id, block, e, string_agg(t, '' ORDER BY seq) AS text FROM bl GROUP BY item_id, block, e),
+  sp AS (SELECT *, list_filter(list_transform(regexp_extract_all(text, '[^。！？；.!?;]*[。！？；.!?;]|[^。！？；.!?;]+$'), lambda x: trim(x, E' \\t\\n\\r')), lambda x: x <> '') AS s FROM se),
+  fo AS (SELECT *, CASE WHEN len(s) > 0 THEN {_FOLD.format(items="s", limit=500, join="''", plus=0)} END AS r FROM sp), packed AS (SELECT item_id, block, e, CASE WHEN text = '' THEN [] WHEN len(s) = 0 THEN [text] ELSE list_append(r.o, r.c) END AS p FROM fo),
+  sv AS (SELECT item_id, count(*) > 1 AS several FROM sig WHERE significant GROUP BY item_id),
+  pa AS (SELECT item_id, block, list_transform(p, lambda x: CASE WHEN several THEN '**' || CASE WHEN e = 'user' THEN '[说话人 A]' ELSE '[' || e || ']' END || '** ' ELSE '' END || x) AS p FROM packed LEFT JOIN sv USING (item_id)),
+  bd AS (SELECT item_id, array_to_string(flatten(list(p ORDER BY block)), chr(10) || chr(10)) AS body FROM pa GROUP BY item_id)
+  SELECT item_id, md5('# ' || title || chr(10) || chr(10) || coalesce(nullif(body, ''), '(转录失败或无文字内容)') || chr(10)) AS digest FROM it LEFT JOIN bd USING (item_id)"""

@@ -219,7 +219,9 @@ def format_timestamp(s, d):
 def accept_correction(s, d):
     cut = lambda share: F.substring(F.col("text"), F.lit(1), (F.length("text") * share).cast("int"))
     share = (F.col("doc_id") % 10) / 10
-    return _docs(s, d).select("doc_id", F.length(X.accept_chunk(F.col("text"), cut(share))).alias("chunk"), F.length(X.accept_paragraph(F.col("text"), cut(share))).alias("paragraph"))
+    rows = _docs(s, d).select("doc_id", X.accept_chunk(F.col("text"), cut(share)).alias("c"), X.accept_paragraph(F.col("text"), cut(share)).alias("p"))
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    return rows.select("doc_id", F.length("c").alias("chunk"), F.length("p").alias("paragraph"), md5("c").alias("chunk_digest"), md5("p").alias("paragraph_digest"))
 
 
 @query
@@ -239,7 +241,7 @@ def pack_chunks(s, d):
 
 @query
 def pack_segments(s, d):
-    return turns.pack_segments(B.speech(s, d), ["item_id"]).select("item_id", F.col("paragraph_no").alias("seq"), F.length("text").alias("n"))
+    return turns.pack_segments(B.speech(s, d), ["item_id"]).select("item_id", F.col("paragraph_no").alias("seq"), F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query
@@ -261,7 +263,7 @@ def relabel_insignificant(s, d):
 @query
 def speaker_blocks(s, d):
     rows = turns.speaker_blocks(B.speech(s, d).withColumn("effective", F.when(F.col("speaker") == "system", "user").otherwise(F.col("speaker"))))
-    return rows.select("item_id", F.col("block").cast("long").alias("block"), "speaker", F.length("text").alias("n"))
+    return rows.select("item_id", F.col("block").cast("long").alias("block"), "speaker", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query
@@ -300,6 +302,13 @@ def speaker_probe(s, d):
     return turns.speaker_probe(rows, rows.groupBy("item_id").agg(F.max("start_s").alias("duration_s")))
 
 
+@query
+def diarized_turns(s, d):
+    rows = B.intervals(s, d)
+    rows = rows.withColumn("start_s", F.col("start_s") - F.min("start_s").over(turns.Window.partitionBy("item_id")))
+    return turns.diarized_turns(rows, rows.groupBy("item_id").agg(F.max("start_s").alias("duration_s")), 720.0).select("item_id", "seq", "speaker", "reused")
+
+
 @query
 def speaker_map(s, d):
     answer = F.concat(F.lit('so: {"[说话人 A]": "'), F.col("role"), F.lit('", "B ": "NULL", "[C]": " x ", "D": null} done'))
@@ -376,6 +385,15 @@ def stage_stats(s, d):
     return reports.stage_stats(each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3]))
 
 
+@query
+def filter_publish_stats(s, d):
+    rows = state.lookup_status(B.catalog(s, d).select("item_id"), B.current(s, d))
+    decided = F.when(F.col("status") != "error", F.col("status") == "uploaded")
+    file, ok = F.col("status") != "new", F.col("status") != "error"
+    each = [rows.select(F.lit(stage).alias("stage"), state.stage_outcome(stage, F.lit(False), file, yes).alias("outcomes")) for stage, yes in (("filter", decided), ("publish", ok))]
+    return reports.stage_stats(each[0].unionByName(each[1]))
+
+
 @query
 def run_success(s, d):
     return reports.run_success(B.catalog(s, d), B.current(s, d), 100)
@@ -415,6 +433,11 @@ def eval_report(s, d):
     return reports.eval_report(transcript_metrics(s, d))
 
 
+@query
+def report_text(s, d):
+    return reports.report_text(transcript_metrics(s, d), "documents", F.lit("2024-01-01 00:00:00"), [("1_de", ["- d", "- e"]), ("1_en", [])])
+
+
 def _spoken(s: SparkSession, d: str) -> DataFrame:
     """Conversations as documents of tagged lines."""
     talk = B.speech(s, d).withColumn("line", F.concat(F.lit("**[说话人 A]** "), F.col("text")))
@@ -508,7 +531,7 @@ def id_labels(s, d):
 @query
 def unchecked_tails(s, d):
     rows = _docs(s, d).select("doc_id", F.posexplode(turns.pack_paragraphs(F.concat("text", F.lit(" and a tail without an end")), check_tail=False)).alias("seq", "p"))
-    return rows.select("doc_id", "seq", F.length("p").alias("n"))
+    return rows.select("doc_id", "seq", F.length("p").alias("n"), F.md5(F.col("p").cast("binary")).alias("digest"))
 
 
 @query
@@ -517,6 +540,24 @@ def rendered_transcripts(s, d):
     return turns.render_transcript(items, B.speech(s, d)).select("item_id", F.md5(F.col("md").cast("binary")).alias("digest"))
 
 
+def _titled(s: SparkSession, d: str) -> DataFrame:
+    """The conversations as items; every other one has an author."""
+    ids = B.table(s, d, "conversations").select("conv_id").distinct()
+    return ids.select(F.col("conv_id").cast("string").alias("item_id"), F.concat(F.lit("T"), F.col("conv_id")).alias("title"), F.when(F.col("conv_id") % 2 == 0, "U").otherwise("").alias("author"))
+
+
+@query
+def rendered_with_ids(s, d):
+    said = B.speech(s, d).withColumn("speaker", F.when(F.col("speaker") == "user", "SPEAKER_00").otherwise(F.col("speaker")))
+    return turns.render_transcript(_titled(s, d), said, "whisperx").select("item_id", F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
+@query
+def rendered_plain(s, d):
+    said = B.speech(s, d).where(F.col("item_id").cast("long") % 3 != 0)
+    return turns.render_plain(_titled(s, d), said).select("item_id", F.md5(F.col("md").cast("binary")).alias("digest"))
+
+
 @query
 def named_turns(s, d):
     speech = B.speech(s, d)
