@@ -17,6 +17,8 @@ from talkweave.sources import files, shared
 from talkweave.streaming import jobs
 
 FLAGSHIP = "queue_status"
+#: Rows of one written text file: whole files are read as one row each.
+FILE_ROWS = 1000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -666,7 +668,7 @@ def document_files(s, d):
 @query
 def text_files(s, d):
     path = shared.fresh_folder(s, "texts")
-    _docs(s, d).select("source", "text").write.partitionBy("source").text(path)
+    _docs(s, d).select("source", "text").write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("source").text(path)
     source = lambda c: F.regexp_extract(c, "source=([^/]*)/", 1)
     read = files.read_documents(s, f"{path}/*/*").groupBy(source("path").alias("source")).agg(F.sum(F.length("md")).alias("n_chars"))
     listed = files.artifact_listing(s, path, "*.txt").groupBy(source("path").alias("source")).agg(F.sum("length").alias("n_bytes"))
@@ -714,7 +716,7 @@ def eval_files(s, d):
     docs = _docs(s, d)
     header = docs.select("lang").distinct().select("lang", F.lit("# engine: e").alias("value"))
     line = X.timestamped_line(F.col("doc_id"), F.col("doc_id") + F.lit(0.5), F.col("source"), True)
-    header.unionByName(docs.select("lang", line.alias("value"))).write.partitionBy("lang").text(path)
+    header.unionByName(docs.select("lang", line.alias("value"))).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("lang").text(path)
     read = files.read_eval_outputs(s, f"{path}/*").withColumn("lang", F.regexp_extract("path", "lang=([^/]*)/", 1))
     found = read.groupBy("lang").agg(F.max("value").alias("engine"), F.count("text").alias("n"), F.sum(F.col("end_s") - F.col("start_s")).alias("seconds"))
     files.write_eval_results(found, results)

@@ -357,3 +357,30 @@ def test_counting_over_sparse_positions(spark, span):
         want[p] = n
         n += hit
     assert {r.pos: r.before for r in got.collect()} == want
+
+
+def test_turns_that_go_on_after_the_probe(spark):
+    spoken = [("one", 0, "A", 0.0), ("one", 1, "A", 500.0), ("late", 0, "A", 0.0), ("late", 1, "B", 120.0), ("short", 0, "A", 0.0), ("short", 1, "B", 119.0), ("long", 0, "A", 0.0), ("long", 1, "B", 10.0), ("long", 2, "B", 900.0), ("unknown", 0, "A", 0.0), ("unknown", 1, "B", 1.0)]
+    frame = spark.createDataFrame(spoken, "item_id string, seq int, speaker string, start_s double")
+    durations = spark.createDataFrame([("one", 600.0), ("late", 130.0), ("short", 120.0), ("long", 1000.0)], "item_id string, duration_s double")
+    got = rows(turns.diarized_turns(frame, durations).select("item_id", "seq", "reused"), "item_id", "seq")
+    assert got == [("long", 0, False), ("long", 1, False), ("long", 2, False), ("short", 0, True), ("short", 1, True)]
+    assert turns.diarized_turns(frame.where("false"), durations).count() == 0
+
+
+def test_plain_transcripts(spark):
+    items = spark.createDataFrame([("a", "T", "U"), ("b", "T", None), ("c", "T", "")], "item_id string, title string, author string")
+    segments = spark.createDataFrame([("a", 1, "y" * 300), ("a", 0, " " + "x" * 300), ("b", 0, "z"), ("b", 1, None), ("c", 0, " ")], "item_id string, seq int, text string")
+    got = dict(rows(turns.render_plain(items, segments)))
+    assert got["a"] == "# T\n\n**UP主**: U\n\n---\n\n" + "x" * 300 + "\n\n" + "y" * 300 + "\n"
+    assert got["b"] == "# T\n\n---\n\nz\n"
+    assert got["c"] == "# T\n\n**UP主**: \n\n---\n\n(转录失败或无文字内容)"
+
+
+def test_report_as_a_text(spark):
+    schema = "config_name string, engine string, char_count long, line_count long, paragraph_count long, duration_seconds double, error string"
+    metrics = spark.createDataFrame([("2_b", "e", 0, 0, 0, 1.0, "x" * 40), ("1_a", "e", 9, 1, 2, 12345678.5, None), ("3_c", "f", 9, 1, 2, 0.0, None)], schema)
+    (text,) = rows(reports.report_text(metrics, "v", F.lit("now"), [("1_a", ["- d"])]))[0]
+    lines = text.split("\n")
+    assert [x for x in lines if x.startswith("| ")][1:] == ["| 1 | 1_a | e | 9 ⭐ | 2 | 12345678.5 | ✅ |", "| 2 | 2_b | e | 0 | 0 | 1.0 | ❌ " + "x" * 30 + " |", "| 3 | 3_c | f | 9 ⭐ | 2 | 0.0 | ✅ |"]
+    assert lines[2:4] == ["**测试视频**: v", "**测试时间**: now"] and lines[-3:] == ["### 1_a", "- d", ""]
