@@ -5,7 +5,8 @@ component a star around its smallest id in about log(n) rounds.  Each round is
 two aggregations and two joins whose right sides have one row per node.  While
 these are small they are broadcast, so that a node with very many neighbours stays
 where its edges are; beyond, it makes a skewed left side, which adaptive execution
-splits.  Nothing but two numbers per round reaches the driver.
+splits.  Rounds end as soon as all edges form stars.  Nothing but two numbers per round
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -37,13 +38,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Nodes without edges do not appear; the caller takes them as their own roots.
     """
     stars = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
     while True:
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+        ends = stars.select(F.col("u").alias("node"), F.lit(1).alias("ups"), F.lit(0).alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.lit(0).alias("ups"), F.lit(1).alias("root")))
+        ends = ends.groupBy("node").agg(F.sum("ups").alias("ups"), F.max("root").alias("root"))
+        number, unsettled = ends.agg(F.coalesce(F.sum("ups"), F.lit(0)), F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("root") > 0)))).first()
+        if not unsettled:
+            break  # every node has one lower neighbour, which has none
         before = scratch.paths[-1]
-        stars = scratch.save(_star(stars, 2 * now[0] * NODE_BYTES <= BROADCAST), "stars")
+        stars = scratch.save(_star(stars, 2 * number * NODE_BYTES <= BROADCAST), "stars")
         scratch.drop([before])
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -54,9 +54,8 @@ def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
 
 def _plausible(pairs: DataFrame, items: DataFrame, possible: Possible, kind: np.dtype) -> DataFrame:
     """Pairs (a, b) that sizes and signatures don't rule out."""
-    sides = items.select("id", "size", "signature")
     for side in ("a", "b"):
-        pairs = pairs.join(sides.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("signature").alias(f"sig_{side}")), side)
+        pairs = pairs.join(items.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("signature").alias(f"sig_{side}")), side)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,12 +99,14 @@ def _plausible_groups(begins: np.ndarray, ends: np.ndarray, roots: np.ndarray, s
         n, able = high - low, np.zeros(high - low, bool)
         step = max(1, PAIRS // n)
         for k in range(0, n, step):
-            i = np.repeat(np.arange(k, min(k + step, n)), n) + low
-            j = np.tile(np.arange(low, high), min(k + step, n) - k)
-            apart = np.flatnonzero(roots[i] != roots[j])
-            i, j = i[apart], j[apart]
+            rows = slice(k, min(k + step, n))
+            # the pairs before the row were tried from their other side, and those of two that are marked add nothing
+            wanted = (roots[low:high][rows, None] != roots[low:high]) & ~(able[rows, None] & able) & (np.arange(n)[rows, None] < np.arange(n))
+            i, j = np.nonzero(wanted)
+            i += low + k
+            j += low
             ok = possible(sizes[i], sizes[j], signatures[i], signatures[j])
-            able[i[ok] - low] = True
+            able[i[ok] - low] = able[j[ok] - low] = True
         found.append((low, high, np.flatnonzero(able)))
     for n in np.unique(number[number * number <= PAIRS]).tolist():
         starts, (a, b) = begins[number == n], np.triu_indices(n, 1)
@@ -220,6 +221,9 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     placed = items.select("id", F.explode("buckets").alias("bucket"))
     shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared")
     placed = scratch.save(placed.join(small(shared), "bucket").select("bucket", "id", "hub", "n"), "buckets")
+    # few items share a bucket, so that the joins below don't shuffle all signatures
+    sharing = scratch.save(placed.select("id").distinct(), "sharing")
+    items = scratch.save(items.select("id", "size", "signature").join(small(sharing), "id"), "members")
 
     def pairs(frame: DataFrame) -> DataFrame:
         return frame.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -238,7 +242,7 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     left = scratch.save(left.join(undecided, "bucket").select("bucket", F.col("all").alias("n"), "id", "root"), "undecided")
     if left.isEmpty():
         return roots
-    more = scratch.save(_rest(left.join(items.select("id", "size", "signature"), "id").join(sets, "id"), percent, possible, kind, unpack), "links")
+    more = scratch.save(_rest(left.join(items, "id").join(sets, "id"), percent, possible, kind, unpack), "links")
     if more.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch)

@@ -220,6 +220,11 @@ def distinct(hashes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(found), np.concatenate([np.zeros(0, np.int64), *counts])
 
 
+def true_bits(table: np.ndarray) -> np.ndarray:
+    """The number of true values in each line of a table."""
+    return np.bitwise_count(np.packbits(table, axis=1)).sum(1, dtype=np.int64)
+
+
 def binaries(values: np.ndarray, number: np.ndarray) -> pa.Array:
     """A binary array whose rows are the raw bytes of consecutive runs of ``values``."""
     at = np.concatenate([[0], np.cumsum(number * values.dtype.itemsize)])
