@@ -35,6 +35,10 @@ from talkweave.llm.vocabulary import Vocabulary, parse
 
 #: Text of one block, whose distinct pieces share one index.
 BLOCK_BYTES = 3 << 20
+#: Positions whose pairs are looked up at once when the index is begun.
+POSITIONS = 1 << 17
+#: Text whose pieces are cut at once.
+CUT_BYTES = 1 << 18
 
 
 def _leftmost(at: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -50,7 +54,6 @@ def encode_pieces(data: np.ndarray, begin: np.ndarray, vocabulary: Vocabulary) -
     n = len(data)
     token = np.full(n + 1, -1, np.int64)
     token[:n] = vocabulary.byte_id[data]
-    piece = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     after, before = np.arange(1, n + 2), np.arange(-1, n)
     after[begin[1:] - 1] = n
     before[begin[:-1]] = n
@@ -72,8 +75,8 @@ def encode_pieces(data: np.ndarray, begin: np.ndarray, vocabulary: Vocabulary) -
                 heapq.heappush(heap, r)
             index[r].append(positions)
 
-    if n:
-        enter(np.arange(n))
+    for k in range(0, n, POSITIONS):
+        enter(np.arange(k, min(k + POSITIONS, n)))
     while heap:
         r = heapq.heappop(heap)
         found = index.pop(r)
@@ -93,16 +96,28 @@ def encode_pieces(data: np.ndarray, begin: np.ndarray, vocabulary: Vocabulary) -
         left = before[at]
         enter(np.unique(np.concatenate([left[left < n], at])))
     alive = np.flatnonzero(token[:n] >= 0)
-    return token[alive], np.bincount(piece[alive], minlength=len(begin) - 1)
+    return token[alive], np.diff(np.searchsorted(alive, begin))
+
+
+def _cut(data: np.ndarray, at: np.ndarray, special: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``pretokens``, some rows at a time, as rows don't depend on each other; a row is never cut."""
+    begins, numbers, k = [], [], 0
+    while k < len(at) - 1:
+        end = max(k + 1, int(np.searchsorted(at, at[k] + CUT_BYTES, "right")) - 1)
+        begin, number = pretokens(data[at[k] : at[end]], at[k : end + 1] - at[k], special)
+        begins.append(begin[:-1] + at[k])
+        numbers.append(number)
+        k = end
+    return np.concatenate([*begins, at[-1:]]), np.concatenate(numbers)
 
 
 def encode_rows(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of the rows of a string array, one after the other, and the number of each row's tokens."""
     data, at = T.buffers(texts)
     special = next(iter(vocabulary.special), b"")
-    begin, number = pretokens(data, at, special)
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    begin, number = _cut(data, at, special)
     every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(data)])
     coded = every.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False)
@@ -114,6 +129,7 @@ def encode_rows(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np
             if raw[starts[k] : starts[k + 1]].tobytes() == special:
                 ids = np.append(ids, vocabulary.special[special])
                 first[k], length[k] = len(ids) - 1, 1
+    del every, coded, raw
     each = length[which]
     place = np.repeat(first[which] - (np.cumsum(each) - each), each) + np.arange(each.sum())
     ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(number)])]

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from talkweave.llm import line_dedup, linking, minhash_dedup, text
+from talkweave.llm import bpe_codec, line_dedup, linking, minhash_dedup, text
 from talkweave.llm.components import connected_components
+from talkweave.llm.queries import vocabulary
 from talkweave.llm.tables import Scratch
+from talkweave.llm.vocabulary import parse
 
 
 def test_large_group_tries_few_pairs():
@@ -71,3 +73,16 @@ def test_lines_and_their_count():
     wanted = [(r, k, x.strip(" \t\n\x0b\x0c\r")) for r, t in enumerate(rows) for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
     assert [(r, k, data[a:b].tobytes().decode()) for a, b, r, k in zip(start.tolist(), end.tolist(), row.tolist(), number.tolist(), strict=True)] == wanted
     assert line_dedup.count_lines(data, at).tolist() == [sum(r == k for r, _, _ in wanted) for k in range(len(rows))]
+
+
+def test_codec_cuts_a_block_in_parts(monkeypatch):
+    """Texts of a block are cut some at a time, and its pairs entered some at a time, with the same ids."""
+    known = parse(vocabulary())
+    texts = pa.array(["", "It's  here\n\n", "x" * 70 + " y", "<|endoftext|>a<|endoftext|>", "", "é ü 12 345", "word " * 40])
+    whole = [part.tolist() for part in bpe_codec.encode_rows(texts, known)]
+    sizes, cut = [], bpe_codec.pretokens
+    monkeypatch.setattr(bpe_codec, "pretokens", lambda data, *rest: sizes.append(len(data)) or cut(data, *rest))
+    monkeypatch.setattr(bpe_codec, "CUT_BYTES", 20)
+    monkeypatch.setattr(bpe_codec, "POSITIONS", 7)
+    assert [part.tolist() for part in bpe_codec.encode_rows(texts, known)] == whole
+    assert max(sizes) == 200 and len(sizes) > 3
