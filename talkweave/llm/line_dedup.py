@@ -3,7 +3,7 @@
 Method.  Lines are what stands between line feeds, without white space at both
 ends; blank lines are left alone.  Equal lines are one item.  An item is its set of
 distinct character shingles of length CHARS (a shorter line is one shingle), with a
-signature of BANDS * ROWS independent minima.  Lines that share a band are
+signature of BANDS * ROWS extremes: least and greatest hashes, in bands of their own.  Lines that share a band are
 confirmed by exact Jaccard similarity and linked by distributed union-find (see
 ``linking``).  Of each component the first line (by doc_id, then line number)
 stays; all others go.
@@ -38,10 +38,13 @@ CHARS = 8
 PERCENT = 80
 BANDS, ROWS = 14, 4
 REGISTERS = BANDS * ROWS
+HALF = REGISTERS // 2
 #: Standard deviations under the threshold at which signatures rule a pair out.
 MARGIN = 4.0
 #: Lines that a task remembers to have signed.
 SIGNED = 1 << 18
+#: Pairs of lines that are compared at once.
+PAIRS = 1 << (64 - T.HASH_BITS)
 #: The signature: a long column for each band, of ROWS registers of 16 bits.
 SIGNATURE = [f"s{i}" for i in range(BANDS)]
 
@@ -79,12 +82,34 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def count_lines(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The number of non-blank lines of each row."""
-    raw, ends = data.tobytes(), at.tolist()
-    return np.array([sum(map(bool, map(_stripped, raw[a:b].split(b"\n")))) for a, b in zip(ends[:-1], ends[1:], strict=True)], np.int32)
+    return np.bincount(lines(data, at)[2], minlength=len(at) - 1).astype(np.int32)
 
 
-def _stripped(line: bytes) -> bytes:
-    return line.strip(SPACES)
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of UTF-8 begin, and the number that the bytes of each make."""
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[begins].astype(np.uint64)
+    wide = np.flatnonzero(points >= 0xC0)
+    first, more = begins[wide], np.append(data, np.zeros(3, np.uint8))
+    for k in (1, 2, 3):
+        byte = more[first + k]
+        on = (byte & 0xC0) == 0x80
+        wide, first = wide[on], first[on]
+        points[wide] = (points[wide] << np.uint64(8)) | byte[on]
+    return begins, points
+
+
+def windows(points: np.ndarray) -> np.ndarray:
+    """A polynomial modulo 2**64 of each CHARS values in a row from every place on, zeros after the last; CHARS is a power of two."""
+    h = np.zeros(len(points) + CHARS - 1, np.uint64)
+    np.add(points, np.uint64(1), out=h[: len(points)])
+    width = 1
+    while width < CHARS:
+        ahead = h[width:]
+        h = h[:-width] * np.uint64(pow(int(T.BASES[0]), width, 1 << 64))
+        h += ahead
+        width *= 2
+    return h
 
 
 def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: T.Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +117,7 @@ def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: T.
 
     Windows over the whole piece are hashed in one go, and those inside spans are picked.
     """
-    spans = spans or T.Spans(data)
-    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    begins, points = code_points(data)
     first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
     whole = last - first >= CHARS
     number = np.where(whole, last - first - CHARS + 1, 1)
@@ -101,20 +125,25 @@ def shingle_sets(data: np.ndarray, start: np.ndarray, end: np.ndarray, spans: T.
     inside[first] = 1
     inside[np.where(whole, last - CHARS + 1, first + 1)] -= 1
     picked = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
-    edges = np.append(begins, np.full(CHARS, len(data)))
-    hashes = spans.steps(edges, CHARS)[picked]
+    hashes = windows(points)[picked]
     short = np.flatnonzero(~whole)
-    hashes[(np.cumsum(number) - number)[short]] = spans.sum(start[short], end[short])
+    if len(short):
+        hashes[(np.cumsum(number) - number)[short]] = (spans or T.Spans(data)).sum(start[short], end[short])
     return T.mix(hashes), number
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
-    r = T.mix(np.arange(101, 2 * REGISTERS + 101, dtype=np.uint64))
-    return (r[:REGISTERS] >> np.uint64(32)).astype(np.uint32), (r[REGISTERS:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    r = T.mix(np.arange(101, 2 * HALF + 101, dtype=np.uint64))
+    return (r[:HALF] >> np.uint64(32)).astype(np.uint32), (r[HALF:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """REGISTERS independent minima of each row of hashes, mixed down to 16 bits."""
+def extremes(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """REGISTERS extremes of each row of hashes, mixed down to 16 bits: minima of as many functions as half of them, then their maxima.
+
+    Both ends of one function agree for a share of pairs that is the similarity, as minima of two
+    functions do; they depend on each other only in that one misses rather where the other
+    agrees, and they are in different bands.
+    """
     out = np.empty((REGISTERS, len(number)), np.uint32)
     starts = np.cumsum(number) - number
     high, room = (hashes >> np.uint64(32)).astype(np.uint32), np.empty(len(hashes), np.uint32)
@@ -122,6 +151,7 @@ def minima(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
         np.bitwise_xor(high, s, out=room)
         np.multiply(room, m, out=room)
         np.minimum.reduceat(room, starts, out=out[i])
+        np.maximum.reduceat(room, starts, out=out[i + HALF])
     return (T.mix(out.T.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
 
 
@@ -150,7 +180,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 new = np.array([x not in signed for x in T.mix(h1[firsts] ^ half).tolist()], bool)
                 signed.update(T.mix(h1[firsts] ^ half).tolist())
                 firsts = firsts[new]
-                signature = np.ascontiguousarray(minima(hashes[np.repeat(new, count)], count[new])).view(np.int64)
+                signature = np.ascontiguousarray(extremes(hashes[np.repeat(new, count)], count[new])).view(np.int64)
                 rest = np.ones(len(start), bool)
                 rest[firsts] = False
 
@@ -202,6 +232,27 @@ def _unpack(found: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _similar(side_a: list[bytes], side_b: list[bytes], percent: int) -> np.ndarray:
+    """Which pairs of lines have 100 * intersection >= percent * union, from their shingles sorted once: pair, hash, side."""
+    out = []
+    for k in range(0, len(side_a), PAIRS):
+        part = [x for pair in zip(side_a[k : k + PAIRS], side_b[k : k + PAIRS], strict=True) for x in pair]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        hashes, number = shingle_sets(np.frombuffer(b"".join(part), np.uint8), at[:-1], at[1:])
+        # of 64 bits 6 are the pair's and the last one is the side's
+        line = np.arange(len(part), dtype=np.uint64)
+        hashes >>= np.uint64(64 - T.HASH_BITS)
+        hashes &= ~np.uint64(1)
+        hashes |= np.repeat((line >> np.uint64(1) << np.uint64(T.HASH_BITS)) | (line & np.uint64(1)), number)
+        hashes.sort()
+        change = hashes[1:] ^ hashes[:-1]
+        pairs = np.append(0, np.searchsorted(hashes, np.arange(1, len(part) // 2, dtype=np.uint64) << np.uint64(T.HASH_BITS)))
+        both = np.add.reduceat(np.append(1, change != 0), pairs)
+        union = np.add.reduceat(np.append(1, change > 1), pairs)
+        out.append(100 * (both - union) >= percent * union)
+    return np.concatenate(out)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, removed): the numbers of the lines that go, of documents that have any.
 
@@ -222,9 +273,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         first = copies.groupBy("id").agg(F.min(place).alias("first")).select("id", "first.*")
         return _sets(docs, scratch.save(first.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "id")).alias("wanted")), "places"))
 
-    roots = link(items, sets_of, _possible, np.dtype(np.uint16), PERCENT, scratch, _unpack)
+    roots = link(items, sets_of, _possible, np.dtype(np.uint16), PERCENT, scratch, _unpack, _similar)
     # only lines with copies or links can go
-    touched = classes.select("id", "h1", "h2", "copies").join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 OR root IS NOT NULL")
+    touched = classes.select("id", "h1", "h2", "copies").join(small(roots.withColumnRenamed("node", "id")), "id", "left").where("copies > 1 OR root IS NOT NULL")
     touched = scratch.save(touched.select("h1", "h2", F.coalesce("root", "id").alias("root")), "touched")
     several = scratch.save(signed.select("doc_id", "text_hash", "line", "h1", "h2").join(small(touched), ["h1", "h2"]).drop("h1", "h2"), "several")
     keepers = scratch.save(several.groupBy("root").agg(F.min(place).alias("keeper")), "keepers")

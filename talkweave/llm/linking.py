@@ -40,11 +40,27 @@ Possible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray
 Unpack = Callable[[list[bytes]], list[np.ndarray]]
 
 
+#: Which pairs of stored items have 100 * intersection >= percent * union?
+Similar = Callable[[list[bytes], list[bytes], int], np.ndarray]
+
+
 def raw_hashes(items: list[bytes]) -> list[np.ndarray]:
     """Items stored as the bytes of their sorted hashes."""
     return [np.frombuffer(x, np.uint64) for x in items]
 
 
+def _jaccard(unpack: Unpack) -> Similar:
+    """Compares the sets that ``unpack`` gives."""
+
+    def similar(side_a: list[bytes], side_b: list[bytes], percent: int) -> np.ndarray:
+        sides = [unpack(x) for x in (side_a, side_b)]
+        number = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)])
+        union = T.distinct(np.concatenate([v for both in zip(*sides, strict=True) for v in both]), number)[1]
+        return 100 * (number - union) >= percent * union
+
+    return similar
+
+
 def _matrix(column: pa.Array, kind: np.dtype) -> np.ndarray:
     """Signatures as rows: binary values, or lists of longs that hold the same bytes."""
     if pa.types.is_list(column.type):
@@ -67,7 +83,7 @@ def _plausible(pairs: DataFrame, items: DataFrame, possible: Possible, kind: np.
     return pairs.select("a", "b", "size_a", "size_b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, similar: Similar) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("members").alias(f"set_{side}")), side)
@@ -76,17 +92,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Unpack)
         for b in batches:
             if not b.num_rows:
                 continue
-            sides = [unpack(b[c].to_pylist()) for c in ("set_a", "set_b")]
-            number = np.array([len(x) + len(y) for x, y in zip(*sides, strict=True)])
-            union = T.distinct(np.concatenate([v for both in zip(*sides, strict=True) for v in both]), number)[1]
-            ok = 100 * (number - union) >= percent * union
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-            del sides, union
+            yield b.select(["a", "b"]).filter(pa.array(similar(b["set_a"].to_pylist(), b["set_b"].to_pylist(), percent)))
             T.release()
 
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
 
 
+#: Bytes of bucket names that a task deals out or sorts at once.
+NAMES = 8 << 20
+
+
+def _shared(items: DataFrame) -> DataFrame:
+    """The buckets (each once) of two items or more.
+
+    Names alone are shuffled, packed by range of their values and sorted in tasks; a name goes at
+    most twice from each block of items, so that a bucket of very many is no more than a few rows.
+    """
+    one = items.select(F.size("buckets")).first()  # the other items have about as many
+    ranges = max(1, -(-8 * items.count() * (one[0] if one else 0) // NAMES))
+    edges = np.array([-(-(i << 64) // ranges) for i in range(ranges)], np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            names = np.concatenate(held)
+            held.clear()
+            names.sort()
+            kept = np.ones(len(names), bool)
+            kept[2:] = names[2:] != names[:-2]
+            names = names[kept]
+            number = np.diff(np.append(np.searchsorted(names, edges), len(names)))
+            some = np.flatnonzero(number)
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), T.binaries(names, number[some])], ["range", "names"])
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                held.append(batch["buckets"].slice(k, 4096).flatten().to_numpy().view(np.uint64))
+                if sum(map(len, held)) * 8 >= NAMES:
+                    yield packed()
+        if held:
+            yield packed()
+        T.release()
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        at = -1
+
+        def found() -> pa.RecordBatch:
+            names = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            names.sort()
+            again = names[1:][names[1:] == names[:-1]]
+            return pa.RecordBatch.from_arrays([pa.array(again[np.append(True, again[1:] != again[:-1])[: len(again)]].view(np.int64))], ["bucket"])
+
+        for batch in batches:
+            for number, names in zip(batch["range"].to_pylist(), batch["names"], strict=True):
+                if number != at:
+                    yield found()
+                    at = number
+                held.append(np.frombuffer(names.as_buffer(), np.uint64).copy())
+        yield found()
+        T.release()
+
+    dealt = items.select("buckets").mapInArrow(deal, "range int, names binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(repeated, "bucket long")
+
+
 #: Pairs of members whose signatures are compared at once.
 PAIRS = 1 << 16
 
@@ -125,10 +197,15 @@ def _plausible_groups(begins: np.ndarray, ends: np.ndarray, roots: np.ndarray, s
     return [f for f in found if len(f[2]) > 1]
 
 
+#: Cells of a table of members by values that is multiplied with itself.
+DENSE = 1 << 16
+
+
 def _forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between members of different components, enough to join all that are linked.
 
-    Common values are counted by an inverted index, for all members but those of the largest component.
+    Common values are counted by a product of tables if these are small, else by an inverted index, for all
+    members but those of the largest component.
     """
     number = np.array([len(x) for x in sets])
     owner, value = np.repeat(np.arange(len(sets)), number), np.concatenate(sets)
@@ -139,9 +216,19 @@ def _forest(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent:
     length = np.diff(np.append(first, len(value)))
     term = np.empty(len(value), np.int64)
     term[order] = np.cumsum(new) - 1
-    at = np.concatenate([[0], np.cumsum(number)])
     found: list[tuple[int, int]] = []
     label = np.unique(roots, return_inverse=True)[1]
+    if len(sets) * len(first) <= DENSE:
+        table = np.zeros((len(sets), len(first)), np.float32)
+        table[owner, term] = 1
+        common = table @ table.T
+        near = (100 * common >= percent * (number[:, None] + number - common)) & (label[:, None] < label)
+        for i, j in np.argwhere(near).tolist():
+            if label[i] != label[j]:
+                found.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+        return found
+    at = np.concatenate([[0], np.cumsum(number)])
     for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
         t = term[at[i] : at[i + 1]]
         n = length[t]
@@ -212,15 +299,17 @@ def _rest(members: DataFrame, percent: int, possible: Possible, kind: np.dtype,
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
 
 
-def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch, unpack: Unpack = raw_hashes) -> DataFrame:
+def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible: Possible, kind: np.dtype, percent: int, scratch: Scratch, unpack: Unpack = raw_hashes, similar: Similar | None = None) -> DataFrame:
     """(node, root) for every item that is linked with another, root being the smallest id.
 
     items: id long (unique), size long, signature binary, buckets array<long>.
     sets_of: from a frame of ids to (id, members binary), which ``unpack`` turns to sets; repeated rows do no harm.
+    similar: the same comparison as of unpacked sets, if there is a faster one.
     """
-    placed = items.select("id", F.explode("buckets").alias("bucket"))
-    shared = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "shared")
-    placed = scratch.save(placed.join(small(shared), "bucket").select("bucket", "id", "hub", "n"), "buckets")
+    shared = scratch.save(_shared(items), "shared")
+    placed = scratch.save(items.select("id", F.explode("buckets").alias("bucket")).join(small(shared), "bucket").select("bucket", "id"), "placed")
+    sizes = scratch.save(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1"), "sizes")
+    placed = scratch.save(placed.join(small(sizes), "bucket").select("bucket", "id", "hub", "n"), "buckets")
     # few items share a bucket, so that the joins below don't shuffle all signatures
     sharing = scratch.save(placed.select("id").distinct(), "sharing")
     items = scratch.save(items.select("id", "size", "signature").join(small(sharing), "id"), "members")
@@ -232,11 +321,12 @@ def link(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], possible:
     # in a bucket of two the star round decides, so an implausible pair needs no sets
     needed = first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(placed.where("n > 2").select("id")).distinct()
     sets = scratch.save(sets_of(scratch.save(needed, "needed")), "sets")
-    links = scratch.save(_confirmed(first, sets, percent, unpack), "links")
+    links = scratch.save(_confirmed(first, sets, percent, similar or _jaccard(unpack)), "links")
     roots = connected_components(links, scratch)
+    named = small(roots.withColumnRenamed("node", "id"))
 
     # the star round has decided all pairs with the hub; equal sets of other members are looked at once
-    left = placed.where("id <> hub").select("bucket", "id", F.col("n").alias("all")).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    left = placed.where("id <> hub").select("bucket", "id", F.col("n").alias("all")).join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
     undecided = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("digest"))
     undecided = undecided.where("low < high").groupBy("n", "first", "last", "digest").agg(F.min("bucket").alias("bucket")).select("bucket")
     left = scratch.save(left.join(undecided, "bucket").select("bucket", F.col("all").alias("n"), "id", "root"), "undecided")
